@@ -10,6 +10,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_digests
+
+    spoken = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(spoken).alias("text"),
+    )
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_digests(talks.unionByName(extra))
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_records import token_digests
+
+    return token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(documents(spark, sf_dir), tests)
+    return found.drop("key")
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=400, keep="none").drop("kept")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_languages
+
+    return predict_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -23,6 +71,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), shards=24)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_fingerprint, simhash_components
 
@@ -32,8 +86,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chat_format": op1_chat_format,
+        "op2_token_records": op2_token_records,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_substrings": op4_substrings,
+        "op5_language": op5_language,
+        "op6_license_scan": op6_license_scan,
         "op7_mix_sources": op7_mix_sources,
         "op8_shard": op8_shard,
+        "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
     }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one window partition should hold at most, about.
-ROWS_PER_BUCKET = 16_384
+ROWS_PER_BUCKET = 4_096
 #: Bytes of text that vectorised kernels take at once.
 SLICE_BYTES = 2 << 20
 
