@@ -9,8 +9,14 @@ of the chain prunes candidates before the full Hamming check.
 
 A key under which more than ``cap`` fingerprints meet is refined: as its bits agree, the
 difference lies in the others, which are cut into ``m`` segments in the same way and give
-longer keys. After three levels at most 13 bits are free, so a bucket's size is bounded by
-the method and no link is lost.
+longer keys, until so few bits are free that a bucket's size is bounded by them. No link is
+lost.
+
+Word shingles of near copies differ in many bits: at a Jaccard similarity of 0.8 on shingles
+of five words some 10 of 64, too many for equality keys. ``similar_components`` therefore
+looks for candidates in several fingerprints of the text's set of words, each with hashes of
+its own, which near copies share but for 3 bits in one of them or more, and confirms them by
+the fingerprint of the shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from .runtime import bucket_count, drop_path, materialize, new_path, pick, text_
 
 SEGMENTS = 7
 BUCKET_CAP = 256
-LEVELS = 3
+#: Keys are refined while a bucket is above the cap and more bits than this are free.
+FREE_BITS = 13
 
 
 def shingle_fingerprints(shingle: int) -> Callable[[list], np.ndarray]:
@@ -40,7 +47,7 @@ def shingle_fingerprints(shingle: int) -> Callable[[list], np.ndarray]:
         join, digest = b" ".join, xxhash.xxh64_intdigest
         out = np.zeros(len(texts), np.uint64)
         for k, text in enumerate(texts):
-            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+            words = text.encode().lower().split() if text else []
             if not words:
                 continue
             if len(words) < shingle:
@@ -105,54 +112,61 @@ def chain_keys(free: int, m: int, tau: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def forest_edges(free_of_path: dict[int, list[int]], tau: int, m: int) -> Callable:
+def forest_edges(rings: dict[int, list[int]], tau: int, m: int, most: int) -> Callable:
     """Per bucket a spanning forest of its links: chains first, then the full Hamming check."""
 
+    def linked(fps: np.ndarray, checks: np.ndarray, ring: list[np.uint64], length: int) -> Iterator[tuple[int, int]]:
+        rows = max(1, (1 << 18) // len(fps))
+        for at in range(0, len(fps), rows):
+            diff = fps[at : at + rows, None] ^ fps[None, :]
+            total = np.zeros(diff.shape, np.uint8)
+            ok = np.ones(diff.shape, bool)
+            for n, mask in enumerate(ring, 1):
+                total += np.bitwise_count(diff & mask)
+                if n > length:
+                    ok &= total <= (n * tau) // m
+            ok &= np.bitwise_count(diff) <= tau
+            ok &= np.bitwise_count(checks[at : at + rows, None] ^ checks[None, :]) <= most
+            for i, j in zip(*np.nonzero(np.triu(ok, at + 1)), strict=True):
+                yield int(i) + at, int(j)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = chain_length(m, tau)
         for batch in batches:
             left, right = [], []
             for path, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                fps = np.sort(members.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                ring = [np.uint64(x) for x in free_of_path[path]]
-                root = np.arange(len(fps))
-                for at in range(0, len(fps), 512):
-                    diff = fps[at : at + 512, None] ^ fps[None, :]
-                    total = np.zeros(diff.shape, np.uint8)
-                    ok = np.ones(diff.shape, bool)
-                    for l, mask in enumerate(ring, 1):
-                        total += np.bitwise_count(diff & mask)
-                        if l > length:
-                            ok &= total <= (l * tau) // m
-                    ok &= np.bitwise_count(diff) <= tau
-                    for i, j in zip(*np.nonzero(np.triu(ok, at + 1)), strict=True):
-                        i, j = int(i) + at, int(j)
-                        a, b = i, j
-                        while root[a] != a:
-                            root[a] = root[root[a]]
-                            a = root[a]
-                        while root[b] != b:
-                            root[b] = root[root[b]]
-                            b = root[b]
-                        if a != b:
-                            root[max(a, b)] = min(a, b)
-                            left.append(fps[i])
-                            right.append(fps[j])
-            ends = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right)]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+                cells = members.values
+                fps, nodes, checks = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                order = np.lexsort((nodes, fps))
+                fps, nodes, checks = fps[order].view(np.uint64), nodes[order], checks[order].view(np.uint64)
+                root = list(range(len(fps)))
+                for i, j in linked(fps, checks, [np.uint64(x) for x in rings[path]], length):
+                    a, b = i, j
+                    while root[a] != a:
+                        root[a] = a = root[root[a]]
+                    while root[b] != b:
+                        root[b] = b = root[root[b]]
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        left.append(int(nodes[i]))
+                        right.append(int(nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], names=["a", "b"])
 
     return run
 
 
 def fingerprint_links(
-    distinct: DataFrame, tau: int, segments: int = SEGMENTS, cap: int = BUCKET_CAP, levels: int = LEVELS
+    distinct: DataFrame, tau: int, most: int = 64, segments: int = SEGMENTS, cap: int = BUCKET_CAP
 ) -> DataFrame:
-    """Links (a, b) that join the distinct fingerprints ``fp`` as all pairs within ``tau`` bits do.
+    """Links (a, b) between nodes that connect them as all pairs within ``tau`` bits do.
 
-    Each bucket gives a spanning forest of its links, never all its pairs.
+    ``distinct`` has (view, fp, node, check): fingerprints are compared within a view, each once;
+    a pair also needs ``check`` values within ``most`` bits. Each bucket gives a spanning forest
+    of its links, never all its pairs.
     """
     everything = (1 << 64) - 1
-    starts = {i: (key, ring) for i, (key, ring) in enumerate(chain_keys(everything, segments, tau))}
+    starts = dict(enumerate(chain_keys(everything, segments, tau)))
+    member = ["view", "fp", "node", "check"]
 
     def keyed(rows: DataFrame, options: dict[int, tuple[int, list[int]]]) -> DataFrame:
         made = F.array(
@@ -161,34 +175,34 @@ def fingerprint_links(
                 for p, (key, _) in options.items()
             )
         )
-        return rows.select("fp", F.explode(made).alias("k")).select("k.path", "k.part", "fp")
-
-    rows = keyed(distinct, starts)
-    found = None
-    for level in range(1, levels + 1):
-        sizes = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = materialize(rows.join(sizes, ["path", "part"]), f"chains{level}")
-        last = level == levels
+        return rows.select(*member, F.explode(made).alias("k")).select("k.path", "k.part", *member)
+
+    rows, found, level = keyed(distinct, starts), None, 0
+    while True:
+        level += 1
+        bucket = ["view", "path", "part"]
+        sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = materialize(rows.join(sizes, bucket), f"chains{level}")
+        free = max(64 - key.bit_count() for key, _ in starts.values())
+        last = free <= FREE_BITS or chain_length(segments, tau) == segments
         small = rows if last else rows.filter(F.col("n") <= cap)
         rings = {p: ring for p, (_, ring) in starts.items()}
-        buckets = small.groupBy("path", "part").agg(F.collect_list("fp").alias("fps")).select("path", "fps")
-        links = buckets.mapInArrow(forest_edges(rings, tau, segments), "a bigint, b bigint")
+        buckets = small.groupBy(*bucket).agg(F.collect_list(F.struct("fp", "node", "check")).alias("members"))
+        links = buckets.select("path", "members").mapInArrow(forest_edges(rings, tau, segments, most), "a bigint, b bigint")
         found = links if found is None else found.unionByName(links)
         large = rows.filter(F.col("n") > cap)
-        if last or large.isEmpty():
-            break
-        finer = {}
-        for p, (key, _) in starts.items():
-            for i, (more, ring) in enumerate(chain_keys(everything & ~key, segments, tau)):
-                finer[p * segments + i] = (key | more, ring)
+        paths = [] if last else sorted(r["path"] for r in large.select("path").distinct().collect())
+        if not paths:
+            return found.distinct()
         # a fingerprint goes on under the keys that grow from its own large buckets only
-        grown = None
-        for p in starts:
-            own = {p * segments + i: finer[p * segments + i] for i in range(segments)}
-            part = keyed(large.filter(F.col("path") == p).select("fp"), own)
+        finer, grown = {}, None
+        for p in paths:
+            key = starts[p][0]
+            own = {p * segments + i: (key | more, ring) for i, (more, ring) in enumerate(chain_keys(everything & ~key, segments, tau))}
+            part = keyed(large.filter(F.col("path") == p), own)
             grown = part if grown is None else grown.unionByName(part)
+            finer |= own
         rows, starts = grown, finer
-    return found.distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -231,19 +245,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-def simhash_components(docs: DataFrame, shingle: int = 5, tau: int | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
     """(doc_id, key, fp, component_id) for every row of ``docs``.
 
-    ``component_id`` is the least doc_id of all documents that links reach; rows with a null
-    doc_id count as the largest. Repeated rows, null and empty texts (fingerprint 0) are linked
-    like any other; an empty table gives an empty result. ``tau`` defaults to 6, about a
-    similarity of 0.8 on shingles of five words.
+    Fingerprints within ``tau`` bits are linked; ``component_id`` is the least doc_id of all
+    documents that links reach (a null doc_id counts as the largest). Repeated rows, null and
+    empty texts (fingerprint 0) are linked like any other; an empty table gives an empty result.
     """
-    tau = 6 if tau is None else tau
     table = materialize(fingerprint_table(docs, shingle), "fingerprints")
-    distinct = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(distinct, "distinct")
-    roots = components(fingerprint_links(distinct.select("fp"), tau))
+    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    nodes = distinct.select(F.lit(0).alias("view"), "fp", F.col("fp").alias("node"), F.col("fp").alias("check"))
+    roots = components(fingerprint_links(nodes, tau))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -253,17 +265,77 @@ def simhash_components(docs: DataFrame, shingle: int = 5, tau: int | None = None
     return table.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
+def word_set_views(views: int) -> Callable[[list], np.ndarray]:
+    """A function from texts to ``views`` fingerprints each of the text's set of words."""
+
+    def fingerprints(texts: list) -> np.ndarray:
+        from itertools import repeat
+
+        import xxhash
+
+        out = np.zeros((len(texts), views), np.uint64)
+        for k, text in enumerate(texts):
+            words = set(text.encode().lower().split()) if text else ()
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+            for v in range(views if words else 0):
+                with np.errstate(over="ignore"):
+                    h = hashes ^ np.uint64((v * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+                    h *= np.uint64(0xFF51AFD7ED558CCD)
+                    h ^= h >> np.uint64(33)
+                    h *= np.uint64(0xC4CEB9FE1A85EC53)
+                    h ^= h >> np.uint64(29)
+                counts = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+                bits = (2 * counts > len(h)).astype(np.uint8)
+                out[k, v] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
+        return out
+
+    return fingerprints
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, views: int = 6, tau: int = 3, most: int = 16) -> DataFrame:
+    """(doc_id, key, root): one root for all rows that exact and near copies connect.
+
+    Two texts are linked if one of ``views`` fingerprints of their words differs in ``tau`` bits
+    at most and their fingerprints of ``shingle`` words in ``most`` at most, which stands for a
+    similarity of some 0.8. Texts of one word fingerprint are compared with the first of them.
+    Null and empty texts are copies of each other.
+    """
+    by_words, by_shingles = word_set_views(views), shingle_fingerprints(shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            many = pa.array(by_words(texts).view(np.int64).tolist(), pa.list_(pa.int64()))
+            check = pa.array(by_shingles(texts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], many, check], names=["doc_id", "key", "fps", "check"])
+
+    rows = pick(docs, doc_id="bigint", text="string").select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    made = rows.mapInArrow(run, "doc_id bigint, key struct<a:bigint,b:bigint>, fps array<bigint>, check bigint")
+    table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "views")
+    firsts = table.groupBy("key").agg(F.min("node").alias("node"))
+    each = table.join(firsts.select("node"), "node").select("node", "check", F.posexplode("fps").alias("view", "fp"))
+    each = materialize(each, "distinct")
+    first = each.groupBy("view", "fp").agg(F.min("node").alias("first"))
+    heads = each.join(first.select(F.col("first").alias("node"), "view"), ["node", "view"]).select("view", "fp", "node", "check")
+    heads = materialize(heads, "heads")
+    same = each.join(heads.withColumnsRenamed({"node": "a", "check": "a_check"}), ["view", "fp"]).filter("a < node")
+    same = same.filter(F.bit_count(F.col("check").bitwiseXOR(F.col("a_check"))) <= most).select("a", F.col("node").alias("b"))
+    roots = components(fingerprint_links(heads, tau, most).unionByName(same))
+    named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return table.select("doc_id", "key").join(named, "key")
+
+
 def hex_fingerprint(fp) -> object:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, tau: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, views: int = 6, tau: int = 3, most: int = 16) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the least doc_id, ties by content.
 
     All columns come back as they were. Rows alike in doc_id and text count as one document.
     """
-    groups = simhash_components(docs, shingle, tau)
-    best = groups.groupBy("component_id").agg(
+    groups = materialize(similar_components(docs, shingle, views, tau, most), "groups")
+    best = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("w")
     )
     winners = best.select(F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
@@ -284,4 +356,5 @@ def positional_with_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     plain = plain.withColumn("_id", F.col(f"c{names.index('doc_id')}").cast("bigint"))
-    return plain.withColumn("_key", text_key(F.col(f"c{names.index('text')}").cast("string"))), names
+    text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit(""))
+    return plain.withColumn("_key", text_key(text)), names
