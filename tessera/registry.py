@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tessera.queries import activity, detection, merges, relational, texts  # noqa: E402, F401
+from tessera.queries import activity, detection, graphs, merges, ranking, relational, streams, texts  # noqa: E402, F401
