@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import bindings as b
-from tessera.functions import detect
+from tessera.functions import detect, hits
 from tessera.registry import query
 
 BUCKET = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL WHEN {0} < 65536 THEN 'xs' WHEN {0} < 1048576 THEN 's' WHEN {0} < 52428800 THEN 'm' WHEN {0} < 524288000 THEN 'l' WHEN {0} < 5368709120 THEN 'xl' ELSE 'xxl' END"
@@ -96,3 +96,71 @@ def f17(spark, d):
         " ('plain words about streams'), (''), (NULL) AS t(text)"
     )
     return samples.select("text", detect.is_pdf_internal(F.col("text")).alias("internal"))
+
+
+@query(
+    "f14_html_site",
+    b.with_frames("catalog paths", """, p AS (SELECT leaf_cid AS cid, min(path) AS path FROM paths GROUP BY 1)
+  SELECT cid, coalesce(regexp_matches(lower(path), '\\.(html|htm|xhtml)$'), false) OR coalesce(mime = 'text/html', false) AS is_site FROM catalog LEFT JOIN p USING (cid)"""),
+)
+def f14(spark, d):
+    first = b.paths(spark, d).groupBy(F.col("leaf_cid").alias("cid")).agg(F.min("path").alias("path"))
+    none = F.lit(None).cast("string")
+    rows = b.catalog(spark, d).join(first, "cid", "left")
+    return rows.select("cid", hits.is_html_site(F.col("path"), none, F.col("mime"), none).alias("is_site"))
+
+
+@query(
+    "f15_explore_type",
+    b.with_frames("catalog", "SELECT cid, CASE WHEN mime = 'text/html' THEN 'html' WHEN mime = 'text/plain' THEN 'txt' END AS explore_type FROM catalog"),
+)
+def f15(spark, d):
+    none = F.lit(None).cast("string")
+    kind = hits.explore_type(F.col("kind"), F.col("mime"), none, none, none, none, F.lit(False))
+    return b.catalog(spark, d).select("cid", kind.alias("explore_type"))
+
+
+@query(
+    "f13_octet_rescue",
+    b.with_frames("catalog", "SELECT cid, mime FROM catalog WHERE mime IS NULL OR mime <> 'application/octet-stream' OR size_bytes % 2 = 0"),
+)
+def f13(spark, d):
+    # an octet stream stays only where its extension is a known one; here every other item has one
+    ext = F.when(F.col("size_bytes") % 2 == 0, "name.pdf").otherwise("name.bin")
+    keep = F.col("mime").isNull() | (F.col("mime") != "application/octet-stream") | hits.is_indexed_path(ext, ("pdf", "epub", "txt"))
+    return b.catalog(spark, d).filter(keep).select("cid", "mime")
+
+
+@query(
+    "p24_display_name",
+    "SELECT p_partkey, nullif(substr(trim(regexp_replace(p_name || chr(10) || chr(9) || p_type, '[\\r\\n\\t]+', ' ', 'g')), 1, 256), '') AS display_name FROM part",
+)
+def p24(spark, d):
+    raw = F.concat("p_name", F.lit("\n\t"), "p_type")
+    return b.table(spark, d, "part").select("p_partkey", hits.display_name(raw).alias("display_name"))
+
+
+@query(
+    "p23_entry_path",
+    b.with_frames("paths", "SELECT root_cid, path, CASE WHEN trim(path) <> '' AND NOT contains(path, '..') THEN trim(path) END AS entry FROM paths"),
+)
+def p23(spark, d):
+    return b.paths(spark, d).select("root_cid", "path", hits.entry_path(F.concat(F.lit("/"), "path")).alias("entry"))
+
+
+@query("p41_content_id", "SELECT doc_id, 'cid-sha256-' || sha256(text) AS content_id FROM documents")
+def p41(spark, d):
+    return b.table(spark, d, "documents").select("doc_id", hits.content_id(F.col("text")).alias("content_id"))
+
+
+@query("p21_activity_at", b.with_frames("catalog", "SELECT cid, CASE WHEN last_seen_at > 0 THEN last_seen_at ELSE 1704067200000 END AS activity_at FROM catalog"))
+def p21(spark, d):
+    times = hits.activity_at(F.col("last_seen_at"), F.lit(0), F.lit(b.EPOCH_2024))
+    return b.catalog(spark, d).select("cid", times.alias("activity_at"))
+
+
+@query("p25_record_ids", b.with_frames("domain_records", "SELECT owner, domain, regexp_extract(record_value, 'P[0-9]+$') AS root FROM domain_records"))
+def p25(spark, d):
+    from tessera.operators.sites import record_id
+
+    return b.domain_records(spark, d).select("owner", "domain", record_id(F.col("record_value")).alias("root"))
