@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .runtime import bucket_count, materialize, pick, positional, prefix_sums, text_key
@@ -199,7 +200,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> Data
     return rows.select(*cols).toDF(*names)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     """Each text up to the end of its first so many words; all of it where the count is negative."""
     word = re.compile(WORD)
