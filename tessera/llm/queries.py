@@ -99,4 +99,61 @@ def queries() -> dict:
     }
 
 
-ORACLES: dict[str, str] = {}
+def chat_oracle() -> str:
+    """Lengths of the formatted text follow from the template: marks, doubled backslashes, broken control strings."""
+    from .chat import Template
+
+    t = Template()
+    marks = len(t.turn) + len(t.body) + len(t.end)
+
+    def escaped(x: str) -> str:
+        quoted = [(c.replace("'", "''"), len(c)) for c in t.controls]
+        broken = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {n}" for c, n in quoted)
+        return f"length({x}) + length({x}) - length(replace({x}, chr(92), '')) + {broken}"
+
+    return f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  CAST(sum({marks} + {escaped("role")} + {escaped("text")}) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id"""
+
+
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCH_WORDS = "regexp_extract_all(" + LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+CONTAMINATION = f"""WITH dw AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents), iw AS (SELECT item_id, {BENCH_WORDS} AS w FROM benchmark),
+  iwin AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+    SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(13, len(w)) AS n FROM iw WHERE len(w) > 0))),
+  lens AS (SELECT DISTINCT n FROM iwin),
+  dwin AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens WHERE len(w) >= n)),
+  m AS (SELECT doc_id, n, i, item_id FROM dwin JOIN iwin USING (n, s)),
+  h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+  t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+SPLIT = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS host FROM documents),
+  b AS (SELECT doc_id, host, text, {SPLIT.format("text")} AS w FROM d),
+  lines AS (SELECT doc_id, host, line, len({SPLIT.format("line")}) AS n FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+  full_lines AS (SELECT doc_id, host, line, n, trim(regexp_replace(regexp_replace({LOWER.format("line")}, '[0-9]+', '0', 'g'), '[ \\t\\x0b\\x0c\\r]+', ' ', 'g')) AS plain FROM lines WHERE n > 0),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY 1),
+  words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM b),
+  tri AS (SELECT doc_id, p, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+  again AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri WHERE g IS NOT NULL) WHERE c > 1),
+  rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM again) GROUP BY 1),
+  hosts AS (SELECT host, greatest(10.0, count(*) * 0.001) AS most FROM d GROUP BY 1),
+  common AS (SELECT host, plain FROM (SELECT host, plain, count(DISTINCT doc_id) AS c FROM full_lines GROUP BY ALL) JOIN hosts USING (host) WHERE c > most),
+  gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS removed_words FROM full_lines JOIN common USING (host, plain) GROUP BY 1),
+  base AS (SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+    FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+  judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - removed_words >= 50 AND removed_words <= 0.5 * n_words AS kept FROM judged"""
+
+#: The other operators hash, tokenize, train or search in ways that SQL can't express.
+ORACLES: dict[str, str] = {"op1_chat_format": chat_oracle(), "op3_decontaminate": CONTAMINATION, "op9_quality": QUALITY}
