@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .runtime import drop_path, new_path, pick, positional, text_key, text_slices
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Words of test items that are searched at once; more items are taken in blocks.
 BLOCK_WORDS = 2_000_000
 WINDOW = 13
@@ -188,8 +188,8 @@ def search(phrases, slop: int) -> Callable:
                 items: list[list] = [[] for _ in lengths]
                 by_doc = np.argsort(doc, kind="stable")
                 phrase, start, doc = phrase[by_doc], start[by_doc], doc[by_doc]
-                cuts = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else []
-                for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                cuts = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
                     d = int(doc[a])
                     s = start[a:b] - bounds[d]
                     found = covered_runs(s, s + wanted.length[phrase[a:b]])
