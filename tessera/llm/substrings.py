@@ -250,7 +250,8 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
 
     schema = f"{DOC}, h bigint, ca bigint, cb bigint, first bigint, last bigint"
     found = stored(rows.filter(F.octet_length("text") >= length).mapInArrow(find_spans(length, GRAM), schema), "spans")
-    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # tables of their own: a join on a frequent anchor can then be split, its count needs no split
+    anchors = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "anchors")
     shared = stored(found.join(anchors, "h"), "shared")
     place = F.struct("doc_id", "ka", "kb", "first", "last")
     distinct = shared.groupBy("h", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"))
@@ -265,7 +266,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         whole = whole.filter(~(is_first & (F.col("first") == F.col("r_first"))))
     whole = whole.select("doc_id", "ka", "kb", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
 
-    groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    groups = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "groups")
     wanted = distinct.join(groups, "h").withColumn("hot", F.col("d") > cap)
     per_doc = wanted.groupBy("doc_id", "ka", "kb").agg(F.collect_list(F.struct("h", "first", "last", "n", "hot")).alias("wanted"))
     cut = join_docs(rows, per_doc, "inner").select("doc_id", "ka", "kb", "text", "wanted")
@@ -288,7 +289,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
             "windows",
         )
         again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "ka", "kb", "at")).alias("r"))
-        matched = windows.join(again.filter("n > 1"), "w")
+        matched = windows.join(stored(again.filter("n > 1"), "again"), "w")
         if keep == "first":
             matched = matched.filter(F.struct("doc_id", "ka", "kb", "at") != F.col("r"))
         parts = parts.unionByName(
