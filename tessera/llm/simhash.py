@@ -171,7 +171,7 @@ def fingerprint_links(
     def keyed(rows: DataFrame, options: dict[int, tuple[int, list[int]]]) -> DataFrame:
         made = F.array(
             *(
-                F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(key))).alias("part"))
+                F.struct(F.lit(p).cast("bigint").alias("path"), F.col("fp").bitwiseAND(F.lit(signed(key))).alias("part"))
                 for p, (key, _) in options.items()
             )
         )
@@ -195,14 +195,18 @@ def fingerprint_links(
         if not paths:
             return found.distinct()
         # a fingerprint goes on under the keys that grow from its own large buckets only
-        finer, grown = {}, None
-        for p in paths:
-            key = starts[p][0]
-            own = {p * segments + i: (key | more, ring) for i, (more, ring) in enumerate(chain_keys(everything & ~key, segments, tau))}
-            part = keyed(large.filter(F.col("path") == p), own)
-            grown = part if grown is None else grown.unionByName(part)
-            finer |= own
-        rows, starts = grown, finer
+        finer = {
+            p * segments + i: (starts[p][0] | more, ring)
+            for p in paths
+            for i, (more, ring) in enumerate(chain_keys(everything & ~starts[p][0], segments, tau))
+        }
+        masks = distinct.sparkSession.createDataFrame(
+            [(p // segments, p, signed(key)) for p, (key, _) in finer.items()], "old bigint, path bigint, mask bigint"
+        )
+        # one row for each chain start of a path, bounded by the number of keys
+        rows = large.withColumnRenamed("path", "old").drop("part", "n").join(F.broadcast(masks), "old")
+        rows = rows.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), *member)
+        starts = finer
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
