@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -10,8 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+PROCESS = uuid.uuid4().hex
+_cleaned: set[str] = set()
 #: Rows that one window partition should hold at most, about.
 ROWS_PER_BUCKET = 4_096
+#: Bytes of rows that a Python worker is sent at once; a longer row stands alone.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that vectorised kernels take at once.
 SLICE_BYTES = 2 << 20
 
@@ -36,7 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
+    """A path of its own under this process' folder, which goes when the process ends."""
+    base = f"{shared_dir(spark)}/tessera/{PROCESS}"
+    if base not in _cleaned:
+        _cleaned.add(base)
+        target = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_drop_quietly, files, target)
+    return f"{base}/{uuid.uuid4().hex}/{name}"
+
+
+def _drop_quietly(files, target) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        files.delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +69,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that Python workers hold at ``BATCH_BYTES`` of rows at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name, first match first, whatever else ``df`` carries.
 
@@ -58,6 +83,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     ``text`` or a ``TEXT``, which would make a lookup by name ambiguous.
     """
     names = df.columns
+    bound_batches(df.sparkSession)
     missing = [n for n in wanted if n not in names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
