@@ -98,6 +98,9 @@ def test_encoder_is_the_library(tokenizer):
     for _ in range(4000):
         t = "".join(rnd.choices(letters, k=rnd.randint(0, 14)))
         assert np.frombuffer(encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))):  # the classes of characters agree
+        t = f"a {c}b{c}1 {c}{c}."
+        assert np.frombuffer(encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_checksums_and_damage():
