@@ -13,10 +13,9 @@ longer keys, until so few bits are free that a bucket's size is bounded by them.
 lost.
 
 Word shingles of near copies differ in many bits: at a Jaccard similarity of 0.8 on shingles
-of five words some 10 of 64, too many for equality keys. ``similar_components`` therefore
-looks for candidates in several fingerprints of the text's set of words, each with hashes of
-its own, which near copies share but for 3 bits in one of them or more, and confirms them by
-the fingerprint of the shingles.
+of five words some 10 of 64, too many for equality keys. ``similar_components`` therefore adds
+to the SimHash neighbours all texts that share a rare shingle of their prefixes, which no pair
+of that similarity escapes, and counts the similarity of each candidate exactly.
 """
 
 from __future__ import annotations
@@ -24,9 +23,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+from pyspark.sql.window import Window
 
 from .runtime import bucket_count, drop_path, materialize, new_path, pick, text_key
 
@@ -34,6 +36,17 @@ SEGMENTS = 7
 BUCKET_CAP = 256
 #: Keys are refined while a bucket is above the cap and more bits than this are free.
 FREE_BITS = 13
+#: Texts are similar from a Jaccard similarity of 4/5 of their shingles.
+SIMILAR = (4, 5)
+#: Texts of the sample, about, and the number of its shingles that prefixes take last.
+SAMPLE_TEXTS = 8_192
+COMMON = 1 << 16
+#: Sets that meet in a token are compared pair by pair up to this number; above it, each with one
+#: of them in so many turns, and in full after that unless they are connected by then.
+MET_CAP = 8
+STAR_TURNS = 3
+#: Bits of the map that says which sets candidates need.
+MARKS = 1 << 23
 
 
 def shingle_fingerprints(shingle: int) -> Callable[[list], np.ndarray]:
@@ -269,62 +282,189 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataF
     return table.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def word_set_views(views: int) -> Callable[[list], np.ndarray]:
-    """A function from texts to ``views`` fingerprints each of the text's set of words."""
-
-    def fingerprints(texts: list) -> np.ndarray:
-        from itertools import repeat
+class WordHashes(dict):
+    """XXH64 of words, seed 42; forgets all of them before it holds too many."""
 
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        out = np.zeros((len(texts), views), np.uint64)
-        for k, text in enumerate(texts):
-            words = set(text.encode().lower().split()) if text else ()
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
-            for v in range(views if words else 0):
-                with np.errstate(over="ignore"):
-                    h = hashes ^ np.uint64((v * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-                    h *= np.uint64(0xFF51AFD7ED558CCD)
-                    h ^= h >> np.uint64(33)
-                    h *= np.uint64(0xC4CEB9FE1A85EC53)
-                    h ^= h >> np.uint64(29)
-                counts = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-                bits = (2 * counts > len(h)).astype(np.uint8)
-                out[k, v] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
-        return out
-
-    return fingerprints
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return found
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, views: int = 6, tau: int = 3, most: int = 16) -> DataFrame:
-    """(doc_id, key, root): one root for all rows that exact and near copies connect.
+def shingle_set(text: str | None, shingle: int, hashes: WordHashes) -> np.ndarray:
+    """The distinct runs of ``shingle`` words as ascending hashes of 64 bits.
 
-    Two texts are linked if one of ``views`` fingerprints of their words differs in ``tau`` bits
-    at most and their fingerprints of ``shingle`` words in ``most`` at most, which stands for a
-    similarity of some 0.8. Texts of one word fingerprint are compared with the first of them.
-    Null and empty texts are copies of each other.
+    A shorter text is one run; one without a word has the set {0}.
+    """
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(1, np.uint64)
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(w))
+    m = len(w) - width + 1
+    out = np.full(m, width, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + m]
+        out ^= out >> np.uint64(33)
+        out *= np.uint64(0xC4CEB9FE1A85EC53)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def majority_bits(hashes: np.ndarray) -> np.uint64:
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that many texts of a sample hold.
+
+    They only fix the order in which prefixes are taken, so no result depends on the sample.
     """
-    by_words, by_shingles = word_set_views(views), shingle_fingerprints(shingle)
+    every = max(1, rows.count() // SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            many = pa.array(by_words(texts).view(np.int64).tolist(), pa.list_(pa.int64()))
-            check = pa.array(by_shingles(texts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], many, check], names=["doc_id", "key", "fps", "check"])
+            sets = [shingle_set(text.as_py(), shingle, known) for text in batch.column(0)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    texts = rows.filter(F.pmod(F.col("key.a"), F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
+    counts = texts.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["n"] for r in found], np.int64)[order]
+
+
+def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, n, grams, fp): each text's set of shingles, rare ones first, and its SimHash."""
+    common, counts = common_shingles(rows, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets, fps = [], []
+            for text in batch.column(2):
+                grams = shingle_set(text.as_py(), shingle, known)
+                fps.append(majority_bits(grams))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                    grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
+                sets.append(grams)
+            sizes = np.array([len(g) for g in sets], np.int32)
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(sizes), lists, pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["doc_id", "key", "n", "grams", "fp"],
+            )
+
+    return rows.mapInArrow(run, "doc_id bigint, key struct<a:bigint,b:bigint>, n int, grams array<bigint>, fp bigint")
 
+
+def simhash_pairs(sets: DataFrame, tau: int) -> DataFrame:
+    """Candidates (a, b) of fingerprints within ``tau`` bits: heads of a fingerprint, and each text with its head."""
+    heads = materialize(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    nodes = heads.select(F.lit(0).alias("view"), "fp", F.col("head").alias("node"), F.col("fp").alias("check"))
+    same = sets.select("node", "fp").join(heads, "fp").filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return fingerprint_links(nodes, tau).unionByName(same)
+
+
+def prefix_keys(sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(token, node, n, at, met): the shingles of each set's prefix that ``met`` > 1 sets hold there.
+
+    Sets of a similarity of 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in
+    whatever order, if it is the same for all.
+    """
+    size = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int") + 1
+    cut = sets.select("node", "n", F.slice("grams", F.lit(1), size).alias("prefix")).join(firsts.select("node"), "node", "left_semi")
+    rows = cut.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    met = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
+    return materialize(met.withColumn("root", F.col("node")), "prefixes")
+
+
+def met_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different roots that can be similar, if the token is the first that they share."""
+    sides = [
+        rows.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "at", "root")))
+        for side, rows in (("a_", left), ("b_", right))
+    ]
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    return (
+        sides[0].join(sides[1], "token")
+        .filter("a_node <> b_node AND a_root <> b_root")
+        .filter(most * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0])
+        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    )
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    cell = F.pmod(F.xxhash64("node"), F.lit(MARKS))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    bits = nodes.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k"))
+    marks = np.zeros(MARKS // 8 + 4096, np.uint8)  # a map of fixed size that keeps most sets out of the joins
+    for r in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect():
+        # bucket k holds the positions from 32,768 (k - 1) + 1 on; position 0 is in bucket 0
+        marks[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    marks = marks.tobytes()
+
+    @F.pandas_udf(BooleanType())
+    def wanted(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        held = np.frombuffer(marks, np.uint8)
+        at = bucket.to_numpy() * 32768 + position.to_numpy()
+        return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    near = sets.filter(wanted(F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell))).select("node", "grams")
+    both = pairs.join(near.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(
+        near.withColumnsRenamed({"node": "b", "grams": "y"}), "b"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared * sum(SIMILAR) >= (F.size("x") + F.size("y")) * SIMILAR[0]).select("a", "b")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataFrame:
+    """(doc_id, key, root): one root for all rows that exact and near copies connect.
+
+    Two texts are linked if their sets of ``shingle`` words have a Jaccard similarity of 0.8 or
+    more. Candidates are SimHash neighbours within ``tau`` bits and all pairs that share a token
+    of their prefixes, which none of that similarity escapes. Where many share a token, each is
+    compared with one of them first; what is then still apart is compared in full. Null and empty
+    texts are copies of each other.
+    """
     rows = pick(docs, doc_id="bigint", text="string").select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    made = rows.mapInArrow(run, "doc_id bigint, key struct<a:bigint,b:bigint>, fps array<bigint>, check bigint")
-    table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "views")
-    firsts = table.groupBy("key").agg(F.min("node").alias("node"))
-    each = table.join(firsts.select("node"), "node").select("node", "check", F.posexplode("fps").alias("view", "fp"))
-    each = materialize(each, "distinct")
-    first = each.groupBy("view", "fp").agg(F.min("node").alias("first"))
-    heads = each.join(first.select(F.col("first").alias("node"), "view"), ["node", "view"]).select("view", "fp", "node", "check")
-    heads = materialize(heads, "heads")
-    same = each.join(heads.withColumnsRenamed({"node": "a", "check": "a_check"}), ["view", "fp"]).filter("a < node")
-    same = same.filter(F.bit_count(F.col("check").bitwiseXOR(F.col("a_check"))) <= most).select("a", F.col("node").alias("b"))
-    roots = components(fingerprint_links(heads, tau, most).unionByName(same))
+    table = materialize(shingle_table(rows, shingle).withColumn("node", F.monotonically_increasing_id()), "sets")
+    firsts = materialize(table.groupBy("key").agg(F.min("node").alias("node")), "firsts")
+    # whole sets are never dealt out but for candidates
+    prints = table.select("node", "fp").join(firsts.select("node"), "node", "left_semi")
+    pairs, live, links = simhash_pairs(prints, tau), prefix_keys(table, firsts), None
+    for turn in range(STAR_TURNS + 1):
+        last = turn == STAR_TURNS
+        small, large = live if last else live.filter(F.col("met") <= MET_CAP), live.filter(F.col("met") > MET_CAP)
+        found = met_pairs(small, small)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if not last:
+            head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), "node", "n", "at", "root")).alias("h")
+            pairs = pairs.unionByName(met_pairs(large, large.groupBy("token").agg(head).select("token", "h.*")))
+        more = similar_pairs(pairs, table)
+        links = materialize(more if links is None else links.unionByName(more), "links")
+        roots = materialize(components(links), "components")
+        if last:
+            break
+        named = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        live, pairs = materialize(named.join(ends.select("token"), "token", "left_semi"), "live"), None
+        if live.isEmpty():
+            break
     named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return table.select("doc_id", "key").join(named, "key")
 
@@ -333,12 +473,12 @@ def hex_fingerprint(fp) -> object:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, views: int = 6, tau: int = 3, most: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the least doc_id, ties by content.
 
     All columns come back as they were. Rows alike in doc_id and text count as one document.
     """
-    groups = materialize(similar_components(docs, shingle, views, tau, most), "groups")
+    groups = materialize(similar_components(docs, shingle, tau), "groups")
     best = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("w")
     )

@@ -121,3 +121,19 @@ def chat_rows(messages):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out.append((conv_id, len(turns), hashlib.sha256(joined.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
     return out
+
+
+def similar_roots(docs, shingle=5):
+    """The least place of all texts that links of a shingle Jaccard similarity of 0.8 or more reach."""
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+    sets, root = [grams(t) for _, t in docs], list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root

@@ -409,3 +409,28 @@ def test_keep_one(docs, rows, empty):
     # 3 and 4 copy 2, 14 nearly copies 13, 32 (twice) copies 16, 25 is as empty as 24 and 26
     assert ids == sorted([i for i in [*range(34), None] if i not in (3, 4, 14, 32, 25, 26)], key=repr)
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_passage_edits_link_as_brute_force_does(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in (3, 5, 12, 60, 200, 200, 200, 800):
+        base = rnd.choices(words, k=n)
+        texts.append(base)
+        for share in (0.04, 0.08, 0.12, 0.16, 0.2, 0.24, 0.3):
+            k, at = max(1, int(share * n)), rnd.randrange(n)
+            new = rnd.choices(words, k=k)
+            texts += [base + new, base[: n - k], base[:at] + new + base[at + k :], new + base]
+    # a hot group: each of many copies has edits of its own
+    base = rnd.choices(words, k=100)
+    for i in range(60):
+        texts.append([w if rnd.random() > 0.03 * (i % 2) else rnd.choice(words) for w in base] + [f"own{i}"] * (i % 30))
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(len(texts), None), (len(texts) + 1, " ")]
+    found = simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    groups, want = {}, {}
+    for r in found:
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    for i, r in enumerate(brute.similar_roots(docs)):
+        want.setdefault(r, set()).add(i)
+    assert len(found) == len(docs) and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
