@@ -434,3 +434,14 @@ def test_passage_edits_link_as_brute_force_does(spark):
     for i, r in enumerate(brute.similar_roots(docs)):
         want.setdefault(r, set()).add(i)
     assert len(found) == len(docs) and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_copies_among_texts_of_the_same_words_link(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(5):  # other orders of the same words, each with a copy in which two neighbours change places
+        rnd.shuffle(words)
+        texts += [" ".join(words), " ".join([*words[:70], words[71], words[70], *words[72:]])]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 8]
