@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +77,18 @@ def lines(text: str) -> Iterator[tuple[int, int]]:
         at += n
 
 
+def windows(words: list[str], template: list[str], least: float) -> Iterator[tuple[int, int]]:
+    """Overlapping stretches of one to two templates' length that hold enough of its words."""
+    n, held = len(template), set(template)
+    step = max(1, n // 8)
+    upto = [0, *accumulate(w in held for w in words)]
+    for begin in range(0, len(words), step):
+        for size in (n + step, n + n // 2, 2 * n):
+            end = min(begin + size, len(words))
+            if upto[end] - upto[begin] >= least * n:
+                yield begin, end
+
+
 def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by the first number, whose second numbers ascend."""
     tops: list[int] = []
@@ -143,6 +156,7 @@ def dense_stretch(pairs: list[tuple[int, int]], n_template: int) -> list[tuple[i
 
 def scanner(templates: dict[str, str], least: float) -> Callable:
     prepared = {name: words_of(t) for name, t in sorted(templates.items())}
+    counts = {name: Counter(t) for name, t in prepared.items()}
     vocabulary = {w for t in prepared.values() for w in t}
 
     def best(text: str | None) -> tuple:
@@ -150,11 +164,13 @@ def scanner(templates: dict[str, str], least: float) -> Callable:
         present = vocabulary.intersection(words)
         found = (None, 0.0, 0, None, None)
         for name, template in prepared.items():
-            if len(present.intersection(template)) < least * len(set(template)):
+            if sum(n for w, n in counts[name].items() if w in present) < least * len(template):
                 continue  # too few of its words are there for the coverage asked
             pairs = dense_stretch(patience(words, template), len(template))
-            if len(pairs) < least * len(template):  # copies leave no word that stands once: line by line
-                for begin, end in lines(text):
+            if len(pairs) < least * len(template):  # copies leave no word that stands once: by lines and windows
+                for begin, end in chain(lines(text), windows(words, template, least)):
+                    if len(pairs) == len(template):
+                        break
                     part = patience(words[begin:end], template)
                     pairs = max(pairs, [(a + begin, b) for a, b in part], key=len)
             cover = len(pairs) / len(template)

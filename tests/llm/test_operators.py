@@ -260,6 +260,22 @@ def test_patience_against_difflib():
         assert len(found) == sum(x in template for x in text)
 
 
+def test_repeated_and_changed_notices_are_found(spark):
+    words = licenses.TEMPLATES["GPL-3.0-notice"].split()
+    wrapped = "\n".join("# " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+    code = "\n".join(f"x{i} = f{i}(y{i})" for i in range(300))
+    once = [i for i, w in enumerate(words) if Counter(licenses.words_of(" ".join(words)))[w.lower().strip(":,.()")] == 1]
+    texts = [wrapped + "\n" + wrapped, "\n".join([wrapped, code, wrapped, code, wrapped])]
+    for n in (7, 8):
+        changed = set(once[:: len(once) // n][:n])
+        texts.append(" ".join(f"changed{i}" if i in changed else w for i, w in enumerate(words)))
+    found = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = {r["doc_id"]: r for r in found}
+    assert {r["license"] for r in found} == {"GPL-3.0-notice"}
+    total = len(licenses.words_of(" ".join(words)))
+    assert [rows[i]["n_matched"] for i in range(4)] == [total, total, total - 7, total - 8]
+
+
 # 7 mixing
 
 
