@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source's documents are shuffled and laid end to end; the row of words is cut into
-blocks of equal size. Slot i of the mix takes golden-ratio point i through the cumulative
-target shares to its source; the slot's rank among the source's slots names the block that
-it takes, going round the source's blocks again when they are used up. So any stretch of
-the mix holds every source in its share, and each source's words come within a few blocks
-of its target.
+blocks of equal size, each source into blocks of its own, of the common size at most. A
+source has as many slots as its target has blocks. Slot i of the mix takes golden-ratio point
+i, by its place among all points, through the cumulative numbers of slots to its source; the
+slot's rank among the source's slots names the block that it takes, going round the source's
+blocks again when they are used up. So any stretch of the mix holds every source in its share,
+and each source's words come within a block of its target.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -27,22 +28,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 2_654_435_769
 #: Slots are ranked in runs of this length.
 SLOT_RUN = 4_096
-#: Cells of the unit interval that slots and sources meet in.
-CELLS = 1_024
+#: Blocks that a source is cut into at least, if it has so many words.
+LEAST_BLOCKS = 16
 
 
 @dataclass(frozen=True)
 class MixPlan:
-    """Sizes that fix a schedule. ``words`` is the size of the mix, ``block`` that of a block."""
+    """Sizes that fix a schedule. ``words`` is the size of the mix, ``block`` that of the largest block."""
 
     words: int
     block: int
     max_epochs: int = 3
 
-    @property
-    def slots(self) -> int:
-        return -(-self.words // self.block) if self.block else 0
-
 
 def plan_mix(words: int, max_epochs: int = 3, least_slots: int = 1 << 16, most_block: int = 1 << 16) -> MixPlan:
     """Blocks are a 65,536th of the mix, of 1 to 65,536 words; a larger mix gets more slots."""
@@ -72,33 +69,54 @@ def source_targets(sizes: DataFrame, total: int, max_epochs: int = 3) -> DataFra
     return rows.withColumn("target", F.least("most", F.lit(level) * F.col("weight"))).drop("most")
 
 
+def block_count(plan: MixPlan) -> Column:
+    """How many blocks a source of ``source_size`` words is cut into; their sizes differ by one at most."""
+    size = F.col("source_size")
+    return F.greatest(F.ceil(size / F.lit(plan.block)), F.least(size, F.lit(LEAST_BLOCKS))).cast("bigint")
+
+
+def block_begin(block: Column) -> Column:
+    """Where a block begins among its source's words, by ``source_size`` and ``blocks``."""
+    return block * F.expr("source_size div blocks") + F.least(block, F.col("source_size") % F.col("blocks"))
+
+
+def block_of(word: str) -> Column:
+    """The block that a word of the source stands in: the larger blocks come first."""
+    larger = "(source_size % blocks) * (source_size div blocks + 1)"
+    return F.expr(
+        f"CASE WHEN {word} < {larger} THEN ({word}) div (source_size div blocks + 1)"
+        f" ELSE source_size % blocks + ({word} - {larger}) div (source_size div blocks) END"
+    )
+
+
 def schedule(spark: SparkSession, targets: DataFrame, plan: MixPlan) -> DataFrame:
     """(slot, source_id, rank, block): which block of which source each slot of the mix takes.
 
-    A source whose blocks have all been taken ``max_epochs`` times gives no more; its slots stay out.
+    Each source has the slots that its target has blocks, to the nearest.
     """
-    total = targets.agg(F.sum("target").alias("all_targets"))
     upto = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = (
-        targets.crossJoin(F.broadcast(total))  # one row
-        .filter("target > 0")
-        .withColumn("hi", F.sum("target").over(upto) / F.col("all_targets"))
-        .withColumn("lo", F.col("hi") - F.col("target") / F.col("all_targets"))
-        .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(plan.block)))
-        .select("source_id", "blocks", "lo", "hi")
-    )
-    last = shares.agg(F.max("source_id").alias("s")).first()["s"]
-    shares = shares.withColumn("hi", F.when(F.col("source_id") == F.lit(last), 2.0).otherwise(F.col("hi")))
-    shares = shares.withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS))))
+    counts = (
+        targets.filter("target > 0")
+        .withColumn("blocks", block_count(plan))
+        .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint"))
+        .filter("slots > 0")
+        .withColumn("hi", F.sum("slots").over(upto))
+        .select("source_id", "blocks", "slots", (F.col("hi") - F.col("slots")).alias("lo"), "hi")
     )
+    counts = materialize(counts, "slots")
+    n_slots = counts.agg(F.sum("slots")).first()[0] or 0
+    places = counts.withColumn("from", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(SLOT_RUN).cast("bigint"))))
+    places = places.withColumn(
+        "place", F.explode(F.sequence("from", F.least(F.col("from") + SLOT_RUN, F.col("hi")) - 1))
+    ).select("place", "source_id", "blocks")
     point = (F.col("slot") % (1 << 31)) * F.lit(GOLDEN) % F.lit(1 << 32) / F.lit(float(1 << 32))
-    slots = spark.range(plan.slots).select(F.col("id").alias("slot"), point.alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    placed = slots.join(shares, "cell").filter("u >= lo and u < hi")
-    placed = placed.select("slot", "source_id", "blocks", F.floor(F.col("slot") / SLOT_RUN).alias("run"), F.lit(1).alias("one"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("u"))
+    slots = slots.select(
+        "slot", "u", F.lit(0).alias("all"), F.floor(F.col("u") * bucket_count(n_slots)).alias("cell"), F.lit(1).alias("one")
+    )
+    slots = prefix_sums(slots, ["all"], "cell", ["u", "slot"], "one", "place").select("slot", "place", "one")
+    placed = slots.join(places, "place").withColumn("run", F.floor(F.col("slot") / SLOT_RUN))
     ranked = prefix_sums(placed, ["source_id"], "run", ["slot"], "one", "rank")
-    ranked = ranked.filter(F.col("rank") < F.col("blocks") * plan.max_epochs)
     return ranked.select("slot", "source_id", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
@@ -145,15 +163,16 @@ def prepare(docs: DataFrame, max_epochs: int) -> tuple[DataFrame, DataFrame, Mix
 
 def with_taken(laid: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
     """Join the pieces that blocks cut rows into with the times that the schedule takes each block."""
-    spark, block = laid.sparkSession, F.lit(plan.block)
+    spark, block = laid.sparkSession, F.col("block")
     times = schedule(spark, targets, plan).groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
     laid = materialize(laid, "laid")
     piece = (
         laid.filter("size > 0")
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
+        .withColumn("blocks", block_count(plan))
+        .withColumn("block", F.explode(F.sequence(block_of("begin"), block_of("begin + size - 1"))))
         .withColumn(
             "part",
-            F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block),
+            F.least(F.col("begin") + F.col("size"), block_begin(block + 1)) - F.greatest(F.col("begin"), block_begin(block)),
         )
         .select("source_id", "begin", "block", "part")
     )

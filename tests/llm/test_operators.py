@@ -310,6 +310,23 @@ def test_mix(spark, docs, rows, empty):
     assert {r["taken"] for r in mixing.mix(docs.filter("doc_id IN (24, 25)")).collect()} == {0}
 
 
+def test_small_and_part_block_sources_meet_their_targets(spark):
+    sizes = {"a": 20_000, "b": 30, "c": 1_500, "d": 9_100, "e": 1, "f": 250_000}
+    texts = [(s, n if i == 0 else 500) for s, size in sizes.items() for i, n in enumerate([size % 500, *[0] * (size // 500)])]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(texts)], "doc_id long, text string, source string")
+    rows = mixing.sized(docs)
+    plan = mixing.MixPlan(sum(sizes.values()), 1_000)
+    targets = mixing.source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), plan.words)
+    taken = mixing.with_taken(mixing.lay_out(rows, targets, len(texts), 1), targets, plan).collect()
+    for source, size in sizes.items():
+        mine = [r for r in taken if r["source"] == source]
+        target, block = mine[0]["target"], -(-size // max(-(-size // 1_000), min(size, 16)))
+        assert sum(r["size"] for r in mine) == size
+        assert abs(sum(r["taken"] for r in mine) - target) <= (0 if target == 3 * size else block)
+    slots = mixing.schedule(spark, targets, plan).collect()
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     taken = sum(r["taken"] for r in mixing.mix(docs).collect())
     mixed = mixing.mixed_documents(docs)
