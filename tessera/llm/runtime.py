@@ -6,7 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,11 @@ from pyspark.sql.window import Window
 
 PROCESS = uuid.uuid4().hex
 _cleaned: set[str] = set()
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 #: Rows that one window partition should hold at most, about.
 ROWS_PER_BUCKET = 4_096
 #: Bytes of rows that a Python worker is sent at once; a longer row stands alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text that vectorised kernels take at once.
 SLICE_BYTES = 2 << 20
 
@@ -57,22 +59,56 @@ def _drop_quietly(files, target) -> None:
         files.delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Inside a ``scratch`` block the table goes when the block ends, unless it is to be kept.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if not keep:
+        drop_later(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_later(path: str) -> None:
+    """Let the ``scratch`` block that is open, if any, drop ``path``."""
+    paths = _scratch.get()
+    if paths is not None:
+        paths.append(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that ``materialize`` writes in this block when it ends.
+
+    What the block returns must read kept tables and inputs only.
+    """
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers hold at ``BATCH_BYTES`` of rows at most."""
+    """Keep the Arrow batches that Python workers hold at ``BATCH_BYTES`` of rows at most.
+
+    This lowers a setting of the session and leaves a smaller one as it is.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).removesuffix("b") or 0) > BATCH_BYTES:
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    found = spark.conf.get(key)
+    size = 0 if found.startswith("-") else bytes_of(found)
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -25,12 +25,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
-from .runtime import bucket_count, drop_path, materialize, new_path, pick, text_key
+from .runtime import SLICE_BYTES, drop_later, drop_path, materialize, new_path, pick, scratch, text_key, text_slices
 
 SEGMENTS = 7
 BUCKET_CAP = 256
@@ -234,6 +234,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = new_path(spark, "edges")
         df.write.parquet(path)
+        drop_later(path)
         back = spark.read.schema("u bigint, v bigint").parquet(path)
         mark = back.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return back, path, tuple(mark)
@@ -269,16 +270,17 @@ def simhash_components(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataF
     documents that links reach (a null doc_id counts as the largest). Repeated rows, null and
     empty texts (fingerprint 0) are linked like any other; an empty table gives an empty result.
     """
-    table = materialize(fingerprint_table(docs, shingle), "fingerprints")
-    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    nodes = distinct.select(F.lit(0).alias("view"), "fp", F.col("fp").alias("node"), F.col("fp").alias("check"))
-    roots = components(fingerprint_links(nodes, tau))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = materialize(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    table = materialize(fingerprint_table(docs, shingle), "fingerprints", keep=True)
+    with scratch(docs.sparkSession):
+        distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        nodes = distinct.select(F.lit(0).alias("view"), "fp", F.col("fp").alias("node"), F.col("fp").alias("check"))
+        roots = components(fingerprint_links(nodes, tau))
+        rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")
+        )
+        rooted = materialize(rooted, "roots")
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named", keep=True)
     return table.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
@@ -344,30 +346,50 @@ def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return h[order], np.array([r["n"] for r in found], np.int64)[order]
 
 
-def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, n, grams, fp): each text's set of shingles, rare ones first, and its SimHash."""
+def prefix_table(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, n, prefix, fp): the size of each text's set of shingles, the prefix of the set, its SimHash.
+
+    A set's prefix is the first n - ceil(0.8 n) + 1 of its n shingles, rare ones first, ties by hash:
+    an order that is the same for all. Sets of a similarity of 0.8 share a shingle of their prefixes.
+    """
     common, counts = common_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets, fps = [], []
+            sizes, prefixes, fps = [], [], []
             for text in batch.column(2):
                 grams = shingle_set(text.as_py(), shingle, known)
                 fps.append(majority_bits(grams))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
-                sets.append(grams)
-            sizes = np.array([len(g) for g in sets], np.int32)
-            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+                sizes.append(len(grams))
+                prefixes.append(grams[: len(grams) - -(-len(grams) * SIMILAR[0] // SIMILAR[1]) + 1])
+            lengths = np.array([0, *(len(p) for p in prefixes)], np.int64)
+            flat = pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes), lists, pa.array(np.array(fps, np.uint64).view(np.int64))],
-                names=["doc_id", "key", "n", "grams", "fp"],
+                [*batch.columns[:2], pa.array(sizes, pa.int32()), lists, pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["doc_id", "key", "n", "prefix", "fp"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, key struct<a:bigint,b:bigint>, n int, grams array<bigint>, fp bigint")
+    return rows.mapInArrow(run, "doc_id bigint, key struct<a:bigint,b:bigint>, n int, prefix array<bigint>, fp bigint")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams) of rows (node, text): the whole sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for start, end in text_slices(batch.column(1).to_numpy(zero_copy_only=False), SLICE_BYTES):
+                sets = [shingle_set(text.as_py(), shingle, known) for text in batch.column(1).slice(start, end - start)]
+                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), lists], names=["node", "grams"])
+
+    return rows.mapInArrow(run, "node bigint, grams array<bigint>")
 
 
 def simhash_pairs(sets: DataFrame, tau: int) -> DataFrame:
@@ -378,15 +400,9 @@ def simhash_pairs(sets: DataFrame, tau: int) -> DataFrame:
     return fingerprint_links(nodes, tau).unionByName(same)
 
 
-def prefix_keys(sets: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(token, node, n, at, met): the shingles of each set's prefix that ``met`` > 1 sets hold there.
-
-    Sets of a similarity of 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in
-    whatever order, if it is the same for all.
-    """
-    size = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int") + 1
-    cut = sets.select("node", "n", F.slice("grams", F.lit(1), size).alias("prefix")).join(firsts.select("node"), "node", "left_semi")
-    rows = cut.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+def prefix_keys(firsts: DataFrame) -> DataFrame:
+    """(token, node, n, at, met): the shingles of prefixes that ``met`` > 1 sets hold there."""
+    rows = firsts.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     met = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
     return materialize(met.withColumn("root", F.col("node")), "prefixes")
 
@@ -406,13 +422,14 @@ def met_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    cell = F.pmod(F.xxhash64("node"), F.lit(MARKS))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    bits = nodes.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k"))
-    marks = np.zeros(MARKS // 8 + 4096, np.uint8)  # a map of fixed size that keeps most sets out of the joins
+def marked(keys: DataFrame) -> Callable[[Column], Column]:
+    """A function from a column to a predicate that holds for all values of ``keys`` and few others.
+
+    A map of fixed size, whatever the number of keys, keeps most other rows out of joins.
+    """
+    cell = lambda key: F.pmod(F.xxhash64(key), F.lit(MARKS))
+    bits = keys.select(cell(keys.columns[0]).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k"))
+    marks = np.zeros(MARKS // 8 + 4096, np.uint8)
     for r in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect():
         # bucket k holds the positions from 32,768 (k - 1) + 1 on; position 0 is in bucket 0
         marks[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -424,12 +441,35 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         at = bucket.to_numpy() * 32768 + position.to_numpy()
         return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-    near = sets.filter(wanted(F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell))).select("node", "grams")
-    both = pairs.join(near.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(
-        near.withColumnsRenamed({"node": "b", "grams": "y"}), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared * sum(SIMILAR) >= (F.size("x") + F.size("y")) * SIMILAR[0]).select("a", "b")
+    return lambda key: wanted(F.bitmap_bucket_number(cell(key)), F.bitmap_bit_position(cell(key)))
+
+
+def with_both(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """``pairs`` (a, b) with the columns of both nodes' rows, as a_* and b_*."""
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
+    return pairs
+
+
+def similar_pairs(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, counted exactly.
+
+    Prefixes, a fifth of the sets, come first: what two sets share stands in both prefixes, or behind
+    the prefix that ends first. So the prefixes' common shingles and the larger rest bound what is
+    shared, and a pair goes on only if that can be enough. Whole sets are made from the texts anew,
+    for the nodes of those pairs.
+    """
+    enough = lambda shared: shared * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0]
+    rest = F.greatest(*(F.col(f"{s}_n") - F.size(f"{s}_prefix") for s in "ab"))
+    near = with_both(pairs.distinct(), firsts, "n", "prefix")
+    near = near.filter(enough(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest)).select("a", "b", "a_n", "b_n")
+    near = materialize(near, "near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    nodes = materialize(firsts.select("node", "key").join(ends, "node"), "nodes")
+    once = texts.filter(marked(nodes.select("key"))(F.col("key"))).groupBy("key").agg(F.any_value("text").alias("text"))
+    sets = shingle_sets(once.join(nodes, "key").select("node", "text"), shingle)
+    both = with_both(near, materialize(sets, "sets"), "grams")
+    return both.filter(enough(F.size(F.array_intersect("a_grams", "b_grams")))).select("a", "b")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataFrame:
@@ -442,11 +482,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
     texts are copies of each other.
     """
     rows = pick(docs, doc_id="bigint", text="string").select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    table = materialize(shingle_table(rows, shingle).withColumn("node", F.monotonically_increasing_id()), "sets")
-    firsts = materialize(table.groupBy("key").agg(F.min("node").alias("node")), "firsts")
-    # whole sets are never dealt out but for candidates
-    prints = table.select("node", "fp").join(firsts.select("node"), "node", "left_semi")
-    pairs, live, links = simhash_pairs(prints, tau), prefix_keys(table, firsts), None
+    table = materialize(prefix_table(rows, shingle).withColumn("node", F.monotonically_increasing_id()), "prefix_table")
+    first = table.groupBy("key").agg(F.min("node").alias("node"))
+    firsts = materialize(table.join(first.select("node"), "node", "left_semi").drop("doc_id"), "firsts")
+    texts = rows.select("key", "text")
+    pairs, live, links = simhash_pairs(firsts.select("node", "fp"), tau), prefix_keys(firsts), None
     for turn in range(STAR_TURNS + 1):
         last = turn == STAR_TURNS
         small, large = live if last else live.filter(F.col("met") <= MET_CAP), live.filter(F.col("met") > MET_CAP)
@@ -455,7 +495,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
         if not last:
             head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), "node", "n", "at", "root")).alias("h")
             pairs = pairs.unionByName(met_pairs(large, large.groupBy("token").agg(head).select("token", "h.*")))
-        more = similar_pairs(pairs, table)
+        more = similar_pairs(pairs, firsts, texts, shingle)
         links = materialize(more if links is None else links.unionByName(more), "links")
         roots = materialize(components(links), "components")
         if last:
@@ -465,7 +505,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
         live, pairs = materialize(named.join(ends.select("token"), "token", "left_semi"), "live"), None
         if live.isEmpty():
             break
-    named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    named = firsts.select("node", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return table.select("doc_id", "key").join(named, "key")
 
 
@@ -478,22 +518,29 @@ def keep_one(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataFrame:
 
     All columns come back as they were. Rows alike in doc_id and text count as one document.
     """
-    groups = materialize(similar_components(docs, shingle, tau), "groups")
+    with scratch(docs.sparkSession):
+        winners = materialize(least_of_each(similar_components(docs, shingle, tau)), "winners", keep=True)
+    plain, names = positional_with_key(docs)
+    kept = plain.join(winners, plain["_id"].eqNullSafe(winners["w_id"]) & (plain["_key"] == winners["w_key"]))
+    cols = [f"c{i}" for i in range(len(names))]
+    once = kept.filter("n = 1").select(*cols)
+    # rows alike in doc_id and text: the least by all other columns, as JSON and in bytes
+    rest = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    again = kept.filter("n > 1").groupBy("_id", "_key").agg(F.min_by(F.struct(*cols), rest).alias("r")).select("r.*")
+    return once.unionByName(again).toDF(*names)
+
+
+def least_of_each(groups: DataFrame) -> DataFrame:
+    """(w_id, w_key, n) of the row of the least doc_id of each root, ties by content; ``n`` rows are alike in both."""
+    groups = materialize(groups, "groups")
     best = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("w")
     )
     winners = best.select(F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
     copies = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    winners = winners.join(
+    return winners.join(
         copies, winners.w_id.eqNullSafe(copies.doc_id) & (winners.w_key == copies.key)
     ).select("w_id", "w_key", "n")
-    winners = materialize(winners, "winners")
-    plain, names = positional_with_key(docs)
-    kept = plain.join(winners, plain["_id"].eqNullSafe(winners["w_id"]) & (plain["_key"] == winners["w_key"]))
-    cols = [f"c{i}" for i in range(len(names))]
-    once = kept.filter("n = 1").select(*cols)
-    again = kept.filter("n > 1").dropDuplicates(["_id", "_key"]).select(*cols)
-    return once.unionByName(again).toDF(*names)
 
 
 def positional_with_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
