@@ -7,9 +7,10 @@ A data file is a run of frames::
 
 All numbers are little-endian. Flag 1 marks a null doc_id, flag 2 ids of 4 bytes (2 bytes
 otherwise). A mask is a rotation by 15 bits plus 0xa282ead8, so that checksums of data which
-holds checksums stay sound. Files are numbered; records ascend by doc_id within and across
-files (null first). The index is a Parquet table of (shard, record, doc_id, offset, length,
-n_tokens, local_start, ids_crc32), by which a reader can take records in any order.
+holds checksums stay sound. Files are numbered by the range of doc_ids that they hold (part)
+and by their place in it (shard); records ascend by doc_id within and across files (null
+first). The index is a Parquet table of (part, shard, record, doc_id, offset, length, n_tokens,
+local_start, ids_crc32), by which a reader can take records in any order.
 
 Spark's own writer commits the files, so a lost executor's files are written again and never
 appear twice, on any file system that Spark reaches.
@@ -27,11 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import new_path, pick
+from .runtime import new_path, pick, text_slices
 
-FILE_BYTES = 16 << 20
+#: Bytes of text that one task takes, about, until there are this many tasks; then they grow.
+PART_BYTES = 16 << 20
+MOST_PARTS = 20_000
+#: Bytes of text that go into one file, about.
+FILE_BYTES = 4 << 20
+#: Bytes of text, about, that are encoded and framed, and bytes of frames that are verified, at once.
+SLICE_BYTES = 1 << 20
 #: Encoded pieces that a worker keeps in each of its two caches.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 1 << 16
 #: Fixed values of the CRC-32C checksum and its mask.
 CRC32C_POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
@@ -42,7 +49,7 @@ CLASSES = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}"
 #: Characters on which libraries' tables of letters and spaces may differ.
 UNSURE = r"\x00-\x08\x0e-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\uffff\U00010000-\U0010ffff"
 
-RECORD = "shard int, record int, doc_id bigint, offset bigint, length bigint, n_tokens bigint, local_start bigint, ids_crc32 bigint"
+RECORD = "part int, shard int, record int, doc_id bigint, offset bigint, length bigint, n_tokens bigint, local_start bigint, ids_crc32 bigint"
 
 
 def crc32c_many() -> Callable[[list[bytes]], np.ndarray]:
@@ -198,38 +205,63 @@ def frames(tokenizer: str, end_id: int | None) -> Callable:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1)
-            payloads = [
-                struct.pack("<qB", i or 0, (i is None) | wide) + encode(t.as_py() or "") + end
-                for i, t in zip(ids, texts, strict=True)
-            ]
-            heads = [struct.pack("<Q", len(p)) for p in payloads]
-            head_sums, sums = mask(crc32c(heads)).tolist(), mask(crc32c(payloads)).tolist()
-            out = [
-                b"".join((h, struct.pack("<I", a), p, struct.pack("<I", b)))
-                for h, a, p, b in zip(heads, head_sums, payloads, sums, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            for first, last in text_slices(texts.to_numpy(zero_copy_only=False), SLICE_BYTES):
+                payloads = [
+                    struct.pack("<qB", i or 0, (i is None) | wide) + encode(t.as_py() or "") + end
+                    for i, t in zip(ids[first:last], texts.slice(first, last - first), strict=True)
+                ]
+                heads = [struct.pack("<Q", len(p)) for p in payloads]
+                head_sums, sums = mask(crc32c(heads)).tolist(), mask(crc32c(payloads)).tolist()
+                out = [
+                    b"".join((h, struct.pack("<I", a), p, struct.pack("<I", b)))
+                    for h, a, p, b in zip(heads, head_sums, payloads, sums, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     return run
 
 
-def split_frames(content: memoryview, verify: Callable[[list[bytes]], np.ndarray] | None) -> list[tuple[int, bytes]]:
-    """(offset, payload) of every frame of a file; raises where a length or a checksum is wrong."""
-    found, at, heads, sums = [], 0, [], []
+def frame_bounds(content: memoryview) -> Iterator[tuple[int, int]]:
+    """(offset, payload length) of every frame of a file, by the lengths that the heads give."""
+    at = 0
     while at < len(content):
-        (length, head_sum) = struct.unpack_from("<QI", content, at)
+        if at + 12 > len(content):
+            raise ValueError(f"broken frame at byte {at}")
+        (length,) = struct.unpack_from("<Q", content, at)
         if at + length + 17 > len(content) or content[at + 16 + length] != 0x0A:
             raise ValueError(f"broken frame at byte {at}")
-        payload = bytes(content[at + 12 : at + 12 + length])
-        heads.append((bytes(content[at : at + 8]), head_sum))
-        sums.append(struct.unpack_from("<I", content, at + 12 + length)[0])
-        found.append((at, payload))
+        yield at, length
         at += length + 17
-    if verify and found:
-        good = np.array_equal(mask(verify([h for h, _ in heads])), np.array([s for _, s in heads], np.uint32))
-        if not good or not np.array_equal(mask(verify([p for _, p in found])), np.array(sums, np.uint32)):
+
+
+def each_frame(content: memoryview, verify: Callable[[list[bytes]], np.ndarray] | None) -> Iterator[tuple[int, bytes]]:
+    """(offset, payload) of every frame of a file; raises where a length or a checksum is wrong.
+
+    Frames are verified ``SLICE_BYTES`` at a time, so a file's payloads are never held together.
+    """
+
+    def checked(held: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+        heads = [bytes(content[at : at + 8]) for at, _ in held]
+        head_sums = [struct.unpack_from("<I", content, at + 8)[0] for at, _ in held]
+        sums = [struct.unpack_from("<I", content, at + 12 + len(p))[0] for at, p in held]
+        good = np.array_equal(mask(verify(heads)), np.array(head_sums, np.uint32))
+        if not good or not np.array_equal(mask(verify([p for _, p in held])), np.array(sums, np.uint32)):
             raise ValueError("a checksum doesn't match")
-    return found
+        return held
+
+    held, size = [], 0
+    for at, length in frame_bounds(content):
+        held.append((at, bytes(content[at + 12 : at + 12 + length])))
+        size += length
+        if size >= SLICE_BYTES:
+            yield from checked(held) if verify else held
+            held, size = [], 0
+    if held:
+        yield from checked(held) if verify else held
+
+
+def split_frames(content: memoryview, verify: Callable[[list[bytes]], np.ndarray] | None) -> list[tuple[int, bytes]]:
+    return list(each_frame(content, verify))
 
 
 def payload_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -238,44 +270,48 @@ def payload_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files (shard, content) to index rows; every checksum is verified on the way."""
+    """Files (part, shard, content) to index rows; every checksum is verified on the way."""
     crc32c = crc32c_many()
     names = [c.split()[0] for c in RECORD.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
+    kinds = [*[pa.int32()] * 3, *[pa.int64()] * 6]
     for batch in batches:
-        for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             rows, start = [], 0
-            for record, (offset, payload) in enumerate(split_frames(memoryview(content.as_buffer()), crc32c)):
+            for record, (offset, payload) in enumerate(each_frame(memoryview(content.as_buffer()), crc32c)):
                 doc_id, ids = payload_ids(payload)
                 crc = zlib.crc32(ids.astype("<u4").tobytes())
-                rows.append((shard, record, doc_id, offset, len(payload) + 17, len(ids), start, crc))
+                rows.append((part, shard, record, doc_id, offset, len(payload) + 17, len(ids), start, crc))
                 start += len(ids)
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content) of the data files; a file is of bounded size, save for one huge document."""
+    """(part, shard, content) of the data files; a file is of bounded size, save for one huge document."""
     files = spark.read.format("binaryFile").load(f"{path}/data")
-    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
-    return files.select(shard.alias("shard"), "content")
+    part, shard = (F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("int") for k in (1, 2))
+    return files.select(part.alias("part"), shard.alias("shard"), "content")
 
 
 def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encode every text of ``docs`` and write data files and index under ``path``.
 
     A null or empty text has no ids but ``end_id``; rows that repeat a doc_id stand together,
-    in an order fixed by content. ``tokenizer`` is a file that every executor can open.
+    in an order fixed by content. ``tokenizer`` is a file that every executor can open. A task
+    writes a range of doc_ids as several files of as many records as take ``FILE_BYTES`` of text
+    on average.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id="bigint", text="string")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // FILE_BYTES))
+    n_rows, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(1, min(-(-(size or 0) // PART_BYTES), MOST_PARTS))
+    per_file = max(1, FILE_BYTES * n_rows // max(1, size or 0))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     framed = ordered.select("doc_id", "text").mapInArrow(frames(tokenizer, end_id), "frame binary")
     # the text writer puts a value's bytes as they are and one 0x0A after each
-    framed.select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/data")
+    lines = framed.select(F.col("frame").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", per_file).text(f"{path}/data")
     build_index(spark, path).write.parquet(f"{path}/index")
 
 
@@ -288,11 +324,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all records before. One task sums a number per file, no more."""
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return index.join(starts, "shard").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
+    """Add ``start``: the ids of all records before.
+
+    One task sums a number per part, of which there are ``MOST_PARTS`` at most; the files of each
+    part are summed apart.
+    """
+    totals = index.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_parts"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = totals.select("part", "shard", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("_files"))
+    joined = index.join(files.join(parts, "part"), ["part", "shard"])
+    return joined.withColumn("start", F.col("_parts") + F.col("_files") + F.col("local_start")).drop("_parts", "_files")
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
@@ -314,16 +357,20 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["place", "doc_id", "ids"])
 
-    index = read_index(spark, path).select("shard", "offset", "length", F.xxhash64(F.lit(seed), "shard", "record").alias("place"))
-    per_file = index.groupBy("shard").agg(F.collect_list(F.struct("offset", "length", "place")).alias("wanted"))
-    records = data_files(spark, path).join(per_file, "shard").select("content", "wanted")
+    file = ["part", "shard"]
+    index = read_index(spark, path).select(*file, "offset", "length", F.xxhash64(F.lit(seed), *file, "record").alias("place"))
+    per_file = index.groupBy(*file).agg(F.collect_list(F.struct("offset", "length", "place")).alias("wanted"))
+    records = data_files(spark, path).join(per_file, file).select("content", "wanted")
     return records.mapInArrow(cut, "place bigint, doc_id bigint, ids array<bigint>").orderBy("place", "doc_id")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Write ``docs`` as token records, read the files back: (doc_id, start, n_tokens, ids_crc32, shard, offset, length)."""
+    """Write ``docs`` as token records, read the files back.
+
+    (doc_id, start, n_tokens, ids_crc32, part, shard, offset, length).
+    """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_token_records(docs, path, tokenizer, end_id)
     index = with_starts(read_index(spark, path))
-    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "shard", "offset", "length")
