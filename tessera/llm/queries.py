@@ -43,7 +43,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir), length=400, keep="none").drop("kept")
+    done = remove_repeats(documents(spark, sf_dir), length=400, keep="none")
+    # what is left as text; a character that a cut splits shows as U+FFFD
+    return done.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

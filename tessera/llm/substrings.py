@@ -7,9 +7,9 @@ No machine holds the corpus' suffix array; it is needed only where repeats can b
    as its anchor, so equal windows have equal anchors. Neighbouring windows of one anchor form a
    span. An anchor that stands once in the corpus has no repeats, and most do.
 2. Equal spans are counted by hash. All but the first copy are repeats as a whole.
-3. One copy of each distinct span goes to its anchor's bucket. There, suffixes in order up to
-   ``length`` bytes give every window's previous smaller and next larger position, that is its
-   earlier match (its longest previous factor reaches ``length``) and its later one.
+3. One copy of each distinct span goes to its anchor's bucket. There, previous and next smaller
+   positions in suffix order give the longest previous factor of every window's start; where it
+   reaches ``length``, the window is a repeat and its source an earlier copy.
 4. A bucket of over ``cap`` distinct spans is not gathered: its windows are counted by hash.
 
 Matches never cross documents. ``keep="first"`` leaves the first copy of every string in place
@@ -31,6 +31,8 @@ from .runtime import drop_path, new_path, pick, text_key, text_slices
 LENGTH = 400
 GRAM = 32
 GROUP_CAP = 4_096
+#: Bits of a position in a slice of texts; a text has fewer bytes than 2**31.
+POSITION_BITS = 32
 #: Bytes of spans that one suffix order takes at once, and that a bucket should hold about.
 ORDER_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
@@ -74,9 +76,8 @@ def anchored_spans(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarra
     if not total:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     hashes = gram_hashes(np.frombuffer(b"".join(raws), np.uint8), gram)
-    bits = int(len(hashes)).bit_length()
-    low = np.uint64((1 << bits) - 1)
-    # the leftmost of equal hashes: the position fills the low bits
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    # the leftmost of equal hashes: the position fills the low bits, as many in every slice, so that equal windows agree
     ranked = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     least = sliding_minimum(ranked, length - gram + 1) & low
     doc = np.repeat(np.arange(len(raws)), many)
@@ -113,14 +114,20 @@ def find_spans(length: int, gram: int) -> Callable:
     return run
 
 
-def order_to(raw: np.ndarray, length: int) -> np.ndarray:
-    """Every suffix's rank by its first ``length`` bytes, by prefix doubling; equal prefixes have equal ranks."""
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position as a number that orders as they do; zeros follow the end."""
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for i in range(8):
-        key = key << np.uint64(8) | padded[i : n + i]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        out = out << np.uint64(8) | padded[i : n + i]
+    return out
+
+
+def order_to(raw: np.ndarray, length: int) -> np.ndarray:
+    """Every suffix's rank by its first ``length`` bytes, by prefix doubling; equal prefixes have equal ranks."""
+    n = len(raw)
+    rank = np.unique(words_at(raw), return_inverse=True)[1].astype(np.int64)
     reach = 8
     while reach < length:
         step = min(reach, length - reach)
@@ -131,20 +138,60 @@ def order_to(raw: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def long_factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows at ascending ``starts``: the previous and the next start of equal ``length`` bytes, -1 for none.
+def smaller_before(x: np.ndarray) -> np.ndarray:
+    """For every element the place of the nearest smaller one before it, -1 for none.
 
-    Ranks end at ``length`` bytes, so in suffix order windows that share them stand by position:
-    the neighbour above is the previous smaller position, the one below the next larger.
+    All elements follow their links at once: a link to a larger element moves on to where that
+    one links, as nothing between is smaller.
+    """
+    link = np.arange(len(x)) - 1
+    open_ = np.flatnonzero((link >= 0) & (x[link] > x))
+    while len(open_):
+        link[open_] = link[link[open_]]
+        to = link[open_]
+        open_ = open_[(to >= 0) & (x[to] > x[open_])]
+    return link
+
+
+def common_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, ``length`` at most, the suffixes at ``a`` and ``b`` have in common."""
+    out = np.full(len(a), length, np.int64)
+    alive = np.arange(len(a))
+    for at in range(0, length, 8):
+        if not len(alive):
+            break
+        differ = words[a[alive] + at] ^ words[b[alive] + at]
+        ended = differ != 0
+        first = (differ[ended].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+        out[alive[ended]] = np.minimum(at + first, length)
+        alive = alive[~ended]
+    return out
+
+
+def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor at each of the ascending ``starts``, and where it stands (-1 for none).
+
+    In suffix order, of all earlier starts the previous smaller and the next smaller position share
+    the longest prefixes with a suffix; the longer of the two is its factor. Factors are counted up
+    to ``length`` bytes, which every start must have behind it. Suffixes alike that far stand by
+    falling position, so the next of them is an earlier match.
     """
+    words = words_at(raw)
     rank = order_to(raw, length)[starts]
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    before = np.full(len(starts), -1, np.int64)
-    after = np.full(len(starts), -1, np.int64)
-    before[order[1:][same]] = starts[order[:-1][same]]
-    after[order[:-1][same]] = starts[order[1:][same]]
-    return before, after
+    order = np.lexsort((-np.arange(len(starts)), rank))
+    best = np.zeros(len(starts), np.int64)
+    source = np.full(len(starts), -1, np.int64)
+    for turn in (order, order[::-1]):
+        link = smaller_before(turn)
+        here = turn[link >= 0]
+        there = turn[link[link >= 0]]
+        same = rank[here] == rank[there]
+        shared = np.full(len(here), length, np.int64)
+        shared[~same] = common_bytes(words, starts[here[~same]], starts[there[~same]], length)
+        longer = shared > best[here]
+        best[here[longer]] = shared[longer]
+        source[here[longer]] = there[longer]
+    return best, source
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +216,10 @@ def match_bucket(length: int, keep: str) -> Callable:
         many = sizes - length + 1
         owner = np.repeat(np.arange(len(rows)), many)
         starts = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
-        before, after = long_factors(np.frombuffer(raw, np.uint8), starts, length)
-        repeat = before >= 0 if keep == "first" else (before >= 0) | (after >= 0)
+        factors, source = previous_factors(np.frombuffer(raw, np.uint8), starts, length)
+        repeat = factors >= length
+        if keep == "none":  # the first of equal windows is some later one's source
+            repeat[source[repeat]] = True
         hit, who = starts[repeat], owner[repeat]
         bounds = np.searchsorted(who, np.arange(len(rows) + 1))
         for i in np.unique(who):
