@@ -7,6 +7,10 @@ i, by its place among all points, through the cumulative numbers of slots to its
 slot's rank among the source's slots names the block that it takes, going round the source's
 blocks again when they are used up. So any stretch of the mix holds every source in its share,
 and each source's words come within a block of its target.
+
+``mixed_blocks`` joins the blocks to the slots: the mix, piece by piece. ``mixed_documents``
+keeps a document that goes over the edge of blocks in one piece, at its first block's slot: as
+blocks are taken in order, what the mix takes of it in one round is always its beginning.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .runtime import bucket_count, materialize, pick, positional, prefix_sums, text_key
+from .runtime import bucket_count, materialize, pick, positional, prefix_sums, scratch, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fraction of 2**32 nearest to the golden ratio: the step of the Weyl sequence.
@@ -147,37 +151,42 @@ def mix(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> DataFrame:
     have size 0; a null source is a source of its own; repeated rows each have their part; an
     empty table gives an empty result. The same rows give the same mix on every run.
     """
-    rows, targets, plan, n_rows = prepare(docs, max_epochs)
-    laid = lay_out(rows, targets, n_rows, seed)
-    return with_taken(laid, targets, plan)
+    with scratch(docs.sparkSession):
+        laid, targets, slots, plan = prepare(docs, seed, max_epochs)
+        return materialize(with_taken(laid, targets, plan, slots), "mix", keep=True)
 
 
-def prepare(docs: DataFrame, max_epochs: int) -> tuple[DataFrame, DataFrame, MixPlan, int]:
+def prepare(docs: DataFrame, seed: int, max_epochs: int) -> tuple[DataFrame, DataFrame, DataFrame, MixPlan]:
+    """Rows at their places in their sources, the targets, the schedule, and its plan."""
     rows = materialize(sized(docs), "sized")
     n_rows, words = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     plan = plan_mix(words or 0, max_epochs)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, plan.words, max_epochs), "targets")
-    return rows, targets, plan, n_rows
+    laid = materialize(lay_out(rows, targets, n_rows, seed), "laid")
+    return laid, targets, materialize(schedule(docs.sparkSession, targets, plan), "schedule"), plan
 
 
-def with_taken(laid: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
-    """Join the pieces that blocks cut rows into with the times that the schedule takes each block."""
-    spark, block = laid.sparkSession, F.col("block")
-    times = schedule(spark, targets, plan).groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
-    laid = materialize(laid, "laid")
-    piece = (
+def pieces(laid: DataFrame, plan: MixPlan) -> DataFrame:
+    """(source_id, begin, block, first, part, doc_id, key): the words [first, first + part) of rows that stand in each block."""
+    block = F.col("block")
+    cut = (
         laid.filter("size > 0")
         .withColumn("blocks", block_count(plan))
         .withColumn("block", F.explode(F.sequence(block_of("begin"), block_of("begin + size - 1"))))
-        .withColumn(
-            "part",
-            F.least(F.col("begin") + F.col("size"), block_begin(block + 1)) - F.greatest(F.col("begin"), block_begin(block)),
-        )
-        .select("source_id", "begin", "block", "part")
+        .withColumn("from", F.greatest(F.col("begin"), block_begin(block)))
+        .withColumn("part", F.least(F.col("begin") + F.col("size"), block_begin(block + 1)) - F.col("from"))
     )
+    return cut.select("source_id", "begin", "block", (F.col("from") - F.col("begin")).alias("first"), "part", "doc_id", "key")
+
+
+def with_taken(laid: DataFrame, targets: DataFrame, plan: MixPlan, slots: DataFrame | None = None) -> DataFrame:
+    """Join the pieces that blocks cut rows into with the times that the schedule (``slots``) takes each block."""
+    slots = slots or schedule(laid.sparkSession, targets, plan)
+    times = slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        piece.join(times, ["source_id", "block"])
+        pieces(laid, plan).select("source_id", "begin", "block", "part")
+        .join(times, ["source_id", "block"])
         .groupBy("source_id", "begin")
         .agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     )
@@ -188,52 +197,84 @@ def with_taken(laid: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
     )
 
 
+def mixed_blocks(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> DataFrame:
+    """(slot, source_id, block, begin, doc_id, text): the mix as the schedule joins it from blocks.
+
+    Each slot gives its block's pieces in their order, ``begin`` being a piece's place in its
+    source. A piece's text is its words as they stand, with what parts them. Rows of size 0 have no
+    piece. The files that hold the result are in slot order.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        laid, _, slots, plan = prepare(docs, seed, max_epochs)
+        cut = pieces(laid, plan)
+        placed = slots.join(cut, ["source_id", "block"])
+        rows = placed.select("slot", "source_id", "block", (F.col("begin") + F.col("first")).alias("begin"), "first", "part", "doc_id", "key")
+        texts, _ = keyed_texts(docs)
+        texts = texts.select("_id", "_key", F.col("_text"))
+        joined = rows.join(texts, rows["doc_id"].eqNullSafe(texts["_id"]) & (rows["key"] == texts["_key"]))
+        text = word_range(F.col("_text"), F.col("first"), F.col("first") + F.col("part"))
+        made = joined.select("slot", "source_id", "block", "begin", "doc_id", text.alias("text"))
+        return materialize(in_order(made, "slot", "begin"), "blocks", keep=True)
+
+
 def mixed_documents(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> DataFrame:
-    """The mix itself: every document as often as the schedule takes it, with all its columns.
+    """The mix itself: every document as often as the schedule takes it, with all its columns, in slot order.
 
     A document that the mix takes q times in full and w words more gives q rows as they were and
-    one row whose text is its first w words; one of which no word is taken gives none.
+    one row whose text is its first w words, each at the slot of its first block; one of which no
+    word is taken gives none. Of rows alike in doc_id, text and source, the least by all columns as
+    JSON stands for each.
     """
-    taken = mix(docs, seed, max_epochs).filter("taken > 0").select(
-        "doc_id", "key", "size", "taken"
-    )
+    spark = docs.sparkSession
+    with scratch(spark):
+        laid, targets, slots, plan = prepare(docs, seed, max_epochs)
+        taken = with_taken(laid, targets, plan, slots).filter("taken > 0").withColumn("blocks", block_count(plan))
+        takes = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(taken - 1) div size"))))
+        whole = (F.col("epoch") + 1) * F.col("size") <= F.col("taken")
+        takes = takes.select(
+            "doc_id", "key", "source_id", "begin", "size",
+            F.when(whole, F.col("size")).otherwise(F.col("taken") % F.col("size")).alias("_words"),
+            (F.col("epoch") * F.col("blocks") + block_of("begin")).alias("rank"),
+        )
+        takes = takes.join(slots.select("source_id", "rank", "slot"), ["source_id", "rank"])
+        takes = materialize(takes.select("doc_id", "key", "size", "_words", "slot", "begin"), "takes", keep=True)
+    texts, names = keyed_texts(docs)
+    rows = texts.join(takes, texts["_id"].eqNullSafe(takes["doc_id"]) & (texts["_key"] == takes["key"]))
+    at = f"c{names.index('text')}"
+    cut = F.when(F.col("_words") == F.col("size"), F.col("_text")).otherwise(word_range(F.col("_text"), F.lit(0).cast("bigint"), F.col("_words")))
+    cols = [cut.alias(c) if c == at else F.col(c) for c in (f"c{i}" for i in range(len(names)))]
+    return in_order(rows.select("slot", "begin", *cols), "slot", "begin").drop("slot", "begin").toDF(*names)
+
+
+def in_order(rows: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt out by ranges of ``cols`` and sorted, so that files hold them in that order."""
+    return rows.repartitionByRange(*cols).sortWithinPartitions(*cols)
+
+
+def keyed_texts(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` as c0, c1, ... with _id, _key and _text, one row of those alike in doc_id, text and source."""
     plain, names = positional(docs)
-    at = {n: f"c{names.index(n)}" for n in ("doc_id", "text", "source")}
-    plain = plain.withColumn("_id", F.col(at["doc_id"]).cast("bigint")).withColumn(
-        "_key", text_key(F.col(at["text"]).cast("string"), F.col(at["source"]).cast("string"))
-    )
-    # repeated rows: their words are summed and dealt out evenly by the average, first rows first
-    sums = taken.groupBy("doc_id", "key").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    sums = sums.withColumnsRenamed({"doc_id": "t_id", "key": "t_key"})
-    one = plain.dropDuplicates(["_id", "_key"]) if has_repeats(plain) else plain
-    rows = one.join(sums, F.col("_id").eqNullSafe(F.col("t_id")) & (F.col("_key") == F.col("t_key")))
-    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    lengths = F.concat(
-        F.array_repeat(F.lit(-1).cast("bigint"), full.cast("int")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
-    )
-    rows = rows.withColumn("_words", F.explode(lengths))
-    text = F.col(at["text"]).cast("string")
-    cut = F.when(F.col("_words") < 0, text).otherwise(first_words(text, F.col("_words")))
-    cols = [cut.alias(c) if c == at["text"] else F.col(c) for c in (f"c{i}" for i in range(len(names)))]
-    return rows.select(*cols).toDF(*names)
+    at = {n: F.col(f"c{names.index(n)}") for n in ("doc_id", "text", "source")}
+    key = text_key(at["text"].cast("string"), at["source"].cast("string"))
+    plain = plain.withColumns({"_id": at["doc_id"].cast("bigint"), "_key": key, "_text": at["text"].cast("string")})
+    if plain.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return plain, names
+    cols = plain.columns
+    order = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return plain.groupBy("_id", "_key").agg(F.min_by(F.struct(*cols), order).alias("r")).select("r.*"), names
 
 
 @F.pandas_udf(StringType())
-def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
-    """Each text up to the end of its first so many words; all of it where the count is negative."""
+def word_range(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """Each text from its word ``begins`` up to the end of the word before ``ends``."""
     word = re.compile(WORD)
 
-    def cut(text: str, n: int) -> str:
-        if text is None or n < 0:
-            return text
-        end = 0
-        for found in itertools.islice(word.finditer(text), int(n)):
-            end = found.end()
-        return text[:end]
-
-    return pd.Series([cut(t, n) for t, n in zip(texts, counts, strict=True)], dtype=object)
-
+    def cut(text: str, begin: int, end: int) -> str:
+        first, last = None, 0
+        for found in itertools.islice(word.finditer(text), int(begin), int(end)):
+            first = found.start() if first is None else first
+            last = found.end()
+        return text[0 if begin == 0 else first or 0 : last]
 
-def has_repeats(plain: DataFrame) -> bool:
-    return not plain.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return pd.Series([cut(t, a, b) for t, a, b in zip(texts, begins, ends, strict=True)], dtype=object)

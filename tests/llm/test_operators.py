@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, token_records
+from tessera.llm import chat, decontaminate, language, licenses, mixing, quality, runtime, sharding, simhash, substrings, token_records
 from tessera.llm.runtime import new_path
 from tests.llm import brute
 
@@ -89,6 +89,22 @@ def test_token_records_edges(docs, empty, tokenizer, spark):
     assert len(a) == docs.count()
 
 
+def test_token_records_over_many_files(docs, rows, tokenizer, spark, monkeypatch):
+    """Several parts, files and verified slices give the same rows; the reader finds every record."""
+    monkeypatch.setattr(token_records, "PART_BYTES", 20_000)
+    monkeypatch.setattr(token_records, "FILE_BYTES", 4_000)
+    named, path = docs.filter("doc_id IS NOT NULL"), new_path(spark, "many")
+    found = token_records.token_digests(named, tokenizer, 2, path)
+    assert got(found, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(brute.token_rows(with_ids(rows), tokenizer, 2), key=repr)
+    files = found.groupBy("part", "shard").count().collect()
+    assert len({r["part"] for r in files}) > 1 and len(files) > len({r["part"] for r in files})
+    content = token_records.data_files(spark, path).collect()
+    monkeypatch.setattr(token_records, "SLICE_BYTES", 100)
+    crc = token_records.crc32c_many()
+    assert sum(len(token_records.split_frames(memoryview(r["content"]), crc)) for r in content) == named.count()
+    assert token_records.read_shuffled(spark, path, 3).count() == named.count()
+
+
 def test_encoder_is_the_library(tokenizer):
     from tokenizers import Tokenizer
 
@@ -189,6 +205,38 @@ def test_suffix_order():
         assert [sorted(set(heads)).index(h) for h in heads] == rank.tolist()
 
 
+def plain_factors(raw: bytes, starts: list[int], most: int) -> list[int]:
+    def common(i: int, j: int) -> int:
+        return next((k for k in range(most) if raw[i + k] != raw[j + k]), most)
+
+    return [max((common(i, j) for j in starts[:k]), default=0) for k, i in enumerate(starts)]
+
+
+def test_previous_factors():
+    rnd = np.random.default_rng(7)
+    for _ in range(80):
+        most = int(rnd.choice([8, 13, 16, 40]))
+        raw = rnd.integers(0, rnd.choice([1, 2, 3, 40]), int(rnd.integers(most, 160))).astype(np.uint8)
+        starts = np.flatnonzero(rnd.random(len(raw) - most + 1) < rnd.choice([0.4, 1]))
+        factors, source = substrings.previous_factors(raw, starts, most)
+        assert factors.tolist() == plain_factors(raw.tobytes(), starts.tolist(), most)
+        for k in np.flatnonzero(factors):
+            i, j = starts[k], starts[source[k]]
+            assert source[k] < k and (raw[i : i + factors[k]] == raw[j : j + factors[k]]).all()
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_over_many_buckets(spark, rows, keep, monkeypatch):
+    """Slices of texts, buckets and suffix orders of a few kilobytes give the same rows."""
+    monkeypatch.setattr(substrings, "ORDER_BYTES", 4_000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 6_000)
+    monkeypatch.setattr(runtime.text_slices, "__defaults__", (3_000,))
+    once = list(dict(with_ids(rows)).items())
+    frame = spark.createDataFrame(once, "doc_id long, text string").repartition(5)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(substrings.remove_repeats(frame, 400, keep), *columns) == sorted(brute.repeat_rows(once, 400, keep), key=repr)
+
+
 # 5 language
 
 
@@ -327,6 +375,42 @@ def test_small_and_part_block_sources_meet_their_targets(spark):
     assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
 
 
+def test_schedule_is_the_golden_ratio_sequence(spark):
+    """Slots, ranks and blocks against a plain walk over the points."""
+    counts = {"a": 90, "b": 37, "c": 5}
+    rows = [(i, s, n * 10, float(n * 10)) for i, (s, n) in enumerate(counts.items())]
+    targets = spark.createDataFrame(rows, "source_id long, source string, source_size long, target double")
+    found = mixing.schedule(spark, targets, mixing.MixPlan(1_320, 10)).orderBy("slot").collect()
+    blocks = {i: max(n, min(n * 10, 16)) for i, (_, n) in enumerate(counts.items())}
+    slots, total = {i: blocks[i] for i in blocks}, sum(blocks.values())
+    points = sorted((i * mixing.GOLDEN % (1 << 32), i) for i in range(total))
+    place = {i: k for k, (_, i) in enumerate(points)}
+    seen = {i: 0 for i in slots}
+    for r in found:
+        k, upto = place[r["slot"]], 0
+        source = next(i for i in slots if (upto := upto + slots[i]) > k)
+        assert (r["source_id"], r["rank"], r["block"]) == (source, seen[source], seen[source] % blocks[source])
+        seen[source] += 1
+    assert seen == slots
+
+
+def test_mixed_blocks_are_the_mix_in_slot_order(docs, rows):
+    found = mixing.mixed_blocks(docs).collect()
+    order = [(r["slot"], r["begin"]) for r in found]
+    assert order == sorted(order) and len({r["slot"] for r in found}) > 50
+    words = Counter()
+    for r in found:
+        words[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert +words == +taken
+    texts = {i: (t or "").split() for i, t in pairs(rows) if i not in (None, 32)}
+    for r in found:  # every piece is a run of its document's words
+        piece, whole = r["text"].split(), texts.get(r["doc_id"], [])
+        assert not whole or any(whole[i : i + len(piece)] == piece for i in range(len(whole) - len(piece) + 1))
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     taken = sum(r["taken"] for r in mixing.mix(docs).collect())
     mixed = mixing.mixed_documents(docs)
@@ -478,3 +562,57 @@ def test_copies_among_texts_of_the_same_words_link(spark):
         texts += [" ".join(words), " ".join([*words[:70], words[71], words[70], *words[72:]])]
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 8]
+
+
+def similar_groups(texts: dict[int, str], shingle: int = 5) -> dict[int, int]:
+    """The least id that links of a Jaccard similarity of 0.8 or more reach, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
+    root = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
+@pytest.mark.parametrize("cap", [8, 1])
+def test_similar_components_are_exact(spark, cap, monkeypatch):
+    """Copies with edits, cuts and added passages at all similarities about 0.8, and a passage that many share."""
+    monkeypatch.setattr(simhash, "MET_CAP", cap)
+    rnd, texts = random.Random(21), {}
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = rnd.choices(vocabulary, k=60)
+    for base in range(14):
+        words = rnd.choices(vocabulary, k=rnd.randint(40, 220))
+        if base % 2:
+            words = words[:100] + shared
+        texts[len(texts)] = words
+        for _ in range(9):
+            new, kind, n = list(words), rnd.randint(0, 3), rnd.randint(1, max(2, len(words) // 4))
+            if kind == 0:
+                for at in rnd.sample(range(len(new)), max(1, n // 8)):
+                    new[at] = rnd.choice(vocabulary)
+            elif kind == 1:
+                new += rnd.choices(vocabulary, k=n)
+            elif kind == 2:
+                new = new[n:]
+            else:
+                rnd.shuffle(new)  # the same words in another order are no copy
+            texts[len(texts)] = new
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    found = {}
+    for r in simhash.similar_components(frame).collect():
+        found.setdefault(r["root"], []).append(r["doc_id"])
+    wanted = {}
+    for i, root in similar_groups(texts).items():
+        wanted.setdefault(root, []).append(i)
+    assert sorted(map(sorted, found.values())) == sorted(wanted.values())
+    assert 14 < len(wanted) < len(texts)
