@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.language import keep_known
 from tessera.llm.mixing import mixed_documents
-from tessera.llm.runtime import materialize
+from tessera.llm.runtime import drop_path, new_path
 from tessera.llm.simhash import keep_one
 from tessera.llm.token_records import token_digests
 
@@ -35,7 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; of one taken in part, its first words."""
+    """Documents as often as the mix takes them, in its order; of one taken in part, its first words."""
     return mixed_documents(docs)
 
 
@@ -61,7 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage has written goes when the next stage has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_path(spark, before)
+    return out
