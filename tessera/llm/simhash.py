@@ -38,15 +38,17 @@ BUCKET_CAP = 256
 FREE_BITS = 13
 #: Texts are similar from a Jaccard similarity of 4/5 of their shingles.
 SIMILAR = (4, 5)
-#: Texts of the sample, about, and the number of its shingles that prefixes take last.
-SAMPLE_TEXTS = 8_192
-COMMON = 1 << 16
+#: One text in so many is counted to tell frequent shingles, and multiples of the least frequency in which they are told apart.
+SAMPLE = 8
+LEVELS = (1, 8, 64)
 #: Sets that meet in a token are compared pair by pair up to this number; above it, each with one
 #: of them in so many turns, and in full after that unless they are connected by then.
 MET_CAP = 8
-STAR_TURNS = 3
-#: Bits of the map that says which sets candidates need.
-MARKS = 1 << 23
+STAR_TURNS = 2
+#: Tokens of a set that its rows carry, so that a pair is met at the first one only.
+BEFORE = 256
+#: Bits of a map that says which shingles are frequent, or which sets candidates need.
+MARKS = 1 << 24
 
 
 def shingle_fingerprints(shingle: int) -> Callable[[list], np.ndarray]:
@@ -324,12 +326,44 @@ def majority_bits(hashes: np.ndarray) -> np.uint64:
     return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
 
 
-def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that many texts of a sample hold.
+def star_pairs(large: DataFrame, turn: int) -> DataFrame:
+    """One candidate (a, b) a set: the head of most of its tokens; a token's head is a set that holds it.
 
-    They only fix the order in which prefixes are taken, so no result depends on the sample.
+    In the first turn it is the set whose tokens are met most, as the text is that others are copies of,
+    then another one each turn. These pairs only connect what is alike before it is compared in full,
+    so one for each set is enough.
+    """
+    first = -F.sum("met").over(Window.partitionBy("node")) if turn == 0 else F.lit(0)
+    large = large.withColumn("r", F.struct(first.cast("bigint").alias("w"), F.xxhash64(F.lit(turn), "node").alias("x")))
+    head = F.min(F.struct("r", "node", "n", "at", "root")).alias("h")
+    met = met_pairs(large, large.groupBy("token").agg(head).select("token", "h.*"), ("a_node", "b_node"))
+    often = met.groupBy("a_node", "b_node").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("a_node").agg(F.max_by("b_node", F.struct("n", F.xxhash64(F.lit(turn), "b_node"))).alias("b_node"))
+    return best.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def bit_map(cells: DataFrame) -> np.ndarray:
+    """A map of ``MARKS`` bits, as bytes, with those of the numbers ``c`` set; made in tasks, a few MB on the driver."""
+    bits = cells.groupBy(F.bitmap_bucket_number("c").alias("k"))
+    marks = np.zeros(MARKS // 8 + 4096, np.uint8)
+    for r in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect():
+        marks[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return marks
+
+
+def is_marked(marks: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    # bucket k of the map holds the numbers from 32,768 (k - 1) + 1 on; number 0 is in bucket 0
+    at = np.where(cells > 0, cells + 32_767, 0)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> list[bytes]:
+    """Maps of the cells in which shingles fall that many texts hold, for rising numbers of texts.
+
+    One text in ``SAMPLE`` is counted. The least number is such that the first map is an eighth full at
+    most. The maps only fix the order in which prefixes are taken, which may be any that is the same for
+    all sets; so no result depends on them, but frequent shingles would make many candidates.
     """
-    every = max(1, rows.count() // SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -338,12 +372,18 @@ def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    texts = rows.filter(F.pmod(F.col("key.a"), F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
-    counts = texts.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in found], np.int64)[order]
+    texts = rows.filter(F.pmod(F.col("key.a"), F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("text")
+    counts = texts.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = materialize(counts, "common")
+    sizes = counts.groupBy(F.least("n", F.lit(4_096)).alias("n")).agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("n")).collect()
+    least, held = 4_097, 0
+    for r in sizes:
+        held += r["shingles"]
+        if held > MARKS // 8:
+            break
+        least = r["n"]
+    cell = F.col("h").bitwiseAND(F.lit(MARKS - 1)).alias("c")
+    return [bit_map(counts.filter(F.col("n") >= least * step).select(cell)).tobytes() for step in LEVELS]
 
 
 def prefix_table(rows: DataFrame, shingle: int) -> DataFrame:
@@ -352,18 +392,19 @@ def prefix_table(rows: DataFrame, shingle: int) -> DataFrame:
     A set's prefix is the first n - ceil(0.8 n) + 1 of its n shingles, rare ones first, ties by hash:
     an order that is the same for all. Sets of a similarity of 0.8 share a shingle of their prefixes.
     """
-    common, counts = common_shingles(rows, shingle)
+    common = common_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, maps = WordHashes(), [np.frombuffer(m, np.uint8) for m in common]
         for batch in batches:
             sizes, prefixes, fps = [], [], []
             for text in batch.column(2):
                 grams = shingle_set(text.as_py(), shingle, known)
                 fps.append(majority_bits(grams))
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                    grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
+                cells = (grams & np.uint64(MARKS - 1)).astype(np.int64)
+                levels = sum((is_marked(m, cells).astype(np.int8) for m in maps), np.zeros(len(grams), np.int8))
+                if levels.any():
+                    grams = grams[np.argsort(levels, kind="stable")]
                 sizes.append(len(grams))
                 prefixes.append(grams[: len(grams) - -(-len(grams) * SIMILAR[0] // SIMILAR[1]) + 1])
             lengths = np.array([0, *(len(p) for p in prefixes)], np.int64)
@@ -407,19 +448,40 @@ def prefix_keys(firsts: DataFrame) -> DataFrame:
     return materialize(met.withColumn("root", F.col("node")), "prefixes")
 
 
-def met_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def with_before(live: DataFrame) -> DataFrame:
+    """``live`` with ``before``: the set's live tokens that stand before the row's; none for sets of over ``BEFORE`` of them."""
+    tokens = F.array_sort(F.collect_list(F.struct("at", "token"))).alias("all")  # a part of one text's prefix
+    per = live.groupBy("node", "n", "root").agg(tokens)
+    rows = per.select("node", "n", "root", F.transform("all", lambda x: x["token"]).alias("tokens"), F.posexplode("all").alias("i", "x"))
+    kept = F.when(F.size("tokens") <= BEFORE, F.slice("tokens", F.lit(1), F.col("i"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(F.col("x.token").alias("token"), "node", "n", F.col("x.at").alias("at"), "root", kept.alias("before"))
+
+
+def met_once(live: DataFrame) -> DataFrame:
+    """Candidates (a, b) as of ``met_pairs``, each at the first token that both hold, not at every one."""
+    rows = with_before(live)
+    a, b = (rows.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "at", "root", "before"))) for side in ("a_", "b_"))
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    return a.join(
+        b,
+        (a["token"] == b["token"]) & F.expr("a_node < b_node AND a_root <> b_root")
+        & (most * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0])
+        & ~F.arrays_overlap("a_before", "b_before"),
+    ).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def met_pairs(left: DataFrame, right: DataFrame, sides_as: tuple[str, str] | None = None) -> DataFrame:
     """Candidates (a, b) of different roots that can be similar, if the token is the first that they share."""
     sides = [
         rows.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "at", "root")))
         for side, rows in (("a_", left), ("b_", right))
     ]
     most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    return (
-        sides[0].join(sides[1], "token")
-        .filter("a_node <> b_node AND a_root <> b_root")
-        .filter(most * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0])
-        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    )
+    met = sides[0].join(sides[1], "token").filter("a_node <> b_node AND a_root <> b_root")
+    met = met.filter(most * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0])
+    if left is right:  # each pair once
+        met = met.filter("a_node < b_node")
+    return met.select(*sides_as) if sides_as else met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
 def marked(keys: DataFrame) -> Callable[[Column], Column]:
@@ -428,20 +490,13 @@ def marked(keys: DataFrame) -> Callable[[Column], Column]:
     A map of fixed size, whatever the number of keys, keeps most other rows out of joins.
     """
     cell = lambda key: F.pmod(F.xxhash64(key), F.lit(MARKS))
-    bits = keys.select(cell(keys.columns[0]).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k"))
-    marks = np.zeros(MARKS // 8 + 4096, np.uint8)
-    for r in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect():
-        # bucket k holds the positions from 32,768 (k - 1) + 1 on; position 0 is in bucket 0
-        marks[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
-    marks = marks.tobytes()
+    marks = bit_map(keys.select(cell(keys.columns[0]).alias("c"))).tobytes()
 
     @F.pandas_udf(BooleanType())
-    def wanted(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        held = np.frombuffer(marks, np.uint8)
-        at = bucket.to_numpy() * 32768 + position.to_numpy()
-        return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    def wanted(cells: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(np.frombuffer(marks, np.uint8), cells.to_numpy()))
 
-    return lambda key: wanted(F.bitmap_bucket_number(cell(key)), F.bitmap_bit_position(cell(key)))
+    return lambda key: wanted(cell(key))
 
 
 def with_both(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
@@ -489,12 +544,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
     pairs, live, links = simhash_pairs(firsts.select("node", "fp"), tau), prefix_keys(firsts), None
     for turn in range(STAR_TURNS + 1):
         last = turn == STAR_TURNS
-        small, large = live if last else live.filter(F.col("met") <= MET_CAP), live.filter(F.col("met") > MET_CAP)
-        found = met_pairs(small, small)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if not last:
-            head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), "node", "n", "at", "root")).alias("h")
-            pairs = pairs.unionByName(met_pairs(large, large.groupBy("token").agg(head).select("token", "h.*")))
+        large = live.filter(F.col("met") > MET_CAP)
+        if turn == 0:
+            small = live.filter(F.col("met") <= MET_CAP)
+            pairs = pairs.unionByName(met_pairs(small, small)).unionByName(star_pairs(large, turn))
+        else:
+            pairs = met_once(large) if last else star_pairs(large, turn)
         more = similar_pairs(pairs, firsts, texts, shingle)
         links = materialize(more if links is None else links.unionByName(more), "links")
         roots = materialize(components(links), "components")
@@ -502,7 +557,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
             break
         named = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        live, pairs = materialize(named.join(ends.select("token"), "token", "left_semi"), "live"), None
+        live = materialize(named.join(ends.select("token"), "token", "left_semi"), "live")
         if live.isEmpty():
             break
     named = firsts.select("node", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
