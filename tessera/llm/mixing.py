@@ -213,9 +213,9 @@ def mixed_blocks(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> DataFra
         texts, _ = keyed_texts(docs)
         texts = texts.select("_id", "_key", F.col("_text"))
         joined = rows.join(texts, rows["doc_id"].eqNullSafe(texts["_id"]) & (rows["key"] == texts["_key"]))
+        made = in_order(joined.select("slot", "source_id", "block", "begin", "doc_id", "_text", "first", "part"), "slot", "begin")
         text = word_range(F.col("_text"), F.col("first"), F.col("first") + F.col("part"))
-        made = joined.select("slot", "source_id", "block", "begin", "doc_id", text.alias("text"))
-        return materialize(in_order(made, "slot", "begin"), "blocks", keep=True)
+        return materialize(made.select("slot", "source_id", "block", "begin", "doc_id", text.alias("text")), "blocks", keep=True)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> DataFrame:
@@ -242,9 +242,9 @@ def mixed_documents(docs: DataFrame, seed: int = 1, max_epochs: int = 3) -> Data
     texts, names = keyed_texts(docs)
     rows = texts.join(takes, texts["_id"].eqNullSafe(takes["doc_id"]) & (texts["_key"] == takes["key"]))
     at = f"c{names.index('text')}"
+    rows = in_order(rows, "slot", "begin")
     cut = F.when(F.col("_words") == F.col("size"), F.col("_text")).otherwise(word_range(F.col("_text"), F.lit(0).cast("bigint"), F.col("_words")))
-    cols = [cut.alias(c) if c == at else F.col(c) for c in (f"c{i}" for i in range(len(names)))]
-    return in_order(rows.select("slot", "begin", *cols), "slot", "begin").drop("slot", "begin").toDF(*names)
+    return rows.select(*(cut.alias(c) if c == at else F.col(c) for c in (f"c{i}" for i in range(len(names))))).toDF(*names)
 
 
 def in_order(rows: DataFrame, *cols: str) -> DataFrame:
