@@ -164,7 +164,99 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", "label", "text")
 
 
+#: Tags documents of items by doc_id modulo 12, ``N`` being the doc_id; the others are ``{}``, number 0 is null.
+TAG_SHAPES = {
+    1: '{"topics":[" Alpha","beta"],"title":"Title N","preview":"Preview N","tokens":{"alpha":3,"beta":N,"div":9,"ab":4}}',
+    2: '{"topics":[],"description":"PK junk N"}',
+    3: '{"signals":{"from":["doc:epub_text_v2"],"bytes_read":5},"description":"Some text N","title":"index of N"}',
+    4: '{"signals":{"from":["doc:epub_parse_failed"]},"tokens":{"00000":2,"123456":1}}',
+    5: '{"signals":{"from":["doc:sample","doc:pdf_url_extract_failed"]},"tokens":{"obj":2,"stream":1,"endobj":1}}',
+    6: '{"signals":{"from":["doc:too_large"]},"title":"/ipfs/N"}',
+    7: '{"signals":{"from":["doc:full_fetch_failed","text:head:low_signal"]},"tokens":{"pdf":1}}',
+    8: '{"signals":{"from":["doc:sample"]},"description":"PKmimetypeapplication/epub+zip N"}',
+    9: '{"content_class":"site","topics":["gamma"],"tokens":{"gamma":N,"html":2},"signals":{"from":["x"]}}',
+    10: '{"title":"Index of N","description":"A directory of content-addressed files hosted on some gateway"}',
+}
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as the crawler keeps it, with every column of a row's state."""
+    i = F.col("doc_id")
+
+    def cycle(by: int, *values: str | None) -> Column:
+        return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (i % by + 1).cast("int"))
+
+    tags = F.when(i % 12 == 0, F.lit(None).cast("string"))
+    for k, shape in TAG_SHAPES.items():
+        tags = tags.when(i % 12 == k, F.replace(F.lit(shape), F.lit("N"), i.cast("string")))
+    at = F.lit(EPOCH_2024) + i * 60_000
+    return table(spark, sf_dir, "documents").select(
+        tagged("doc-", "doc_id").alias("cid"),
+        cycle(6, "text", "doc", "unknown", None, "html", "image").alias("kind"),
+        cycle(7, None, "application/epub+zip", "application/pdf", "text/plain", "text/html", "image/png", "application/octet-stream").alias("mime"),
+        cycle(5, "epub", "pdf", "txt", None, "html").alias("ext_guess"),
+        ((i % 10) / 10).alias("confidence"),
+        cycle(4, None, "magic", "magic", "container").alias("source"),
+        cycle(3, None, "v0", "v1").alias("detector_version"),
+        F.when(i % 17 == 0, "detect_error").alias("error"),
+        (i % 8 == 0).alias("is_directory"),
+        F.when(i % 9 != 0, i % 4).cast("int").alias("expand_depth"),
+        F.when(i % 3 != 0, F.lit(EPOCH_2024) + i * 1_000).cast("bigint").alias("expanded_at"),
+        F.when(i % 13 == 0, "ls_error").alias("expand_error"),
+        (i % 10 != 0).alias("present"),
+        F.when(i % 3 == 0, "expanded").otherwise("pinls").alias("present_source"),
+        F.when(i % 13 != 0, at).cast("bigint").alias("last_seen_at"),
+        F.when(i % 10 == 0, F.lit(EPOCH_2024)).cast("bigint").alias("removed_at"),
+        F.when(i % 5 != 0, at).cast("bigint").alias("indexed_at"),
+        F.when(i % 11 == 0, F.concat(F.lit("d/"), i.cast("string"), F.lit(".html"))).alias("path"),
+        F.when(i % 7 == 0, tagged("root-", "doc_id")).alias("root_cid"),
+        F.coalesce(tags, F.when(i % 12 == 11, "{}")).alias("tags_json"),
+    )
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of items to others, as a directory service lists them: of every eighth item, the next four by id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 8 = 0")
+    links = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("place"))
+    child = F.col("doc_id") + F.col("place") * 2
+    kind = F.when(child % 8 == 0, "dir").when(child % 6 == 4, "unknown").otherwise("file")
+    name = F.when(kind == "file", F.concat(F.lit("f"), child.cast("string"), F.when(child % 3 == 0, ".txt").otherwise(".html"))).otherwise(F.concat(F.lit("d"), child.cast("string")))
+    name = F.when((F.col("place") == 3) & (kind == "file"), "index.html").otherwise(name)
+    return links.select(
+        tagged("doc-", "doc_id").alias("parent_cid"), "place", F.concat(F.lit("doc-"), child.cast("string")).alias("cid"), name.alias("name"),
+        kind.alias("type"), (child % 50).cast("bigint").alias("size"),
+    )
+
+
+def _cycle_sql(by: int, *values: str | None) -> str:
+    cases = " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(values))
+    return f"CASE doc_id % {by} {cases} END"
+
+
+def _items_sql() -> str:
+    shapes = " ".join(f"WHEN {k} THEN replace('{v}', 'N', CAST(doc_id AS VARCHAR))" for k, v in TAG_SHAPES.items())
+    at = f"{EPOCH_2024} + doc_id * 60000"
+    return f"""
+  SELECT 'doc-' || doc_id AS cid, {_cycle_sql(6, "text", "doc", "unknown", None, "html", "image")} AS kind,
+    {_cycle_sql(7, None, "application/epub+zip", "application/pdf", "text/plain", "text/html", "image/png", "application/octet-stream")} AS mime,
+    {_cycle_sql(5, "epub", "pdf", "txt", None, "html")} AS ext_guess, doc_id % 10 / 10.0::DOUBLE AS confidence, {_cycle_sql(4, None, "magic", "magic", "container")} AS source,
+    {_cycle_sql(3, None, "v0", "v1")} AS detector_version, CASE WHEN doc_id % 17 = 0 THEN 'detect_error' END AS error, doc_id % 8 = 0 AS is_directory,
+    CAST(CASE WHEN doc_id % 9 <> 0 THEN doc_id % 4 END AS INTEGER) AS expand_depth, CASE WHEN doc_id % 3 <> 0 THEN {EPOCH_2024} + doc_id * 1000 END AS expanded_at,
+    CASE WHEN doc_id % 13 = 0 THEN 'ls_error' END AS expand_error, doc_id % 10 <> 0 AS present, CASE WHEN doc_id % 3 = 0 THEN 'expanded' ELSE 'pinls' END AS present_source,
+    CASE WHEN doc_id % 13 <> 0 THEN {at} END AS last_seen_at, CASE WHEN doc_id % 10 = 0 THEN {EPOCH_2024} END AS removed_at, CASE WHEN doc_id % 5 <> 0 THEN {at} END AS indexed_at,
+    CASE WHEN doc_id % 11 = 0 THEN 'd/' || doc_id || '.html' END AS path, CASE WHEN doc_id % 7 = 0 THEN 'root-' || doc_id END AS root_cid,
+    CASE doc_id % 12 {shapes} WHEN 11 THEN '{{}}' END AS tags_json
+  FROM documents"""
+
+
 SQL = {
+    "items": _items_sql(),
+    "listings": """
+  SELECT 'doc-' || doc_id AS parent_cid, CAST(place AS INTEGER) AS place, 'doc-' || child AS cid,
+    CASE WHEN type = 'file' AND place = 3 THEN 'index.html' WHEN type = 'file' THEN 'f' || child || CASE WHEN child % 3 = 0 THEN '.txt' ELSE '.html' END ELSE 'd' || child END AS name,
+    type, CAST(child % 50 AS BIGINT) AS size
+  FROM (SELECT *, CASE WHEN child % 8 = 0 THEN 'dir' WHEN child % 6 = 4 THEN 'unknown' ELSE 'file' END AS type
+    FROM (SELECT doc_id, place, doc_id + place * 2 AS child FROM documents, range(1, 5) r(place) WHERE doc_id % 8 = 0))""",
     "catalog": """
   SELECT 'doc-' || doc_id AS cid, CASE WHEN doc_id % 19 = 0 THEN 'unknown' ELSE 'text' END AS kind,
          CASE WHEN doc_id % 19 = 0 THEN 'application/octet-stream' WHEN doc_id % 23 = 0 THEN NULL ELSE 'text/plain' END AS mime,

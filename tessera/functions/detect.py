@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.html import bind
+
 MB = 1 << 20
 #: Upper bounds of size classes; fixed values.
 SIZE_CLASSES = ((1 << 16, "xs"), (MB, "s"), (50 * MB, "m"), (500 * MB, "l"), (5120 * MB, "xl"))
@@ -93,8 +95,10 @@ def as_text(raw: Column) -> Column:
 
 def container_detect(head: Column, middle: Column, tail: Column) -> Column:
     """PDF, ZIP and what it holds, HTML, CAR; the first that fits."""
-    text = as_text(head)
-    inside = F.concat(text, as_text(middle), as_text(tail))
+    return bind(F.struct(as_text(head).alias("head"), F.concat(as_text(head), as_text(middle), as_text(tail)).alias("all")), lambda t: container_of(head, t["head"], t["all"]))
+
+
+def container_of(head: Column, text: Column, inside: Column) -> Column:
     zipped = F.hex(F.substring(head, 1, 2)) == "504B"
     sub = (
         F.when(F.contains(inside, F.lit("word/")), "docx").when(F.contains(inside, F.lit("xl/")), "xlsx")
@@ -155,10 +159,14 @@ def fallback_detect(head: Column) -> Column:
 
 def detect(head: Column, middle: Column, tail: Column) -> Column:
     """Sure magic bytes, else the container if no less sure than the magic bytes, else those, else the fallback."""
-    magic, box = magic_detect(head), container_detect(head, middle, tail)
-    sure = (magic["confidence"] >= 0.95) & (magic["mime"] != "application/zip")
-    boxed = box.isNotNull() & (magic.isNull() | (box["confidence"] >= magic["confidence"]))
-    return F.when(sure, magic).when(boxed, box).otherwise(F.coalesce(magic, fallback_detect(head)))
+
+    def choose(found: Column) -> Column:
+        magic, box = found["magic"], found["box"]
+        sure = (magic["confidence"] >= 0.95) & (magic["mime"] != "application/zip")
+        boxed = box.isNotNull() & (magic.isNull() | (box["confidence"] >= magic["confidence"]))
+        return F.when(sure, magic).when(boxed, box).otherwise(F.coalesce(magic, fallback_detect(head)))
+
+    return bind(F.struct(magic_detect(head).alias("magic"), container_detect(head, middle, tail).alias("box")), choose)
 
 
 def tags_of(kind: Column, mime: Column, ext: Column, source: Column, confidence: Column, size: Column) -> Column:

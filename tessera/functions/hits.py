@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.detect import file_extension
@@ -82,15 +82,23 @@ def is_listing_title(title: Column) -> Column:
     return (clean(title) == "index of") | clean(title).startswith("index of ")
 
 
+def is_listing_path(title: Column) -> Column:
+    return clean(title).rlike("^/?ipfs/")
+
+
+def is_listing_snippet(snippet: Column) -> Column:
+    return F.contains(clean(snippet), F.lit(LISTING_PHRASE))
+
+
 def is_listing(title: Column, snippet: Column) -> Column:
     """a directory listing by its title, the path in it, or its snippet."""
-    return is_listing_title(title) | clean(title).rlike("^/?ipfs/") | F.contains(clean(snippet), F.lit(LISTING_PHRASE))
+    return is_listing_title(title) | is_listing_path(title) | is_listing_snippet(snippet)
 
 
 def is_html_site(path: Column, title: Column, mime: Column, ext: Column) -> Column:
     """F14."""
-    by_path = F.coalesce(entry_path(path).rlike(r"(?i)\.(html|htm|xhtml)$"), F.lit(False))
-    kind = media_type(mime).isin("text/html", "application/xhtml+xml") | clean(ext).isin("html", "htm")
+    by_path = F.coalesce(entry_path(path).rlike(r"(?i)\.html?$"), F.lit(False))
+    kind = F.contains(clean(mime), F.lit("text/html")) | F.contains(clean(mime), F.lit("application/xhtml+xml")) | clean(ext).isin("html", "htm")
     return by_path | (~is_listing_title(title) & F.coalesce(kind, F.lit(False)))
 
 
@@ -146,6 +154,100 @@ def explore_type(kind: Column, mime: Column, ext: Column, path: Column, title: C
     )
 
 
+#: Words of a PDF's inside that a hit's tokens or snippet show; fixed values.
+PDF_WORDS = ("endobj", "xref", "trailer", "stream", "endstream", "xobject", "flatedecode", "mediabox", "cropbox", "resources", "font")
+
+
+def is_pdf_internal_hit(title: Column, snippet: Column, tokens: Column) -> Column:
+    """F16: a hit that shows a PDF's inside: offset tables, or object syntax in its snippet or token counts."""
+    t, s = clean(title), clean(snippet)
+    both = F.trim(F.concat(t, F.lit("\n"), s))
+    offsets = F.regexp_count(both, F.lit(r"\b\d{6,12}\s+\d{5}\s+[nf]\b")) >= 3
+    bare = F.length(F.regexp_replace(both, r"[0-9nf\s]", "")) <= 10
+    keys = F.coalesce(F.map_keys(tokens), F.array().cast("array<string>"))
+    numbers = F.size(F.filter(keys, lambda k: clean(k).rlike(r"^\d{6,12}$"))) >= 8
+    count = lambda w: F.coalesce(F.try_element_at(tokens, F.lit(w)), F.lit(0))
+    has = {w: (count(w) > 0) | F.contains(s, F.lit(w)) for w in PDF_WORDS}
+    score = sum((x.cast("int") for x in has.values()), F.lit(0))
+    object_mark = s.rlike(r"\b\d+\s+\d+\s+obj\b") | t.rlike(r"\b\d+\s+\d+\s+obj\b") | (count("obj") >= 2)
+    streamed = (has["stream"] | has["endstream"]) & (
+        has["flatedecode"] | has["mediabox"] | has["cropbox"] | has["resources"] | has["font"] | has["xobject"]
+    )
+    syntax = F.when(object_mark, score >= 2).otherwise(streamed & (score >= 3))
+    return (offsets & bare) | (F.array_contains(keys, "00000") & (count("00000") != 0) & numbers) | syntax
+
+
+#: Extensions that keep an octet stream among the hits; fixed values.
+RESCUED = ("pdf", "docx", "epub", "html", "htm", "txt")
+
+
+def is_kept_stream(mime: Column, ext: Column, path: Column) -> Column:
+    """anything but an octet stream, or one whose extension or path names a type that can be shown."""
+    known = clean(ext).isin(*RESCUED) | clean(path).rlike(r"\.(" + "|".join(RESCUED) + ")$")
+    return (clean(mime) != "application/octet-stream") | known
+
+
+def is_of_strict_type(kind: Column, mime: Column, wanted: Column) -> Column:
+    """images only where images are asked for; any other filter lets all pass."""
+    image = (clean(kind) == "image") | clean(mime).startswith("image/")
+    return ~clean(wanted).isin("image", "images") | image
+
+
+#: Markup words that are no site tags; fixed values. A deployment adds its own names through the parameter.
+TAG_STOP_WORDS = (
+    "doctype", "html", "head", "meta", "charset", "viewport", "width", "device", "initial", "scale", "name", "content", "lang",
+    "utf", "title", "href", "rel", "link", "stylesheet", "src", "class", "id", "div", "span", "button", "self", "script", "style",
+    "http", "https", "www", "com", "gateway",
+)
+
+
+def site_tags(topics: Column, tokens: Column, extra_stop_words: tuple[str, ...] = (), top: int = 50, most: int = 20) -> Column:
+    """Topics, then the ``top`` tokens by count and name, without markup words and short ones, each once."""
+    stop = (*TAG_STOP_WORDS, *extra_stop_words)
+    named = F.transform(F.coalesce(topics, F.array().cast("array<string>")), lambda t: clean(t))
+    pairs = F.filter(
+        F.transform(F.map_entries(tokens), lambda e: F.struct((-e["value"]).alias("n"), clean(e["key"]).alias("k"))),
+        lambda e: (e["k"] != "") & (e["n"] < 0),
+    )
+    counted = F.transform(F.slice(F.array_sort(pairs), 1, top), lambda e: e["k"])
+    words = F.concat(named, F.coalesce(counted, F.array().cast("array<string>")))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop))), 1, most)
+
+
+#: The parts of a tags document that queries read.
+TAGS = (
+    "topics array<string>, title string, description string, preview string, content_class string, lang string, confidence double, "
+    "tokens map<string,double>, signals struct<from:array<string>,bytes_read:bigint>, tags array<string>, derived_from struct<cid:string,path:string>"
+)
+
+
+def projected(items: DataFrame) -> DataFrame:
+    """Hits from catalog rows (``tags_json``, ``kind``, ``cid``, ``root_cid``): topics, title, snippet, root.
+
+    A text's snippet is its preview, else any item's description; a document that isn't JSON counts
+    as none.
+    """
+    rows = items.withColumn("_t", F.from_json("tags_json", TAGS))
+    topics = F.filter(F.transform("_t.topics", clean), lambda t: t != "")
+    snippet = F.coalesce(F.when(clean(F.col("kind")) == "text", F.col("_t.preview")), F.col("_t.description"))
+    root = F.coalesce(F.nullif("root_cid", F.lit("")), F.col("cid")) if "root_cid" in items.columns else F.col("cid")
+    return rows.withColumns(
+        {
+            "topics": F.coalesce(topics, F.array().cast("array<string>")), "tokens": F.col("_t.tokens"),
+            "signals": F.col("_t.signals.from"), "title": F.nullif("_t.title", F.lit("")), "snippet": F.nullif(snippet, F.lit("")),
+            "root_cid": root, "resource_type": resource_type(F.col("kind")),
+        }
+    ).drop("_t")
+
+
+def score_pairs(labels: Column, scores: Column) -> Column:
+    """Label and score pairs of two lists, as long as the shorter one; none where a list is missing."""
+    n = F.when(labels.isNotNull() & scores.isNotNull(), F.least(F.size(labels), F.size(scores)))
+    both = F.transform(F.arrays_zip(labels.alias("label"), scores.alias("score")), lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score")))
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    return F.when(n > 0, F.slice(both, F.lit(1), n).cast("array<struct<label:string,score:double>>")).otherwise(none)
+
+
 def is_chunk_list(names: Column, types: Column) -> Column:
     """links that are numbered blocks of one file."""
     named = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")
@@ -153,6 +255,11 @@ def is_chunk_list(names: Column, types: Column) -> Column:
     return numbered & ~F.exists(types, lambda t: F.lower(t) == "dir")
 
 
+def path_suffix(path: Column) -> Column:
+    """F32: which of the document types a path ends in, or null."""
+    return F.nullif(F.regexp_extract(clean(path), r"\.(docx|epub|pdf|txt)$", 1), F.lit(""))
+
+
 def has_record_value(values: Column, wanted: Column) -> Column:
     """F33."""
     return F.exists(values, lambda v: F.trim(v) == wanted)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from tessera.functions.text import squeeze
 ENTITIES = (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"))
 
 
+def bind(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def code_point(number: Column) -> Column:
     """A character for a code point; a space where there is none."""
     ok = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
@@ -22,12 +29,16 @@ def code_point(number: Column) -> Column:
 
 def decode_numeric(text: Column, pattern: str, base: int) -> Column:
     """Every numeric reference of ``pattern`` (digits in group 1) replaced by its character."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     number = lambda x: F.coalesce(F.conv(F.when(F.length(x) <= 10, x), base, 10).cast("bigint"), F.lit(0))
-    chars = F.transform(found, lambda x: code_point(number(x)))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(chars, i), F.lit("")))), "")
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+        chars = F.transform(found, lambda x: bind(number(x), code_point))
+        both = F.arrays_zip(F.split(t, pattern, -1).alias("piece"), chars.alias("char"))
+        joined = F.array_join(F.transform(both, lambda p: F.concat(F.coalesce(p["piece"], F.lit("")), F.coalesce(p["char"], F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&#")), joined).otherwise(t)
+
+    return bind(text, decode)
 
 
 def decode_entities(text: Column) -> Column:

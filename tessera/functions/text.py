@@ -60,12 +60,27 @@ def query_tokens(clean: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(clean, " "), F.lower), lambda t: t.rlike("^[a-z0-9]+$")))
 
 
+def sanitized(tokens: Column, most: int = 12) -> Column:
+    """F7 on an array column."""
+    return F.slice(F.filter(F.transform(tokens, lambda t: F.lower(F.trim(t))), lambda t: t.rlike("^[a-z0-9]+$")), 1, most)
+
+
 def sanitize_tokens(tokens: Sequence[str], most: int = 12) -> list[str]:
     """trimmed lower-case tokens of ASCII letters and digits, the first ``most`` of them."""
     found = (t.strip().lower() for t in tokens)
     return [t for t in found if t.isascii() and t.isalnum()][:most]
 
 
+def merged_tokens(model: Column, words: Column) -> Column:
+    """Two token maps as one; counts of a token in both are added."""
+    return F.map_zip_with(model, words, lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+
+
+def merged_topics(model: Column, derived: Column) -> Column:
+    """The model's topics, then those derived from words, each once."""
+    return F.array_distinct(F.concat(model, derived))
+
+
 def format_query(clean: Column) -> Column:
     """The format that a one-word query names, or null."""
     return F.when(clean.isin(*FORMAT_WORDS), clean)
@@ -120,17 +135,15 @@ def token_histogram(docs: DataFrame, key: str, normalized: str, most: int = 256,
     """A10: (key, token, count) of words of three letters or more that aren't stop words.
 
     The scan of a document ends at its ``most``-th distinct token: what stands behind is not
-    counted, repeats of earlier tokens included. Every window is one document's, so the work
-    spreads by ``key``.
+    counted, repeats of earlier tokens included. Documents are dealt out by ``key`` once; counts
+    and the ranks that ``index_tokens`` and ``topics`` add need no further shuffle.
     """
     words = F.filter(F.split(normalized, " "), lambda t: t.rlike("^[a-z]{3,}$") & ~t.isin(*stop_words))
-    at = docs.select(key, F.posexplode(words).alias("pos", "token"))
-    seen = at.groupBy(key, "token").agg(F.min("pos").alias("first"), F.collect_list("pos").alias("all"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("first"))
-    end = F.max(F.when(F.col("rank") == most, F.col("first"))).over(Window.partitionBy(key))
-    kept = seen.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("end", end)
-    counted = F.when(F.col("end").isNull(), F.size("all")).otherwise(F.size(F.filter("all", lambda p: p <= F.col("end"))))
-    return kept.select(key, "token", counted.cast("bigint").alias("count"))
+    rows = docs.select(key, F.col(normalized)).repartition(key).select(key, words.alias("words"))
+    rows = rows.select(key, "words", F.get(F.array_distinct("words"), F.lit(most - 1)).alias("last"))
+    end = F.when(F.col("last").isNull(), F.size("words")).otherwise(F.array_position("words", F.col("last")).cast("int"))
+    tokens = rows.select(key, F.explode(F.slice("words", F.lit(1), end)).alias("token"))
+    return tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def index_tokens(histogram: DataFrame, key: str, most: int = 128) -> DataFrame:

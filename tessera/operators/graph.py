@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.detect import file_extension
+from tessera.storage import kept, new_folder
 
 HTML = ("html", "htm", "xhtml")
 #: Extensions of paths worth an entry in the path index; fixed values.
-INDEXED = (*HTML, "txt", "md", "markdown", "pdf", "epub", "jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "srt", "vtt")
-
+INDEXED = (
+    "html", "htm", "xhtml", "txt", "md", "markdown", "srt", "vtt", "pdf", "epub", "jpg", "jpeg", "png", "gif", "webp", "avif", "svg",
+)
 
-def stage_dir(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local session without one gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
 
-
-def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None, merge_every: int = 8) -> DataFrame:
     """G1: (owner, cid) of all items that an owner's roots reach, the roots included.
 
-    A frontier per round: its join with the edges, less what has been visited. Each round is
-    written to the shared folder, so lineage stays short and cycles end the walk.
+    A frontier per round: its join with the edges, less what has been visited. The walk goes on
+    until a round finds nothing new; with ``most_rounds`` it raises an error if that bound comes
+    first, and never returns a part. Rounds are written to the shared folder and merged into one
+    table every few rounds, so neither lineage nor the number of files grows with the depth.
     """
-    spark, base = roots.sparkSession, stage_dir(roots.sparkSession)
-    roots.select("owner", "cid").distinct().write.parquet(f"{base}/0")
-    schema = "owner string, cid string"
-    visited = frontier = spark.read.schema(schema).parquet(f"{base}/0")
-    for n in range(1, max_rounds + 1):
-        step = frontier.join(edges.select("parent_cid", "child_cid"), frontier.cid == edges.parent_cid)
-        fresh = step.select("owner", F.col("child_cid").alias("cid")).distinct().join(visited, ["owner", "cid"], "left_anti")
-        fresh.write.parquet(f"{base}/{n}")
-        frontier = spark.read.schema(schema).parquet(f"{base}/{n}")
-        if frontier.isEmpty():
-            break
+    spark, base, schema = roots.sparkSession, new_folder(roots.sparkSession, "walk"), "owner string, cid string"
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(schema).parquet(f"{base}/{name}")
+
+    edges.select("parent_cid", "child_cid").distinct().write.parquet(f"{base}/edges")
+    links = spark.read.schema("parent_cid string, child_cid string").parquet(f"{base}/edges")
+    visited = frontier = put(roots.select("owner", "cid").distinct(), "0")
+    number = 0
+    while not frontier.isEmpty():
+        number += 1
+        if most_rounds is not None and number > most_rounds:
+            raise RuntimeError(f"the walk has more than {most_rounds} rounds")
+        step = frontier.join(links, frontier.cid == links.parent_cid).select("owner", F.col("child_cid").alias("cid")).distinct()
+        frontier = put(step.join(visited, ["owner", "cid"], "left_anti"), str(number))
         visited = visited.unionByName(frontier)
+        if number % merge_every == 0:
+            visited = put(visited, f"merged{number}")
     return visited
 
 
@@ -53,27 +51,67 @@ def is_directory(kind: Column, name: Column) -> Column:
     return (kind == "dir") | ((kind == "unknown") & ~F.contains(name, F.lit(".")))
 
 
-def path_index(listing: DataFrame, roots: DataFrame, max_depth: int = 10, max_files: int = 1000) -> DataFrame:
+def path_index(listing: DataFrame, roots: DataFrame, max_depth: int = 10, max_files: int = 1000, max_dirs: int = 200, extensions: tuple[str, ...] = INDEXED) -> DataFrame:
     """(root_cid, path, leaf_cid, depth) of files of known extensions below every root.
 
-    ``listing`` has (parent_cid, cid, name, type). One join a level; a root gives ``max_files``
-    files at most, the shallowest first, then by path.
+    ``listing`` has (parent_cid, cid, name, type). One join a level, each level written before the
+    next one reads it. A root's first ``max_dirs`` directories, itself included, are opened, level
+    by level and by path; it gives ``max_files`` files at most, the shallowest first, then by path.
     """
     links = listing.select("parent_cid", "cid", "name", is_directory(F.col("type"), F.col("name")).alias("is_dir"))
-    level = roots.select(F.col("cid").alias("root_cid"), F.col("cid").alias("at"), F.lit("").alias("prefix"))
+    level = roots.select(F.col("cid").alias("root_cid"), F.col("cid").alias("at"), F.lit("").alias("prefix"), F.lit(1).alias("opened"))
     found = None
     for depth in range(1, max_depth + 1):
         step = level.join(links, level["at"] == links["parent_cid"]).select(
-            "root_cid", "cid", "is_dir", F.concat("prefix", "name").alias("path"), F.lit(depth).alias("depth")
+            "root_cid", "opened", "cid", "is_dir", F.concat("prefix", "name").alias("path"), F.lit(depth).alias("depth")
         )
-        files = step.filter(~F.col("is_dir") & file_extension(F.col("path")).isin(*INDEXED))
-        files = files.select("root_cid", "path", F.col("cid").alias("leaf_cid"), "depth")
+        step = kept(step.filter(F.col("is_dir") | file_extension(F.col("path")).isin(*extensions)), f"level{depth}")
+        files = step.filter(~F.col("is_dir")).select("root_cid", "path", F.col("cid").alias("leaf_cid"), "depth")
         found = files if found is None else found.unionByName(files)
-        level = step.filter("is_dir").select("root_cid", F.col("cid").alias("at"), F.concat("path", F.lit("/")).alias("prefix"))
+        place = F.row_number().over(Window.partitionBy("root_cid").orderBy("path"))
+        dirs = step.filter("is_dir").withColumn("n", F.col("opened") + place).filter(F.col("n") <= max_dirs)
+        opened = F.max("n").over(Window.partitionBy("root_cid")).alias("opened")
+        level = dirs.select("root_cid", F.col("cid").alias("at"), F.concat("path", F.lit("/")).alias("prefix"), opened)
+        if depth < max_depth:
+            level = kept(level, f"open{depth}")
+            if level.isEmpty():
+                break
     rank = F.row_number().over(Window.partitionBy("root_cid").orderBy("depth", "path"))
     return found.withColumn("r", rank).filter(F.col("r") <= max_files).drop("r")
 
 
+def html_entry_score(path: Column) -> Column:
+    """An index page at the root, then one below, then any HTML page, shorter paths first; null for others."""
+    p = F.lower(F.trim(path))
+    score = (
+        100
+        + F.when(p.isin("index.html", "index.htm"), 1000).otherwise(0)
+        + F.when(p.rlike(r"/index\.html?$"), 500).otherwise(0)
+        - F.size(F.split(p, "/"))
+    )
+    return F.when(p.rlike(r"\.html?$"), score)
+
+
+def html_entries(listing: DataFrame, roots: DataFrame, max_depth: int = 3, max_dirs: int = 25, max_files: int = 200) -> DataFrame:
+    """(root_cid, path, leaf_cid, score) of the best HTML entry below each directory.
+
+    A breadth-first search over ``max_depth`` levels of files in the first ``max_dirs`` directories;
+    of equal scores the shallowest, then the first by path.
+    """
+    files = path_index(listing, roots, max_depth, max_files, max_dirs, ("html", "htm"))
+    rows = files.withColumn("score", html_entry_score(F.col("path")))
+    best = F.row_number().over(Window.partitionBy("root_cid").orderBy(F.desc("score"), "depth", "path"))
+    return rows.withColumn("b", best).filter("b = 1").select("root_cid", "path", "leaf_cid", "score")
+
+
+def level_entries(listing: DataFrame) -> DataFrame:
+    """(parent_cid, name): each directory's index.html, else index.htm, else its first HTML file by name."""
+    n = F.lower(F.trim("name"))
+    rows = listing.filter((F.col("type") == "file") & n.rlike(r"\.html?$"))
+    order = F.struct(F.when(n == "index.html", 0).when(n == "index.htm", 1).otherwise(2), "name")
+    return rows.groupBy("parent_cid").agg(F.min_by("name", order).alias("name"))
+
+
 def top_children(edges: DataFrame, last_seen: str, limit: int) -> DataFrame:
     """A parent's children, the newest first, then by id."""
     rank = F.row_number().over(Window.partitionBy("parent_cid").orderBy(F.desc(last_seen), "child_cid"))

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("image", "html", "text", "doc", "archive", "ipld", "package")
-#: Half a token list is the longest that one search takes; longer lists are cut by the sanitizer.
+#: Searchable kinds; fixed values.
+KINDS = ("image", "doc", "html", "text", "archive", "ipld", "package")
+#: An index row's count weighs this much at most.
 COUNT_CAP = 50
 
 

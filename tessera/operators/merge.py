@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import id_variants
+
+DETECTED = ("mime", "ext_guess", "kind", "confidence", "source")
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "cid") -> DataFrame:
     """(key, change) with change one of new, kept, gone."""
@@ -69,10 +73,23 @@ def upsert_paths(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def prune_edges(edges: DataFrame, listing: DataFrame) -> DataFrame:
     """M5: edges of listed parents that the listing lacks go; a parent with an empty listing keeps its edges."""
-    listed = listing.select("parent_cid").distinct()
-    kept = listing.select("parent_cid", "child_cid").distinct()
-    gone = edges.join(listed, "parent_cid", "left_semi").join(kept, ["parent_cid", "child_cid"], "left_anti")
-    return edges.join(gone.select("parent_cid", "child_cid"), ["parent_cid", "child_cid"], "left_anti")
+    listed = listing.select("parent_cid").distinct().withColumn("_listed", F.lit(True))
+    kept = listing.select("parent_cid", "child_cid").distinct().withColumn("_kept", F.lit(True))
+    rows = edges.join(listed, "parent_cid", "left").join(kept, ["parent_cid", "child_cid"], "left")
+    return rows.filter("_listed IS NULL OR _kept").drop("_listed", "_kept")
+
+
+def flip_orphans(catalog: DataFrame, before: DataFrame, after: DataFrame, now: int) -> DataFrame:
+    """M5: expanded items that have lost their last parent are no longer present."""
+    lost = orphans(before, after).select(F.col("child_cid").alias("cid")).withColumn("_lost", F.lit(True))
+    rows = catalog.join(lost, "cid", "left")
+    gone = F.col("_lost") & (F.col("present_source") == "expanded")
+    return rows.withColumns(
+        {
+            "present": F.when(gone, False).otherwise(F.col("present")),
+            "removed_at": F.when(gone, F.lit(now)).otherwise(F.col("removed_at")).cast("bigint"),
+        }
+    ).drop("_lost")
 
 
 def orphans(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -91,6 +108,17 @@ def upsert_wallets(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(n, "wallet", "full").select("wallet", F.coalesce("n_plan", "plan_id").alias("plan_id"))
 
 
+def split_bytes(uploads: DataFrame) -> DataFrame:
+    """M9: (wallet, root_cid, created_at, bytes_estimated): an upload's bytes, spread evenly over its distinct roots.
+
+    ``uploads`` has (wallet, roots, created_at, total_bytes); an upload without a known size gives none.
+    """
+    roots = F.array_distinct(F.filter(F.transform("roots", lambda r: F.trim(r)), lambda r: r != ""))
+    rows = uploads.withColumn("roots", roots)
+    share = F.when(F.col("total_bytes") > 0, F.floor(F.col("total_bytes") / F.size("roots"))).cast("bigint")
+    return rows.select("wallet", F.explode("roots").alias("root_cid"), "created_at", share.alias("bytes_estimated"))
+
+
 def upsert_roots(old: DataFrame, new: DataFrame) -> DataFrame:
     """M9: a root that comes again is active, keeps its first time, and takes a known size."""
     n = new.groupBy("wallet", "root_cid").agg(F.min("created_at").alias("n_at"), F.max("bytes_estimated").alias("n_bytes"))
@@ -109,19 +137,72 @@ def insert_pins(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rename(old: DataFrame, changes: DataFrame) -> DataFrame:
-    """The last name given stands; an empty one removes the entry."""
-    last = changes.groupBy("wallet", "cid").agg(F.max_by("display_name", "updated_at").alias("n_name"), F.max("updated_at").alias("n_at"))
+    """The last name given stands, of equal times the largest; an empty one removes the entry."""
+    last = changes.groupBy("wallet", "cid").agg(
+        F.max_by("display_name", F.struct("updated_at", "display_name")).alias("n_name"), F.max("updated_at").alias("n_at")
+    )
     rows = old.join(last, ["wallet", "cid"], "full")
     name = F.when(F.col("n_at").isNotNull(), F.nullif(F.trim("n_name"), F.lit(""))).otherwise(F.col("display_name"))
     merged = rows.select("wallet", "cid", name.alias("display_name"), F.greatest("n_at", "updated_at").alias("updated_at"))
     return merged.filter("display_name IS NOT NULL")
 
 
+def rename_variants(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """Renames under any spelling of an id reach the names kept under all of them."""
+    spelled = changes.withColumn("cid", F.explode(id_variants("cid")))
+    done = rename(old, spelled)
+    # a spelling that the state doesn't hold gets no entry of its own where another one has it
+    held = old.select("wallet", "cid").withColumn("_held", F.lit(True))
+    given = changes.select("wallet", F.col("cid")).distinct().withColumn("_given", F.lit(True))
+    rows = done.join(held, ["wallet", "cid"], "left").join(given, ["wallet", "cid"], "left")
+    return rows.filter("_held OR _given").drop("_held", "_given")
+
+
 def repair(catalog: DataFrame) -> DataFrame:
     """What is present has not been removed."""
     return catalog.withColumn("removed_at", F.when(~F.col("present"), F.col("removed_at")))
 
 
+def prune_tokens(index: DataFrame, least: int = 3) -> DataFrame:
+    """Index rows of tokens that are too short go."""
+    return index.filter(F.length("token") >= least)
+
+
+def touch_plans(wallets: DataFrame, checked: DataFrame, now: int) -> DataFrame:
+    """The time of the last plan check moves to ``now`` for the wallets checked."""
+    done = checked.select("wallet").distinct().withColumn("_done", F.lit(True))
+    rows = wallets.join(done, "wallet", "left")
+    return rows.withColumn("plan_checked_at", F.when(F.col("_done"), F.lit(now)).otherwise(F.col("plan_checked_at")).cast("bigint")).drop("_done")
+
+
+def delete_roots(roots: DataFrame, gone: DataFrame) -> DataFrame:
+    """Roots less those removed, by wallet and root."""
+    return roots.join(gone.select("wallet", "root_cid").distinct(), ["wallet", "root_cid"], "left_anti")
+
+
+def add_pins(pins: DataFrame, requests: DataFrame) -> DataFrame:
+    """Pin requests with an item and a wallet are appended; the first time of a pin stays."""
+    cid, wallet = F.trim("cid"), F.trim("wallet")
+    valid = requests.select(wallet.alias("wallet"), cid.alias("cid"), "created_at").filter("cid <> '' AND wallet <> ''")
+    return insert_pins(pins, valid)
+
+
+def detect_update(catalog: DataFrame, results: DataFrame, now: int, version: str) -> DataFrame:
+    """M7: what detection found replaces the item's type columns and clears its error; a failure sets the error alone.
+
+    ``results`` has (cid, mime, ext_guess, kind, confidence, source, failure), one row an item; an
+    item without a result stays as it was.
+    """
+    found = results.select("cid", *(F.col(c).alias(f"_{c}") for c in DETECTED), F.col("failure").alias("_failure"), F.lit(True).alias("_done"))
+    rows = catalog.join(found, "cid", "left")
+    done, failed = F.col("_done").isNotNull(), F.col("_failure").isNotNull()
+    columns = {c: F.when(done & ~failed, F.col(f"_{c}")).otherwise(F.col(c)) for c in DETECTED}
+    columns["indexed_at"] = F.when(done & ~failed, F.lit(now)).otherwise(F.col("indexed_at")).cast("bigint")
+    columns["error"] = F.when(done, F.col("_failure")).otherwise(F.col("error"))
+    columns["detector_version"] = F.when(done, F.lit(version)).otherwise(F.col("detector_version"))
+    return rows.withColumns(columns).select(*catalog.columns)
+
+
 def add_missing_columns(rows: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
     """K5: columns that an older state lacks, as (type, default)."""
     for name, (kind, value) in defaults.items():

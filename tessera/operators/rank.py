@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.storage import kept
+
 DECAY_MS = 30 * 86_400_000
 #: Weights of popularity, relevance, freshness, availability and of a link; fixed values.
 WEIGHTS = {"popularity": 0.3, "relevance": 0.3, "freshness": 0.2, "availability": 0.1, "link": 0.1}
@@ -144,10 +146,23 @@ def page(ranked: DataFrame, limit: int = 20, cursor: Cursor | None = None, offse
     return rows.offset(0 if cursor else max(0, offset)).limit(max(1, min(limit, most)))
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``n``, their place from 0 in total order.
+
+    Rows are dealt out by ranges of the order and written; a range's place is the sum of the counts
+    before it, one number a range, so no task sees more than its own range.
+    """
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(starts), "_range").withColumn("n", F.col("_start") + inside).drop("_range", "_start")
+
+
 def page_marks(ranked: DataFrame, limit: int, offset: int) -> DataFrame:
-    """Per page number its first and last id, from one ordered numbering of the capped hits."""
-    number = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("cid"))) - 1
-    rows = ranked.withColumn("n", number).filter(F.col("n") >= offset)
+    """Per page number its first and last id and its size."""
+    rows = numbered(ranked, F.desc("score"), F.desc("cid")).filter(F.col("n") >= offset)
     return rows.groupBy(F.floor((F.col("n") - offset) / limit).cast("int").alias("page")).agg(
         F.min_by("cid", "n").alias("first_cid"), F.max_by("cid", "n").alias("last_cid"), F.count(F.lit(1)).alias("items")
     )

@@ -51,6 +51,16 @@ def wallet_items(roots: DataFrame, pins: DataFrame, names: DataFrame) -> DataFra
     return rows.distinct().join(names, ["wallet", "cid"], "left")
 
 
+def pin_state(asked: DataFrame, roots: DataFrame, pins: DataFrame) -> DataFrame:
+    """For each (wallet, cid) whether the wallet has it as an active root, has pinned it, and whether anyone has."""
+    active = roots.filter("status = 'active'").select("wallet", F.col("root_cid").alias("cid")).distinct().withColumn("_root", F.lit(True))
+    own = pins.select("wallet", "cid").distinct().withColumn("_pin", F.lit(True))
+    any_ = pins.select("cid").distinct().withColumn("_any", F.lit(True))
+    rows = asked.join(active, ["wallet", "cid"], "left").join(own, ["wallet", "cid"], "left").join(any_, "cid", "left")
+    flags = {"has_root": "_root", "has_pin": "_pin", "pinned_anywhere": "_any"}
+    return rows.select("wallet", "cid", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
+
+
 def logical_refcount(roots: DataFrame, pins: DataFrame) -> DataFrame:
     """Pins plus distinct owners (pins count twice), the count without that, and the unpin decision."""
     per_pin = pins.groupBy("cid").agg(F.count(F.lit(1)).alias("pins"))

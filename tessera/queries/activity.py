@@ -58,21 +58,17 @@ def u1(spark, d):
 
 
 def names(spark, d):
-    parts = b.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("cid"), F.col("p_name").alias("display_name"))
-    return parts.withColumn("wallet", F.concat(F.lit("W"), (F.crc32(F.col("cid").cast("binary")) % 100).cast("string"))).select("wallet", "cid", "display_name")
+    parts = b.table(spark, d, "part").select("p_partkey", b.tagged("P", "p_partkey").alias("cid"), F.col("p_name").alias("display_name"))
+    return parts.select(F.concat(F.lit("W"), (F.col("p_partkey") * 7 % 100).cast("string")).alias("wallet"), "cid", "display_name")
 
 
 @query(
     "u2_j4_wallet_items",
-    f"""{FULL} SELECT DISTINCT r.wallet, r.cid, created_at FROM (SELECT wallet, root_cid AS cid, created_at FROM wallet_roots UNION ALL SELECT wallet, cid, created_at FROM wallet_pins) r""",
+    f"""{FULL}, names AS (SELECT 'W' || (p_partkey * 7 % 100) AS wallet, 'P' || p_partkey AS cid, p_name AS display_name FROM part)
+  SELECT r.wallet, r.cid, created_at, display_name FROM (SELECT wallet, root_cid AS cid, created_at FROM wallet_roots UNION SELECT wallet, cid, created_at FROM wallet_pins) r LEFT JOIN names USING (wallet, cid)""",
 )
 def u2(spark, d):
-    return usage.wallet_items(b.wallet_roots(spark, d), b.wallet_pins(spark, d), names(spark, d)).select("wallet", "cid", "created_at")
-
-
-@query("j4_wallet_list_named")
-def j4(spark, d):
-    return usage.wallet_items(b.wallet_roots(spark, d), b.wallet_pins(spark, d), names(spark, d)).filter("display_name IS NOT NULL")
+    return usage.wallet_items(b.wallet_roots(spark, d), b.wallet_pins(spark, d), names(spark, d))
 
 
 @query("u3_ownership", f"{FULL}, {OWNED} SELECT cid, wallet, created_at FROM owned")
@@ -123,13 +119,16 @@ def a17(spark, d):
 
 @query(
     "j14_is_pinned",
-    f"""{FULL} SELECT w.wallet, w.cid, EXISTS (SELECT 1 FROM wallet_roots r WHERE r.wallet = w.wallet AND root_cid = w.cid AND status = 'active') AS has_root,
-    true AS has_pin FROM wallet_pins w""",
+    f"""{FULL}, asked AS (SELECT 'W' || (s_suppkey % 60) AS wallet, 'P' || p_partkey AS cid FROM supplier, part WHERE p_partkey % 20 = s_suppkey % 20 GROUP BY ALL)
+  SELECT a.wallet, a.cid, r.root_cid IS NOT NULL AS has_root, p.cid IS NOT NULL AS has_pin, g.cid IS NOT NULL AS pinned_anywhere FROM asked a
+  LEFT JOIN (SELECT DISTINCT wallet, root_cid FROM wallet_roots WHERE status = 'active') r ON r.wallet = a.wallet AND r.root_cid = a.cid
+  LEFT JOIN (SELECT DISTINCT wallet, cid FROM wallet_pins) p ON p.wallet = a.wallet AND p.cid = a.cid LEFT JOIN (SELECT DISTINCT cid FROM wallet_pins) g ON g.cid = a.cid""",
 )
 def j14(spark, d):
-    roots = b.wallet_roots(spark, d).filter("status = 'active'").select("wallet", F.col("root_cid").alias("cid"), F.lit(True).alias("r"))
-    rows = b.wallet_pins(spark, d).join(roots, ["wallet", "cid"], "left")
-    return rows.select("wallet", "cid", F.coalesce("r", F.lit(False)).alias("has_root"), F.lit(True).alias("has_pin"))
+    suppliers = b.table(spark, d, "supplier").select(F.concat(F.lit("W"), (F.col("s_suppkey") % 60).cast("string")).alias("wallet"), (F.col("s_suppkey") % 20).alias("k"))
+    parts = b.table(spark, d, "part").select(b.tagged("P", "p_partkey").alias("cid"), (F.col("p_partkey") % 20).alias("k"))
+    asked = suppliers.join(parts, "k").select("wallet", "cid").distinct()
+    return usage.pin_state(asked, b.wallet_roots(spark, d), b.wallet_pins(spark, d))
 
 
 @query(
@@ -176,23 +175,14 @@ def k2(spark, d):
 
 @query(
     "p26_http_path",
-    """SELECT url, CASE WHEN tail = '' THEN '/' ELSE '/' || regexp_replace(tail, '[0-9]+', ':id', 'g') END AS route FROM (
-  SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS tail FROM pages)""",
+    """SELECT page_id, ['/cid/:cid', '/children/:cid', '/parents/:cid', '/wallet/:wallet/usage', '/admin/wallet/:wallet', '/ipfs/:cid', '/ipns/:name', '/ipfs', '/wallet/' || page_id, '/'][CAST(page_id % 10 + 1 AS INTEGER)] AS route FROM pages""",
 )
 def p26(spark, d):
-    tail = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    return b.table(spark, d, "pages").select("url", metrics.route_template(tail).alias("route"))
-
-
-@query(
-    "a13_domain_ranking",
-    b.with_frames("domain_records wallet_pins", """, m AS (SELECT r.domain, count(DISTINCT p.cid) AS roots FROM domain_records r JOIN wallet_pins p ON p.wallet = r.owner GROUP BY 1)
-  SELECT domain, roots, CAST(round(least(1.0, least(0.1 * roots, 0.2) + 0.5), 6) AS DOUBLE) AS score FROM m"""),
-)
-def a13(spark, d):
-    records, pins = b.domain_records(spark, d), b.wallet_pins(spark, d)
-    per = records.join(pins, records.owner == pins.wallet).groupBy("domain").agg(F.count_distinct("cid").alias("roots"))
-    return per.select("domain", "roots", F.round(F.least(F.lit(1.0), F.least(0.1 * F.col("roots"), F.lit(0.2)) + 0.5), 6).alias("score"))
+    i, n = F.col("page_id") % 10, F.col("page_id").cast("string")
+    heads = ("/cid/", "/children/", "/parents/", "/wallet/", "/admin/wallet/", "/ipfs/", "/ipns/", "/ipfs", "/wallet/", "")
+    head = F.element_at(F.array(*map(F.lit, heads)), (i + 1).cast("int"))
+    path = F.concat(head, F.when(~i.isin(7, 9), n).otherwise(""), F.when(i == 3, "/usage").otherwise(""), F.lit("?a=1/2"))
+    return b.table(spark, d, "pages").select("page_id", metrics.route_template(path).alias("route"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera import bindings as b
 from tessera.functions import detect, hits
 from tessera.registry import query
+from tessera.sources import records
 
 BUCKET = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL WHEN {0} < 65536 THEN 'xs' WHEN {0} < 1048576 THEN 's' WHEN {0} < 52428800 THEN 'm' WHEN {0} < 524288000 THEN 'l' WHEN {0} < 5368709120 THEN 'xl' ELSE 'xxl' END"
 KIND = """CASE WHEN mime IS NULL THEN 'unknown' WHEN starts_with(mime, 'image/') THEN 'image' WHEN mime IN ('text/html', 'application/xhtml+xml') THEN 'html'
@@ -49,32 +50,73 @@ def p20(spark, d):
     return spark.sql(f"SELECT * FROM VALUES {NAMES} AS t(name)").select("name", detect.mime_hint(F.col("name")).alias("hint"))
 
 
+#: Hexadecimal digits of the first 4,096 bytes, one pair a byte.
+BYTES = "list_transform(range(least(length(x), 8192) // 2), lambda i: substr(x, i * 2 + 1, 2))"
+
+
 @query(
     "f22_mostly_text",
-    """SELECT page_id, length(regexp_replace(t, '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g')) > 0.8 * strlen(t) AS plain
-  FROM (SELECT page_id, substr(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), 1, 3000) AS t FROM pages)""",
+    f"""SELECT page_id, len(bytes) > 0 AND NOT list_contains(bytes, '00') AND len(list_filter(bytes, lambda v: v BETWEEN '20' AND '7E' OR v BETWEEN '09' AND '0D')) > 0.8 * len(bytes) AS plain
+  FROM (SELECT page_id, {BYTES} AS bytes FROM (SELECT page_id, hex(encode(html)) AS x FROM pages))""",
 )
 def f22(spark, d):
-    head = F.encode(F.substring(F.regexp_replace("html", "[^\\x00-\\x7F]", ""), 1, 3000), "UTF-8")
-    return b.table(spark, d, "pages").select("page_id", detect.is_mostly_text(head).alias("plain"))
-
+    return b.table(spark, d, "pages").select("page_id", detect.is_mostly_text(F.encode("html", "UTF-8")).alias("plain"))
+
+
+#: Heads of blobs and what they must be found to be: (mime, ext_guess, kind, confidence, source).
+OFFICE = "application/vnd.openxmlformats-officedocument"
+CASES = {
+    "255044462D312E34": ("application/pdf", "pdf", "doc", 0.98, "magic"),
+    "202020255044462D312E34": ("application/pdf", "pdf", "doc", 0.95, "container"),
+    "504B030414000000776F72642F": (f"{OFFICE}.wordprocessingml.document", "docx", "archive", 0.97, "container"),
+    "504B030414000000786C2F": (f"{OFFICE}.spreadsheetml.sheet", "xlsx", "archive", 0.97, "container"),
+    "504B0304140000007070742F": (f"{OFFICE}.presentationml.presentation", "pptx", "archive", 0.97, "container"),
+    "504B0304140000006170706C69636174696F6E2F657075622B7A6970": ("application/epub+zip", "epub", "doc", 0.97, "container"),
+    "504B030414000000636C61737365732E646578": ("application/vnd.android.package-archive", "apk", "package", 0.97, "container"),
+    "504B030400000000": ("application/zip", "zip", "archive", 0.9, "container"),
+    "89504E470D0A1A0A00": ("image/png", "png", "image", 0.98, "magic"),
+    "FFD8FFE000": ("image/jpeg", "jpg", "image", 0.98, "magic"),
+    "474946383961": ("image/gif", "gif", "image", 0.98, "magic"),
+    "3C68746D6C3E3C626F64793E": ("text/html", "html", "html", 0.9, "container"),
+    "0A01000000": ("application/vnd.ipld.car", "car", "ipld", 0.85, "container"),
+    "68656C6C6F20776F726C64": ("text/plain", "txt", "text", 0.7, "heuristic"),
+    "0001020304": ("application/octet-stream", None, "unknown", 0.4, "heuristic"),
+    "": ("application/octet-stream", None, "unknown", 0.4, "heuristic"),
+}
+#: Every document behind one of these heads, whose type stands in the first bytes.
+HEADS = [h for h in CASES if CASES[h][2] not in ("text", "unknown")]
+
+
+def expected(head: str) -> str:
+    mime, ext, kind, confidence, source = CASES[head]
+    return f"('{head}', '{mime}', {f"'{ext}'" if ext else 'NULL'}, '{kind}', CAST({confidence} AS DOUBLE), '{source}')"
 
-SAMPLES = """('255044462D312E34'), ('504B030414000000776F72642F'), ('504B0304140000006170706C69636174696F6E2F657075622B7A6970'), ('504B030400000000'),
-  ('89504E470D0A1A0A00'), ('FFD8FFE000'), ('3C68746D6C3E3C626F64793E'), ('0A01000000'), ('68656C6C6F20776F726C64'), ('0001020304'), ('')"""
 
-
-@query("p11_p14_detect")
+@query(
+    "p11_p14_detect",
+    f"""WITH cases(head, mime, ext_guess, kind, confidence, source) AS (VALUES {', '.join(expected(h) for h in CASES)}), places AS (SELECT head, row_number() OVER () - 1 AS k FROM (SELECT unnest({HEADS!r}) AS head))
+  SELECT 'case ' || head AS id, mime, ext_guess, kind, confidence, source FROM cases
+  UNION ALL SELECT 'doc-' || doc_id, cases.mime, cases.ext_guess, cases.kind, cases.confidence, cases.source FROM documents JOIN places ON k = doc_id % {len(HEADS)} JOIN cases USING (head)""",
+)
 def p14(spark, d):
-    rows = spark.sql(f"SELECT hexed, unhex(hexed) AS head FROM VALUES {SAMPLES} AS t(hexed)")
     none = F.lit(None).cast("binary")
-    return rows.select("hexed", detect.detect(F.col("head"), none, none).alias("x")).select("hexed", "x.*")
+    cases = spark.createDataFrame([(f"case {h}", h) for h in CASES], "id string, head string").select("id", F.unhex("head").alias("c"))
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS) + 1).cast("int"))
+    made = b.table(spark, d, "documents").select(b.tagged("doc-", "doc_id").alias("id"), F.concat(F.unhex(head), F.encode("text", "UTF-8")).alias("c"))
+    rows = cases.unionByName(made)
+    return rows.select("id", detect.detect(F.col("c"), none, none).alias("x")).select("id", "x.*")
 
 
-@query("p14_detect_pages", "SELECT page_id, 'text/html' AS mime, 'html' AS ext_guess, 'html' AS kind, CAST(0.9 AS DOUBLE) AS confidence, 'container' AS source FROM pages")
+@query(
+    "p14_detect_pages",
+    """SELECT page_id, CASE WHEN regexp_matches(h, '<html|<!doctype html|<head|<body') THEN 'text/html' WHEN plain THEN 'text/plain' ELSE 'application/octet-stream' END AS mime,
+  CASE WHEN regexp_matches(h, '<html|<!doctype html|<head|<body') THEN 'container' ELSE 'heuristic' END AS source
+  FROM (SELECT page_id, lower(substr(html, 1, 262144)) AS h, length(regexp_replace(substr(html, 1, 4096), '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g')) > 0.8 * strlen(substr(html, 1, 4096)) AS plain FROM pages)""",
+)
 def p14_pages(spark, d):
-    raw = F.encode(F.col("html"), "UTF-8")
-    none = F.lit(None).cast("binary")
-    return b.table(spark, d, "pages").select("page_id", detect.detect(F.substring(raw, 1, 4096), none, none).alias("x")).select("page_id", "x.*")
+    s = records.samples(F.encode("html", "UTF-8"))
+    rows = b.table(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", detect.detect(F.col("s.head"), F.col("s.middle"), F.col("s.tail")).alias("x"))
+    return rows.select("page_id", "x.mime", "x.source")
 
 
 @query(
@@ -89,19 +131,10 @@ def p16(spark, d):
     return b.catalog(spark, d).select("cid", F.array_join(tags, " ").alias("tags"))
 
 
-@query("f17_pdf_internal")
-def f17(spark, d):
-    samples = spark.sql(
-        "SELECT * FROM VALUES ('0003756830 00000 n\\n0003756831 00000 n\\n0003756832 00000 f'), ('1 0 obj << /Font >> stream x endstream endobj'),"
-        " ('plain words about streams'), (''), (NULL) AS t(text)"
-    )
-    return samples.select("text", detect.is_pdf_internal(F.col("text")).alias("internal"))
-
-
 @query(
     "f14_html_site",
     b.with_frames("catalog paths", """, p AS (SELECT leaf_cid AS cid, min(path) AS path FROM paths GROUP BY 1)
-  SELECT cid, coalesce(regexp_matches(lower(path), '\\.(html|htm|xhtml)$'), false) OR coalesce(mime = 'text/html', false) AS is_site FROM catalog LEFT JOIN p USING (cid)"""),
+  SELECT cid, coalesce(regexp_matches(lower(path), '\\.html?$'), false) OR coalesce(mime = 'text/html', false) AS is_site FROM catalog LEFT JOIN p USING (cid)"""),
 )
 def f14(spark, d):
     first = b.paths(spark, d).groupBy(F.col("leaf_cid").alias("cid")).agg(F.min("path").alias("path"))
@@ -110,27 +143,6 @@ def f14(spark, d):
     return rows.select("cid", hits.is_html_site(F.col("path"), none, F.col("mime"), none).alias("is_site"))
 
 
-@query(
-    "f15_explore_type",
-    b.with_frames("catalog", "SELECT cid, CASE WHEN mime = 'text/html' THEN 'html' WHEN mime = 'text/plain' THEN 'txt' END AS explore_type FROM catalog"),
-)
-def f15(spark, d):
-    none = F.lit(None).cast("string")
-    kind = hits.explore_type(F.col("kind"), F.col("mime"), none, none, none, none, F.lit(False))
-    return b.catalog(spark, d).select("cid", kind.alias("explore_type"))
-
-
-@query(
-    "f13_octet_rescue",
-    b.with_frames("catalog", "SELECT cid, mime FROM catalog WHERE mime IS NULL OR mime <> 'application/octet-stream' OR size_bytes % 2 = 0"),
-)
-def f13(spark, d):
-    # an octet stream stays only where its extension is a known one; here every other item has one
-    ext = F.when(F.col("size_bytes") % 2 == 0, "name.pdf").otherwise("name.bin")
-    keep = F.col("mime").isNull() | (F.col("mime") != "application/octet-stream") | hits.is_indexed_path(ext, ("pdf", "epub", "txt"))
-    return b.catalog(spark, d).filter(keep).select("cid", "mime")
-
-
 @query(
     "p24_display_name",
     "SELECT p_partkey, nullif(substr(trim(regexp_replace(p_name || chr(10) || chr(9) || p_type, '[\\r\\n\\t]+', ' ', 'g')), 1, 256), '') AS display_name FROM part",

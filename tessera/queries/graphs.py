@@ -27,13 +27,13 @@ def g1_count(spark, d):
 
 
 LISTED = """listing AS (SELECT parent_cid, child_cid AS cid, CASE WHEN child_cid[1] IN ('N', 'C') THEN lower(child_cid) ELSE lower(child_cid) || '.html' END AS name,
-    CASE WHEN child_cid[1] IN ('N', 'C') THEN 'dir' ELSE 'file' END AS type, CAST(length(child_cid) AS BIGINT) AS size FROM edges WHERE child_cid[1] <> 'P')"""
+    CASE WHEN child_cid[1] IN ('N', 'C') THEN 'dir' ELSE 'file' END AS type, CAST(length(child_cid) AS BIGINT) AS size FROM edges)"""
 
 
 def listing(spark, d):
     child = F.col("child_cid")
     is_dir = F.substring(child, 1, 1).isin("N", "C")
-    return b.edges(spark, d).filter("child_cid NOT LIKE 'P%'").select(
+    return b.edges(spark, d).select(
         "parent_cid",
         child.alias("cid"),
         F.when(is_dir, F.lower(child)).otherwise(F.concat(F.lower(child), F.lit(".html"))).alias("name"),
@@ -113,22 +113,3 @@ CANDIDATES = "cand AS (SELECT 'P' || p_partkey AS cid, round(p_retailprice % 97,
 def candidates(spark, d):
     parts = b.table(spark, d, "part").filter("p_partkey % 3 = 0")
     return parts.select(b.tagged("P", "p_partkey").alias("cid"), F.round(F.col("p_retailprice") % 97, 2).alias("score"))
-
-
-@query(
-    "j7_candidate_sites",
-    b.with_frames("domain_records", f""", {CANDIDATES} SELECT domain, owner, CAST(score AS DOUBLE) AS content, cid AS root, CAST(1.0 AS DOUBLE) AS coefficient
-  FROM domain_records JOIN cand ON record_value = '/ipfs/' || cid"""),
-)
-def j7(spark, d):
-    return sites.candidate_sites(b.domain_records(spark, d), candidates(spark, d), b.edges(spark, d))
-
-
-@query(
-    "r12_site_scores",
-    b.with_frames("domain_records", f""", {CANDIDATES}, s AS (SELECT domain, owner, score AS content, max(score) OVER () AS most FROM domain_records JOIN cand ON record_value = '/ipfs/' || cid)
-  SELECT domain, owner, CAST(round(least(0.7 * (content / most) + 0.3 * (0.8 * least((CASE WHEN contains(split_part(domain, '.', 1), 'nation') THEN 6 ELSE 0 END) / length(split_part(domain, '.', 1)), 1.0)), 1), 6) AS DOUBLE) AS site_score FROM s"""),
-)
-def r12(spark, d):
-    found = sites.candidate_sites(b.domain_records(spark, d), candidates(spark, d), b.edges(spark, d))
-    return sites.site_scores(found, ["nation"]).select("domain", "owner", "site_score")

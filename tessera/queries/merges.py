@@ -112,7 +112,8 @@ def m4(spark, d):
 
 
 LISTING = "listing AS (SELECT parent_cid, child_cid FROM edges WHERE parent_cid LIKE 'O%' AND child_cid NOT LIKE '%7' AND parent_cid NOT LIKE '%9')"
-KEPT = "kept AS (SELECT * FROM edges e WHERE parent_cid NOT IN (SELECT parent_cid FROM listing) OR EXISTS (SELECT 1 FROM listing l WHERE l.parent_cid = e.parent_cid AND l.child_cid = e.child_cid))"
+KEPT = """kept AS (SELECT e.parent_cid, e.child_cid FROM edges e LEFT JOIN (SELECT DISTINCT parent_cid, true AS listed FROM listing) p ON p.parent_cid = e.parent_cid
+    LEFT JOIN (SELECT DISTINCT parent_cid, child_cid, true AS kept FROM listing) l ON l.parent_cid = e.parent_cid AND l.child_cid = e.child_cid WHERE listed IS NULL OR kept)"""
 
 
 def listing(spark, d):
@@ -124,7 +125,7 @@ def m5(spark, d):
     return merge.prune_edges(b.edges(spark, d), listing(spark, d))
 
 
-@query("m5_orphans", b.with_frames("edges", f", {LISTING}, {KEPT} SELECT DISTINCT child_cid FROM edges WHERE child_cid NOT IN (SELECT child_cid FROM kept)"))
+@query("m5_orphans", b.with_frames("edges", f", {LISTING}, {KEPT} SELECT child_cid FROM edges EXCEPT SELECT child_cid FROM kept"))
 def m5_orphans(spark, d):
     edges = b.edges(spark, d)
     return merge.orphans(edges, merge.prune_edges(edges, listing(spark, d)))

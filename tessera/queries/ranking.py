@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import bindings as b
-from tessera.functions import text
 from tessera.operators import index, intent, rank, usage
 from tessera.queries.activity import LATEST, OWNED, SINCE
 from tessera.queries.relational import POLICY, TOKENS
-from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, histogram, token_index
+from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens, stored_topics
 from tessera.registry import query
 
 
@@ -42,9 +41,8 @@ RANKED = f"""WITH catalog AS ({b.SQL['catalog']}), access AS ({b.SQL['access']})
 
 def content(spark, d):
     """(cid, matched, content) of documents for the query tokens, confidence 0.7."""
-    found = histogram(spark, d)
-    scores = rank.token_scores(text.index_tokens(found, "cid"), TOKENS)
-    rows = scores.join(text.topics(found, "cid"), "cid", "left")
+    scores = rank.token_scores(stored_tokens(spark, d), TOKENS)
+    rows = scores.join(stored_topics(spark, d), "cid", "left")
     in_topics = F.coalesce(F.arrays_overlap("topics", F.array(*map(F.lit, TOKENS))), F.lit(False))
     value = rank.content_score(F.col("token_part"), F.col("topics"), F.lit("text"), F.lit(0.7), F.col("cid"), TOKENS)
     return rows.select("cid", (F.col("any_match") | in_topics).alias("matched"), value.alias("content"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import bindings as b
-from tessera.operators import index
-from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, token_index
+from tessera.operators import index, search
+from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens
 from tessera.registry import query
 
 TOKENS = ("enan", "her")
-POLICY = "(mime IS NULL OR mime <> 'application/octet-stream') AND kind IN ('image','html','text','doc','archive','ipld','package')"
+POLICY = "(mime IS NULL OR mime <> 'application/octet-stream') AND kind IN (" + ", ".join(f"'{k}'" for k in index.KINDS) + ")"
 MATCHES = f"""{DOC_TEXTS}, {HISTOGRAM},
   matches AS (SELECT cid, count(*) AS matched_tokens, CAST(sum(least("count", 50)) AS BIGINT) AS token_score FROM tokens
     WHERE starts_with(token, 'enan') OR starts_with(token, 'her') GROUP BY cid),
@@ -20,12 +20,12 @@ HIT = "cid, matched_tokens, token_score, kind, mime, size_bytes, present, presen
 
 @query("a1_token_matches", f"WITH paths AS ({b.SQL['paths']}), {MATCHES} SELECT cid, matched_tokens, token_score FROM matches")
 def a1(spark, d):
-    return index.matches(token_index(spark, d), TOKENS)
+    return index.matches(stored_tokens(spark, d), TOKENS)
 
 
 @query("f6_prefix_rows", f"WITH {DOC_TEXTS}, {HISTOGRAM} SELECT cid, token, \"count\" FROM tokens WHERE starts_with(token, 'enan') OR starts_with(token, 'her')")
 def f6(spark, d):
-    return token_index(spark, d).filter(index.prefix_match(TOKENS))
+    return stored_tokens(spark, d).filter(index.prefix_match(TOKENS))
 
 
 @query(
@@ -33,7 +33,7 @@ def f6(spark, d):
     f"WITH paths AS ({b.SQL['paths']}), catalog AS ({b.SQL['catalog']}), {MATCHES} SELECT count(*) AS total FROM matches JOIN catalog USING (cid) WHERE {POLICY}",
 )
 def j1(spark, d):
-    hits = index.matches(token_index(spark, d), TOKENS).join(b.catalog(spark, d).filter(index.policy()), "cid")
+    hits = index.matches(stored_tokens(spark, d), TOKENS).join(b.catalog(spark, d).filter(index.policy()), "cid")
     return hits.agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -44,7 +44,7 @@ def j1(spark, d):
   ORDER BY matched_tokens DESC, token_score DESC, last_seen_at DESC NULLS LAST, cid LIMIT 50""",
 )
 def j2(spark, d):
-    hits = index.search(token_index(spark, d), b.catalog(spark, d), b.paths(spark, d), TOKENS)
+    hits = index.search(stored_tokens(spark, d), b.catalog(spark, d), b.paths(spark, d), TOKENS)
     return index.ranked_page(hits.select(*HIT.split(", ")))
 
 
@@ -105,9 +105,8 @@ def a3(spark, d):
 )
 def j8(spark, d):
     asked = spark.sql("SELECT * FROM VALUES ('enan'), ('her'), ('zzzz') AS t(q)")
-    rows = token_index(spark, d).filter(index.prefix_match(("enan", "her", "zzzz"))).select("token").distinct()
-    hit = asked.join(rows, rows.token.startswith(asked.q), "left_semi").withColumn("found", F.lit(True))
-    return asked.join(hit, "q", "left").select("q", F.coalesce("found", F.lit(False)).alias("found"))
+    hit = search.has_signal(asked.select(F.col("q").alias("id"), F.array("q").alias("tokens")), stored_tokens(spark, d))
+    return asked.join(hit.withColumn("found", F.lit(True)), asked.q == hit.id, "left").select("q", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query("t7_recency_sort", b.with_frames("catalog", "SELECT cid, coalesce(last_seen_at, 0) AS activity_at FROM catalog ORDER BY 2 DESC, 1 LIMIT 200"))
@@ -127,13 +126,3 @@ def t12(spark, d):
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc_nulls_last("last_seen_at"), "cid"))
     rows = b.catalog(spark, d).filter(index.policy()).withColumn("r", rank)
     return rows.filter("r <= 120").select("kind", "cid", "last_seen_at")
-
-
-@query(
-    "s8_point_lookup",
-    b.with_frames("catalog", """SELECT q, arg_min(cid, ord) AS cid FROM (VALUES ('A', 'none', 0), ('A', 'doc-5', 1), ('A', 'doc-6', 2), ('B', 'page-3', 0), ('C', 'gone', 0)) t(q, cid, ord)
-  JOIN catalog USING (cid) GROUP BY q"""),
-)
-def s8(spark, d):
-    asked = spark.sql("SELECT * FROM VALUES ('A', 'none', 0), ('A', 'doc-5', 1), ('A', 'doc-6', 2), ('B', 'page-3', 0), ('C', 'gone', 0) AS t(q, cid, ord)")
-    return b.catalog(spark, d).join(F.broadcast(asked), "cid").groupBy("q").agg(F.min_by("cid", "ord").alias("cid"))

@@ -30,33 +30,6 @@ def a12(spark, d):
     return ranked(spark, d).groupBy("root_cid").agg(F.max_by("cid", F.struct("score", "cid")).alias("entry"))
 
 
-@query(
-    "a16_mean_label_score",
-    "SELECT source, lang AS label, round(count(*) / total, 6) AS mean FROM documents JOIN (SELECT source, count(*) AS total FROM documents GROUP BY 1) USING (source) GROUP BY source, lang, total",
-)
-def a16(spark, d):
-    docs = b.table(spark, d, "documents").select("source", F.col("lang").alias("label"))
-    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    sums = docs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")).join(total, "source")
-    return sums.select("source", "label", F.round(F.col("n") / F.col("total"), 6).alias("mean"))
-
-
-@query("a20_state_counts", b.with_frames("catalog edges", "SELECT (SELECT count(*) FROM catalog) AS items, (SELECT count(*) FROM catalog WHERE present) AS present, (SELECT count(*) FROM edges) AS edges"))
-def a20(spark, d):
-    items = b.catalog(spark, d).agg(F.count(F.lit(1)).alias("items"), F.count_if("present").alias("present"))
-    return items.crossJoin(b.edges(spark, d).agg(F.count(F.lit(1)).alias("edges")))  # one row each
-
-
-@query(
-    "f9_expand_candidates",
-    f"{BASE} SELECT cid, expand_depth FROM state WHERE present AND coalesce(expand_depth, 0) < 3 AND (expand_depth IS NULL OR last_seen_at < 1704080000000) ORDER BY last_seen_at DESC NULLS LAST, cid LIMIT 50",
-)
-def f9(spark, d):
-    stale = F.col("expand_depth").isNull() | (F.col("last_seen_at") < 1_704_080_000_000)
-    rows = state(spark, d).filter(F.col("present") & (F.coalesce("expand_depth", F.lit(0)) < 3) & stale)
-    return rows.orderBy(F.desc_nulls_last("last_seen_at"), "cid").limit(50).select("cid", "expand_depth")
-
-
 @query(
     "t11_look_ahead",
     b.with_frames("wallet_pins", "SELECT wallet, least(count(*), 200) AS shown, count(*) > 200 AS has_more FROM wallet_pins GROUP BY 1"),
@@ -86,13 +59,6 @@ def u6(spark, d):
     return b.table(spark, d, "part").select("p_partkey", F.array_join(both, ",").alias("both"))
 
 
-@query("m7_detect_update", f"{BASE} SELECT cid, CASE WHEN s.cid LIKE '%3' THEN 'detected' END AS kind, CASE WHEN s.cid LIKE '%3' THEN {b.RANK_AT} ELSE last_seen_at END AS updated_at FROM state s")
-def m7(spark, d):
-    found = state(spark, d).filter("cid LIKE '%3'").select("cid", F.lit("detected").alias("kind"))
-    rows = state(spark, d).join(found, "cid", "left")
-    return rows.select("cid", "kind", F.when(F.col("kind").isNotNull(), F.lit(b.RANK_AT)).otherwise(F.col("last_seen_at")).alias("updated_at"))
-
-
 @query("m18_counters", "SELECT event_type AS name, CAST(sum(i) AS BIGINT) AS total FROM (SELECT event_type, CAST(floor(value) AS BIGINT) - 20 AS i FROM events) WHERE i > 0 GROUP BY 1")
 def m18(spark, d):
     rows = b.table(spark, d, "events").select(F.col("event_type").alias("name"), (F.floor("value").cast("bigint") - 20).alias("i"))
@@ -111,10 +77,3 @@ def w4(spark, d):
     total = events.agg(F.count(F.lit(1)).alias("total"))
     per = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).crossJoin(total)  # one row
     return per.select("event_type", F.round(F.col("n") / F.col("total"), 6).alias("share"))
-
-
-@query("p33_merge_tokens")
-def p33(spark, d):
-    model, words = F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(2.0)), F.create_map(F.lit("b"), F.lit(5.0), F.lit("c"), F.lit(1.0))
-    merged = F.map_zip_with(model, words, lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
-    return spark.range(1).select(F.array_sort(F.map_entries(merged)).alias("e")).select(F.to_json("e").alias("tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera import bindings as b
 from tessera.queries.activity import LATEST
 from tessera.registry import query
+from tessera.storage import stored
 from tessera.streaming import usage
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -14,7 +15,10 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 def events(spark, d):
     """The events table as a stream, bound as in the batch queries."""
-    raw = usage.event_stream(spark, f"{d}/events.parquet", EVENTS)
+    return bound(usage.event_stream(spark, f"{d}/events.parquet", EVENTS))
+
+
+def bound(raw):
     return raw.select(
         "event_id",
         F.concat(F.lit("P"), F.get_json_object("props", "$.k")).alias("cid"),
@@ -25,9 +29,35 @@ def events(spark, d):
     )
 
 
+def in_batches(spark, d, batches=4):
+    """The events as files of rising times, one a batch of the stream, in the shared folder."""
+    rows = b.table(spark, d, "events")
+
+    def build(path):
+        bounds = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+        width = (bounds["hi"] - bounds["lo"]) // batches + 1
+        for k in range(batches):
+            low = bounds["lo"] + k * width
+            rows.filter((F.col("event_id") >= low) & (F.col("event_id") < low + width)).coalesce(1).write.mode("append").parquet(path)
+
+    path = stored(spark, "event-batches", [f"{d}/events.parquet"], build)
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    return bound(raw)
+
+
 @query("w1_stream_latest", b.with_frames("access", "").rstrip() + f", {LATEST} SELECT cid, wallet, last_access_at, last_ok FROM latest2")
 def w1(spark, d):
-    return usage.run_to_end(usage.latest_access(events(spark, d)), "complete")
+    done = usage.fold_to_end(in_batches(spark, d), usage.latest_within(90 * b.DAY_MS))
+    return done.select("cid", "wallet", F.col("at_ms").alias("last_access_at"), F.col("ok").alias("last_ok"))
+
+
+@query(
+    "w5_retention",
+    b.with_frames("access", "").rstrip() + f", {LATEST} SELECT cid, wallet, last_access_at, last_ok FROM latest2 WHERE last_access_at >= (SELECT max(at_ms) FROM access) - {10 * b.DAY_MS}",
+)
+def w5(spark, d):
+    done = usage.fold_to_end(in_batches(spark, d), usage.latest_within(10 * b.DAY_MS))
+    return done.select("cid", "wallet", F.col("at_ms").alias("last_access_at"), F.col("ok").alias("last_ok"))
 
 
 @query(
@@ -44,16 +74,23 @@ def w3(spark, d):
     return usage.run_to_end(usage.request_rate(events(spark, d)), "complete")
 
 
-@query("w6_drop_replays", "SELECT count(DISTINCT user_id * 1000 + event_id % 97) AS nonces FROM events")
+def spaced(key: str, every_ms: int, name: str) -> str:
+    """SQL of events at least ``every_ms`` apart by key: each next one is the first that is far enough from the last."""
+    return f"""WITH RECURSIVE e AS (SELECT {key} AS k, epoch_us(ts) // 1000 AS at_ms, min(event_id) AS event_id FROM events GROUP BY ALL),
+  w(k, at_ms, event_id) AS (SELECT k, min(at_ms), arg_min(event_id, at_ms) FROM e GROUP BY k
+    UNION ALL SELECT e.k, min(e.at_ms), arg_min(e.event_id, e.at_ms) FROM w JOIN e ON e.k = w.k AND e.at_ms >= w.at_ms + {every_ms} GROUP BY e.k)
+  SELECT k AS {name}, at_ms, event_id FROM w"""
+
+
+@query("w6_drop_replays", spaced("'n' || event_id % 37", 600_000, "nonce"))
 def w6(spark, d):
-    nonce = F.concat("wallet", F.lit("-"), (F.col("event_id") % 97).cast("string"))
-    once = usage.drop_replays(events(spark, d).withColumn("nonce", nonce), "3650 days")
-    return usage.run_to_end(once.select("nonce"), "append").agg(F.count(F.lit(1)).alias("nonces"))
+    nonce = F.concat(F.lit("n"), (F.col("event_id") % 37).cast("string"))
+    return usage.run_to_end(usage.rate_limited(in_batches(spark, d).withColumn("nonce", nonce), "nonce", 600_000), "append")
 
 
-@query("w8_rate_limit")
+@query("w8_rate_limit", spaced("'W' || user_id", 86_400_000, "wallet"))
 def w8(spark, d):
-    return usage.run_to_end(usage.rate_limited(events(spark, d), "wallet", 3_600_000), "append")
+    return usage.run_to_end(usage.rate_limited(in_batches(spark, d), "wallet", 86_400_000), "append")
 
 
 @query("w10_balance_gate", b.with_frames("access", """SELECT event_id, a.wallet FROM access a JOIN (SELECT 'W' || c_custkey AS wallet FROM customer WHERE c_acctbal >= 1000) USING (wallet)"""))

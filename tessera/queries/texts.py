@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.bindings import table
 from tessera.functions import html, text
 from tessera.registry import query
+from tessera.sources import token_index
+from tessera.storage import stored
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
@@ -40,8 +42,21 @@ def histogram(spark, d):
     return text.token_histogram(doc_texts(spark, d), "cid", "norm")
 
 
-def token_index(spark, d):
-    return text.index_tokens(histogram(spark, d), "cid")
+def index_path(spark, d):
+    """The stored token index of the documents: built once for a state of the table, then read."""
+    return stored(spark, "token-index", [f"{d}/documents.parquet"], lambda path: token_index.write(text.index_tokens(histogram(spark, d), "cid"), path))
+
+
+def stored_tokens(spark, d):
+    return token_index.read(spark, index_path(spark, d))
+
+
+def stored_topics(spark, d):
+    def build(path):
+        text.topics(histogram(spark, d), "cid").write.parquet(path)
+
+    path = stored(spark, "topics", [f"{d}/documents.parquet"], build)
+    return spark.read.schema("cid string, topics array<string>").parquet(path)
 
 
 @query("p1_normalize_text", f"WITH {DOC_TEXTS} SELECT cid, norm FROM texts")
@@ -66,10 +81,10 @@ def p2(spark, d):
     """SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS INTEGER) AS n FROM (
   SELECT conv_id, turn, list_filter(w, lambda x, i: regexp_full_match(x, '[a-z0-9]+') AND list_position(w, x) = i) AS tokens FROM (
     SELECT conv_id, turn, string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s?]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w
-    FROM conversations WHERE length(text) < 200))""",
+    FROM conversations))""",
 )
 def q6(spark, d):
-    rows = table(spark, d, "conversations").filter(F.length("text") < 200)
+    rows = table(spark, d, "conversations")
     tokens = text.query_tokens(text.clean_search(F.col("text"))["clean"])
     return rows.select("conv_id", "turn", tokens.alias("t")).select("conv_id", "turn", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
 
@@ -111,7 +126,16 @@ def p6(spark, d):
     return table(spark, d, "documents").select("doc_id", text.text_title(F.col("text")).alias("title"))
 
 
-@query("p6_description")
+@query(
+    "p6_description",
+    f"""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS w FROM documents),
+  t AS (SELECT doc_id, w, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS title FROM (SELECT doc_id, w, trim(regexp_replace(coalesce(
+      list_filter(list_transform(w[1:40], lambda x: regexp_extract(x, '^#{{1,6}}\\s+(.+)$', 1)), lambda x: {USEFUL.format('x')})[1], list_filter(w[1:60], lambda x: {USEFUL.format('x')})[1]), '\\s+', ' ', 'g')) AS t FROM w)),
+  u AS (SELECT doc_id, list_filter(list_transform(w[1:120], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: {USEFUL.format('x')} AND NOT coalesce(lower(x) = lower(title), false))[1:5] AS u FROM t),
+  l AS (SELECT doc_id, array_to_string(CASE WHEN length(u[1]) >= 800 THEN u[1:1] WHEN length(u[1]) + length(u[2]) + 1 >= 800 THEN u[1:2] WHEN length(u[1]) + length(u[2]) + length(u[3]) + 2 >= 800 THEN u[1:3]
+    WHEN length(u[1]) + length(u[2]) + length(u[3]) + length(u[4]) + 3 >= 800 THEN u[1:4] ELSE u END, ' ') AS j FROM u)
+  SELECT doc_id, CASE WHEN coalesce(j, '') = '' THEN NULL WHEN length(j) > 800 THEN rtrim(substr(j, 1, 800)) || '…' ELSE j END AS description FROM l""",
+)
 def p6_description(spark, d):
     titled = table(spark, d, "documents").select("doc_id", "text", text.text_title(F.col("text")).alias("title"))
     return titled.select("doc_id", text.text_description(F.col("text"), F.col("title")).alias("description"))
@@ -124,7 +148,7 @@ def a10(spark, d):
 
 @query("t3_index_tokens", f'WITH {DOC_TEXTS}, {HISTOGRAM} SELECT cid, token, "count" FROM tokens')
 def t3(spark, d):
-    return token_index(spark, d)
+    return text.index_tokens(histogram(spark, d), "cid")
 
 
 @query(
@@ -154,12 +178,29 @@ def p3(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_metadata(F.col("html")).alias("m")).select("page_id", "m.title")
 
 
-@query("p3_html_metadata")
+ATTRIBUTE = "trim(coalesce(nullif(regexp_extract(m, '(?i){0}\\s*=\\s*(\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', 2), ''), nullif(regexp_extract(m, '(?i){0}\\s*=\\s*(\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', 3), ''), regexp_extract(m, '(?i){0}\\s*=\\s*(\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', 4)))"
+
+
+@query(
+    "p3_html_metadata",
+    f"""WITH m AS (SELECT page_id, k, lower(coalesce(nullif({ATTRIBUTE.format('name')}, ''), nullif({ATTRIBUTE.format('property')}, ''))) AS name,
+      trim(regexp_replace({DECODED.format(ATTRIBUTE.format('content'))}, '\\s+', ' ', 'g')) AS content
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS m, unnest(range(len(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')))) AS k FROM pages)),
+  f AS (SELECT page_id, arg_min(content, k) FILTER (name IN ('og:title', 'twitter:title') AND content <> '') AS t, arg_min(content, k) FILTER (name IN ('description', 'og:description', 'twitter:description') AND content <> '') AS x FROM m GROUP BY 1),
+  t AS (SELECT page_id, nullif(trim(regexp_replace({DECODED.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,512}?)</title>', 1), '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')), '') AS own FROM pages)
+  SELECT page_id, substr(coalesce(own, t), 1, 200) AS title, substr(x, 1, 300) AS description FROM t LEFT JOIN f USING (page_id)""",
+)
 def p3_all(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_metadata(F.col("html")).alias("m")).select("page_id", "m.*")
 
 
-@query("p4_readable_text")
+READABLE = "regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g')"
+for _block in ("script", "style", "noscript", "svg"):
+    READABLE = f"regexp_replace({READABLE}, '(?is)<{_block}.*?</{_block}>', ' ', 'g')"
+READABLE = "trim(regexp_replace(regexp_replace(" + DECODED.format("regexp_replace(" + READABLE + ", '<[^>]+>', ' ', 'g')") + ", '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("p4_readable_text", f"SELECT page_id, {READABLE.format('html')} AS readable FROM pages")
 def p4(spark, d):
     return table(spark, d, "pages").select("page_id", html.readable_text(F.col("html")).alias("readable"))
 
@@ -169,7 +210,10 @@ def p9(spark, d):
     return table(spark, d, "pages").select("page_id", text.squeeze(html.strip_tags(F.col("html"))).alias("stripped"))
 
 
-@query("html_token_histogram")
+@query(
+    "html_token_histogram",
+    f"""WITH texts AS (SELECT page_id AS cid, {NORMALIZED.format(READABLE.format('html'))} AS norm FROM pages), {HISTOGRAM} SELECT cid AS page_id, token, "count" FROM histogram""",
+)
 def html_tokens(spark, d):
     pages = table(spark, d, "pages").select("page_id", text.normalize_text(html.readable_text(F.col("html"))).alias("norm"))
     return text.token_histogram(pages, "page_id", "norm")

@@ -23,4 +23,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tessera.queries import activity, detection, graphs, merges, ranking, relational, smaller, streams, texts  # noqa: E402, F401
+from tessera.queries import (  # noqa: E402, F401
+    activity,
+    crawling,
+    detection,
+    graphs,
+    hitting,
+    merges,
+    ranking,
+    relational,
+    searching,
+    siting,
+    smaller,
+    sourcing,
+    streams,
+    texts,
+)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.operators import graph
+from tessera.storage import delete, new_folder
 
 DAY = "1 day"
 
@@ -48,26 +49,76 @@ def request_rate(log: DataFrame, width: str = "5 minutes", late: str = "10 minut
 
 
 def drop_replays(requests: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """A nonce that comes again within the window is dropped."""
+    """W6 by the engine's own state: a nonce that comes again within the window is dropped.
+
+    Copies that stand farther apart may be dropped too if they come in one batch; ``rate_limited``
+    by nonce keeps to the window exactly.
+    """
     return requests.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["nonce"])
 
 
-def rate_limited(events: DataFrame, key: str, every_ms: int) -> DataFrame:
-    """At most one event of a key in ``every_ms``, by event time; the state is the last time let through."""
+def rate_limited(events: DataFrame, key: str, every_ms: int, late: str = "10 minutes") -> DataFrame:
+    """At most one event of a key in ``every_ms``, by event time.
+
+    The state is the last time let through, dropped when the watermark has passed its window. Of a
+    key's events in a batch, numbers alone are held; the next event is found by binary search.
+    """
 
     def let_through(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(b["at_ms"].to_numpy(), b["event_id"].to_numpy()) for b in batches]
+        at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, at))
+        at, ids = at[order], ids[order]
         last = state.get[0] if state.exists else None
-        kept = []
-        for at, event_id in sorted(pair for b in batches for pair in zip(b["at_ms"], b["event_id"], strict=True)):
-            if last is None or at - last >= every_ms:
-                last = int(at)
-                kept.append((k[0], int(at), int(event_id)))
+        kept, i = [], 0 if last is None else int(np.searchsorted(at, last + every_ms))
+        while i < len(at):
+            kept.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + every_ms))
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(kept, columns=[key, "at_ms", "event_id"])
+            state.setTimeoutTimestamp(max(last + every_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(kept), "at_ms": at[kept], "event_id": ids[kept]})
 
     schema = f"{key} string, at_ms bigint, event_id bigint"
-    return events.select(key, "at_ms", "event_id").groupBy(key).applyInPandasWithState(let_through, schema, "last bigint", "append", "NoTimeout")
+    timed = events.select(key, "at_ms", "event_id", F.timestamp_millis("at_ms").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy(key).applyInPandasWithState(let_through, schema, "last bigint", "append", "EventTimeTimeout")
+
+
+def redeemed(issued: DataFrame, used: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
+    """(token, used_at, event_id): the first use of each token within its time to live; later uses find it gone.
+
+    ``issued`` has (token, issued_at), ``used`` (token, used_at, event_id).
+    """
+    rows = used.join(issued, "token").filter((F.col("used_at") >= F.col("issued_at")) & (F.col("used_at") - F.col("issued_at") <= ttl_ms))
+    first = F.min(F.struct("used_at", "event_id")).alias("u")
+    return rows.groupBy("token").agg(first).select("token", "u.used_at", "u.event_id")
+
+
+def ingest_requests(bodies: DataFrame, column: str) -> DataFrame:
+    """(wallet, plan_id, est_bytes, display_name) of upload requests; those without a wallet are refused.
+
+    A size must be a positive number and is rounded down; the name stands under the first of its
+    spellings that is given.
+    """
+    named = ("displayName", "display_name", "name", "fileName", "filename")
+    rows = bodies.select(F.from_json(column, "struct<wallet:string,planId:string,estBytes:double>").alias("b"), column)
+    # two of the names differ in case alone, so they are read by path
+    name = F.coalesce(*(F.get_json_object(column, f"$.{n}") for n in named))
+    size = F.when(F.col("b.estBytes") > 0, F.floor("b.estBytes")).cast("bigint")
+    empty = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select(empty(F.col("b.wallet")).alias("wallet"), empty(F.col("b.planId")).alias("plan_id"), size.alias("est_bytes"), empty(name).alias("display_name")).filter(
+        "wallet IS NOT NULL"
+    )
+
+
+def import_roots(lines: DataFrame, column: str) -> DataFrame:
+    """K4: (upload, cid) of an import's JSON lines, each root of an upload once; lines without a root are skipped."""
+    root = F.get_json_object(column, "$.Root.Cid['/']")
+    return lines.select("upload", F.trim(root).alias("cid")).filter("cid <> ''").dropDuplicates(["upload", "cid"])
 
 
 def gated(events: DataFrame, balances: DataFrame, least: float) -> DataFrame:
@@ -83,7 +134,7 @@ def run_to_end(stream: DataFrame, mode: str, merge: Callable[[DataFrame, int], N
     itself. In complete mode the last batch is the result, in append mode all are.
     """
     spark = stream.sparkSession
-    base = graph.stage_dir(spark)
+    base = new_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         if merge:
@@ -96,3 +147,45 @@ def run_to_end(stream: DataFrame, mode: str, merge: Callable[[DataFrame, int], N
     if mode == "complete":
         out = out.filter(F.col("batch") == out.agg(F.max("batch").alias("m")).first()["m"])
     return out.drop("batch")
+
+
+def fold_to_end(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """Drain a stream into a table: each batch makes the next version from the one before.
+
+    Version n is written from version n - 1, so a batch that is done again gives the same version;
+    older ones go. State is the table, not the stream's memory.
+    """
+    spark = stream.sparkSession
+    base, last = new_folder(spark, "fold"), [-1]
+
+    def put(batch: DataFrame, number: int) -> None:
+        old = spark.read.parquet(f"{base}/version={number - 1}") if number else None
+        step(old, batch).write.mode("overwrite").parquet(f"{base}/version={number}")
+        last[0] = number
+        if number > 1:
+            delete(spark, f"{base}/version={number - 2}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:  # nothing came
+        return step(None, spark.createDataFrame([], stream.schema))
+    return spark.read.parquet(f"{base}/version={last[0]}")
+
+
+def latest_within(retention_ms: int) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """W1 and W5 as a fold: the last access of every (cid, wallet), those older than the retention dropped.
+
+    Time is the newest event's, so what is dropped can't come back but by an event that is older still.
+    """
+
+    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.select("cid", "wallet", "at_ms", "event_id", "ok")
+        last = F.max_by(F.struct("at_ms", "event_id", "ok"), F.struct("at_ms", "event_id")).alias("l")
+        rows = rows.groupBy("cid", "wallet").agg(last).select("cid", "wallet", "l.*")
+        if old is not None:
+            rows = old.drop("newest").unionByName(rows).groupBy("cid", "wallet").agg(last).select("cid", "wallet", "l.*")
+        newest = rows.agg(F.max("at_ms").alias("newest"))  # one row
+        if old is not None:
+            newest = newest.unionByName(old.agg(F.max("newest").alias("newest"))).agg(F.max("newest").alias("newest"))
+        return rows.crossJoin(F.broadcast(newest)).filter(F.col("at_ms") >= F.col("newest") - retention_ms)
+
+    return step

@@ -31,9 +31,8 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in wanted.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs_without_sql(name, spark, sf_dir):
-    assert registry.QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
