@@ -3,7 +3,7 @@
 A message is a list of parts: text, image, audio or document. A visitor over the parts writes
 texts with control strings escaped and a placeholder for every attachment, in order; each
 attachment is recorded with its place and the tokens that its placeholder expands to. A
-conversation's messages are joined by the template, with the spans that a loss may use.
+conversation's messages are joined by the template, with the mask that a loss may use.
 
 Escaping is reversible: a backslash is doubled, and a backslash goes in after the first
 character wherever a control string begins. So no control string survives inside a text, and
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import pick
 
@@ -97,12 +98,15 @@ def visit(part: Column, t: Template) -> Column:
 def format_chat(messages: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, parts).
 
-    (conv_id, formatted, loss_spans, attachments, expanded_tokens). Turns are in order of turn,
-    null last, ties by role and content. ``loss_spans`` are [start, end) in code points of
-    ``formatted``; ``attachments`` list (ordinal, turn_index, type, uri, at, n_tokens) in order,
-    ``at`` being the placeholder's code point. A null role counts as an empty one, a null text
-    or list of parts as empty; rows with a null conv_id form one conversation; rows that repeat
-    are turns of their own. No rows give no conversations.
+    (conv_id, formatted, segments, loss_spans, attachments, expanded_tokens). Turns are in order of
+    turn, null last, ties by role and content. ``segments`` are (text, loss): joined they are
+    ``formatted``, and those of ``loss`` are the loss mask; ``loss_spans`` are the same mask as
+    [start, end) in code points of ``formatted``. ``attachments`` list (ordinal, turn_index, type,
+    uri, at, n_tokens) in order, ``at`` being the placeholder's code point. A null role counts as an
+    empty one, a null text or list of parts as empty; rows with a null conv_id form one
+    conversation; rows that repeat are turns of their own. No rows give no conversations.
+
+    Places are running sums over a conversation's turns, so the work is in proportion to its length.
     """
     t = template
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
@@ -124,57 +128,49 @@ def format_chat(messages: DataFrame, template: Template = Template()) -> DataFra
     role = F.coalesce("role", F.lit(""))
     rows = messages.select("conv_id", "turn", role.alias("role"), seen.alias("seen")).select(
         "conv_id",
-        F.struct(
-            F.col("turn").isNull().alias("no_turn"),
-            "turn",
-            "role",
-            body.alias("body"),
-            F.concat(F.lit(t.turn), escape(F.col("role"), t), F.lit(t.body)).alias("head"),
-            F.aggregate("seen", start, note, lambda acc: acc["found"]).alias("attachments"),
-        ).alias("m"),
+        "turn",
+        "role",
+        body.alias("body"),
+        F.concat(F.lit(t.turn), escape(F.col("role"), t), F.lit(t.body)).alias("head"),
+        F.aggregate("seen", start, note, lambda acc: acc["found"]).alias("attachments"),
     )
-    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("turns"))
-    begin = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("turn_index"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("loss"),
-        F.array().cast("array<struct<turn_index:int,type:string,uri:string,at:int,n_tokens:bigint>>").alias("attached"),
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").isNull(), "turn", "role", "body")
+    size = F.char_length("head") + F.char_length("body") + len(t.end)
+    begin = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumns({"turn_index": F.row_number().over(order) - 1, "first": begin + F.char_length("head")})
+    attached = F.transform(
+        "attachments",
+        lambda a: F.struct(
+            F.col("turn_index").alias("turn_index"), a["type"].alias("type"), a["uri"].alias("uri"), (a["at"] + F.col("first")).alias("at"), a["n_tokens"].alias("n_tokens")
+        ),
     )
-
-    def place(acc: Column, m: Column) -> Column:
-        first = acc["at"] + F.char_length(m["head"])
-        last = first + F.char_length(m["body"])
-        span = F.array(F.struct(first.alias("start"), last.alias("end")))
-        moved = F.transform(
-            m["attachments"],
-            lambda a: F.struct(
-                acc["turn_index"].alias("turn_index"), a["type"].alias("type"), a["uri"].alias("uri"),
-                (a["at"] + first).alias("at"), a["n_tokens"].alias("n_tokens"),
+    turn = F.struct(
+        "turn_index", "head", "body", F.col("role").isin(*t.loss_roles).alias("loss"), "first",
+        (F.col("first") + F.char_length("body")).alias("last"), attached.alias("attached"),
+    )
+    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    segments = F.flatten(
+        F.transform(
+            "turns",
+            lambda m: F.array(
+                F.struct(m["head"].alias("text"), F.lit(False).alias("loss")),
+                F.struct(m["body"].alias("text"), m["loss"].alias("loss")),
+                F.struct(F.lit(t.end).alias("text"), F.lit(False).alias("loss")),
             ),
         )
-        return F.struct(
-            (last + len(t.end)).alias("at"),
-            (acc["turn_index"] + 1).alias("turn_index"),
-            F.when(m["role"].isin(*t.loss_roles), F.concat(acc["loss"], span)).otherwise(acc["loss"]).alias("loss"),
-            F.concat(acc["attached"], moved).alias("attached"),
-        )
-
-    placed = talks.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda m: F.concat(m["head"], m["body"], F.lit(t.end))), "").alias("formatted"),
-        F.aggregate("turns", begin, place).alias("p"),
     )
+    spans = F.transform(F.filter("turns", lambda m: m["loss"]), lambda m: F.struct(m["first"].alias("start"), m["last"].alias("end")))
+    placed = talks.select("conv_id", segments.alias("segments"), spans.alias("loss_spans"), F.flatten(F.transform("turns", lambda m: m["attached"])).alias("attached"))
     attachments = F.transform(
-        "p.attached",
+        "attached",
         lambda a, i: F.struct(
             i.alias("ordinal"), a["turn_index"].alias("turn_index"), a["type"].alias("type"), a["uri"].alias("uri"),
             a["at"].alias("at"), a["n_tokens"].alias("n_tokens"),
         ),
     )
-    total = F.aggregate("p.attached", F.lit(0).cast("bigint"), lambda acc, a: acc + a["n_tokens"])
-    return placed.select(
-        "conv_id", "formatted", F.col("p.loss").alias("loss_spans"), attachments.alias("attachments"), total.alias("expanded_tokens")
-    )
+    total = F.aggregate("attached", F.lit(0).cast("bigint"), lambda acc, a: acc + a["n_tokens"])
+    joined = F.array_join(F.transform("segments", lambda x: x["text"]), "")
+    return placed.select("conv_id", joined.alias("formatted"), "segments", "loss_spans", attachments.alias("attachments"), total.alias("expanded_tokens"))
 
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
@@ -186,9 +182,9 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     return F.transform(split, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
+def loss_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
 
 
 def chat_digests(messages: DataFrame, template: Template = Template()) -> DataFrame:
@@ -197,7 +193,7 @@ def chat_digests(messages: DataFrame, template: Template = Template()) -> DataFr
     done = format_chat(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")), template)
     turns = read_turns(F.col("formatted"), template)
     joined = F.array_join(F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
-    read = done.select("conv_id", "formatted", "expanded_tokens", turns.alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = done.select("conv_id", "formatted", "expanded_tokens", turns.alias("turns"), loss_text(F.col("segments")).alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
