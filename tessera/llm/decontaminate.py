@@ -19,14 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import drop_path, new_path, pick, positional, text_key, text_slices
+from .runtime import drop_path, materialize, new_path, pick, positional, scratch, text_key, text_slices
 
 SEGMENT_BYTES = 4 << 20
-#: Words of test items that are searched at once; more items are taken in blocks.
-BLOCK_WORDS = 2_000_000
+#: Words of test items at which windows begin that are searched at once, about; more are taken in further blocks.
+BLOCK_WORDS = 100_000
+PIECE_WINDOWS = 4_096
 WINDOW = 13
 
 SEGMENT = "doc_ids array<bigint>, keys array<struct<a:bigint,b:bigint>>, lengths binary, terms binary, counts binary, positions binary"
+VERDICT = "doc_id bigint, key struct<a:bigint,b:bigint>, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 HITS = "seg bigint, ordinal int, doc_id bigint, key struct<a:bigint,b:bigint>, n_words bigint, runs array<struct<s:bigint,e:bigint>>, items array<bigint>"
 
 
@@ -84,28 +86,49 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Phrases:
-    """Distinct phrases as rows of term numbers, with the ids of the items that hold them."""
+    """Distinct phrases as runs of term numbers, with the ids of the items that hold them.
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int | None):
-        words, found = words_of(), {}
-        for item_id, text in items:
-            w = words(text)
-            width = len(w) if window is None else min(window, len(w))
-            for i in range(len(w) - width + 1 if width else 0):
-                found.setdefault(tuple(w[i : i + width]), set()).add(item_id)
-        self.terms = sorted({t for phrase in found for t in phrase})
+    Phrase p's terms are ``term[first[p] : first[p] + length[p]]``, its items those of
+    ``item[item_first[p] : item_first[p + 1]]``; ``order`` has the places of each phrase's terms,
+    the rarest first. Arrays of 4 bytes a word, so that a block takes some MB.
+    """
+
+    def __init__(self, pieces: list[tuple[int | None, str | None]], window: int | None):
+        words = words_of()
+        found = [(item_id, w) for item_id, text in pieces if (w := words(text))]
+        self.terms = sorted({t for _, w in found for t in w})
         number = {t: i for i, t in enumerate(self.terms)}
-        self.items = [sorted(x for x in ids if x is not None) for ids in found.values()]
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.term = np.full((len(found), int(self.length.max(initial=0))), -1, np.int64)
-        for i, phrase in enumerate(found):
-            self.term[i, : len(phrase)] = [number[t] for t in phrase]
+        by_width: dict[int, list[tuple[np.ndarray, int | None]]] = {}
+        for item_id, w in found:
+            ids = np.fromiter((number[t] for t in w), np.int32, len(w))
+            width = len(w) if window is None else min(window, len(w))
+            by_width.setdefault(width, []).append((np.lib.stride_tricks.sliding_window_view(ids, width), item_id))
+        self.groups: list[tuple[int, int]] = []  # (phrases, width), in order
+        terms, items, counts = [], [], []
+        for width, held in sorted(by_width.items()):
+            rows, which = np.unique(np.concatenate([m for m, _ in held]), axis=0, return_inverse=True)
+            owner = np.repeat(np.arange(len(held)), [len(m) for m, _ in held])
+            known = np.array([i is not None for _, i in held])[owner]
+            ids = np.array([i or 0 for _, i in held], np.int64)[owner]
+            pairs = np.unique(np.stack([which.ravel()[known], ids[known]]), axis=1)
+            self.groups.append(rows.shape)
+            terms.append(rows.ravel())
+            items.append(pairs[1])
+            counts.append(np.bincount(pairs[0], minlength=len(rows)))
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.term, self.item = join(terms, np.int32), join(items, np.int64)
+        self.length = np.repeat(*np.array([(w, n) for n, w in self.groups], np.int64).reshape(-1, 2).T) if self.groups else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.item_first = np.concatenate([[0], np.cumsum(join(counts, np.int64))])
         self.order = np.zeros_like(self.term)
 
     def rarest_first(self, counts: np.ndarray) -> None:
         """Order each phrase's terms by their counts over the whole index."""
-        n = np.where(self.term >= 0, counts[self.term], np.iinfo(np.int64).max)
-        self.order = np.argsort(n, axis=1, kind="stable")
+        at = 0
+        for n, width in self.groups:
+            rows = self.term[at : at + n * width].reshape(n, width)
+            self.order[at : at + n * width] = np.argsort(counts[rows], axis=1, kind="stable").ravel()
+            at += n * width
 
 
 def search_segment(
@@ -115,20 +138,27 @@ def search_segment(
 
     ``start`` is where the phrase begins if the rarest term stands in its place. With slop 0 all
     terms stand in their places; else each within ``slop`` words of its place, in that document.
+    Phrases whose rarest term the segment lacks are left at once; the other terms are looked up
+    for what is left.
     """
     none = np.empty(0, np.int64)
     at = pc.index_in(pa.array(phrases.terms, pa.binary()), value_set=terms).fill_null(-1).to_numpy().astype(np.int64)
     if not len(at) or not len(positions):
         return none, none, none
-    local = np.where(phrases.term >= 0, at[phrases.term], 0)
-    alive = np.flatnonzero((local >= 0).all(axis=1))
+    rarest = phrases.order[phrases.first]
+    alive = np.flatnonzero(at[phrases.term[phrases.first + rarest]] >= 0)
+    for r in range(1, int(phrases.length[alive].max(initial=0))):
+        used = phrases.length[alive] > r
+        here = np.where(used, phrases.first[alive] + r, phrases.first[alive])
+        offset = phrases.order[here]
+        alive = alive[~used | (at[phrases.term[phrases.first[alive] + offset]] >= 0)]
     if not len(alive):
         return none, none, none
     first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     n = len(positions)
     keys = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * n + positions
-    rarest = phrases.order[alive, 0]
-    anchor = local[alive, rarest]
+    rarest = rarest[alive].astype(np.int64)
+    anchor = at[phrases.term[phrases.first[alive] + rarest]]
     many = counts[anchor].astype(np.int64)
     which = np.repeat(np.arange(len(alive)), many)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
@@ -137,10 +167,12 @@ def search_segment(
     doc = np.searchsorted(bounds, here, side="right") - 1
     ok = (start >= bounds[doc]) & (start + phrases.length[phrase] <= bounds[doc + 1]) if not slop else np.ones(len(here), bool)
     phrase, start, doc = phrase[ok], start[ok], doc[ok]
-    for r in range(1, phrases.term.shape[1]):
-        offset = phrases.order[phrase, r]
+    for r in range(1, int(phrases.length.max(initial=0))):
+        if not len(phrase):
+            break
         used = r < phrases.length[phrase]
-        term = local[phrase, offset]
+        offset = phrases.order[phrases.first[phrase] + np.where(used, r, 0)].astype(np.int64)
+        term = at[phrases.term[phrases.first[phrase] + offset]]
         low = np.maximum(start + offset - slop, bounds[doc])
         high = np.minimum(start + offset + slop, bounds[doc + 1] - 1)
         found = np.searchsorted(keys, term * n + low)
@@ -194,7 +226,8 @@ def search(phrases, slop: int) -> Callable:
                     s = start[a:b] - bounds[d]
                     found = covered_runs(s, s + wanted.length[phrase[a:b]])
                     runs[d] = [{"s": x, "e": y} for x, y in found]
-                    items[d] = sorted({x for p in np.unique(phrase[a:b]) for x in wanted.items[p]})
+                    held = [wanted.item[wanted.item_first[p] : wanted.item_first[p + 1]] for p in np.unique(phrase[a:b])]
+                    items[d] = np.unique(np.concatenate(held)).tolist()
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -235,20 +268,43 @@ def term_counts(index: DataFrame, terms: list[bytes]) -> np.ndarray:
     return counts
 
 
+def item_pieces(tests: DataFrame, window: int | None) -> DataFrame:
+    """(item_id, text, windows): items cut into pieces of ``PIECE_WINDOWS`` windows at most, which overlap so that none is lost.
+
+    Repeated rows are dropped first. A whole item is one phrase where ``window`` is None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of()
+        for batch in batches:
+            rows = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = words(text.as_py())
+                width = len(w) if window is None else min(window, len(w))
+                for i in range(0, len(w) - width + 1 if width else 0, PIECE_WINDOWS):
+                    piece = w[i : i + PIECE_WINDOWS - 1 + width]
+                    rows.append((item_id, b" ".join(piece).decode(), len(piece) - width + 1))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["item_id", "text", "windows"])
+
+    rows = pick(tests, item_id="bigint", text="string").filter("text is not null").dropDuplicates()
+    return rows.mapInArrow(run, "item_id bigint, text string, windows bigint").dropDuplicates(["item_id", "text"])
+
+
 def phrase_hits(index: DataFrame, tests: DataFrame, window: int | None = WINDOW, slop: int = 0) -> DataFrame:
     """For every indexed document the runs of words that test phrases cover, and the items that hit.
 
     ``tests`` has (item_id, text); a phrase is ``window`` consecutive words, or a whole item where
-    it is shorter or ``window`` is None. Items are searched in blocks of a bounded number of words,
-    so neither the driver nor a task holds a test set of any size.
+    it is shorter or ``window`` is None. Pieces of items are searched in blocks of a bounded number of
+    windows, so neither the driver nor a task holds a test set of any size.
     """
     spark = index.sparkSession
-    rows = pick(tests, item_id="bigint", text="string").filter("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
+    pieces = materialize(item_pieces(tests, window), "pieces")
+    size = pieces.agg(F.sum("windows" if window else F.octet_length("text") / 6)).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_WORDS))
     found = None
     for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        part = pieces.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         phrases = Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)
         phrases.rarest_first(term_counts(index, phrases.terms))
         hits = index.mapInArrow(search(spark.sparkContext.broadcast(vars(phrases)), slop), HITS)
@@ -281,17 +337,21 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, one_i
     """
     spark = docs.sparkSession
     path, out = new_path(spark, "index"), new_path(spark, "hits")
-    hits = phrase_hits(build_index(docs, path), tests, window)
+    with scratch(spark):
+        judged(phrase_hits(build_index(docs, path), tests, window), one_in).write.parquet(out)
+    drop_path(spark, path)
+    return spark.read.schema(VERDICT).parquet(out)
+
+
+def judged(hits: DataFrame, one_in: int) -> DataFrame:
+    """Counts, items and verdict from runs and items."""
     n_hit = covered(F.col("runs"))
     named = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     rows = hits.select(
         "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
     )
-    rows = rows.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
-    rows.write.parquet(out)
-    drop_path(spark, path)
-    return spark.read.schema(rows.schema).parquet(out)
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
 
 def proximity_matches(docs: DataFrame, tests: DataFrame, slop: int) -> DataFrame:
