@@ -12,7 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +59,61 @@ TEMPLATES: dict[str, str] = {
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-license": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause-license": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-license": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+        "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+        "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+        "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of "
+        "this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for "
+        "the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+        "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
 }
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -68,15 +123,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def lines(text: str) -> Iterator[tuple[int, int]]:
-    """Word numbers at which each line begins and ends."""
-    at = 0
-    for line in text.split("\n"):
-        n = len(words_of(line))
-        yield at, at + n
-        at += n
-
-
 def windows(words: list[str], template: list[str], least: float) -> Iterator[tuple[int, int]]:
     """Overlapping stretches of one to two templates' length that hold enough of its words."""
     n, held = len(template), set(template)
@@ -154,49 +200,73 @@ def dense_stretch(pairs: list[tuple[int, int]], n_template: int) -> list[tuple[i
     return max(best, part, key=len)
 
 
+def apart(found: list[tuple], key: Callable) -> list[tuple]:
+    """The best of ``found`` (license, coverage, n_matched, first, end) by ``key`` that don't overlap, by place."""
+    kept: list[tuple] = []
+    for f in sorted(found, key=key):
+        if all(f[4] <= k[3] or k[4] <= f[3] for k in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: (f[3], f[0]))
+
+
+def places(name: str, words: list[str], template: list[str], least: float) -> list[tuple]:
+    """Every place where the template's alignment reaches the coverage, none overlapping another.
+
+    The whole text is aligned as one, and every stretch that holds enough of the template's words: of
+    a notice that stands several times, no word stands once in the whole text, but in a stretch.
+    """
+    found = []
+    tried = [(0, dense_stretch(patience(words, template), len(template)))]
+    tried += [(begin, patience(words[begin:end], template)) for begin, end in windows(words, template, least)]
+    for begin, pairs in tried:
+        if len(pairs) >= least * len(template):
+            found.append((name, len(pairs) / len(template), len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
+    return apart(list(dict.fromkeys(found)), lambda f: (-f[2], f[4] - f[3], f[3]))
+
+
 def scanner(templates: dict[str, str], least: float) -> Callable:
-    prepared = {name: words_of(t) for name, t in sorted(templates.items())}
+    prepared = {name: w for name, t in sorted(templates.items()) if (w := words_of(t))}
     counts = {name: Counter(t) for name, t in prepared.items()}
     vocabulary = {w for t in prepared.values() for w in t}
 
-    def best(text: str | None) -> tuple:
+    def all_places(text: str | None) -> list[tuple]:
         words = words_of(text) if text else []
         present = vocabulary.intersection(words)
-        found = (None, 0.0, 0, None, None)
+        found = []
         for name, template in prepared.items():
             if sum(n for w, n in counts[name].items() if w in present) < least * len(template):
                 continue  # too few of its words are there for the coverage asked
-            pairs = dense_stretch(patience(words, template), len(template))
-            if len(pairs) < least * len(template):  # copies leave no word that stands once: by lines and windows
-                for begin, end in chain(lines(text), windows(words, template, least)):
-                    if len(pairs) == len(template):
-                        break
-                    part = patience(words[begin:end], template)
-                    pairs = max(pairs, [(a + begin, b) for a, b in part], key=len)
-            cover = len(pairs) / len(template)
-            if cover >= least and (cover, len(pairs)) > (found[1], found[2]):
-                found = (name, cover, len(pairs), pairs[0][0], pairs[-1][0] + 1)
+            found += places(name, words, template, least)
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         names = ("license", "coverage", "n_matched", "first_word", "end_word")
+        notice = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
         for batch in batches:
-            rows = [best(t.as_py()) for t in batch.column(1)]
+            rows, notices = [], []
+            for t in batch.column(1):
+                found = all_places(t.as_py())
+                rows.append(min(found, key=lambda f: (-f[1], -f[2], f[0], f[3]), default=(None, 0.0, 0, None, None)))
+                # a longer notice stands before a shorter one inside it
+                notices.append([dict(zip(names, f, strict=True)) for f in apart(found, lambda f: (-f[2], -f[1], f[0], f[3]))])
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(notices, notice)], names=["doc_id", *names, "notices"])
 
     return run
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, coverage, n_matched, first_word, end_word) for every row of ``docs``.
+    """(doc_id, license, coverage, n_matched, first_word, end_word, notices) for every row of ``docs``.
 
-    The template of the highest coverage of ``least`` or more, the longer match first, then by
-    name; null with coverage 0 where there is none, as for a null or empty text. Word numbers are
-    those of the text's words; repeated rows are judged one by one; no rows give none.
+    ``notices`` are all places of ``least`` coverage or more, in order, none overlapping another; where
+    two would, the longer match stands. The other columns are those of the highest coverage, the longer
+    match first, then by name and place; null with coverage 0 where there is none, as for a null or
+    empty text. Word numbers are those of the text's words; repeated rows are judged one by one; no rows
+    give none. Templates without a word match nothing; no templates leave every text without a license.
     """
     rows = pick(docs, doc_id="bigint", text="string")
-    schema = "doc_id bigint, license string, coverage double, n_matched bigint, first_word bigint, end_word bigint"
-    return rows.mapInArrow(scanner(templates or TEMPLATES, least), schema)
+    one = "license: string, coverage: double, n_matched: bigint, first_word: bigint, end_word: bigint"
+    schema = f"doc_id bigint, {one.replace(':', '')}, notices array<struct<{one}>>"
+    return rows.mapInArrow(scanner(TEMPLATES if templates is None else templates, least), schema)
