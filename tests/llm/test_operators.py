@@ -68,6 +68,26 @@ def test_chat_runs_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_chat_mask_is_the_same_in_spans_and_segments(spark):
+    said = [(i % 3, i, ("user", "assistant", "system")[i % 3 if i % 5 else 1], f"é text {i} <s> \\ [/INST] " * (i % 4)) for i in range(400)]
+    frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    rows = chat.format_chat(frame.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).collect()
+    for r in rows:
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        masked = [s["text"] for s in r["segments"] if s["loss"]]
+        assert [r["formatted"][a:b] for a, b in r["loss_spans"]] == masked and len(masked) > 20
+
+
+def test_chat_of_many_turns(spark):
+    """A conversation of 30,000 turns is formatted in one go; work in proportion to the square would not end."""
+    n = 30_000
+    text = F.concat(F.lit("turn "), F.col("id").cast("string"), F.lit(" </s>"))
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    frame = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    row = chat.chat_digests(frame).first()
+    assert row["n_turns"] == n and row["loss_chars"] == sum(len(f"turn {i} </s>") for i in range(1, n, 2))
+
+
 # 2 token records
 
 
@@ -170,6 +190,19 @@ def test_proximity(spark):
     assert got(decontaminate.proximity_matches(docs, tests, 4), "doc_id") == [(1,), (2,), (3,), (4,)]
 
 
+def test_items_in_pieces_and_blocks_hit_alike(spark, docs, rows, monkeypatch):
+    """Long items cut into overlapping pieces, dealt to many blocks, match as whole ones do."""
+    texts = dict(with_ids(rows))
+    items = [(i, texts[i]) for i in (5, 7, 8, 15)] + [(5, texts[5]), (40, "nothing of the kind " * 30)]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    whole = got(decontaminate.contamination(docs, tests), *columns)
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 900)
+    assert got(decontaminate.contamination(docs, tests), *columns) == whole
+    assert sum(r[-1] for r in whole) >= 4
+
+
 # 4 substrings
 
 
@@ -324,6 +357,40 @@ def test_repeated_and_changed_notices_are_found(spark):
     assert [rows[i]["n_matched"] for i in range(4)] == [total, total, total - 7, total - 8]
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-3-Clause", "GPL-3.0-notice", "Apache-2.0-notice", "MIT-license", "Zlib"])
+def test_every_copy_of_a_notice_is_found_with_its_place(spark, name):
+    words = licenses.TEMPLATES[name].split()
+    wrapped = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    code = "\n".join(f"x{i} = f{i}(y{i})" for i in range(60))
+    texts = [wrapped + "\n" + wrapped, f"{code}\n{wrapped}\n{code}\n{wrapped}\n{code}\n{wrapped}"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    n, gap = len(licenses.words_of(licenses.TEMPLATES[name])), len(licenses.words_of(code))
+    places = [[(r["first_word"], r["end_word"]) for r in row["notices"] if r["license"] == name] for row in rows]
+    assert places == [[(0, n), (n, 2 * n)], [(gap * (k + 1) + n * k, (gap + n) * (k + 1)) for k in range(3)]]
+    assert all(r["coverage"] == 1.0 for row in rows for r in row["notices"])
+
+
+def test_no_templates_and_templates_without_words(spark):
+    frame = spark.createDataFrame([(1, licenses.TEMPLATES["MIT"])], "doc_id long, text string")
+    for templates in ({}, {"odd": "..."}):
+        row = licenses.license_scan(frame, templates).first()
+        assert (row["license"], row["coverage"], row["notices"]) == (None, 0.0, [])
+
+
+def test_patience_of_distinct_words_is_the_longest_ascending_run():
+    rnd = random.Random(4)
+    for _ in range(150):
+        n = rnd.randint(1, 40)
+        template, text = list(range(n)), rnd.sample(range(n + 10), n)
+        best = []
+        for x in text:  # plain dynamic programming over all pairs
+            best.append((x, 1 + max((b for y, b in best if y < x and y < n), default=0) if x < n else 0))
+        found = licenses.patience(list(map(str, text)), list(map(str, template)))
+        # equal words at both ends are taken before anchors, which never costs a pair of a longest run
+        assert len(found) == max(b for _, b in best)
+        assert all(text[a] == template[b] for a, b in found)
+
+
 # 7 mixing
 
 
