@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.bindings import table
-from tessera.functions import html, text
+from tessera.functions import docs, html, text
 from tessera.registry import query
 from tessera.sources import token_index
 from tessera.storage import stored
@@ -194,6 +194,32 @@ def p3_all(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_metadata(F.col("html")).alias("m")).select("page_id", "m.*")
 
 
+@query(
+    "p5_entities",
+    f"""SELECT doc_id, {DECODED.format("'&amp;'")} || 'A' || chr(CAST(65 + doc_id % 26 AS INTEGER)) || chr(CAST(97 + doc_id % 26 AS INTEGER)) || '😀  <' || lang || '>''&#xZ;&#-1; &unknown;' AS decoded FROM documents""",
+)
+def p5(spark, d):
+    i = F.col("doc_id") % 26
+    raw = F.concat(
+        F.lit("&AMP;&#65;&#"), (i + 65).cast("string"), F.lit(";&#x"), F.hex(i + 97), F.lit(";&#x1F600;&nbsp;&#0;&lt;"), "lang", F.lit("&gt;&#39;&#xZ;&#-1; &unknown;")
+    )
+    return table(spark, d, "documents").select("doc_id", html.decode_entities(raw).alias("decoded"))
+
+
+@query(
+    "p9_html_to_text",
+    """SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]{2,}', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS plain FROM (SELECT page_id, """
+    + DECODED.format(
+        "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>|</div>|</li>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    )
+    + " AS t FROM pages)",
+)
+def p9_text(spark, d):
+    # empty lines, of which two in a row may stay, and blanks at line starts are left out of the comparison
+    lines = F.transform(F.split(docs.html_to_text(F.col("html")), "\n"), lambda x: F.trim(x))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("plain"))
+
+
 READABLE = "regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g')"
 for _block in ("script", "style", "noscript", "svg"):
     READABLE = f"regexp_replace({READABLE}, '(?is)<{_block}.*?</{_block}>', ' ', 'g')"
