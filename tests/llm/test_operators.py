@@ -311,6 +311,44 @@ def test_language_of_nothing(spark):
     assert kept.columns == frame.columns and kept.count() == 242
 
 
+def plain_mixture(cells, model, rules):
+    """Expectation-maximisation over single trigrams, in plain loops, and the set of the best penalised likelihood."""
+    import math
+
+    def em(langs):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(rounds if len(langs) > 1 else 0):
+            gained = dict.fromkeys(langs, 0.0)
+            for c in cells:
+                total = sum(share[k] * float(model[c][k]) for k in langs)
+                for k in langs:
+                    gained[k] += share[k] * float(model[c][k]) / total
+            share = {k: g / len(cells) for k, g in gained.items()}
+        fit = sum(math.log(sum(share[k] * float(model[c][k]) for k in langs)) for c in cells) / rules.overlap
+        return share, fit
+
+    rounds = rules.rounds
+    whole, _ = em(list(range(model.shape[1])))
+    order = sorted(whole, key=lambda k: (-whole[k], k))
+    best = None
+    for k in range(1, max(1, sum(s >= rules.least_share for s in whole.values())) + 1):
+        share, fit = em(order[:k])
+        value = fit - rules.penalty * 0.5 * (k - 1) * math.log(len(cells) / rules.overlap + 1)
+        if best is None or value > best[0]:
+            best = value, share
+    return best[1]
+
+
+def test_mixture_is_plain_expectation_maximisation(spark):
+    frame, rules = language_docs(spark), language.MixtureRules()
+    langs, model = language.train(frame.filter("doc_id < 200"), rules)
+    cells = language.trigram_cells()
+    rows = [r["text"] for r in frame.collect() if r["text"] and len(r["text"]) > 9]
+    for text in [*rows[::17], rows[0] + " " + rows[1], " ".join(rows[0:3]), rows[-2]]:
+        found, wanted = language.infer(cells([text])[0], model, rules), plain_mixture(cells([text])[0].tolist(), model, rules)
+        assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-6 for k in found), text[:40]
+
+
 # 6 licenses
 
 
@@ -516,6 +554,25 @@ def test_shards(docs, rows, empty):
     assert sharding.assign_shards(empty, 5).count() == 0
 
 
+def test_shards_are_the_plain_minimax_partition(docs, rows):
+    """Every document's shard against one list of groups, cut by trying every capacity."""
+    import hashlib
+
+    sizes = {}
+    key = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[: sharding.KEY_BITS // 4], 16) if t is not None else 0
+    for _, t in pairs(rows):
+        sizes[key(t)] = sizes.get(key(t), 0) + len((t or "").encode()) + 8
+    order = sorted(sizes)
+    capacity, shard, used, held = brute_capacity([sizes[h] for h in order], 5), {}, 0, 0
+    for h in order:
+        if held and held + sizes[h] > capacity:
+            used, held = used + 1, 0
+        shard[h] = used
+        held += sizes[h]
+    wanted = sorted(((i, shard[key(t)]) for i, t in pairs(rows)), key=repr)
+    assert got(sharding.assign_shards(docs, shards=5), "doc_id", "shard") == wanted
+
+
 def test_capacity_is_the_smallest(spark, monkeypatch):
     monkeypatch.setattr(sharding, "STEP_BITS", 6)
     for seed in range(3):
