@@ -1,0 +1,155 @@
+"""Documents that hold a passage of many words that stands in another document too.
+
+Byte windows of a fixed length say nothing of shorter passages in short words, so these are
+looked for by words. The window of ``words`` words at every place takes the least hash among its
+runs of half as many words as its anchor, so equal windows have equal anchors; neighbouring
+windows of one anchor form a span. Most anchors stand once in the corpus. Of the others, equal
+spans are counted by hash, and one copy of each distinct span brings its windows' hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .runtime import materialize, scratch, text_slices
+from .substrings import DOC, join_docs, keyed, sliding_minimum
+
+#: Odd numbers of 64 bits: steps of the polynomial hashes of bytes and of words.
+BYTE_STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+SPAN = f"{DOC}, h bigint, c bigint, first bigint, last bigint"
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+class RunHashes:
+    """Hashes of any runs of a sequence of numbers, by sums of its terms times powers of ``step``."""
+
+    def __init__(self, values: np.ndarray, step: int):
+        n = len(values)
+        with np.errstate(over="ignore"):
+            power = np.full(n + 1, np.uint64(step))
+            power[0] = 1
+            power = np.cumprod(power)
+            self.back = np.full(n + 1, np.uint64(pow(step, -1, 1 << 64)))
+            self.back[0] = 1
+            self.back = np.cumprod(self.back)
+            self.upto = np.zeros(n + 1, np.uint64)
+            np.cumsum(values * power[:n], out=self.upto[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the terms from ``begin`` up to ``end``, wherever they stand."""
+        with np.errstate(over="ignore"):
+            return mixed((self.upto[end] - self.upto[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, one after the other, and each text's number of words. Words end at bytes up to 0x20."""
+    raw = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    solid = raw > 32
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    stops = np.cumsum([len(r) + 1 for r in raws])
+    per = np.diff(np.searchsorted(begin, stops), prepend=0)
+    return RunHashes(raw.astype(np.uint64) + np.uint64(1), BYTE_STEP).of(begin, end), per
+
+
+def word_windows(raws: list[bytes], words: int) -> tuple[RunHashes, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of runs of words, each window's first word, its text, each text's first word)."""
+    hashes, per = word_hashes(raws)
+    begins = np.cumsum(per) - per
+    many = np.maximum(per - words + 1, 0)
+    owner = np.repeat(np.arange(len(raws)), many)
+    start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
+    return RunHashes(hashes, WORD_STEP), start, owner, begins
+
+
+def passage_spans(words: int) -> Callable:
+    """Rows (doc_id, ka, kb, text) to spans of windows with one anchor: its hash, the content's, first and last window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = words // 2
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for a, b in text_slices(texts):
+                runs, start, owner, begins = word_windows([t.encode() for t in texts[a:b]], words)
+                if not len(start):
+                    continue
+                n = len(runs.upto) - 1
+                at = np.arange(n - half + 1)
+                grams = runs.of(at, at + half)
+                low = np.uint64((1 << 32) - 1)  # the leftmost of equal hashes: the position fills the low bits
+                least = sliding_minimum((grams & ~low) | at.astype(np.uint64), words - half + 1) & low
+                anchor = least[start].astype(np.int64)
+                cut = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+                last = np.append(cut[1:], len(start)) - 1
+                content = runs.of(start[cut], start[last] + words).view(np.int64)
+                d = owner[cut]
+                rows = pa.array(d + a)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(rows) for i in range(3)), pa.array(grams[anchor[cut]].view(np.int64)), pa.array(content),
+                     pa.array(start[cut] - begins[d]), pa.array(start[last] - begins[d])],
+                    names=["doc_id", "ka", "kb", "h", "c", "first", "last"],
+                )
+
+    return run
+
+
+def passage_windows(words: int) -> Callable:
+    """Rows (doc_id, ka, kb, text, spans) to (doc_id, ka, kb, h, c, w): the hash of every window of the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for a, b in text_slices(texts):
+                runs, _, _, begins = word_windows([t.encode() for t in texts[a:b]], words)
+                held = [(a + k, s["h"], s["c"], s["first"] + begins[k], s["last"] - s["first"] + 1) for k in range(b - a) for s in spans[a + k]]
+                row, h, c, first, many = (np.array(x, np.int64) for x in zip(*held, strict=True))
+                inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                start = np.repeat(first, many) + inside
+                rows = pa.array(np.repeat(row, many))
+                w = runs.of(start, start + words).view(np.int64)
+                made = [pa.array(np.repeat(x, many)) for x in (h, c)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *made, pa.array(w)], names=["doc_id", "ka", "kb", "h", "c", "w"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """(doc_id, ka, kb), each once, of rows with ``words`` words in a row that another row holds too.
+
+    Rows are told apart by doc_id and text (``ka``, ``kb`` are its hashes); words are what white space
+    and control bytes part. Null and short texts hold no passage; texts alike under different ids hold
+    each other's. An empty table gives an empty result.
+    """
+    with scratch(docs.sparkSession):
+        return materialize(_repeated(docs, words), "repeated_passages", keep=True)
+
+
+def _repeated(docs: DataFrame, words: int) -> DataFrame:
+    rows = keyed(docs)
+    long = rows.filter(F.octet_length("text") >= 2 * words - 1)
+    spans = materialize(long.mapInArrow(passage_spans(words), SPAN), "passages")
+    who = F.struct("doc_id", "ka", "kb")
+    anchors = materialize(spans.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("NOT a <=> b").select("h"), "passage_anchors")
+    shared = materialize(spans.join(anchors, "h"), "shared_passages")
+    place = F.struct("doc_id", "ka", "kb", "first", "last")
+    distinct = shared.groupBy("h", "c").agg(F.min(place).alias("r"), F.max(who).alias("b"))
+    distinct = materialize(distinct.select("h", "c", "r.*", (~F.struct("r.doc_id", "r.ka", "r.kb").eqNullSafe(F.col("b"))).alias("twice")), "distinct_passages")
+    several = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    per_doc = distinct.join(several, "h").groupBy("doc_id", "ka", "kb").agg(F.collect_list(F.struct("h", "c", "first", "last")).alias("spans"))
+    cut = join_docs(rows, per_doc, "inner").select("doc_id", "ka", "kb", "text", "spans")
+    windows = materialize(cut.mapInArrow(passage_windows(words), f"{DOC}, h bigint, c bigint, w bigint"), "passage_windows")
+    again = windows.groupBy("w").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("NOT a <=> b").select("w")
+    met = windows.join(again, "w").select("h", "c")
+    found = materialize(distinct.filter("twice").select("h", "c").unionByName(met).distinct(), "found_passages")
+    return shared.join(found, ["h", "c"], "left_semi").select("doc_id", "ka", "kb").distinct()

@@ -36,6 +36,8 @@ POSITION_BITS = 32
 #: Bytes of spans that one suffix order takes at once, and that a bucket should hold about.
 ORDER_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
+#: Tasks that buckets are dealt to at most; then each takes more of them, one suffix order after the other.
+MOST_BUCKETS = 20_000
 
 DOC = "doc_id bigint, ka bigint, kb bigint"
 INTERVAL = f"{DOC}, s bigint, e bigint"
@@ -325,7 +327,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
     columns = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content"]
     buckets = (
         cut.filter("content is not null").select(*columns)
-        .repartition(max(1, -(-size // BUCKET_BYTES)), "h")
+        .repartition(max(1, min(-(-size // BUCKET_BYTES), MOST_BUCKETS)), "h")
         .sortWithinPartitions("h", "doc_id", "ka", "kb", "first")
     )
     parts = whole.unionByName(buckets.mapInArrow(match_bucket(length, keep), INTERVAL))
@@ -352,32 +354,37 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
 
 
 def apply_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, cuts) to what is left of each text and what was taken."""
+    """Rows (doc_id, text, cuts, marked) to what is left of each text and what was taken; the mark goes along."""
     names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.string()]
     for batch in batches:
         rows = []
-        for doc_id, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, cuts in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
             raw = text.encode() if text else b""
             s, e = merged(*(np.array([c[k] for c in cuts or []], np.int64) for k in ("s", "e")))
             edges = [0, *(int(x) for pair in zip(s, e, strict=True) for x in pair), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((doc_id, kept, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*made, batch.column(3)], names=[*names, "marked"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", marks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256, marked) for every row of ``docs``.
 
     ``kept`` is the text's bytes less those that repeats cover; a cut may split a character.
     A null or empty text keeps nothing and loses nothing, nor does one of under ``length`` bytes
     lose any. Rows that repeat doc_id and text are one document to ``keep="first"`` and copies of
-    each other to ``keep="none"``. An empty table gives an empty result.
+    each other to ``keep="none"``. An empty table gives an empty result. ``marked`` says whether a
+    row is among ``marks`` (doc_id, ka, kb), which have no part in what is removed.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    cuts = repeated_intervals(docs, length, keep)
-    joined = join_docs(keyed(docs), cuts, "left").select("doc_id", "text", "cuts")
-    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    notes = repeated_intervals(docs, length, keep).withColumn("marked", F.lit(None).cast("boolean"))
+    if marks is not None:
+        notes = notes.unionByName(marks.withColumn("marked", F.lit(True)), allowMissingColumns=True)
+        notes = notes.groupBy("doc_id", "ka", "kb").agg(F.any_value("cuts", F.lit(True)).alias("cuts"), F.max("marked").alias("marked"))
+    joined = join_docs(keyed(docs), notes, "left").select("doc_id", "text", "cuts", F.coalesce("marked", F.lit(False)).alias("marked"))
+    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, marked boolean"
     return joined.mapInArrow(apply_cuts, schema)
