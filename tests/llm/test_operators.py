@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, licenses, mixing, quality, runtime, sharding, simhash, substrings, token_records
+from tessera.llm import chat, decontaminate, language, licenses, mixing, passages, quality, runtime, sharding, simhash, substrings, token_records
 from tessera.llm.runtime import new_path
 from tests.llm import brute
 
@@ -270,6 +270,32 @@ def test_repeats_over_many_buckets(spark, rows, keep, monkeypatch):
     assert got(substrings.remove_repeats(frame, 400, keep), *columns) == sorted(brute.repeat_rows(once, 400, keep), key=repr)
 
 
+def passage_ids(rows: list, words: int) -> set:
+    """Ids of rows that share so many words in a row with another row, by comparing all windows."""
+    holders = {}
+    for k, (i, text) in enumerate(rows):
+        w = bytes(c if c > 32 else 32 for c in (text or "").encode()).split()
+        for at in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[at : at + words]), set()).add((i, text, k if i is None else 0))
+    return {i for who in holders.values() if len({w[:2] for w in who}) > 1 for i, _, _ in who}
+
+
+@pytest.mark.parametrize("words", [12, 51])
+def test_repeated_passages(spark, docs, rows, words, monkeypatch):
+    found = {r["doc_id"] for r in passages.repeated_passages(docs, words).collect()}
+    assert found == passage_ids(pairs(rows), words) and 3 <= len(found) < len(rows)
+    monkeypatch.setattr(runtime.text_slices, "__defaults__", (2_000,))
+    assert {r["doc_id"] for r in passages.repeated_passages(docs.repartition(3), words).collect()} == found
+
+
+def test_repeated_passages_edges(spark, empty):
+    assert passages.repeated_passages(empty).count() == 0
+    short = "a b c d e f g h i j k l"  # twelve words of one letter
+    frame = spark.createDataFrame([(1, short), (2, "x\t" + short.replace(" ", "\n") + " y"), (3, short[:-2]), (4, None), (5, "")], "doc_id long, text string")
+    assert {r["doc_id"] for r in passages.repeated_passages(frame, 12).collect()} == {1, 2}
+    assert passages.repeated_passages(frame, 13).count() == 0
+
+
 # 5 language
 
 
@@ -693,7 +719,7 @@ def similar_groups(texts: dict[int, str], shingle: int = 5) -> dict[int, int]:
     """The least id that links of a Jaccard similarity of 0.8 or more reach, by comparing all pairs."""
     sets = {}
     for i, t in texts.items():
-        w = t.lower().split()
+        w = t.encode().lower().split()
         sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
     root = {i: i for i in sets}
     changed = True
