@@ -46,6 +46,12 @@ def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None
     return visited
 
 
+def reachable_counts(roots: DataFrame, edges: DataFrame, most_nodes: int = 10_000) -> DataFrame:
+    """G1: (owner, nodes, truncated): how many items an owner reaches, up to ``most_nodes``, and whether there are more."""
+    per = reachable(roots, edges).groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("owner", F.least("n", F.lit(most_nodes)).alias("nodes"), (F.col("n") > most_nodes).alias("truncated"))
+
+
 def is_directory(kind: Column, name: Column) -> Column:
     """Directories, and links of unknown type without a dot in their name."""
     return (kind == "dir") | ((kind == "unknown") & ~F.contains(name, F.lit(".")))

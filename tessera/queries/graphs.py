@@ -21,9 +21,9 @@ def g1(spark, d):
     return graph.reachable(asked_roots(spark), b.edges(spark, d))
 
 
-@query("g1_reachable_count", REACH.format(edges=b.SQL["edges"]) + " SELECT owner, count(*) AS nodes FROM walk GROUP BY 1")
+@query("g1_reachable_count", REACH.format(edges=b.SQL["edges"]) + " SELECT owner, least(count(*), 10000) AS nodes, count(*) > 10000 AS truncated FROM walk GROUP BY 1")
 def g1_count(spark, d):
-    return g1(spark, d).groupBy("owner").agg(F.count(F.lit(1)).alias("nodes"))
+    return graph.reachable_counts(asked_roots(spark), b.edges(spark, d))
 
 
 LISTED = """listing AS (SELECT parent_cid, child_cid AS cid, CASE WHEN child_cid[1] IN ('N', 'C') THEN lower(child_cid) ELSE lower(child_cid) || '.html' END AS name,
