@@ -23,9 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
-from .runtime import bucket_count, materialize, pick, positional, prefix_sums, scratch, text_key
+from .runtime import bucket_count, materialize, numbered, pick, positional, prefix_sums, scratch, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fraction of 2**32 nearest to the golden ratio: the step of the Weyl sequence.
@@ -57,8 +56,7 @@ def source_targets(sizes: DataFrame, total: int, max_epochs: int = 3) -> DataFra
     that stands above ``max_epochs`` times its source's size is held there and the excess goes
     to the others by weight, until none is above. Each round sends two numbers to the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rows = sizes.withColumn("source_id", (F.row_number().over(order) - 1).cast("bigint"))
+    rows = numbered(sizes, [F.col("source").isNull(), F.col("source")], "source_id")
     rows = rows.withColumn("weight", (F.col("source_id") % 3 + 1).cast("double"))
     rows = materialize(rows.withColumn("most", (F.col("source_size") * max_epochs).cast("double")), "sources")
     level, held_before = 0.0, -1
@@ -98,16 +96,15 @@ def schedule(spark: SparkSession, targets: DataFrame, plan: MixPlan) -> DataFram
 
     Each source has the slots that its target has blocks, to the nearest.
     """
-    upto = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (
         targets.filter("target > 0")
         .withColumn("blocks", block_count(plan))
         .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint"))
         .filter("slots > 0")
-        .withColumn("hi", F.sum("slots").over(upto))
-        .select("source_id", "blocks", "slots", (F.col("hi") - F.col("slots")).alias("lo"), "hi")
+        .select("source_id", "blocks", "slots", F.lit(0).alias("all"), F.floor(F.col("source_id") / SLOT_RUN).alias("run"))
     )
-    counts = materialize(counts, "slots")
+    counts = prefix_sums(counts, ["all"], "run", ["source_id"], "slots", "lo")
+    counts = materialize(counts.select("source_id", "blocks", "slots", "lo", (F.col("lo") + F.col("slots")).alias("hi")), "slots")
     n_slots = counts.agg(F.sum("slots")).first()[0] or 0
     places = counts.withColumn("from", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(SLOT_RUN).cast("bigint"))))
     places = places.withColumn(

@@ -161,6 +161,21 @@ def prefix_sums(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Add ``out``: the row's place from 0 in the total order of ``order``.
+
+    Rows are dealt out by ranges of the order and written; a range's place is the sum of the counts
+    before it, one number a range, so no task orders more than its own range.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = dealt.join(F.broadcast(starts), "_range")  # one row a range
+    return placed.withColumn(out, (F.col("_start") + inside).cast("bigint")).drop("_range", "_start")
+
+
 def text_slices(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterable[tuple[int, int]]:
     """Index ranges [start, end) of about ``limit`` characters each; a longer text stands alone."""
     start, held = 0, 0
