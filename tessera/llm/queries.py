@@ -41,13 +41,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passages import repeated_passages
     from .substrings import remove_repeats
 
-    docs = documents(spark, sf_dir)
-    # passages of over 50 words can be shorter than 400 bytes; they stay, as the law has it, and are marked
-    done = remove_repeats(docs, length=400, keep="none", marks=repeated_passages(docs, words=51))
-    done = done.withColumnRenamed("marked", "repeats_passage")
+    done = remove_repeats(documents(spark, sf_dir), length=400, keep="none")
+    done = done.withColumn("repeats_passage", F.col("longest_factor") > 0)
     # what is left as text; a character that a cut splits shows as U+FFFD
     return done.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 

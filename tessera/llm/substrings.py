@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import drop_path, new_path, pick, text_key, text_slices
+from .runtime import SLICE_BYTES, drop_path, new_path, pick, text_key, text_slices
 
 LENGTH = 400
 GRAM = 32
 GROUP_CAP = 4_096
 #: Bits of a position in a slice of texts; a text has fewer bytes than 2**31.
 POSITION_BITS = 32
+#: Bytes, some fifty words, from which a factor is worth a note.
+LEAST_FACTOR = 256
 #: Bytes of spans that one suffix order takes at once, and that a bucket should hold about.
 ORDER_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
@@ -40,7 +42,7 @@ BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 20_000
 
 DOC = "doc_id bigint, ka bigint, kb bigint"
-INTERVAL = f"{DOC}, s bigint, e bigint"
+INTERVAL = f"{DOC}, s bigint, e bigint, f bigint"
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -100,7 +102,7 @@ def find_spans(length: int, gram: int) -> Callable:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             texts = batch.column(3).to_pylist()
-            for start, end in text_slices(texts):
+            for start, end in text_slices(texts, SLICE_BYTES):
                 raws = [t.encode() if t else b"" for t in texts[start:end]]
                 doc, first, last, anchor = anchored_spans(raws, length, gram)
                 views = [memoryview(r) for r in raws]
@@ -207,8 +209,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def match_bucket(length: int, keep: str) -> Callable:
-    """Rows (h, doc_id, ka, kb, first, last, n, content), sorted, to intervals that are repeats."""
-    names = ["doc_id", "ka", "kb", "s", "e"]
+    """Rows (h, doc_id, ka, kb, first, last, n, content), sorted, to intervals that are repeats.
+
+    ``f`` is a factor's length; a row of an empty interval notes a span's longest factor under ``length``.
+    """
+    names = ["doc_id", "ka", "kb", "s", "e", "f"]
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -220,6 +225,11 @@ def match_bucket(length: int, keep: str) -> Callable:
         starts = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
         factors, source = previous_factors(np.frombuffer(raw, np.uint8), starts, length)
         repeat = factors >= length
+        noted = factors.copy()  # a factor's source holds the same string
+        np.maximum.at(noted, source[source >= 0], factors[source >= 0])
+        longest = np.maximum.reduceat(noted, np.cumsum(many) - many)
+        for i in np.flatnonzero((longest >= LEAST_FACTOR) & (longest < length)):
+            out.append((*rows[i][1:4], 0, 0, int(longest[i])))
         if keep == "none":  # the first of equal windows is some later one's source
             repeat[source[repeat]] = True
         hit, who = starts[repeat], owner[repeat]
@@ -227,8 +237,8 @@ def match_bucket(length: int, keep: str) -> Callable:
         for i in np.unique(who):
             at = hit[bounds[i] : bounds[i + 1]] - begins[i] + rows[i][4]
             for s, e in zip(*merged(at, at + length), strict=True):
-                out.append((*rows[i][1:4], int(s), int(e)))
-        columns = zip(*out, strict=True) if out else [()] * 5
+                out.append((*rows[i][1:4], int(s), int(e), length))
+        columns = zip(*out, strict=True) if out else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +298,7 @@ def join_docs(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP_CAP) -> DataFrame:
-    """(doc_id, ka, kb, s, e): byte intervals [s, e) of documents that are repeats; they may overlap."""
+    """(doc_id, ka, kb, cuts, longest): byte intervals [s, e) of documents that are repeats, which may overlap, and the longest factor."""
     spark = docs.sparkSession
     rows = keyed(docs)
     temporary = []
@@ -315,7 +325,8 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
     if keep == "first":
         is_first = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("ka") == F.col("r_a")) & (F.col("kb") == F.col("r_b"))
         whole = whole.filter(~(is_first & (F.col("first") == F.col("r_first"))))
-    whole = whole.select("doc_id", "ka", "kb", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    full = F.lit(length).cast("bigint").alias("f")
+    whole = whole.select("doc_id", "ka", "kb", F.col("first").alias("s"), (F.col("last") + length).alias("e"), full)
 
     groups = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "groups")
     wanted = distinct.join(groups, "h").withColumn("hot", F.col("d") > cap)
@@ -344,17 +355,18 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         if keep == "first":
             matched = matched.filter(F.struct("doc_id", "ka", "kb", "at") != F.col("r"))
         parts = parts.unionByName(
-            matched.select("doc_id", "ka", "kb", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
+            matched.select("doc_id", "ka", "kb", F.col("at").alias("s"), (F.col("at") + length).alias("e"), full)
         )
     path = new_path(spark, "intervals")
-    parts.groupBy("doc_id", "ka", "kb").agg(F.collect_list(F.struct("s", "e")).alias("cuts")).write.parquet(path)
+    cut = F.collect_list(F.when(F.col("e") > F.col("s"), F.struct("s", "e"))).alias("cuts")
+    parts.groupBy("doc_id", "ka", "kb").agg(cut, F.max("f").alias("longest")).write.parquet(path)
     for t in temporary:
         drop_path(spark, t)
-    return spark.read.schema(f"{DOC}, cuts array<struct<s:bigint,e:bigint>>").parquet(path)
+    return spark.read.schema(f"{DOC}, cuts array<struct<s:bigint,e:bigint>>, longest bigint").parquet(path)
 
 
 def apply_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, cuts, marked) to what is left of each text and what was taken; the mark goes along."""
+    """Rows (doc_id, text, cuts, longest) to what is left of each text and what was taken; ``longest`` goes along."""
     names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.string()]
     for batch in batches:
@@ -367,24 +379,23 @@ def apply_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc_id, kept, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
         made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([*made, batch.column(3)], names=[*names, "marked"])
+        yield pa.RecordBatch.from_arrays([*made, batch.column(3)], names=[*names, "longest_factor"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", marks: DataFrame | None = None) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256, marked) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256, longest_factor) for every row of ``docs``.
 
     ``kept`` is the text's bytes less those that repeats cover; a cut may split a character.
     A null or empty text keeps nothing and loses nothing, nor does one of under ``length`` bytes
     lose any. Rows that repeat doc_id and text are one document to ``keep="first"`` and copies of
-    each other to ``keep="none"``. An empty table gives an empty result. ``marked`` says whether a
-    row is among ``marks`` (doc_id, ka, kb), which have no part in what is removed.
+    each other to ``keep="none"``. An empty table gives an empty result. ``longest_factor`` is the
+    longest factor, up to ``length``, that was found at a window of the text or has one as its source,
+    0 if it is under ``LEAST_FACTOR``. Factors under ``length`` are found where windows share an
+    anchor only, so a passage shorter than that may be missed; it has no part in what is removed.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    notes = repeated_intervals(docs, length, keep).withColumn("marked", F.lit(None).cast("boolean"))
-    if marks is not None:
-        notes = notes.unionByName(marks.withColumn("marked", F.lit(True)), allowMissingColumns=True)
-        notes = notes.groupBy("doc_id", "ka", "kb").agg(F.any_value("cuts", F.lit(True)).alias("cuts"), F.max("marked").alias("marked"))
-    joined = join_docs(keyed(docs), notes, "left").select("doc_id", "text", "cuts", F.coalesce("marked", F.lit(False)).alias("marked"))
-    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, marked boolean"
+    cuts = repeated_intervals(docs, length, keep)
+    joined = join_docs(keyed(docs), cuts, "left").select("doc_id", "text", "cuts", F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest"))
+    schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, longest_factor bigint"
     return joined.mapInArrow(apply_cuts, schema)
