@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, licenses, mixing, passages, quality, runtime, sharding, simhash, substrings, token_records
+from tessera.llm import chat, decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, token_records
 from tessera.llm.runtime import new_path
 from tests.llm import brute
 
@@ -198,6 +198,7 @@ def test_items_in_pieces_and_blocks_hit_alike(spark, docs, rows, monkeypatch):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     whole = got(decontaminate.contamination(docs, tests), *columns)
     monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 3_000)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 900)
     assert got(decontaminate.contamination(docs, tests), *columns) == whole
     assert sum(r[-1] for r in whole) >= 4
@@ -263,37 +264,27 @@ def test_repeats_over_many_buckets(spark, rows, keep, monkeypatch):
     """Slices of texts, buckets and suffix orders of a few kilobytes give the same rows."""
     monkeypatch.setattr(substrings, "ORDER_BYTES", 4_000)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 6_000)
-    monkeypatch.setattr(runtime.text_slices, "__defaults__", (3_000,))
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 3_000)
     once = list(dict(with_ids(rows)).items())
     frame = spark.createDataFrame(once, "doc_id long, text string").repartition(5)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got(substrings.remove_repeats(frame, 400, keep), *columns) == sorted(brute.repeat_rows(once, 400, keep), key=repr)
 
 
-def passage_ids(rows: list, words: int) -> set:
-    """Ids of rows that share so many words in a row with another row, by comparing all windows."""
-    holders = {}
-    for k, (i, text) in enumerate(rows):
-        w = bytes(c if c > 32 else 32 for c in (text or "").encode()).split()
-        for at in range(len(w) - words + 1):
-            holders.setdefault(tuple(w[at : at + words]), set()).add((i, text, k if i is None else 0))
-    return {i for who in holders.values() if len({w[:2] for w in who}) > 1 for i, _, _ in who}
-
-
-@pytest.mark.parametrize("words", [12, 51])
-def test_repeated_passages(spark, docs, rows, words, monkeypatch):
-    found = {r["doc_id"] for r in passages.repeated_passages(docs, words).collect()}
-    assert found == passage_ids(pairs(rows), words) and 3 <= len(found) < len(rows)
-    monkeypatch.setattr(runtime.text_slices, "__defaults__", (2_000,))
-    assert {r["doc_id"] for r in passages.repeated_passages(docs.repartition(3), words).collect()} == found
-
+def test_longest_factors_are_common_strings(spark):
+    """Passages of 300 bytes stay and are noted, if at all, on the documents that share them."""
+    from tests.llm.conftest import prose
 
-def test_repeated_passages_edges(spark, empty):
-    assert passages.repeated_passages(empty).count() == 0
-    short = "a b c d e f g h i j k l"  # twelve words of one letter
-    frame = spark.createDataFrame([(1, short), (2, "x\t" + short.replace(" ", "\n") + " y"), (3, short[:-2]), (4, None), (5, "")], "doc_id long, text string")
-    assert {r["doc_id"] for r in passages.repeated_passages(frame, 12).collect()} == {1, 2}
-    assert passages.repeated_passages(frame, 13).count() == 0
+    passage = [prose(500 + i, 90).replace("\n", " ")[:300] for i in range(12)]
+    rows = [(i, prose(i, 200) + " " + passage[i % 12] + " " + prose(900 + i, 200)) for i in range(24)] + [(50 + i, prose(2000 + i, 300)) for i in range(10)]
+    found = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, "none").collect()}
+    assert all(r["n_removed"] == 0 for r in found.values())
+    noted = {i for i, r in found.items() if r["longest_factor"]}
+    assert noted <= set(range(24)) and len(noted) >= 12 and {(i + 12) % 24 for i in noted} == noted
+    texts = dict(rows)
+    for i in noted:  # a string of that length stands in the other document
+        n, other = found[i]["longest_factor"], texts[(i + 12) % 24]
+        assert n >= substrings.LEAST_FACTOR and any(texts[i][k : k + n] in other for k in range(len(texts[i]) - n + 1))
 
 
 # 5 language
