@@ -178,7 +178,8 @@ def text_encoder(tokenizer: str) -> tuple[Callable[[str], bytes], int]:
                 self.clear()
             found = self.older.get(piece)
             if found is None:
-                merged = merge(piece.encode().decode("latin-1").translate(letters))
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1")
+                merged = merge(shown.translate(letters))
                 found = array(numbers, [t.id for t in merged]).tobytes()
             self[piece] = found
             return found
