@@ -127,7 +127,8 @@ def eligible_sites(sites: DataFrame, entries: DataFrame, children: DataFrame, fo
     )
     a_file = ~listing & (is_html | ~ok | F.coalesce(F.lower(F.trim("e_path")).rlike(r"\.html?$"), F.lit(False)))
     keep = F.when(directory, opened.isNotNull()).otherwise(a_file)
-    return rows.filter(keep).select(*sites.columns[:2], F.when(directory, opened).alias("entry_path"), *sites.columns[3:])
+    shown = F.when(directory, opened).alias("entry_path")
+    return rows.filter(keep).select(*(shown if c == "entry_path" else F.col(c) for c in sites.columns))
 
 
 def site_page(sites: DataFrame, limit: int, cursor: Cursor | None = None, offset: int = 0) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import bindings as b
-from tessera.operators import index, search
+from tessera.operators import index
+from tessera.plans import search
 from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens
 from tessera.registry import query
 

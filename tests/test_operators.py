@@ -6,7 +6,8 @@ import pytest
 
 from tessera import registry, storage
 from tessera.functions import docs, html, ids
-from tessera.operators import graph, rank, search
+from tessera.operators import graph, rank
+from tessera.plans import search
 from tessera.queries import texts
 from tessera.sources import records, token_index
 from tessera.streaming import usage
