@@ -87,6 +87,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_components
+
+    return minhash_components(documents(spark, sf_dir))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    # an error, not a wrong number, where the sum is too large for a long
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
@@ -99,6 +119,9 @@ def queries() -> dict:
         "op8_shard": op8_shard,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
+        "op11_resample": op11_resample,
+        "op12_minhash": op12_minhash,
+        "op13_whiten": op13_whiten,
     }
 
 
@@ -158,5 +181,38 @@ QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(sou
   judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND n_words - removed_words >= 50 AND removed_words <= 0.5 * n_words AS kept FROM judged"""
 
+#: CRC-32 of the words' bytes by its table of 256 remainders; counts, gains and scores follow from the buckets.
+RESAMPLE = f"""WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+  remainders AS (SELECT list(c ORDER BY i) AS l FROM step WHERE k = 8),
+  d AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents), t AS (SELECT unnest({BENCH_WORDS}) AS x FROM benchmark),
+  dw AS (SELECT doc_id, unnest(w) AS x FROM d),
+  words AS (SELECT DISTINCT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION ALL SELECT x FROM t)),
+  crc AS (SELECT x, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))),
+    lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM words, remainders),
+  s AS (SELECT b, count(*) AS n FROM dw JOIN crc USING (x) GROUP BY b), u AS (SELECT b, count(*) AS n FROM t JOIN crc USING (x) GROUP BY b),
+  sizes AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM t) AS t),
+  gains AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * (z.s + 10000) / ((s.n + 1)::DOUBLE * (z.t + 10000)))) AS BIGINT) AS gain
+    FROM s LEFT JOIN u ON s.b = u.b, sizes z),
+  weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN crc USING (x) JOIN gains USING (b) GROUP BY doc_id),
+  scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM d LEFT JOIN weights USING (doc_id)),
+  ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM ranked WHERE rank <= 10 * n // 100) USING (doc_id)"""
+
+#: All pairs that share a shingle, counted in full, and what their links reach.
+SIMILAR_SETS = f"""WITH RECURSIVE w AS (SELECT doc_id, {SPLIT.format(LOWER.format("text"))} AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT x, y FROM shared JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+  both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+  least AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, y) AS component_id, least(doc_id, y) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
 #: The other operators hash, tokenize, train or search in ways that SQL can't express.
-ORACLES: dict[str, str] = {"op1_chat_format": chat_oracle(), "op3_decontaminate": CONTAMINATION, "op9_quality": QUALITY}
+ORACLES: dict[str, str] = {"op1_chat_format": chat_oracle(), "op3_decontaminate": CONTAMINATION, "op9_quality": QUALITY, "op11_resample": RESAMPLE, "op12_minhash": SIMILAR_SETS}
