@@ -188,7 +188,7 @@ class Tournament:
     def __init__(self):
         self.leaves, self.free = 1, [0]
         self.slices: list = [None]
-        self.tree: list = [self.END, (self.END, 0)]
+        self.tree: list = [(self.END, 0)] * 2
 
     def play(self, leaf: int, row) -> None:
         tree, at = self.tree, leaf + self.leaves
@@ -203,7 +203,7 @@ class Tournament:
             self.free = list(range(2 * self.leaves - 1, self.leaves - 1, -1))
             self.slices += [None] * self.leaves
             self.leaves *= 2
-            self.tree = [self.END] * self.leaves + [(self.END, i) for i in range(self.leaves)]
+            self.tree = [(self.END, 0)] * self.leaves + [(self.END, i) for i in range(self.leaves)]
             for leaf, row in enumerate(old):
                 self.play(leaf, row)
         leaf = self.free.pop()
