@@ -13,7 +13,8 @@ most central, then with another one; only nodes that are still not connected are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from math import comb
 
 import numpy as np
@@ -31,6 +32,8 @@ BATCH = 32
 MISS = 1e-6
 #: Times that a bucket is compared with one of its nodes before its nodes are compared with each other.
 STAR_TURNS = 2
+#: Hash functions of the signatures by which nodes of a bucket are compared with each other, and nodes in one side of a cell.
+LONG, CELL = 1_104, 1_024
 #: Shingles that are hashed at once.
 BLOCK = 1 << 13
 
@@ -110,13 +113,13 @@ def least_matches(hashes: int, batch: int, similar: tuple[int, int], miss: float
     From a uniform prior, m of n leave Beta(m + 1, n - m + 1), whose upper tail at s is the chance that of
     n + 1 draws with probability s at most m succeed.
     """
-    top, bottom = similar
+    (top, bottom), rare = similar, Fraction(miss)
     out = []
     for n in [*range(batch, hashes, batch), hashes]:
         chance, m = 0, 0
         while True:
             chance += comb(n + 1, m) * top**m * (bottom - top) ** (n + 1 - m)
-            if m > n or chance >= miss * bottom ** (n + 1):
+            if m > n or chance >= rare * bottom ** (n + 1):
                 break
             m += 1
         out.append((n, m))
@@ -137,11 +140,91 @@ def star_pairs(live: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"), "n", "h_n")
 
 
-def other_pairs(live: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the same bucket and different roots."""
-    a, b = (live.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "root"))) for side in ("a_", "b_"))
-    met = a.join(b, (a["token"] == b["token"]) & F.expr("a_node < b_node AND a_root <> b_root"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("n"), F.col("b_n").alias("h_n"))
+def cells(live: DataFrame) -> DataFrame:
+    """(token, lo, hi, band, node, n, root, block): buckets as pairs of blocks of some ``CELL`` nodes, each with its two blocks.
+
+    A bucket of one block is one cell; in a larger one a node stands in as many cells as there are blocks.
+    """
+    sizes = live.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int").alias("block")
+    rows = live.join(sizes, "token").select("token", "band", "node", "n", "root", "blocks", block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "node", "n", "root", "block")
+
+
+def cell_pairs(similar: tuple[int, int], steps: list[tuple[int, int]], rows: int) -> Callable:
+    """Per cell the pairs of different roots that sizes and signatures leave, each in the first band that both share."""
+    top, bottom = similar
+
+    def left_over(one: list, two: list, same: bool, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (na, sa, ra, ga), (nb, sb, rb, gb) = one, two
+        for at in range(0, len(na), 64):  # some rows of the cell at a time
+            part = slice(at, at + 64)
+            may = (ra[part, None] != rb) & (np.minimum(sa[part, None], sb) * bottom >= np.maximum(sa[part, None], sb) * top)
+            if same:
+                may &= na[part, None] < nb
+            for k in range(band):
+                met = np.ones(may.shape, bool)
+                for j in range(k * rows, (k + 1) * rows):
+                    met &= ga[part, j, None] == gb[:, j]
+                may &= ~met
+            i, j = np.nonzero(may)
+            agreed, before = np.zeros(len(i), np.int64), 0
+            for n, least in steps:
+                agreed += (ga[i + at, before:n] == gb[j, before:n]).sum(1)
+                stay = agreed >= least
+                i, j, agreed, before = i[stay], j[stay], agreed[stay], n
+            yield na[i + at], nb[j]
+
+    def compared(columns: list[list], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        nodes, sizes, roots, blocks = (np.array(c) for c in columns[1:5])
+        sigs = np.stack([np.frombuffer(g, np.uint16) for g in columns[5]])
+        sides = [[x[blocks == side] for x in (nodes, sizes, roots, sigs)] for side in (lo, hi)]
+        for a, b in left_over(*sides, lo == hi, columns[0][0]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            for key, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True), strict=True):
+                if key != cell:
+                    if len(held) > 1:
+                        yield from compared(list(zip(*held, strict=True)), *cell[1:])
+                    held, cell = [], key
+                held.append(row)
+        if len(held) > 1:
+            yield from compared(list(zip(*held, strict=True)), *cell[1:])
+
+    return run
+
+
+def long_signatures(rows: DataFrame, shingle: int, hashes: int) -> DataFrame:
+    """(node, sig) of rows (node, text): signatures of ``hashes`` functions, 16 bits of each value."""
+    odd = multipliers(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sigs = [signature(shingle_set(t.as_py(), shingle, known), odd).astype(np.uint16).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["node", "sig"])
+
+    return rows.mapInArrow(run, "node bigint, sig binary")
+
+
+def other_pairs(live: DataFrame, texts_of: Callable, shingle: int, similar: tuple[int, int], rows: int, miss: float) -> DataFrame:
+    """Candidates (a, b) of the same bucket and different roots that long signatures leave a chance to be similar.
+
+    Buckets are compared in cells of two blocks each, in tasks, so that no pair is a row before its signatures have spoken.
+    """
+    nodes = materialize(live.select("node").distinct(), "apart")
+    sigs = materialize(long_signatures(texts_of(nodes), shingle, LONG), "long")
+    dealt = cells(live).join(sigs, "node")
+    dealt = dealt.select("token", "lo", "hi", "band", "node", "n", "root", "block", "sig").repartition("token", "lo", "hi")
+    kept = dealt.sortWithinPartitions("token", "lo", "hi").mapInArrow(
+        cell_pairs(similar, least_matches(LONG, BATCH, similar, miss), rows), "a bigint, b bigint"
+    )
+    return kept.distinct()
 
 
 def promising(pairs: DataFrame, signatures: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -163,22 +246,25 @@ def promising(pairs: DataFrame, signatures: DataFrame, steps: list[tuple[int, in
     return both.select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(pairs: DataFrame, table: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int, similar: tuple[int, int], steps: list) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``similar`` or more.
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    Sizes bound it first, then the signatures in sequence; the sets themselves, made from the texts anew for
-    the nodes of the pairs that are left, decide.
-    """
+
+def promising_pairs(pairs: DataFrame, table: DataFrame, similar: tuple[int, int], steps: list[tuple[int, int]]) -> DataFrame:
+    """Those of the candidates (a, b, n, h_n) that sizes and signatures leave a chance to be similar."""
     top, bottom = similar
     near = pairs.filter(F.least("n", "h_n") * bottom >= F.greatest("n", "h_n") * top).select("a", "b").distinct()
     near = materialize(near, "candidates")
-    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
     met = materialize(ends(near), "met")
     signatures = table.select(F.col("row").alias("node"), "sig").filter(marked(met)(F.col("node"))).join(met, "node", "left_semi")
-    near = materialize(promising(near, materialize(signatures, "signatures"), steps), "promising")
-    nodes = materialize(firsts.select("node", "place").join(ends(near), "node"), "nodes")
-    once = texts.filter(marked(nodes.select("place"))(F.col("place"))).groupBy("place").agg(F.any_value("text").alias("text"))
-    sets = materialize(shingle_sets(once.join(nodes, "place").select("node", "text"), shingle), "sets")
+    return promising(near, materialize(signatures, "signatures"), steps)
+
+
+def confirmed(near: DataFrame, texts_of: Callable, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets, made from the texts anew, have a Jaccard similarity of ``similar`` or more."""
+    top, bottom = similar
+    near = materialize(near, "promising")
+    sets = materialize(shingle_sets(texts_of(ends(near)), shingle), "sets")
     both = with_both(near, sets, "grams")
     shared = F.size(F.array_intersect("a_grams", "b_grams")).cast("bigint")
     union = F.size("a_grams") + F.size("b_grams") - shared
@@ -186,8 +272,8 @@ def similar_links(pairs: DataFrame, table: DataFrame, firsts: DataFrame, texts:
 
 
 def crowded(firsts: DataFrame) -> DataFrame:
-    """(token, node, n, met, root): the bands that ``met`` > 1 nodes share; each node is its own root at first."""
-    rows = firsts.select("node", "n", F.explode("tokens").alias("token"))
+    """(token, band, node, n, met, root): the bands that ``met`` > 1 nodes share; each node is its own root at first."""
+    rows = firsts.select("node", "n", F.posexplode("tokens").alias("band", "token"))
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     return materialize(rows.join(met, "token").withColumn("root", F.col("node")), "crowded")
 
@@ -211,11 +297,21 @@ def minhash_components(
         sets = table.filter("n > 0").select(F.col("row").alias("node"), "place", "key", "n", "tokens")
         firsts = materialize(sets.dropDuplicates(["key"]), "firsts")
         texts = pick(docs, text="string").select(text_key(F.col("text")).alias("place"), "text")
+
+        def texts_of(nodes: DataFrame) -> DataFrame:
+            """(node, text) of ``nodes``; a map of their texts' keys keeps most other texts out of the join."""
+            places = materialize(firsts.select("node", "place").join(nodes, "node"), "places")
+            some = texts.filter(marked(places.select("place"))(F.col("place")))
+            return some.groupBy("place").agg(F.any_value("text").alias("text")).join(places, "place").select("node", "text")
+
         live, links = crowded(firsts), None
         for turn in range(STAR_TURNS + 1):
             last = turn == STAR_TURNS
-            pairs = other_pairs(live) if last else star_pairs(live, turn)
-            more = similar_links(pairs, table, firsts, texts, shingle, similar, steps)
+            if last:
+                near = other_pairs(live, texts_of, shingle, similar, rows, miss)
+            else:
+                near = promising_pairs(star_pairs(live, turn), table, similar, steps)
+            more = confirmed(near, texts_of, shingle, similar)
             links = materialize(more if links is None else links.unionByName(more), "links")
             roots = materialize(components(links), "components")
             if last:

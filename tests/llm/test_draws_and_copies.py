@@ -172,9 +172,10 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("turns", [0, 2])
-def test_near_copies_link_as_all_pairs_do(spark, turns, monkeypatch):
+@pytest.mark.parametrize(("turns", "cell"), [(0, 3), (0, 1_024), (2, 3)])
+def test_near_copies_link_as_all_pairs_do(spark, turns, cell, monkeypatch):
     monkeypatch.setattr(minhash, "STAR_TURNS", turns)
+    monkeypatch.setattr(minhash, "CELL", cell)
     rows = near_copies(11 + turns)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert copied(minhash.minhash_components(frame)) == plain(minhash_rows(rows))
