@@ -8,8 +8,9 @@ from tessera import bindings as b
 from tessera.operators import index, intent, rank, usage
 from tessera.queries.activity import LATEST, OWNED, SINCE
 from tessera.queries.relational import POLICY, TOKENS
-from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens, stored_topics
+from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens, stored_topics, vocabulary_path
 from tessera.registry import query
+from tessera.sources import vocabulary
 
 
 def near(q: str) -> str:
@@ -39,9 +40,15 @@ RANKED = f"""WITH catalog AS ({b.SQL['catalog']}), access AS ({b.SQL['access']})
   scored_hits AS (SELECT *, CAST(round(0.3 * (0.6 * usage + 0.4 * replication) + 0.3 * relevance + 0.2 * freshness + 0.1 * availability, 6) AS DOUBLE) AS score FROM comp)"""
 
 
-def content(spark, d):
-    """(cid, matched, content) of documents for the query tokens, confidence 0.7."""
-    scores = rank.token_scores(stored_tokens(spark, d), TOKENS)
+def content(spark, d, near_only=False):
+    """(cid, matched, content) of documents for the query tokens, confidence 0.7.
+
+    With ``near_only`` from the index rows of tokens near the query's, which all that match have.
+    """
+    index_rows = stored_tokens(spark, d)
+    if near_only:
+        index_rows = vocabulary.rows_near(spark, index_rows, vocabulary_path(spark, d), TOKENS)
+    scores = rank.token_scores(index_rows, TOKENS)
     rows = scores.join(stored_topics(spark, d), "cid", "left")
     in_topics = F.coalesce(F.arrays_overlap("topics", F.array(*map(F.lit, TOKENS))), F.lit(False))
     value = rank.content_score(F.col("token_part"), F.col("topics"), F.lit("text"), F.lit(0.7), F.col("cid"), TOKENS)
@@ -49,7 +56,7 @@ def content(spark, d):
 
 
 def ranked(spark, d):
-    hits = b.catalog(spark, d).filter(index.policy()).join(content(spark, d).filter("matched"), "cid")
+    hits = b.catalog(spark, d).filter(index.policy()).join(content(spark, d, near_only=True).filter("matched"), "cid")
     root = F.concat(F.lit("P"), (F.substring("cid", 5, 20).cast("bigint") % 100).cast("string"))
     hits = hits.select(
         "cid", "matched", "content", "present", "present_source", root.alias("root_cid"), F.coalesce("last_seen_at", F.lit(0)).alias("activity_at"),
@@ -64,6 +71,14 @@ def r1(spark, d):
     return content(spark, d).withColumn("content", F.round("content", 6))
 
 
+NEAR = " OR ".join(f"token = '{q}' OR {near(q)} IS NOT NULL" for q in TOKENS)
+
+
+@query("j12_near_rows", f'WITH {DOC_TEXTS}, {HISTOGRAM} SELECT token, cid, "count" FROM tokens WHERE {NEAR}')
+def j12(spark, d):
+    return vocabulary.rows_near(spark, stored_tokens(spark, d), vocabulary_path(spark, d), TOKENS)
+
+
 COMPONENTS = ("relevance", "usage", "replication", "freshness", "availability")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.bindings import table
 from tessera.functions import docs, html, text
 from tessera.registry import query
-from tessera.sources import token_index
+from tessera.sources import token_index, vocabulary
 from tessera.storage import stored
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -51,6 +51,11 @@ def stored_tokens(spark, d):
     return token_index.read(spark, index_path(spark, d))
 
 
+def vocabulary_path(spark, d):
+    """The stored vocabulary of that index."""
+    return stored(spark, "vocabulary", [f"{d}/documents.parquet"], lambda path: vocabulary.write(stored_tokens(spark, d), path))
+
+
 def stored_topics(spark, d):
     def build(path):
         text.topics(histogram(spark, d), "cid").write.parquet(path)

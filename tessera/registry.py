@@ -36,6 +36,7 @@ from tessera.queries import (  # noqa: E402, F401
     siting,
     smaller,
     sourcing,
+    stored,
     streams,
     texts,
 )
