@@ -13,7 +13,6 @@ BUCKET = "CASE WHEN {0} IS NULL OR {0} < 0 THEN NULL WHEN {0} < 65536 THEN 'xs'
 KIND = """CASE WHEN mime IS NULL THEN 'unknown' WHEN starts_with(mime, 'image/') THEN 'image' WHEN mime IN ('text/html', 'application/xhtml+xml') THEN 'html'
   WHEN starts_with(mime, 'text/') THEN 'text' WHEN mime IN ('application/pdf', 'application/epub+zip') OR starts_with(mime, 'application/msword') OR starts_with(mime, 'application/vnd.openxmlformats-officedocument') THEN 'doc'
   WHEN mime IN ('application/zip', 'application/x-tar', 'application/x-7z-compressed', 'application/x-rar-compressed') THEN 'archive' WHEN mime = 'application/vnd.ipld.car' THEN 'ipld' ELSE 'unknown' END"""
-MIMES = "('text/plain'), ('text/html'), ('image/png'), ('application/pdf'), ('application/zip'), ('application/vnd.ipld.car'), ('application/octet-stream'), (NULL), ('application/msword'), ('application/xhtml+xml')"
 
 
 @query("p17_size_bucket", f"SELECT o_orderkey, {BUCKET.format('s')} AS bucket FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 30000 + 1)) AS BIGINT) AS s FROM orders)")
@@ -22,9 +21,9 @@ def p17(spark, d):
     return b.table(spark, d, "orders").select("o_orderkey", detect.size_bucket(size).alias("bucket"))
 
 
-@query("p15_kind_of_mime", f"SELECT mime, {KIND} AS kind FROM (VALUES {MIMES}) t(mime)")
+@query("p15_kind_of_mime", b.with_frames("items", f"SELECT cid, mime, {KIND} AS kind FROM items"))
 def p15(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {MIMES} AS t(mime)").select("mime", detect.kind_of_mime(F.col("mime")).alias("kind"))
+    return b.items(spark, d).select("cid", "mime", detect.kind_of_mime(F.col("mime")).alias("kind"))
 
 
 @query("p18_confidence", "SELECT event_id, CASE WHEN c >= 0.9 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT event_id, value / 100 AS c FROM events)")
@@ -37,17 +36,18 @@ def p19(spark, d):
     return b.catalog(spark, d).select("cid", detect.content_class(F.col("kind")).alias("content_class"))
 
 
-NAMES = "('index.html'), ('a.TXT'), ('.hidden'), ('x.'), ('photo.jpeg'), ('b.epub'), ('c.pdf'), ('movie.srt'), ('none'), ('d.tar.gz')"
-
-
 @query(
     "p20_mime_hint",
-    f"""SELECT name, CASE WHEN e IN ('html','htm','xhtml') THEN 'text/html' WHEN e IN ('txt','md','markdown','srt','vtt') THEN 'text/plain' WHEN e = 'pdf' THEN 'application/pdf'
+    b.with_frames("listings paths", """, n AS (SELECT parent_cid AS cid, name FROM listings UNION ALL SELECT leaf_cid, path FROM paths UNION ALL SELECT 'doc-' || doc_id, text FROM documents)
+  SELECT cid, name, CASE WHEN e IN ('html','htm','xhtml') THEN 'text/html' WHEN e IN ('txt','md','markdown','srt','vtt') THEN 'text/plain' WHEN e = 'pdf' THEN 'application/pdf'
   WHEN e = 'epub' THEN 'application/epub+zip' WHEN e IN ('jpg','jpeg','png','gif','webp','avif','svg') THEN 'image/*' END AS hint
-  FROM (SELECT name, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS e FROM (VALUES {NAMES}) t(name))""",
+  FROM (SELECT cid, name, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1, 's')) AS e FROM n)"""),
 )
 def p20(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {NAMES} AS t(name)").select("name", detect.mime_hint(F.col("name")).alias("hint"))
+    """Names of listings, paths of pages, and whole texts as names without an extension that is known."""
+    named = b.listings(spark, d).select(F.col("parent_cid").alias("cid"), "name").unionByName(b.paths(spark, d).select(F.col("leaf_cid").alias("cid"), F.col("path").alias("name")))
+    texts = b.table(spark, d, "documents").select(b.tagged("doc-", "doc_id").alias("cid"), F.col("text").alias("name"))
+    return named.unionByName(texts).select("cid", "name", detect.mime_hint(F.col("name")).alias("hint"))
 
 
 #: Hexadecimal digits of the first 4,096 bytes, one pair a byte.

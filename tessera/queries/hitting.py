@@ -79,27 +79,20 @@ def f16(spark, d):
     return found(spark, d).select("cid", hits.is_pdf_internal_hit(F.col("title"), F.col("snippet"), F.col("tokens")).alias("internal"))
 
 
-SAMPLE = """CASE doc_id % 5 WHEN 0 THEN repeat(lpad(CAST(doc_id AS VARCHAR), 10, '0') || ' 00000 n ', CAST(doc_id % 6 AS INTEGER)) WHEN 1 THEN doc_id || ' 0 obj << /Font >> stream x endstream endobj'
-  WHEN 2 THEN 'stream /FlateDecode /MediaBox /Font endstream' WHEN 3 THEN 'stream flatedecode endstream' ELSE text END"""
 WORDS = ("flatedecode", "xobject", "colorspace", "bitspercomponent", "mediabox", "cropbox", "resources", "font")
 
 
 @query(
     "f17_pdf_internal_text",
-    f"""WITH s AS (SELECT doc_id, lower(substr({SAMPLE}, 1, 8192)) AS t FROM documents)
-  SELECT doc_id, (len(regexp_extract_all(t, '\\b[0-9]{{6,12}}\\s+[0-9]{{5}}\\s+[nf]\\b')) >= 3 AND length(regexp_replace(t, '[0-9nf\\s]', '', 'g')) <= 10)
+    f"""WITH s AS (SELECT cid, lower(substr(t, 1, 8192)) AS t FROM (SELECT 'doc-' || doc_id AS cid, text AS t FROM documents UNION ALL SELECT 'page-' || page_id, html FROM pages))
+  SELECT cid, (len(regexp_extract_all(t, '\\b[0-9]{{6,12}}\\s+[0-9]{{5}}\\s+[nf]\\b')) >= 3 AND length(regexp_replace(t, '[0-9nf\\s]', '', 'g')) <= 10)
     OR 2 * CAST(regexp_matches(t, '\\b[0-9]+\\s+[0-9]+\\s+obj\\b') AS INTEGER) + {' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in ('endobj', 'xref', 'trailer', 'stream', 'endstream'))} >= 4
     OR (contains(t, 'stream') AND contains(t, 'endstream') AND {' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in WORDS)} >= 3) AS internal FROM s""",
 )
 def f17(spark, d):
-    i = F.col("doc_id")
-    line = F.concat(F.lpad(i.cast("string"), 10, "0"), F.lit(" 00000 n "))
-    sample = (
-        F.when(i % 5 == 0, F.repeat(line, (i % 6).cast("int")))
-        .when(i % 5 == 1, F.concat(i.cast("string"), F.lit(" 0 obj << /Font >> stream x endstream endobj")))
-        .when(i % 5 == 2, "stream /FlateDecode /MediaBox /Font endstream").when(i % 5 == 3, "stream flatedecode endstream").otherwise(F.col("text"))
-    )
-    return b.table(spark, d, "documents").select("doc_id", detect.is_pdf_internal(sample).alias("internal"))
+    texts = b.table(spark, d, "documents").select(b.tagged("doc-", "doc_id").alias("cid"), F.col("text").alias("t"))
+    pages = b.table(spark, d, "pages").select(b.tagged("page-", "page_id").alias("cid"), F.col("html").alias("t"))
+    return texts.unionByName(pages).select("cid", detect.is_pdf_internal(F.col("t")).alias("internal"))
 
 
 def has(*marks: str) -> str:

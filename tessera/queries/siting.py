@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import bindings as b
 from tessera.operators import rank, sites
+from tessera.queries.ranking import RANKED, ranked
 from tessera.registry import query
 
 TOKENS = ["nation", "web"]
@@ -123,10 +124,15 @@ def a13(spark, d):
     return sites.domain_ranking(b.domain_records(spark, d), b.wallet_pins(spark, d), TOKENS)
 
 
-@query("t13_capped_links", b.with_frames("domain_records wallet_pins", """, o AS (SELECT DISTINCT cid, wallet FROM wallet_pins WHERE CAST(substr(cid, 2) AS BIGINT) <= 40),
-  w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY wallet) AS k FROM o) WHERE k <= 10),
+@query(
+    "t13_capped_links",
+    f"""{RANKED}, domain_records AS ({b.SQL['domain_records']}), best AS (SELECT 'P' || (CAST(substr(cid, 5) AS BIGINT) % 100) AS cid, max(score) AS best FROM scored_hits GROUP BY 1 ORDER BY best DESC, cid DESC LIMIT 40),
+  o AS (SELECT DISTINCT cid, wallet FROM wallet_pins WHERE cid IN (SELECT cid FROM best)), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY wallet) AS k FROM o) WHERE k <= 10),
   dm AS (SELECT owner, domain FROM (SELECT owner, domain, row_number() OVER (PARTITION BY owner ORDER BY domain) AS k FROM (SELECT DISTINCT owner, domain FROM domain_records)) WHERE k <= 30)
-  SELECT cid, wallet, domain FROM w JOIN dm ON owner = wallet"""))
+  SELECT cid, wallet, domain FROM w JOIN dm ON owner = wallet""",
+)
 def t13_links(spark, d):
-    wanted = b.wallet_pins(spark, d).filter(F.substring("cid", 2, 20).cast("bigint") <= 40).select("cid", "wallet").distinct()
+    """The 40 best roots of the search (A11), their first ten owners, and those owners' first thirty domains."""
+    best = ranked(spark, d).groupBy(F.col("root_cid").alias("cid")).agg(F.max("score").alias("best")).orderBy(F.desc("best"), F.desc("cid")).limit(40)
+    wanted = b.wallet_pins(spark, d).join(best.select("cid"), "cid", "left_semi").select("cid", "wallet").distinct()
     return sites.capped_domains(wanted, b.domain_records(spark, d), 10, 30)

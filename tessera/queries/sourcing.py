@@ -35,17 +35,21 @@ def s2(spark, d):
     return records.directory_links(per.select(shown.alias("body")), "body")
 
 
+#: Bytes of a segment: the source's own, and smaller ones by which the test tables' texts have a tail and a middle.
+SEGMENTS = (200, 2_000, records.SAMPLE_BYTES)
+
+
 @query(
     "s3_samples",
-    """WITH t AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 700 AS INTEGER)) AS x FROM (SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E]', '', 'g') AS text FROM documents)), s AS (SELECT *, length(x) AS n FROM t)
-  SELECT doc_id, substr(x, 1, 200) AS head, CASE WHEN n > 200 AND n - 200 > 199 THEN substr(x, n - 199, 200) END AS tail,
-    CASE WHEN n > 400 AND greatest((n - 200) // 2, 0) > 199 AND greatest((n - 200) // 2, 0) + 199 < n - 200 THEN substr(x, (n - 200) // 2 + 1, 200) END AS middle FROM s""",
+    f"""WITH t AS (SELECT doc_id, s, x, length(x) // 2 AS n FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents), (VALUES {", ".join(f"({n})" for n in SEGMENTS)}) v(s))
+  SELECT doc_id, s AS segment, md5(substr(x, 1, s * 2)) AS head, CASE WHEN n > s AND n - s > s - 1 THEN md5(substr(x, (n - s) * 2 + 1, s * 2)) END AS tail,
+    CASE WHEN n > 2 * s AND (n - s) // 2 > s - 1 AND (n - s) // 2 + s - 1 < n - s THEN md5(substr(x, (n - s) // 2 * 2 + 1, s * 2)) END AS middle FROM t""",
 )
 def s3(spark, d):
-    plain = F.regexp_replace("text", r"[^\x20-\x7E]", "")
-    rows = b.table(spark, d, "documents").select("doc_id", F.encode(F.substring(plain, F.lit(1), (F.col("doc_id") % 700).cast("int")), "UTF-8").alias("c"))
-    s = rows.select("doc_id", records.samples(F.col("c"), 200, 600).alias("s"))
-    return s.select("doc_id", *(F.decode(F.col(f"s.{c}"), "UTF-8").alias(c) for c in ("head", "middle", "tail")))
+    rows = b.table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("c"))
+    taken = F.array(*(F.struct(F.lit(n).alias("segment"), records.samples(F.col("c"), n, 3 * n).alias("s")) for n in SEGMENTS))
+    found = rows.select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.segment", "x.s.*")
+    return found.select("doc_id", "segment", *(F.md5(F.hex(c)).alias(c) for c in ("head", "middle", "tail")))
 
 
 @query("s5_s13_bodies", "SELECT doc_id, least(n, 900) AS bytes, n > 900 AS truncated, n > 1500 OR doc_id % 5 = 0 AS too_large FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
@@ -66,10 +70,10 @@ def s6(spark, d):
 
 @query(
     "k1_s10_saved_model",
-    b.with_frames("training", """, words AS (SELECT DISTINCT doc_id, label, unnest(regexp_split_to_array(substr(text, 1, 200), '\\s+')) AS word FROM training) SELECT word, label, count(*) AS n FROM words WHERE word <> '' GROUP BY ALL"""),
+    b.with_frames("training", """, words AS (SELECT DISTINCT doc_id, label, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM training) SELECT word, label, count(*) AS n FROM words WHERE word <> '' GROUP BY ALL"""),
 )
 def k1(spark, d):
-    model = intent.train(b.training(spark, d).withColumn("text", F.substring("text", 1, 200)))
+    model = intent.train(b.training(spark, d))
     path = storage.new_folder(spark, "model")
     records.save_model(model, path)
     return records.load_model(spark, path)
@@ -120,9 +124,9 @@ def p8(spark, d):
     return b.table(spark, d, "documents").select("doc_id", titled.alias("x")).select("doc_id", "x.*")
 
 
-@query("p9_xml_to_text", f"""SELECT doc_id, {SQUEEZED.format("'  a&b  ' || doc_id || ' ' || replace(substr(text, 1, 300), '<', '(') || '  raw <'")} AS plain FROM documents""".replace("<'", "'"))
+@query("p9_xml_to_text", f"""SELECT doc_id, {SQUEEZED.format("'  a&b  ' || doc_id || ' ' || replace(text, '<', '(') || '  raw <'")} AS plain FROM documents""".replace("<'", "'"))
 def p9_xml(spark, d):
-    body = F.replace(F.substring("text", 1, 300), F.lit("<"), F.lit("("))
+    body = F.replace(F.col("text"), F.lit("<"), F.lit("("))
     xml = F.concat(F.lit("<?xml version='1.0'?><a x='1'>a&amp;b</a>"), F.lit("<b>"), F.col("doc_id").cast("string"), F.lit("</b>"), body, F.lit("<c/><![CDATA[raw]]>"))
     return b.table(spark, d, "documents").select("doc_id", docs.xml_to_text(xml).alias("plain"))
 
