@@ -16,12 +16,13 @@ INDEXED = (
 )
 
 
-def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None, merge_every: int = 8) -> DataFrame:
+def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None, merge_every: int = 8, most_nodes: int | None = None) -> DataFrame:
     """G1: (owner, cid) of all items that an owner's roots reach, the roots included.
 
     A frontier per round: its join with the edges, less what has been visited. The walk goes on
     until a round finds nothing new; with ``most_rounds`` it raises an error if that bound comes
-    first, and never returns a part. Rounds are written to the shared folder and merged into one
+    first, and never returns a part. With ``most_nodes`` an owner that has reached more goes no
+    further: it has that many nodes and the rest of its last level at most. Rounds are written to the shared folder and merged into one
     table every few rounds, so neither lineage nor the number of files grows with the depth.
     """
     spark, base, schema = roots.sparkSession, new_folder(roots.sparkSession, "walk"), "owner string, cid string"
@@ -41,6 +42,9 @@ def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None
         step = frontier.join(links, frontier.cid == links.parent_cid).select("owner", F.col("child_cid").alias("cid")).distinct()
         frontier = put(step.join(visited, ["owner", "cid"], "left_anti"), str(number))
         visited = visited.unionByName(frontier)
+        if most_nodes is not None:
+            spent = visited.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_nodes)
+            frontier = frontier.join(spent.select("owner"), "owner", "left_anti")
         if number % merge_every == 0:
             visited = put(visited, f"merged{number}")
     return visited
@@ -48,7 +52,7 @@ def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None
 
 def reachable_counts(roots: DataFrame, edges: DataFrame, most_nodes: int = 10_000) -> DataFrame:
     """G1: (owner, nodes, truncated): how many items an owner reaches, up to ``most_nodes``, and whether there are more."""
-    per = reachable(roots, edges).groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    per = reachable(roots, edges, most_nodes=most_nodes).groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     return per.select("owner", F.least("n", F.lit(most_nodes)).alias("nodes"), (F.col("n") > most_nodes).alias("truncated"))
 
 
@@ -76,8 +80,10 @@ def path_index(listing: DataFrame, roots: DataFrame, max_depth: int = 10, max_fi
         found = files if found is None else found.unionByName(files)
         place = F.row_number().over(Window.partitionBy("root_cid").orderBy("path"))
         dirs = step.filter("is_dir").withColumn("n", F.col("opened") + place).filter(F.col("n") <= max_dirs)
-        opened = F.max("n").over(Window.partitionBy("root_cid")).alias("opened")
-        level = dirs.select("root_cid", F.col("cid").alias("at"), F.concat("path", F.lit("/")).alias("prefix"), opened)
+        opened = dirs.groupBy("root_cid").agg(F.max("n").alias("_opened"))
+        level = dirs.join(opened, "root_cid").select(
+            "root_cid", F.col("cid").alias("at"), F.concat("path", F.lit("/")).alias("prefix"), F.col("_opened").alias("opened")
+        )
         if depth < max_depth:
             level = kept(level, f"open{depth}")
             if level.isEmpty():

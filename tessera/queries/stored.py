@@ -9,11 +9,12 @@ from tessera import storage
 from tessera.functions import text
 from tessera.operators import graph, index
 from tessera.plans import search
+from tessera.queries.activity import LATEST
 from tessera.queries.merges import BASE, NOW, state
 from tessera.queries.relational import POLICY, TOKENS
 from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, histogram, index_path, stored_tokens
 from tessera.registry import query
-from tessera.sources import content_store, segments, token_index
+from tessera.sources import content_store, day_states, segments, token_index
 from tessera.sources.keyed import create, rows_of, stored_rows
 
 BUCKETS = 16
@@ -187,3 +188,44 @@ def m6_search(spark, d):
         while segments.due(found):
             found = segments.compacted(spark, found, storage.new_folder(spark, "merged"))
     return index.matches(segments.read(spark, found), TOKENS)
+
+
+def stored_days(spark, d):
+    """The accesses as states by day; built from two thirds of the events, into which the rest, of all days, come late."""
+
+    def build(path):
+        rows = b.access(spark, d)
+        day_states.add(spark, path, rows.filter("event_id % 3 > 0"), old=False)
+        day_states.add(spark, path, rows.filter("event_id % 3 = 0"))
+
+    return storage.stored(spark, "days", [f"{d}/events.parquet"], build)
+
+
+@query(
+    "a6_usage_from_days",
+    b.with_frames("access", "").rstrip() + f""", {LATEST}, w AS (SELECT CAST(unnest([7, 15, 30]) AS BIGINT) AS d)
+  SELECT CAST(d AS INTEGER) AS days, cid, count(*) AS wallets, count(*) FILTER (last_ok) AS ok_wallets, count(*) FILTER (NOT last_ok) AS bad_wallets FROM latest2, w WHERE last_access_at >= {b.RANK_AT} - d * 86400000 GROUP BY ALL""",
+)
+def a6_days(spark, d):
+    found, path = None, stored_days(spark, d)
+    for days in (7, 15, 30):
+        rows = day_states.usage_from_days(spark, path, b.RANK_AT // b.DAY_MS - days).withColumn("days", F.lit(days))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(
+    "a5_wallets_from_days",
+    b.with_frames("access", f"SELECT cid, count(DISTINCT wallet) AS wallets FROM access WHERE at_ms // 86400000 BETWEEN {b.RANK_AT // b.DAY_MS - 20} AND {b.RANK_AT // b.DAY_MS - 10} GROUP BY cid"),
+)
+def a5_days(spark, d):
+    return day_states.wallets_from_days(spark, stored_days(spark, d), b.RANK_AT // b.DAY_MS - 20, b.RANK_AT // b.DAY_MS - 10)
+
+
+@query(
+    "w2_activity_from_days",
+    b.with_frames("access", """, w AS (SELECT cid, ok, unnest(range((at_ms // 86400000 - 6) * 86400000, (at_ms // 86400000 + 1) * 86400000, 86400000)) AS window_start FROM access)
+  SELECT cid, window_start, count(*) AS accesses, count(*) FILTER (ok) AS ok FROM w GROUP BY ALL"""),
+)
+def w2_days(spark, d):
+    return day_states.activity_from_days(spark, stored_days(spark, d))

@@ -8,7 +8,7 @@ from tessera import bindings as b
 from tessera.queries.activity import LATEST
 from tessera.registry import query
 from tessera.storage import stored
-from tessera.streaming import usage
+from tessera.streaming import latest, usage
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -29,8 +29,8 @@ def bound(raw):
     )
 
 
-def in_batches(spark, d, batches=4):
-    """The events as files of rising times, one a batch of the stream, in the shared folder."""
+def in_batches(spark, d, batches=6, files=4):
+    """The events as files of rising times, ``files`` of them a batch of the stream, in the shared folder."""
     rows = b.table(spark, d, "events")
 
     def build(path):
@@ -38,16 +38,16 @@ def in_batches(spark, d, batches=4):
         width = (bounds["hi"] - bounds["lo"]) // batches + 1
         for k in range(batches):
             low = bounds["lo"] + k * width
-            rows.filter((F.col("event_id") >= low) & (F.col("event_id") < low + width)).coalesce(1).write.mode("append").parquet(path)
+            rows.filter((F.col("event_id") >= low) & (F.col("event_id") < low + width)).repartition(files).write.mode("append").parquet(path)
 
     path = stored(spark, "event-batches", [f"{d}/events.parquet"], build)
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
     return bound(raw)
 
 
 @query("w1_stream_latest", b.with_frames("access", "").rstrip() + f", {LATEST} SELECT cid, wallet, last_access_at, last_ok FROM latest2")
 def w1(spark, d):
-    done = usage.fold_to_end(in_batches(spark, d), usage.latest_within(90 * b.DAY_MS))
+    done = latest.latest_to_end(in_batches(spark, d), 90 * b.DAY_MS)
     return done.select("cid", "wallet", F.col("at_ms").alias("last_access_at"), F.col("ok").alias("last_ok"))
 
 
@@ -56,7 +56,7 @@ def w1(spark, d):
     b.with_frames("access", "").rstrip() + f", {LATEST} SELECT cid, wallet, last_access_at, last_ok FROM latest2 WHERE last_access_at >= (SELECT max(at_ms) FROM access) - {10 * b.DAY_MS}",
 )
 def w5(spark, d):
-    done = usage.fold_to_end(in_batches(spark, d), usage.latest_within(10 * b.DAY_MS))
+    done = latest.latest_to_end(in_batches(spark, d), 10 * b.DAY_MS)
     return done.select("cid", "wallet", F.col("at_ms").alias("last_access_at"), F.col("ok").alias("last_ok"))
 
 

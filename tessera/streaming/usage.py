@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.storage import delete, new_folder
+from tessera.storage import new_folder
 
 DAY = "1 day"
 
@@ -147,45 +147,3 @@ def run_to_end(stream: DataFrame, mode: str, merge: Callable[[DataFrame, int], N
     if mode == "complete":
         out = out.filter(F.col("batch") == out.agg(F.max("batch").alias("m")).first()["m"])
     return out.drop("batch")
-
-
-def fold_to_end(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Drain a stream into a table: each batch makes the next version from the one before.
-
-    Version n is written from version n - 1, so a batch that is done again gives the same version;
-    older ones go. State is the table, not the stream's memory.
-    """
-    spark = stream.sparkSession
-    base, last = new_folder(spark, "fold"), [-1]
-
-    def put(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{base}/version={number - 1}") if number else None
-        step(old, batch).write.mode("overwrite").parquet(f"{base}/version={number}")
-        last[0] = number
-        if number > 1:
-            delete(spark, f"{base}/version={number - 2}")
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    if last[0] < 0:  # nothing came
-        return step(None, spark.createDataFrame([], stream.schema))
-    return spark.read.parquet(f"{base}/version={last[0]}")
-
-
-def latest_within(retention_ms: int) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
-    """W1 and W5 as a fold: the last access of every (cid, wallet), those older than the retention dropped.
-
-    Time is the newest event's, so what is dropped can't come back but by an event that is older still.
-    """
-
-    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.select("cid", "wallet", "at_ms", "event_id", "ok")
-        last = F.max_by(F.struct("at_ms", "event_id", "ok"), F.struct("at_ms", "event_id")).alias("l")
-        rows = rows.groupBy("cid", "wallet").agg(last).select("cid", "wallet", "l.*")
-        if old is not None:
-            rows = old.drop("newest").unionByName(rows).groupBy("cid", "wallet").agg(last).select("cid", "wallet", "l.*")
-        newest = rows.agg(F.max("at_ms").alias("newest"))  # one row
-        if old is not None:
-            newest = newest.unionByName(old.agg(F.max("newest").alias("newest"))).agg(F.max("newest").alias("newest"))
-        return rows.crossJoin(F.broadcast(newest)).filter(F.col("at_ms") >= F.col("newest") - retention_ms)
-
-    return step

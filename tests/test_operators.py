@@ -10,7 +10,7 @@ from tessera.operators import graph, rank
 from tessera.plans import search
 from tessera.queries import texts
 from tessera.sources import records, token_index
-from tessera.streaming import usage
+from tessera.streaming import latest, usage
 
 
 def rows(df):
@@ -123,7 +123,7 @@ def in_files(spark, path, batches):
 
 def test_latest_access_over_batches_with_late_rows_and_retention(spark, tmp_path):
     batches = [[("a", "w", 100, 1, True), ("b", "w", 90, 2, True)], [("a", "w", 95, 3, False), ("c", "w", 150, 4, None)], [("b", "w", 40, 5, False)]]
-    found = usage.fold_to_end(in_files(spark, str(tmp_path / "in"), batches), usage.latest_within(55))
+    found = latest.latest_to_end(in_files(spark, str(tmp_path / "in"), batches), 55)
     assert rows(found.select("cid", "at_ms", "ok")) == [("a", 100, True), ("c", 150, None)]
 
 
@@ -134,3 +134,13 @@ def test_replays_within_the_window_alone_are_dropped(spark, tmp_path):
     stream = in_files(spark, str(tmp_path / "in"), batches)
     found = usage.run_to_end(usage.rate_limited(stream, "cid", 600_000), "append")
     assert rows(found.select("cid", "event_id")) == [("m", 3), ("n", 1), ("n", 5), ("n", 7)]
+
+
+def test_an_owner_over_its_budget_walks_no_further(spark):
+    tree = [(f"n{i}", f"n{3 * i + k}") for i in range(400) for k in (1, 2, 3)] + [(f"n{i}", "n0") for i in (5, 9)]
+    roots = spark.createDataFrame([("big", "n0"), ("small", "n130"), ("gone", "x")], "owner string, cid string")
+    edges = spark.createDataFrame(tree, "parent_cid string, child_cid string")
+    walked = graph.reachable(roots, edges, most_nodes=20).groupBy("owner").count()
+    assert {r["owner"]: r["count"] for r in walked.collect()} == {"big": 1 + 3 + 9 + 27, "small": 1 + 3 + 9, "gone": 1}
+    counts = graph.reachable_counts(roots, edges, 20)
+    assert rows(counts.select("owner", "nodes", "truncated")) == [("big", 20, True), ("gone", 1, False), ("small", 13, False)]

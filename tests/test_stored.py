@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import storage
 from tessera.operators import index, rank
-from tessera.sources import keyed, segments, token_index, vocabulary
+from tessera.sources import day_states, keyed, segments, token_index, vocabulary
 
 
 def leaves(plan):
@@ -148,3 +148,29 @@ def test_near_tokens_are_those_of_a_full_scan(spark, listed, monkeypatch):
         if listed == 1_000 and not near.isEmpty():
             plan = near._jdf.queryExecution().toString()
             assert "PushedFilters: [In(token" in plan or "EqualTo(token" in plan
+
+
+def test_a_late_event_changes_its_day_alone_and_a_window_opens_its_days(spark):
+    day = day_states.DAY_MS
+    rows = [(f"c{i % 5}", f"w{i % 3}", (100 + i % 10) * day + i, i, (True, False, None)[i % 3]) for i in range(200)]
+    schema, path = "cid string, wallet string, at_ms long, event_id long, ok boolean", folder(spark)
+    day_states.add(spark, path, spark.createDataFrame(rows, schema), old=False)
+    files = lambda: {r["f"] for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()}
+    before, late = files(), [("c1", "w1", 104 * day + 1, 999, True), ("new", "w", 104 * day, 1_000, None)]
+    day_states.add(spark, path, spark.createDataFrame(late, schema))
+    assert {f.split("day=")[1].split("/")[0] for f in before ^ files()} == {"104"}
+    every = rows + late
+    window = [r for r in every if 103 * day <= r[2] < 106 * day]
+    found = day_states.wallets_from_days(spark, path, 103, 105)
+    assert {(r["cid"], r["wallets"]) for r in found.collect()} == {(c, len({r[1] for r in window if r[0] == c})) for c in {r[0] for r in window}}
+    assert scan_metric(found, "numFiles") <= 3 * 4
+    last = {}
+    for r in sorted((r for r in every if r[2] >= 103 * day), key=lambda r: r[2:4]):
+        last[r[:2]] = r
+    want = {c: [0, 0, 0] for c, _ in last}
+    for (c, _), r in last.items():
+        want[c][0] += 1
+        want[c][1] += r[4] is True
+        want[c][2] += r[4] is False
+    got = {r["cid"]: [r["wallets"], r["ok_wallets"], r["bad_wallets"]] for r in day_states.usage_from_days(spark, path, 103).collect()}
+    assert got == want
