@@ -10,7 +10,8 @@ from tessera.queries.activity import LATEST, OWNED, SINCE
 from tessera.queries.relational import POLICY, TOKENS
 from tessera.queries.texts import DOC_TEXTS, HISTOGRAM, stored_tokens, stored_topics, vocabulary_path
 from tessera.registry import query
-from tessera.sources import vocabulary
+from tessera.sources import tiered_index, vocabulary
+from tessera.storage import stored
 
 
 def near(q: str) -> str:
@@ -40,14 +41,13 @@ RANKED = f"""WITH catalog AS ({b.SQL['catalog']}), access AS ({b.SQL['access']})
   scored_hits AS (SELECT *, CAST(round(0.3 * (0.6 * usage + 0.4 * replication) + 0.3 * relevance + 0.2 * freshness + 0.1 * availability, 6) AS DOUBLE) AS score FROM comp)"""
 
 
-def content(spark, d, near_only=False):
-    """(cid, matched, content) of documents for the query tokens, confidence 0.7.
+def near_rows(spark, d):
+    """A function from index rows to those of tokens near the query's, which all that match have."""
+    return vocabulary.near_filter(spark, vocabulary_path(spark, d), TOKENS)
 
-    With ``near_only`` from the index rows of tokens near the query's, which all that match have.
-    """
-    index_rows = stored_tokens(spark, d)
-    if near_only:
-        index_rows = vocabulary.rows_near(spark, index_rows, vocabulary_path(spark, d), TOKENS)
+
+def content(spark, d, index_rows):
+    """(cid, matched, content) of the documents of the index rows for the query tokens, confidence 0.7."""
     scores = rank.token_scores(index_rows, TOKENS)
     rows = scores.join(stored_topics(spark, d), "cid", "left")
     in_topics = F.coalesce(F.arrays_overlap("topics", F.array(*map(F.lit, TOKENS))), F.lit(False))
@@ -55,20 +55,52 @@ def content(spark, d, near_only=False):
     return rows.select("cid", (F.col("any_match") | in_topics).alias("matched"), value.alias("content"))
 
 
-def ranked(spark, d):
-    hits = b.catalog(spark, d).filter(index.policy()).join(content(spark, d, near_only=True).filter("matched"), "cid")
+def activity_tables(spark, d):
+    """Use in the last days and copies by item, stored once for a state of their tables."""
+
+    def build(path):
+        usage.usage_stats(usage.latest_access(b.access(spark, d)), SINCE).write.parquet(f"{path}/used")
+        usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d)).write.parquet(f"{path}/copies")
+
+    path = stored(spark, "activity", [f"{d}/{t}.parquet" for t in ("events", "lineitem", "orders")], build)
+    used = spark.read.schema("cid string, wallets bigint, ok_wallets bigint, bad_wallets bigint").parquet(f"{path}/used")
+    return used, spark.read.schema("cid string, wallets bigint").parquet(f"{path}/copies")
+
+
+def scored(spark, d, found):
+    """``found`` (cid, matched, content) with catalog rows, components and score."""
+    hits = b.catalog(spark, d).filter(index.policy()).join(found, "cid")
     root = F.concat(F.lit("P"), (F.substring("cid", 5, 20).cast("bigint") % 100).cast("string"))
     hits = hits.select(
         "cid", "matched", "content", "present", "present_source", root.alias("root_cid"), F.coalesce("last_seen_at", F.lit(0)).alias("activity_at"),
         F.lit(False).alias("failed"), F.lit(False).alias("linked"),
     )
-    used = usage.usage_stats(usage.latest_access(b.access(spark, d)), SINCE)
-    return rank.with_scores(hits, used, usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d)), b.RANK_AT)
+    return rank.with_scores(hits, *activity_tables(spark, d), b.RANK_AT)
+
+
+def ranked(spark, d):
+    return scored(spark, d, content(spark, d, near_rows(spark, d)(stored_tokens(spark, d))).filter("matched"))
+
+
+def tiered_path(spark, d):
+    """The stored index in tiers of what items score without a search."""
+
+    def build(path):
+        every = b.catalog(spark, d).select("cid", F.lit(False).alias("matched"), F.lit(0.0).alias("content"))
+        tiered_index.write(stored_tokens(spark, d), scored(spark, d, every), path)
+
+    return stored(spark, "tiers", [f"{d}/{t}.parquet" for t in ("documents", "pages", "events", "lineitem", "orders")], build)
+
+
+def early_page(spark, d, limit, cursor=None):
+    near = near_rows(spark, d)
+    hits = lambda rows: scored(spark, d, content(spark, d, near(rows)).filter("matched"))
+    return tiered_index.top_page(spark, tiered_path(spark, d), hits, limit, cursor)
 
 
 @query("r1_r2_content_score", f"WITH {CONTENT} SELECT cid, coalesce(matched, any_m) AS matched, round(content, 6) AS content FROM (SELECT *, false AS any_m FROM content)")
 def r1(spark, d):
-    return content(spark, d).withColumn("content", F.round("content", 6))
+    return content(spark, d, stored_tokens(spark, d)).withColumn("content", F.round("content", 6))
 
 
 NEAR = " OR ".join(f"token = '{q}' OR {near(q)} IS NOT NULL" for q in TOKENS)
@@ -92,6 +124,20 @@ def t8(spark, d):
     return rank.page(ranked(spark, d), 100).select("cid", "score")
 
 
+@query("t8_early_end", f"{RANKED} SELECT cid, score FROM scored_hits ORDER BY score DESC, cid DESC LIMIT 20")
+def t8_early(spark, d):
+    return early_page(spark, d, 20)[0]
+
+
+@query(
+    "t9_early_cursor",
+    f"{RANKED}, cur AS (SELECT cid, score FROM scored_hits ORDER BY score DESC, cid DESC LIMIT 1 OFFSET 19) SELECT r.cid, r.score FROM scored_hits r, cur c WHERE (r.score < c.score OR (r.score = c.score AND r.cid < c.cid)) AND r.cid <> c.cid ORDER BY r.score DESC, r.cid DESC LIMIT 20",
+)
+def t9_early(spark, d):
+    last = early_page(spark, d, 20)[0].orderBy("score", "cid").first()  # one row: the cursor that a client sends back
+    return early_page(spark, d, 20, rank.Cursor(last["score"], last["cid"]) if last else None)[0]
+
+
 @query(
     "t9_cursor_page",
     f"{RANKED}, cur AS (SELECT cid, score FROM scored_hits ORDER BY score DESC, cid DESC LIMIT 1 OFFSET 19) SELECT r.cid, r.score FROM scored_hits r, cur c WHERE (r.score < c.score OR (r.score = c.score AND r.cid < c.cid)) AND r.cid <> c.cid ORDER BY r.score DESC, r.cid DESC LIMIT 20",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import storage
 from tessera.operators import index, rank
-from tessera.sources import day_states, keyed, segments, token_index, vocabulary
+from tessera.sources import day_states, keyed, segments, tiered_index, token_index, vocabulary
 
 
 def leaves(plan):
@@ -174,3 +174,36 @@ def test_a_late_event_changes_its_day_alone_and_a_window_opens_its_days(spark):
         want[c][2] += r[4] is False
     got = {r["cid"]: [r["wallets"], r["ok_wallets"], r["bad_wallets"]] for r in day_states.usage_from_days(spark, path, 103).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+def test_pages_end_early_and_are_those_of_a_full_rank(spark, spread):
+    """Scores with many ties; every page behind a cursor is the full rank's, and lower tiers aren't read."""
+    rnd, path = random.Random(spread), folder(spark)
+    items = [(f"c{i}", round(rnd.choice([0.05, 0.1, 0.31, 0.5, 0.6]) / spread, 6), round(rnd.choice([0.0, 0.1, 0.3]), 6)) for i in range(400)]
+    standing = spark.createDataFrame([(c, s) for c, s, _ in items[:390]], "cid string, score double")
+    items = [(c, s if k < 390 else 0.0, r) for k, (c, s, r) in enumerate(items)]
+    relevance = spark.createDataFrame([(c, s, r) for c, s, r in items], "cid string, s double, r double")
+    tokens = spark.createDataFrame([(t, c, 1) for c, _, _ in items for t in ("ab", "abc")], "token string, cid string, count long")
+    tiered_index.write(tokens, standing, path)
+    met = []
+
+    def score(rows):
+        hits = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+        met.append(hits.count())
+        return hits.join(relevance, "cid").select("cid", F.round(F.col("s") + F.col("r"), 6).alias("score"))
+
+    full = sorted(((round(s + r, 6), c) for c, s, r in items), reverse=True)
+    cursor, seen = None, []
+    for page in range(4):
+        met.clear()
+        found, read = tiered_index.top_page(spark, path, score, 15, cursor)
+        got = sorted(((r["score"], r["cid"]) for r in found.collect()), reverse=True)
+        seen += got
+        cursor = rank.Cursor(*got[-1])
+        if spread == 1 and page == 0:
+            assert read < len(tiered_index.tiers(spark, path)) and sum(met) < 300
+    assert seen == full[:60]
+    found, read = tiered_index.top_page(spark, path, score, 200, rank.Cursor(*full[-3]))
+    assert sorted(((r["score"], r["cid"]) for r in found.collect()), reverse=True) == full[-2:]
+    assert read == len(tiered_index.tiers(spark, path))
