@@ -16,8 +16,27 @@ MAGIC = (
     ("89504E470D0A1A0A", 0, "image/png", "png"), ("FFD8FF", 0, "image/jpeg", "jpg"), ("47494638", 0, "image/gif", "gif"),
     ("25504446", 0, "application/pdf", "pdf"), ("504B0304", 0, "application/zip", "zip"), ("1F8B", 0, "application/gzip", "gz"),
     ("377ABCAF271C", 0, "application/x-7z-compressed", "7z"), ("526172211A07", 0, "application/x-rar-compressed", "rar"),
-    ("57454250", 8, "image/webp", "webp"), ("66747970", 4, "video/mp4", "mp4"), ("494433", 0, "audio/mpeg", "mp3"),
-    ("4F676753", 0, "audio/ogg", "ogg"), ("7573746172", 257, "application/x-tar", "tar"),
+    ("57454250", 8, "image/webp", "webp"), ("57415645", 8, "audio/wav", "wav"), ("41564920", 8, "video/vnd.avi", "avi"),
+    ("6674797061766966", 4, "image/avif", "avif"), ("6674797068656963", 4, "image/heic", "heic"), ("667479704D3441", 4, "audio/x-m4a", "m4a"),
+    ("6674797071742020", 4, "video/quicktime", "mov"), ("66747970", 4, "video/mp4", "mp4"), ("494433", 0, "audio/mpeg", "mp3"),
+    ("FFFB", 0, "audio/mpeg", "mp3"), ("4F676753", 0, "audio/ogg", "ogg"), ("664C6143", 0, "audio/x-flac", "flac"),
+    ("4D546864", 0, "audio/midi", "mid"), ("2321414D52", 0, "audio/amr", "amr"), ("464F524D", 0, "audio/aiff", "aif"),
+    ("1A45DFA3", 0, "video/x-matroska", "mkv"), ("464C5601", 0, "video/x-flv", "flv"), ("000001BA", 0, "video/mpeg", "mpg"),
+    ("3026B2758E66CF11", 0, "application/vnd.ms-asf", "asf"), ("49492A00", 0, "image/tiff", "tif"), ("4D4D002A", 0, "image/tiff", "tif"),
+    ("00000100", 0, "image/x-icon", "ico"), ("38425053", 0, "image/vnd.adobe.photoshop", "psd"), ("464C4946", 0, "image/flif", "flif"),
+    ("0000000C6A5020200D0A870A", 0, "image/jp2", "jp2"), ("0000000C4A584C20", 0, "image/jxl", "jxl"), ("FF0A", 0, "image/jxl", "jxl"),
+    ("67696D7020786366", 0, "image/x-xcf", "xcf"), ("424D", 0, "image/bmp", "bmp"), ("425A68", 0, "application/x-bzip2", "bz2"),
+    ("FD377A585A00", 0, "application/x-xz", "xz"), ("28B52FFD", 0, "application/zstd", "zst"), ("04224D18", 0, "application/x-lz4", "lz4"),
+    ("4C5A4950", 0, "application/x-lzip", "lz"), ("1F9D", 0, "application/x-compress", "Z"), ("4D534346", 0, "application/vnd.ms-cab-compressed", "cab"),
+    ("213C617263683E", 0, "application/x-unix-archive", "ar"), ("EDABEEDB", 0, "application/x-rpm", "rpm"), ("7F454C46", 0, "application/x-elf", "elf"),
+    ("4D5A", 0, "application/x-msdownload", "exe"), ("CAFEBABE", 0, "application/java-vm", "class"), ("0061736D", 0, "application/wasm", "wasm"),
+    ("7B5C727466", 0, "application/rtf", "rtf"), ("25215053", 0, "application/postscript", "ps"), ("D0CF11E0A1B11AE1", 0, "application/x-cfb", "cfb"),
+    ("53514C69746520666F726D6174203300", 0, "application/x-sqlite3", "sqlite"), ("50415231", 0, "application/vnd.apache.parquet", "parquet"),
+    ("4152524F5731", 0, "application/vnd.apache.arrow.file", "arrow"), ("D4C3B2A1", 0, "application/vnd.tcpdump.pcap", "pcap"),
+    ("435753", 0, "application/x-shockwave-flash", "swf"), ("465753", 0, "application/x-shockwave-flash", "swf"),
+    ("774F4646", 0, "font/woff", "woff"), ("774F4632", 0, "font/woff2", "woff2"), ("4F54544F", 0, "font/otf", "otf"), ("0001000000", 0, "font/ttf", "ttf"),
+    ("676C5446", 0, "model/gltf-binary", "glb"), ("424C454E444552", 0, "application/x-blender", "blend"), ("4449434D", 128, "application/dicom", "dcm"),
+    ("7573746172", 257, "application/x-tar", "tar"),
 )
 
 

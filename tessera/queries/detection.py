@@ -176,3 +176,19 @@ def p25(spark, d):
     from tessera.operators.sites import record_id
 
     return b.domain_records(spark, d).select("owner", "domain", record_id(F.col("record_value")).alias("root"))
+
+
+SIGNED = ", ".join(f"({k}, '{mime}', '{ext}')" for k, (_, _, mime, ext) in enumerate(detect.MAGIC))
+
+
+@query(
+    "p11_signatures",
+    f"""SELECT doc_id, mime, ext_guess, CAST(CASE WHEN mime = 'application/zip' THEN 0.9 ELSE 0.98 END AS DOUBLE) AS confidence
+  FROM documents JOIN (VALUES {SIGNED}) s(k, mime, ext_guess) ON k = doc_id % {len(detect.MAGIC)}""",
+)
+def p11(spark, d):
+    """Every text behind the leading bytes of one of the formats, at their offset."""
+    heads = F.array(*(F.lit("00" * at + hexed) for hexed, at, _, _ in detect.MAGIC))
+    head = F.unhex(F.element_at(heads, (F.col("doc_id") % len(detect.MAGIC) + 1).cast("int")))
+    made = b.table(spark, d, "documents").select("doc_id", F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c"))
+    return made.select("doc_id", detect.magic_detect(F.col("c")).alias("x")).select("doc_id", "x.mime", "x.ext_guess", "x.confidence")

@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 from tessera.queries import (  # noqa: E402, F401
     activity,
+    archived,
     crawling,
     detection,
     graphs,
