@@ -10,7 +10,8 @@ No machine holds the corpus' suffix array; it is needed only where repeats can b
 3. One copy of each distinct span goes to its anchor's bucket. There, previous and next smaller
    positions in suffix order give the longest previous factor of every window's start; where it
    reaches ``length``, the window is a repeat and its source an earlier copy.
-4. A bucket of over ``cap`` distinct spans is not gathered: its windows are counted by hash.
+4. A bucket of over ``cap`` distinct spans or ``cap_bytes`` is not gathered: its windows are counted by hash, and
+   their first ``LEAST_FACTOR`` bytes by another, so that a note of a shorter factor doesn't depend on the cap.
 
 Matches never cross documents. ``keep="first"`` leaves the first copy of every string in place
 (by doc_id, then content, then position); ``keep="none"`` removes that too.
@@ -30,7 +31,10 @@ from .runtime import SLICE_BYTES, drop_path, new_path, pick, text_key, text_slic
 
 LENGTH = 400
 GRAM = 32
-GROUP_CAP = 4_096
+#: Distinct spans of an anchor, and bytes of them, that are gathered for one suffix order.
+GROUP_CAP, GROUP_BYTES = 4_096, 8 << 20
+#: Windows whose hashes stand in one row.
+WINDOW_ROWS = 1 << 14
 #: Bits of a position in a slice of texts; a text has fewer bytes than 2**31.
 POSITION_BITS = 32
 #: Bytes, some fifty words, from which a factor is worth a note.
@@ -72,13 +76,16 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_spans(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first, last, anchor hash) of runs of windows with one anchor; positions are in the document."""
+    """(document, first, last, anchor hash, several) of runs of windows whose anchors are one gram, at one place or several.
+
+    Positions are in the document.
+    """
     sizes = np.array([len(r) for r in raws], np.int64)
     begins = np.cumsum(sizes) - sizes
     many = np.maximum(sizes - length + 1, 0)
     total = int(many.sum())
     if not total:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     hashes = gram_hashes(np.frombuffer(b"".join(raws), np.uint8), gram)
     low = np.uint64((1 << POSITION_BITS) - 1)
     # the leftmost of equal hashes: the position fills the low bits, as many in every slice, so that equal windows agree
@@ -87,10 +94,12 @@ def anchored_spans(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarra
     doc = np.repeat(np.arange(len(raws)), many)
     start = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + begins[doc]
     anchor = least[start]
-    cut = np.flatnonzero(np.diff(anchor.view(np.int64), prepend=-1))
+    # windows whose anchors are equal grams stay together, else each window of a run of one letter would be a span
+    mixed, new_doc = hashes[anchor.astype(np.int64)], np.diff(doc, prepend=-1) != 0
+    cut = np.flatnonzero(new_doc | np.concatenate([[True], mixed[1:] != mixed[:-1]]))
     end = np.append(cut[1:], total) - 1
     d = doc[cut]
-    return d, start[cut] - begins[d], start[end] - begins[d], hashes[anchor[cut].astype(np.int64)]
+    return d, start[cut] - begins[d], start[end] - begins[d], mixed[cut], anchor[cut] != anchor[end]
 
 
 def find_spans(length: int, gram: int) -> Callable:
@@ -104,15 +113,15 @@ def find_spans(length: int, gram: int) -> Callable:
             texts = batch.column(3).to_pylist()
             for start, end in text_slices(texts, SLICE_BYTES):
                 raws = [t.encode() if t else b"" for t in texts[start:end]]
-                doc, first, last, anchor = anchored_spans(raws, length, gram)
+                doc, first, last, anchor, several = anchored_spans(raws, length, gram)
                 views = [memoryview(r) for r in raws]
                 spans = zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)
                 content = np.frombuffer(b"".join(digest(views[d][a : b + length]) for d, a, b in spans), np.int64).reshape(-1, 2)
                 rows = pa.array(doc + start)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).take(rows) for i in range(3)), pa.array(anchor.view(np.int64)),
-                     pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(first), pa.array(last)],
-                    names=["doc_id", "ka", "kb", "h", "ca", "cb", "first", "last"],
+                     pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(first), pa.array(last), pa.array(several)],
+                    names=["doc_id", "ka", "kb", "h", "ca", "cb", "first", "last", "several"],
                 )
 
     return run
@@ -172,9 +181,11 @@ def common_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -
     return out
 
 
-def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The longest previous factor at each of the ascending ``starts``, and where it stands (-1 for none).
 
+    With a number of its ``group`` for each start, factors are those of starts of the same group.
+
     In suffix order, of all earlier starts the previous smaller and the next smaller position share
     the longest prefixes with a suffix; the longer of the two is its factor. Factors are counted up
     to ``length`` bytes, which every start must have behind it. Suffixes alike that far stand by
@@ -182,13 +193,16 @@ def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[
     """
     words = words_at(raw)
     rank = order_to(raw, length)[starts]
-    order = np.lexsort((-np.arange(len(starts)), rank))
+    group = np.zeros(len(starts), np.int64) if group is None else group
+    order = np.lexsort((-np.arange(len(starts)), rank, group))
     best = np.zeros(len(starts), np.int64)
     source = np.full(len(starts), -1, np.int64)
     for turn in (order, order[::-1]):
         link = smaller_before(turn)
         here = turn[link >= 0]
         there = turn[link[link >= 0]]
+        own = group[here] == group[there]
+        here, there = here[own], there[own]
         same = rank[here] == rank[there]
         shared = np.full(len(here), length, np.int64)
         shared[~same] = common_bytes(words, starts[here[~same]], starts[there[~same]], length)
@@ -223,7 +237,8 @@ def match_bucket(length: int, keep: str) -> Callable:
         many = sizes - length + 1
         owner = np.repeat(np.arange(len(rows)), many)
         starts = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
-        factors, source = previous_factors(np.frombuffer(raw, np.uint8), starts, length)
+        group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1][owner]
+        factors, source = previous_factors(np.frombuffer(raw, np.uint8), starts, length, group)
         repeat = factors >= length
         noted = factors.copy()  # a factor's source holds the same string
         np.maximum.at(noted, source[source >= 0], factors[source >= 0])
@@ -260,26 +275,39 @@ def match_bucket(length: int, keep: str) -> Callable:
 
 
 def cut_spans(length: int) -> Callable:
-    """Rows (doc_id, ka, kb, text, wanted) to the wanted spans' bytes, or for hot ones their windows' hashes."""
+    """Rows (doc_id, ka, kb, text, wanted) to the wanted spans' bytes, or for hot ones hashes of their windows.
+
+    ``heads`` are hashes of the windows' first ``LEAST_FACTOR`` bytes; a long span's windows come in several rows.
+    """
+
+    names = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content", "windows", "heads"]
+    kinds = [*[pa.int64()] * 7, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        names = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content", "windows"]
-        kinds = [*[pa.int64()] * 7, pa.binary(), pa.list_(pa.binary())]
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            held = 0
             for doc_id, ka, kb, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 for w in wanted:
                     a, b = w["first"], w["last"]
-                    part = raw[a : b + length]
-                    windows = [digest(part[i : i + length]) for i in range(b - a + 1)] if w["hot"] else None
-                    rows.append((w["h"], doc_id, ka, kb, a, b, w["n"], None if w["hot"] else part, windows))
-            for i in range(0, max(1, len(rows)), 2048):
-                columns = zip(*rows[i : i + 2048], strict=True) if rows else [()] * 9
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    for at in range(a, b + 1, WINDOW_ROWS if w["hot"] else b + 1):
+                        end = min(b, at + WINDOW_ROWS - 1) if w["hot"] else b
+                        part = memoryview(raw)[at : end + length]
+                        hashes = [[digest(part[i : i + n]) for i in range(end - at + 1)] for n in (length, LEAST_FACTOR)] if w["hot"] else [None, None]
+                        rows.append((w["h"], doc_id, ka, kb, at, end, w["n"], None if w["hot"] else part.tobytes(), *hashes))
+                        held += len(part) if w["hot"] is False else 64 * (end - at + 1)
+                        if held > SLICE_BYTES or len(rows) >= 2048:
+                            yield made(rows)
+                            rows, held = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -297,7 +325,7 @@ def join_docs(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, same, how).drop("r_id", "r_a", "r_b")
 
 
-def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP_CAP) -> DataFrame:
+def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP_CAP, cap_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, ka, kb, cuts, longest): byte intervals [s, e) of documents that are repeats, which may overlap, and the longest factor."""
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -309,14 +337,15 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         temporary.append(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    schema = f"{DOC}, h bigint, ca bigint, cb bigint, first bigint, last bigint"
+    schema = f"{DOC}, h bigint, ca bigint, cb bigint, first bigint, last bigint, several boolean"
     found = stored(rows.filter(F.octet_length("text") >= length).mapInArrow(find_spans(length, GRAM), schema), "spans")
     # tables of their own: a join on a frequent anchor can then be split, its count needs no split
-    anchors = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "anchors")
+    met = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("several").alias("several"))
+    anchors = stored(met.filter("n > 1 OR several").select("h"), "anchors")
     shared = stored(found.join(anchors, "h"), "shared")
     place = F.struct("doc_id", "ka", "kb", "first", "last")
-    distinct = shared.groupBy("h", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"))
-    distinct = stored(distinct.select("h", "ca", "cb", "n", "r.*"), "distinct")
+    distinct = shared.groupBy("h", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"), F.bool_or("several").alias("several"))
+    distinct = stored(distinct.select("h", "ca", "cb", "n", "several", "r.*"), "distinct")
 
     copies = distinct.filter("n > 1").select(
         "h", "ca", "cb", F.col("doc_id").alias("r_id"), F.col("ka").alias("r_a"), F.col("kb").alias("r_b"), F.col("first").alias("r_first")
@@ -328,11 +357,13 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
     full = F.lit(length).cast("bigint").alias("f")
     whole = whole.select("doc_id", "ka", "kb", F.col("first").alias("s"), (F.col("last") + length).alias("e"), full)
 
-    groups = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "groups")
-    wanted = distinct.join(groups, "h").withColumn("hot", F.col("d") > cap)
+    size = F.sum(F.col("last") - F.col("first") + length)
+    # a span whose gram stands at several places may repeat within itself, also where it is alone
+    groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d"), size.alias("bytes"), F.bool_or("several").alias("several")).filter("d > 1 OR several")
+    wanted = distinct.join(stored(groups, "groups"), "h").withColumn("hot", (F.col("d") > cap) | (F.col("bytes") > cap_bytes))
     per_doc = wanted.groupBy("doc_id", "ka", "kb").agg(F.collect_list(F.struct("h", "first", "last", "n", "hot")).alias("wanted"))
     cut = join_docs(rows, per_doc, "inner").select("doc_id", "ka", "kb", "text", "wanted")
-    schema = f"h bigint, {DOC}, first bigint, last bigint, n bigint, content binary, windows array<binary>"
+    schema = f"h bigint, {DOC}, first bigint, last bigint, n bigint, content binary, windows array<binary>, heads array<binary>"
     cut = stored(cut.mapInArrow(cut_spans(length), schema), "cut")
     size = cut.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     columns = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content"]
@@ -345,8 +376,8 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
     hot = cut.filter("content is null").dropDuplicates(["h", "doc_id", "ka", "kb", "first"])
     if not hot.isEmpty():
         windows = stored(
-            hot.select("doc_id", "ka", "kb", "first", F.posexplode("windows").alias("i", "w")).select(
-                "doc_id", "ka", "kb", (F.col("first") + F.col("i")).alias("at"), "w"
+            hot.select("h", "doc_id", "ka", "kb", "first", F.posexplode(F.arrays_zip("windows", "heads")).alias("i", "x")).select(
+                "h", "doc_id", "ka", "kb", (F.col("first") + F.col("i")).alias("at"), F.col("x.windows").alias("w"), F.col("x.heads").alias("head")
             ),
             "windows",
         )
@@ -357,6 +388,10 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         parts = parts.unionByName(
             matched.select("doc_id", "ka", "kb", F.col("at").alias("s"), (F.col("at") + length).alias("e"), full)
         )
+        heads = stored(windows.groupBy("h", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "head"), "heads")
+        none = F.lit(0).cast("bigint")
+        noted = windows.join(heads, ["h", "head"]).select("doc_id", "ka", "kb").distinct()
+        parts = parts.unionByName(noted.select("*", none.alias("s"), none.alias("e"), F.lit(LEAST_FACTOR).cast("bigint").alias("f")))
     path = new_path(spark, "intervals")
     cut = F.collect_list(F.when(F.col("e") > F.col("s"), F.struct("s", "e"))).alias("cuts")
     parts.groupBy("doc_id", "ka", "kb").agg(cut, F.max("f").alias("longest")).write.parquet(path)
@@ -390,8 +425,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     lose any. Rows that repeat doc_id and text are one document to ``keep="first"`` and copies of
     each other to ``keep="none"``. An empty table gives an empty result. ``longest_factor`` is the
     longest factor, up to ``length``, that was found at a window of the text or has one as its source,
-    0 if it is under ``LEAST_FACTOR``. Factors under ``length`` are found where windows share an
-    anchor only, so a passage shorter than that may be missed; it has no part in what is removed.
+    0 if it is under ``LEAST_FACTOR``; in buckets that are not gathered, a factor under ``length`` shows as
+    ``LEAST_FACTOR``. Factors under ``length`` are found where windows share an anchor only, so a passage
+    shorter than that may be missed; it has no part in what is removed.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")

@@ -209,7 +209,7 @@ def test_items_in_pieces_and_blocks_hit_alike(spark, docs, rows, monkeypatch):
 
 @pytest.mark.parametrize("cap", [4096, 1])
 def test_repeats_removed_everywhere(docs, rows, cap, monkeypatch):
-    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", (cap,))
+    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", (cap, 8 << 20))
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     found = got(substrings.remove_repeats(docs, 400, "none"), *columns)
     assert found == sorted(brute.repeat_rows(pairs(rows), 400), key=repr)
@@ -217,7 +217,7 @@ def test_repeats_removed_everywhere(docs, rows, cap, monkeypatch):
 
 @pytest.mark.parametrize("cap", [4096, 1])
 def test_repeats_keep_the_first(spark, rows, cap, monkeypatch):
-    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", (cap,))
+    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", (cap, 8 << 20))
     once = [r for i, r in enumerate(sorted(with_ids(rows))) if r[0] != 32 or i % 2]
     once = list(dict(once).items())
     frame = spark.createDataFrame(once, "doc_id long, text string")
@@ -271,6 +271,26 @@ def test_repeats_over_many_buckets(spark, rows, keep, monkeypatch):
     assert got(substrings.remove_repeats(frame, 400, keep), *columns) == sorted(brute.repeat_rows(once, 400, keep), key=repr)
 
 
+@pytest.mark.parametrize("caps", [(2, 8 << 20), (4096, 3_000)])
+def test_notes_and_removal_do_not_depend_on_the_cap(spark, caps, monkeypatch):
+    """Passages of 300 and 380 bytes that many share, a frequent one of 500, periodic texts and runs of one letter."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    shared = [text(300), text(380), text(500)]
+    rows = [(i, text(rnd.randint(200, 600)) + shared[i % 3] + text(rnd.randint(200, 600))) for i in range(60)]
+    rows += [(60, "a" * 5_000), (61, "a" * 401), (62, "a" * 400), (63, "ab" * 900 + text(300)), (64, text(37) * 30), (65, "b" * 402), (66, text(500))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    plain = substrings.remove_repeats(frame, 400, "none").withColumn("noted", F.col("longest_factor") > 0)
+    want, before = got(plain, *columns), got(plain, "doc_id", "noted")
+    assert want == sorted(brute.repeat_rows(rows, 400), key=repr)
+    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", caps)
+    monkeypatch.setattr(substrings, "WINDOW_ROWS", 1_000)
+    low = substrings.remove_repeats(frame, 400, "none").withColumn("noted", F.col("longest_factor") > 0)
+    assert got(low, *columns) == want and got(low, "doc_id", "noted") == before
+    assert sum(n for _, n in before) > 50
+
+
 def test_longest_factors_are_common_strings(spark):
     """Passages of 300 bytes stay and are noted, if at all, on the documents that share them."""
     from tests.llm.conftest import prose
