@@ -209,11 +209,37 @@ def apart(found: list[tuple], key: Callable) -> list[tuple]:
     return sorted(kept, key=lambda f: (f[3], f[0]))
 
 
+def between(words: list[str], template: list[str], least: float, begin: int, end: int) -> list[tuple[int, int]]:
+    """The longest alignment that reaches the coverage around one occurrence of a rare word in [begin, end), if any.
+
+    A place lacks a share of 1 - ``least`` of the template at most. So of one word more than that, of words that stand once in
+    the template, each place has one, and between that word's neighbours in the text it stands once.
+    """
+    counts = Counter(template)
+    at: dict[str, list[int]] = {w: [] for w, n in counts.items() if n == 1}
+    upto = [0]
+    for i in range(begin, end):
+        upto.append(upto[-1] + (words[i] in counts))
+        if words[i] in at:
+            at[words[i]].append(i)
+    rare = sorted(at.values(), key=len)[: int((1 - least) * len(template) + 1e-9) + 1]
+    best: list[tuple[int, int]] = []
+    for places_of in rare:
+        edges = [begin - 1, *places_of, end]
+        for low, high in zip(edges, edges[2:], strict=False):
+            if upto[high - begin] - upto[low + 1 - begin] >= max(least * len(template), len(best) + 1):
+                pairs = dense_stretch(patience(words[low + 1 : high], template), len(template))
+                if len(pairs) >= least * len(template) and len(pairs) > len(best):
+                    best = [(a + low + 1, c) for a, c in pairs]
+    return best
+
+
 def places(name: str, words: list[str], template: list[str], least: float) -> list[tuple]:
     """Every place where the template's alignment reaches the coverage, none overlapping another.
 
     The whole text is aligned as one, and every stretch that holds enough of the template's words: of
-    a notice that stands several times, no word stands once in the whole text, but in a stretch.
+    a notice that stands several times, no word stands once in the whole text, but in a stretch. What is
+    left before, between and behind the places found is searched around its rare words, until nothing is found.
     """
     found = []
     tried = [(0, dense_stretch(patience(words, template), len(template)))]
@@ -221,7 +247,17 @@ def places(name: str, words: list[str], template: list[str], least: float) -> li
     for begin, pairs in tried:
         if len(pairs) >= least * len(template):
             found.append((name, len(pairs) / len(template), len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
-    return apart(list(dict.fromkeys(found)), lambda f: (-f[2], f[4] - f[3], f[3]))
+    found = apart(list(dict.fromkeys(found)), lambda f: (-f[2], f[4] - f[3], f[3]))
+    edges = [0, *(x for f in found for x in f[3:5]), len(words)]
+    rest = list(zip(edges[::2], edges[1::2], strict=True))
+    while rest:
+        begin, end = rest.pop()
+        pairs = between(words, template, least, begin, end) if end - begin >= least * len(template) else []
+        if pairs:
+            first, last = pairs[0][0], pairs[-1][0] + 1
+            found.append((name, len(pairs) / len(template), len(pairs), first, last))
+            rest += [(begin, first), (last, end)]
+    return sorted(found, key=lambda f: (f[3], f[0]))
 
 
 def scanner(templates: dict[str, str], least: float) -> Callable:

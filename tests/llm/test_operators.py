@@ -403,7 +403,7 @@ def test_license_scan(spark, empty, docs):
     assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(docs).filter("license IS NOT NULL").count() == 0
 
 
-def test_patience_against_difflib():
+def test_patience_takes_all_that_is_left_of_distinct_words():
     rnd = random.Random(3)
     for _ in range(200):
         template = rnd.sample(range(60), 20)
@@ -416,6 +416,46 @@ def test_patience_against_difflib():
         assert len(found) == sum(x in template for x in text)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_spread_changed_and_repeated_notices_against_what_was_planted(seed):
+    """Copies of a template with words cut and strange words put in, near and far from each other: every one with its place and coverage."""
+    rnd = random.Random(seed)
+    for _ in range(12):
+        n = rnd.choice([8, 25, 60])
+        template = [f"t{i}" for i in range(n)]
+        for i in rnd.sample(range(n), n // 12):  # words that stand twice in the template
+            template[i] = template[rnd.randrange(n)]
+        strange = lambda k: [f"s{rnd.randrange(500)}" for _ in range(k)]
+        words, planted = strange(rnd.randint(0, 30)), []
+        for _ in range(rnd.randint(1, 4)):
+            gone = set(rnd.sample(range(n), rnd.randint(0, n // 10)))
+            spread, begin, copy = rnd.choice([0, 0, 1, 3]), None, []
+            for i, w in enumerate(template):
+                if i not in gone:
+                    copy += strange(rnd.randint(0, spread)) if copy else []
+                    copy.append(w)
+            planted.append((len(words), len(words) + len(copy), n - len(gone)))
+            words += copy + strange(rnd.randint(0, 3 * n))
+        found = licenses.places("x", words, template, 0.8)
+        assert all(a[4] <= b[3] for a, b in zip(found, found[1:], strict=False))
+        assert [(f[3], f[4]) for f in found if f[2] >= 0.8 * n] and all(f[1] == f[2] / n for f in found)
+        for first, end, kept in planted:
+            # one place lies over each copy, with all words that the repeats inside the template leave no doubt about
+            over = [f for f in found if f[3] < end and f[4] > first]
+            assert len(over) == 1 and over[0][2] >= min(kept, 0.8 * n)
+        assert len(found) == len(planted)
+
+
+def test_spread_notices_that_stand_twice_are_found(spark):
+    words = licenses.words_of(licenses.TEMPLATES["MIT-text"])
+    spread = " ".join(x for w in words for x in (w, "alpha", "beta", "gamma"))
+    rows = [(1, spread), (2, f"{spread} and then {spread}"), (3, " ".join([spread] * 4))]
+    found = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, copies in ((1, 1), (2, 2), (3, 4)):
+        assert found[doc_id]["license"] == "MIT-text" and found[doc_id]["coverage"] == 1.0
+        assert sum(x["license"] == "MIT-text" and x["coverage"] == 1.0 for x in found[doc_id]["notices"]) == copies
+
+
 def test_repeated_and_changed_notices_are_found(spark):
     words = licenses.TEMPLATES["GPL-3.0-notice"].split()
     wrapped = "\n".join("# " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
