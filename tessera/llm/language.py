@@ -80,20 +80,28 @@ def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, rules: MixtureRules = MixtureRules()) -> tuple[list[str], np.ndarray]:
     """(languages, log-free likelihoods CELLS x languages) from all rows of (text, lang) with a language.
 
-    All labelled rows count. What reaches the driver is the summed table of at most
-    CELLS x MOST_LANGUAGES numbers; more languages are refused.
+    All labelled rows count. What reaches the driver is one row of CELLS numbers a language, one after the
+    other, of MOST_LANGUAGES at most; more languages are refused.
     """
     rows = pick(docs, lang="string", text="string").filter("lang is not null and text is not null")
     table = rows.mapInArrow(cell_counts, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    model = np.full((CELLS, len(langs)), rules.smoothing)
     place = {lang: i for i, lang in enumerate(langs)}
-    got = table.toArrow()
-    column = np.array([place[x] for x in got["lang"].to_pylist()], np.intp)
-    model[got["cell"].to_numpy(), column] += got["n"].to_numpy()
-    return langs, (model / model.sum(0)).astype(np.float32) if langs else model.astype(np.float32)
+    model = np.empty((CELLS, len(langs)), np.float32)
+    model[:] = 1 / CELLS  # of a language without a trigram
+    for r in table.groupBy("lang").applyInArrow(dense_counts, "lang string, counts binary").toLocalIterator():
+        counts = np.frombuffer(r["counts"], np.int64) + rules.smoothing
+        model[:, place[r["lang"]]] = counts / counts.sum()
+    return langs, model
+
+
+def dense_counts(table: pa.Table) -> pa.Table:
+    """A language's rows (lang, cell, n), CELLS of them at most, as one of all cells."""
+    counts = np.zeros(CELLS, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return pa.table({"lang": table["lang"][:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
 def proportions(like: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:

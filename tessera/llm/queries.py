@@ -52,7 +52,8 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import predict_languages
 
-    return predict_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+    found = predict_languages(documents(spark, sf_dir))
+    return found.withColumn("mixture", F.to_json("mixture"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

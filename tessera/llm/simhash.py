@@ -444,8 +444,8 @@ def simhash_pairs(sets: DataFrame, tau: int) -> DataFrame:
 def prefix_keys(firsts: DataFrame) -> DataFrame:
     """(token, node, n, at, met): the shingles of prefixes that ``met`` > 1 sets hold there."""
     rows = firsts.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    met = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
-    return materialize(met.withColumn("root", F.col("node")), "prefixes")
+    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    return materialize(rows.join(met, "token").withColumn("root", F.col("node")), "prefixes")
 
 
 def with_before(live: DataFrame) -> DataFrame:
