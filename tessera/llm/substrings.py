@@ -138,16 +138,27 @@ def words_at(raw: np.ndarray) -> np.ndarray:
 
 
 def order_to(raw: np.ndarray, length: int) -> np.ndarray:
-    """Every suffix's rank by its first ``length`` bytes, by prefix doubling; equal prefixes have equal ranks."""
+    """Every suffix's rank by its first ``length`` bytes; equal prefixes have equal ranks.
+
+    Ranks by a prefix give those by one three times as long, or twice where three ranks don't fit in one number.
+    """
     n = len(raw)
     rank = np.unique(words_at(raw), return_inverse=True)[1].astype(np.int64)
     reach = 8
+
+    def after(step: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        out[: max(0, n - step)] = rank[step:] + 1
+        return out
+
     while reach < length:
-        step = min(reach, length - reach)
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = rank[step:] + 1
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
-        reach += step
+        width = int(rank.max(initial=0)) + 2
+        first, second = min(reach, length - reach), min(2 * reach, length - reach)
+        key = rank * width + after(first)
+        if second > first and width**3 < 1 << 63:
+            key, first = key * width + after(second), second
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        reach += first
     return rank
 
 
@@ -194,7 +205,8 @@ def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int, group: np
     words = words_at(raw)
     rank = order_to(raw, length)[starts]
     group = np.zeros(len(starts), np.int64) if group is None else group
-    order = np.lexsort((-np.arange(len(starts)), rank, group))
+    key = rank + group * (int(rank.max(initial=0)) + 1)
+    order = len(starts) - 1 - np.argsort(key[::-1], kind="stable")
     best = np.zeros(len(starts), np.int64)
     source = np.full(len(starts), -1, np.int64)
     for turn in (order, order[::-1]):

@@ -232,7 +232,7 @@ def test_repeats_of_nothing(empty):
 
 def test_suffix_order():
     raw = np.frombuffer(b"banana$banana#ananas", np.uint8)
-    for length in (8, 11, 16):
+    for length in (8, 11, 16, 20, 30, 60, 100):
         rank = substrings.order_to(raw, length)
         text = raw.tobytes() + b"\x00" * length
         heads = [text[i : i + length] for i in range(len(raw))]
