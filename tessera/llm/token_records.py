@@ -44,8 +44,8 @@ CRC32C_POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 #: The pattern by which byte-level BPE cuts a text before merging (a fixed value).
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Its classes in the standard library's terms, which cut faster; they agree but for the characters left out.
-CLASSES = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d", r"\s": r"\s"}
+#: Its classes in the standard library's terms; they agree but for the characters left out.
+CLASSES = {r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d", r"\s": r"\s"}
 #: Characters on which libraries' tables of letters and spaces may differ.
 UNSURE = r"\x00-\x08\x0e-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\uffff\U00010000-\U0010ffff"
 
@@ -153,10 +153,21 @@ def text_encoder(tokenizer: str) -> tuple[Callable[[str], bytes], int]:
 
     specials = [t["content"] for t in spec["added_tokens"]]
     basic_plane = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
-    pattern, differ = BYTE_LEVEL_PATTERN, set()
+    # classes spelled out as ranges, which the standard library looks up in a table
+    sets, differ = {}, set()
     for theirs, ours in CLASSES.items():
-        pattern = pattern.replace(theirs, ours)
-        differ |= set(regex.findall(theirs, basic_plane)) ^ set(re.findall(ours, basic_plane))
+        held = set(re.findall(ours, basic_plane))
+        differ |= set(regex.findall(theirs, basic_plane)) ^ held
+        runs: list[list[int]] = []
+        for c in sorted(map(ord, held)):
+            if runs and c == runs[-1][1] + 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        sets[theirs] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    letter, digit, space = (sets[c] for c in CLASSES)
+    pattern = BYTE_LEVEL_PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
+    pattern = pattern.replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]")
     odd = re.compile("[" + UNSURE + "".join(map(re.escape, sorted(differ))) + "]")
     cut = re.compile(pattern).findall
     # bytes as the printable characters that a byte-level vocabulary is written in
@@ -178,8 +189,10 @@ def text_encoder(tokenizer: str) -> tuple[Callable[[str], bytes], int]:
                 self.clear()
             found = self.older.get(piece)
             if found is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1")
-                merged = merge(shown.translate(letters))
+                if piece.isascii() and piece.isprintable():  # all but the space show as they are
+                    merged = merge(piece.replace(" ", letters[32]))
+                else:
+                    merged = merge(piece.encode().decode("latin-1").translate(letters))
                 found = array(numbers, [t.id for t in merged]).tobytes()
             self[piece] = found
             return found
