@@ -38,7 +38,7 @@ FILE_BYTES = 4 << 20
 #: Bytes of text, about, that are encoded and framed, and bytes of frames that are verified, at once.
 SLICE_BYTES = 1 << 20
 #: Encoded pieces that a worker keeps in each of its two caches.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 260_000
 #: Fixed values of the CRC-32C checksum and its mask.
 CRC32C_POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
@@ -199,8 +199,14 @@ def text_encoder(tokenizer: str) -> tuple[Callable[[str], bytes], int]:
 
     ids_of = Pieces().__getitem__
 
+    sure = bytes(b for b in range(128) if not odd.match(chr(b)))
+
+    def is_odd(text: str) -> bool:
+        # bytes that are left of an ASCII text show faster than by a search
+        return bool(text.encode().translate(None, sure)) if text.isascii() else odd.search(text) is not None
+
     def encode(text: str) -> bytes:
-        if odd.search(text) or any(s in text for s in specials):
+        if is_odd(text) or any(s in text for s in specials):
             return whole(text)
         return b"".join(map(ids_of, cut(text)))
 
