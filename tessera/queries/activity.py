@@ -127,7 +127,8 @@ def a17(spark, d):
 def j14(spark, d):
     suppliers = b.table(spark, d, "supplier").select(F.concat(F.lit("W"), (F.col("s_suppkey") % 60).cast("string")).alias("wallet"), (F.col("s_suppkey") % 20).alias("k"))
     parts = b.table(spark, d, "part").select(b.tagged("P", "p_partkey").alias("cid"), (F.col("p_partkey") % 20).alias("k"))
-    asked = suppliers.join(parts, "k").select("wallet", "cid").distinct()
+    # many suppliers are one (wallet, k), of which there are 60: met as they come, pairs would grow with suppliers times parts
+    asked = suppliers.distinct().join(parts, "k").select("wallet", "cid").distinct()
     return usage.pin_state(asked, b.wallet_roots(spark, d), b.wallet_pins(spark, d))
 
 
