@@ -164,7 +164,8 @@ def book_texts(blobs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     part = F.struct("n", "low", F.substring("body", 1, MOST_CHARS).alias("b"))
     parts = listed.unionByName(others).groupBy("key").agg(F.slice(F.array_sort(F.collect_list(part)), 1, MOST_FILES).alias("p"))
     said = F.filter(F.transform("p", lambda x: x["b"]), lambda x: x != "")
-    joined = parts.select("key", F.substring(F.trim(F.array_join(said, "\n")), 1, MOST_CHARS).alias("text"))
+    # parts are trimmed before they are cut; a blank where a cut falls stays
+    joined = parts.select("key", F.substring(F.array_join(said, "\n"), 1, MOST_CHARS).alias("text"))
     meta = package_metadata(F.col("xml"))
     rows = books.join(joined, "key", "left").withColumns({"m": meta, "text": F.coalesce("text", F.lit(""))})
     return titled(rows, F.col("m.title"), F.col("m.description"))

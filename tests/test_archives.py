@@ -74,3 +74,10 @@ def test_books(spark):
     assert got["names"]["text"] == "plain\n\n text\nxml page"
     assert got["many"]["text"].split("\n") == [f"t{i}" for i in range(25)]
     assert got["long"]["text"] == "x" * 20_000
+
+
+def test_a_blank_at_the_cut_of_a_book_stays(spark):
+    text = "a" * (archives.MOST_CHARS - 1) + " b & c"
+    body = archives.pack({"one.xhtml": PAGE.format(text.replace("&", "&amp;")), "two.xhtml": PAGE.format("")})
+    got = archives.book_texts(frame(spark, {"k": body})).first()["text"]
+    assert got == text[: archives.MOST_CHARS] and got.endswith(" ")
