@@ -38,3 +38,15 @@ def test_pins_are_asked_by_wallets_not_suppliers(spark, sf_dir, tmp_path):
     made = joined_rows(asked)
     assert made and max(made) < 12_000 * parts // 20
     assert asked.count() == 3 * parts  # 60 wallets, of which 3 have the remainder of a part
+
+
+def test_words_are_counted_within_their_rows(spark):
+    from tessera.functions import text
+
+    docs = spark.createDataFrame([("a", "bb Ünder the under under data x9x"), ("b", None), ("c", "zeta"), ("a", "zeta under")], "cid string, body string")
+    counted = text.word_counts(docs, "cid", "body", by=text.normalize_text)
+    for made in (counted.select("cid", text.token_rows("counts")), text.index_tokens(counted, "cid"), text.topics(counted, "cid")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1  # texts are dealt out, rows of words are not
+    assert sorted(map(tuple, text.index_tokens(counted, "cid").collect())) == [("a", "under", 4), ("a", "zeta", 1), ("c", "zeta", 1)]
+    assert sorted((r["cid"], tuple(r["topics"])) for r in text.topics(counted, "cid").collect()) == [("a", ("under", "zeta")), ("c", ("zeta",))]
