@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.bindings import dealt
+
 
 def roots_summary(roots: DataFrame) -> DataFrame:
     """A4: a wallet's roots, active roots, and bytes of all of them."""
@@ -19,23 +21,24 @@ def ownership(roots: DataFrame, pins: DataFrame) -> DataFrame:
     return active.unionByName(pins.select("cid", "wallet", "created_at"))
 
 
-def replication(roots: DataFrame, pins: DataFrame, since: int | None = None) -> DataFrame:
-    """A5: distinct wallets of every item, optionally of rows created since then."""
+def replication(roots: DataFrame, pins: DataFrame, since: int | None = None, parts: int | None = None) -> DataFrame:
+    """A5: distinct wallets of every item, optionally of rows created since then; pairs are made distinct in ``parts``."""
     rows = ownership(roots, pins)
     if since is not None:
         rows = rows.filter(F.col("created_at") >= since)
-    return rows.groupBy("cid").agg(F.count_distinct("wallet").alias("wallets"))
+    pairs = dealt(rows.select("cid", "wallet"), parts, "cid", "wallet").distinct()
+    return pairs.groupBy("cid").agg(F.count("wallet").alias("wallets"))
 
 
-def owners(roots: DataFrame, pins: DataFrame) -> DataFrame:
+def owners(roots: DataFrame, pins: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct (cid, wallet) of active roots and pins."""
-    return ownership(roots, pins).select("cid", "wallet").distinct()
+    return dealt(ownership(roots, pins).select("cid", "wallet"), parts, "cid", "wallet").distinct()
 
 
-def latest_access(events: DataFrame) -> DataFrame:
+def latest_access(events: DataFrame, parts: int | None = None) -> DataFrame:
     """The last access of every (cid, wallet) by time, ties by the larger event id."""
     last = F.max_by(F.struct("ok", "at_ms"), F.struct("at_ms", "event_id")).alias("last")
-    return events.groupBy("cid", "wallet").agg(last).select("cid", "wallet", F.col("last.at_ms").alias("last_access_at"), F.col("last.ok").alias("last_ok"))
+    return dealt(events, parts, "cid", "wallet").groupBy("cid", "wallet").agg(last).select("cid", "wallet", F.col("last.at_ms").alias("last_access_at"), F.col("last.ok").alias("last_ok"))
 
 
 def usage_stats(latest: DataFrame, since: int) -> DataFrame:
@@ -61,10 +64,10 @@ def pin_state(asked: DataFrame, roots: DataFrame, pins: DataFrame) -> DataFrame:
     return rows.select("wallet", "cid", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
 
 
-def logical_refcount(roots: DataFrame, pins: DataFrame) -> DataFrame:
+def logical_refcount(roots: DataFrame, pins: DataFrame, parts: int | None = None) -> DataFrame:
     """Pins plus distinct owners (pins count twice), the count without that, and the unpin decision."""
     per_pin = pins.groupBy("cid").agg(F.count(F.lit(1)).alias("pins"))
-    per_owner = owners(roots, pins).groupBy("cid").agg(F.count(F.lit(1)).alias("owners"))
+    per_owner = owners(roots, pins, parts).groupBy("cid").agg(F.count(F.lit(1)).alias("owners"))
     rows = per_owner.join(per_pin, "cid", "full").select("cid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pins", "owners")))
     refs = F.col("pins") + F.col("owners")
     decision = F.when(refs == 0, "noop").when(refs > 1, "drop_own").otherwise("release")

@@ -25,17 +25,17 @@ def a4(spark, d):
 
 @query("a5_replication", f"{FULL}, {OWNED} SELECT cid, count(DISTINCT wallet) AS wallets FROM owned GROUP BY 1")
 def a5(spark, d):
-    return usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d))
+    return usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d), parts=b.shares(spark, d, "lineitem"))
 
 
 @query("a5_replication_since", f"{FULL}, {OWNED} SELECT cid, count(DISTINCT wallet) AS wallets FROM owned WHERE created_at >= 883612800000 GROUP BY 1")
 def a5_since(spark, d):
-    return usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d), 883_612_800_000)
+    return usage.replication(b.wallet_roots(spark, d), b.wallet_pins(spark, d), 883_612_800_000, b.shares(spark, d, "lineitem"))
 
 
 @query("m12_latest_access", b.with_frames("access", "").rstrip() + f", {LATEST} SELECT cid, wallet, last_access_at, last_ok FROM latest2")
 def m12(spark, d):
-    return usage.latest_access(b.access(spark, d))
+    return usage.latest_access(b.access(spark, d), b.shares(spark, d, "events"))
 
 
 @query(
@@ -44,7 +44,7 @@ def m12(spark, d):
   FROM latest2 WHERE last_access_at >= {SINCE} GROUP BY 1""",
 )
 def a6(spark, d):
-    return usage.usage_stats(usage.latest_access(b.access(spark, d)), SINCE)
+    return usage.usage_stats(usage.latest_access(b.access(spark, d), b.shares(spark, d, "events")), SINCE)
 
 
 @query("a7_pins_per_cid", b.with_frames("wallet_pins", "SELECT cid, count(*) AS pins FROM wallet_pins GROUP BY 1"))
@@ -54,7 +54,7 @@ def a7(spark, d):
 
 @query("u1_owners", f"{FULL}, {OWNED} SELECT DISTINCT cid, wallet FROM owned")
 def u1(spark, d):
-    return usage.owners(b.wallet_roots(spark, d), b.wallet_pins(spark, d))
+    return usage.owners(b.wallet_roots(spark, d), b.wallet_pins(spark, d), b.shares(spark, d, "lineitem"))
 
 
 def names(spark, d):
@@ -84,7 +84,7 @@ def u3(spark, d):
   FROM o FULL JOIN p USING (cid)""",
 )
 def a19(spark, d):
-    return usage.logical_refcount(b.wallet_roots(spark, d), b.wallet_pins(spark, d))
+    return usage.logical_refcount(b.wallet_roots(spark, d), b.wallet_pins(spark, d), b.shares(spark, d, "lineitem"))
 
 
 @query(

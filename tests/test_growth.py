@@ -4,7 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from tessera import registry
+from tessera import bindings, registry
 
 
 def joined_rows(df):
@@ -50,3 +50,16 @@ def test_words_are_counted_within_their_rows(spark):
         assert "Window" not in plan and plan.count("Exchange") == 1  # texts are dealt out, rows of words are not
     assert sorted(map(tuple, text.index_tokens(counted, "cid").collect())) == [("a", "under", 4), ("a", "zeta", 1), ("c", "zeta", 1)]
     assert sorted((r["cid"], tuple(r["topics"])) for r in text.topics(counted, "cid").collect()) == [("a", ("under", "zeta")), ("c", ("zeta",))]
+
+
+def test_tasks_of_ownership_do_not_grow(spark, sf_dir, monkeypatch):
+    """More rows are dealt to more tasks, with the same result, and none sorts the rows that it aggregates."""
+    names = ("a5_replication", "u1_owners", "a19_m17_refcount", "a6_usage_stats", "m12_latest_access")
+    few = {n: sorted(map(tuple, registry.QUERIES[n](spark, sf_dir).collect()), key=repr) for n in names}
+    monkeypatch.setattr(bindings, "SHARE", 300)
+    for n in names:
+        frame = registry.QUERIES[n](spark, sf_dir)
+        assert sorted(map(tuple, frame.collect()), key=repr) == few[n]
+    roots = bindings.wallet_roots(spark, sf_dir)
+    assert roots.rdd.getNumPartitions() >= bindings.table(spark, sf_dir, "lineitem").count() // 300
+    assert "SortAggregate" not in roots._jdf.queryExecution().executedPlan().toString()
