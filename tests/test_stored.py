@@ -1,11 +1,12 @@
 """Stored tables: what a lookup opens, what a change writes, segments before and after merges, the vocabulary."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import storage
+from tessera import bindings, registry, storage
 from tessera.operators import index, rank
 from tessera.sources import day_states, keyed, segments, tiered_index, token_index, vocabulary
 
@@ -207,3 +208,14 @@ def test_pages_end_early_and_are_those_of_a_full_rank(spark, spread):
     found, read = tiered_index.top_page(spark, path, score, 200, rank.Cursor(*full[-3]))
     assert sorted(((r["score"], r["cid"]) for r in found.collect()), reverse=True) == full[-2:]
     assert read == len(tiered_index.tiers(spark, path))
+
+
+def test_tiers_join_activity_of_the_catalogs_roots_alone(spark, sf_dir):
+    """A page scores tier by tier; what other items' wallets have isn't read each time."""
+    ranking = sys.modules[registry.QUERIES["t8_early_end"].__module__]
+
+    roots = bindings.catalog(spark, sf_dir).select(ranking.root_of().alias("cid")).distinct()
+    for own, every in zip(ranking.root_activity(spark, sf_dir), ranking.activity_tables(spark, sf_dir), strict=True):
+        wanted = every.join(roots, "cid", "left_semi")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, wanted.collect()))
+        assert own.count() <= roots.count()
