@@ -30,15 +30,18 @@ def bound(raw):
 
 
 def in_batches(spark, d, batches=6, files=4):
-    """The events as files of rising times, ``files`` of them a batch of the stream, in the shared folder."""
+    """The events as files of rising times, ``files`` of them a batch of the stream or as many as the events need, in the shared folder."""
     rows = b.table(spark, d, "events")
+    files = max(files, -(-b.shares(spark, d, "events") // batches))
 
     def build(path):
-        bounds = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+        # by time, not by id: an event of a later file is not older than those before
+        bounds = rows.agg(F.min(b.millis("ts")).alias("lo"), F.max(b.millis("ts")).alias("hi")).first()
         width = (bounds["hi"] - bounds["lo"]) // batches + 1
+        at = F.coalesce(b.millis("ts"), F.lit(bounds["lo"]))
         for k in range(batches):
             low = bounds["lo"] + k * width
-            rows.filter((F.col("event_id") >= low) & (F.col("event_id") < low + width)).repartition(files).write.mode("append").parquet(path)
+            rows.filter((at >= low) & (at < low + width)).repartition(files).write.mode("append").parquet(path)
 
     path = stored(spark, "event-batches", [f"{d}/events.parquet"], build)
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)

@@ -13,6 +13,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.storage import new_folder
 
 DAY = "1 day"
+#: Groups that the keys of a limit are dealt to.
+KEY_GROUPS = 512
+#: Stands for no time, before all others.
+NEVER = -(1 << 62)
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -57,35 +61,59 @@ def drop_replays(requests: DataFrame, within: str = "10 minutes") -> DataFrame:
     return requests.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["nonce"])
 
 
-def rate_limited(events: DataFrame, key: str, every_ms: int, late: str = "10 minutes") -> DataFrame:
+def spaced_rows(code: np.ndarray, at: np.ndarray, last: np.ndarray, every_ms: int) -> np.ndarray:
+    """The places of the rows let through, of rows in order of (code, at); all codes take their next row at once.
+
+    ``last`` holds each code's last time let through, ``NEVER`` if there is none, and is brought up to date.
+    """
+    times, place = np.unique(at, return_inverse=True)
+    # code and time as one number, so a search over all rows ends within a code's rows or right behind them
+    width = len(times) + 1
+    ordered, ends = code * width + place, np.searchsorted(code, np.arange(len(last)), side="right")
+    kept, codes = [np.empty(0, np.int64)], np.unique(code)
+    while len(codes):
+        i = np.searchsorted(ordered, codes * width + np.searchsorted(times, last[codes] + every_ms))
+        found = i < ends[codes]
+        codes, i = codes[found], i[found]
+        last[codes] = at[i]
+        kept.append(i)
+    return np.sort(np.concatenate(kept))
+
+
+def rate_limited(events: DataFrame, key: str, every_ms: int, late: str = "10 minutes", groups: int = KEY_GROUPS) -> DataFrame:
     """At most one event of a key in ``every_ms``, by event time.
 
-    The state is the last time let through, dropped when the watermark has passed its window. Of a
-    key's events in a batch, numbers alone are held; the next event is found by binary search.
+    Keys are dealt to ``groups`` by hash; a group's state has the last time let through of each of its
+    keys, dropped when the watermark has passed its window. A batch calls Python once a group, not once a
+    key, and a group's keys are searched together.
     """
 
-    def let_through(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def let_through(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        parts = [(b["at_ms"].to_numpy(), b["event_id"].to_numpy()) for b in batches]
-        at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, at))
-        at, ids = at[order], ids[order]
-        last = state.get[0] if state.exists else None
-        kept, i = [], 0 if last is None else int(np.searchsorted(at, last + every_ms))
-        while i < len(at):
-            kept.append(i)
-            last = int(at[i])
-            i = int(np.searchsorted(at, last + every_ms))
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + every_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(kept), "at_ms": at[kept], "event_id": ids[kept]})
+        keys, held = state.get if state.exists else ([], [])
+        code_of, parts = {k: i for i, k in enumerate(keys)}, []
+        for b in batches:
+            codes, found = pd.factorize(b[key], use_na_sentinel=False)
+            own = np.array([code_of.setdefault(None if pd.isna(k) else k, len(code_of)) for k in found], np.int64)
+            parts.append((own[codes], b["at_ms"].to_numpy(), b["event_id"].to_numpy()))
+        code, at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, at, code))
+        code, at, ids = code[order], at[order], ids[order]
+        last = np.full(len(code_of), NEVER, np.int64)
+        last[: len(held)] = held
+        i = spaced_rows(code, at, last, every_ms)
+        names, now = np.array(list(code_of), object), state.getCurrentWatermarkMs()
+        live = last + every_ms > now
+        state.update((names[live].tolist(), last[live].tolist()))
+        state.setTimeoutTimestamp(max(int(last.max()) + every_ms, now + 1))
+        yield pd.DataFrame({key: names[code[i]], "at_ms": at[i], "event_id": ids[i]})
 
     schema = f"{key} string, at_ms bigint, event_id bigint"
     timed = events.select(key, "at_ms", "event_id", F.timestamp_millis("at_ms").alias("ts")).withWatermark("ts", late)
-    return timed.groupBy(key).applyInPandasWithState(let_through, schema, "last bigint", "append", "EventTimeTimeout")
+    dealt = timed.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)))
+    return dealt.groupBy("_group").applyInPandasWithState(let_through, schema, "keys array<string>, lasts array<bigint>", "append", "EventTimeTimeout")
 
 
 def redeemed(issued: DataFrame, used: DataFrame, ttl_ms: int = 600_000) -> DataFrame:

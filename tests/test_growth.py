@@ -63,3 +63,36 @@ def test_tasks_of_ownership_do_not_grow(spark, sf_dir, monkeypatch):
     roots = bindings.wallet_roots(spark, sf_dir)
     assert roots.rdd.getNumPartitions() >= bindings.table(spark, sf_dir, "lineitem").count() // 300
     assert "SortAggregate" not in roots._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limits_call_python_by_groups_of_keys(spark, tmp_path):
+    """Many keys in few groups, over batches, give what each key gives on its own."""
+    import random
+
+    from tessera.streaming import usage
+
+    rnd, want, last = random.Random(3), [], {}
+    rows = sorted((rnd.randrange(40_000), f"k{rnd.randrange(90)}", i) for i in range(3_000))
+    for at, key, i in sorted(rows, key=lambda r: (r[0], r[2])):
+        if key not in last or at >= last[key] + 4_000:
+            last[key] = at
+            want.append((key, at, i))
+    schema = "cid string, at_ms long, event_id long"
+    for part in range(3):
+        own = [(key, at, i) for at, key, i in rows if at * 3 // 40_000 == part]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = usage.run_to_end(usage.rate_limited(stream, "cid", 4_000, groups=7), "append")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_no_event_is_late_where_ids_do_not_rise_with_time(spark, sf_dir, tmp_path):
+    import duckdb
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = [events.withColumns({"event_id": F.col("event_id") + k * 1_000_000, "user_id": F.col("user_id") + k * 5_000}) for k in range(3)]
+    copies[0].unionByName(copies[1]).unionByName(copies[2]).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["w8_rate_limit"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["w8_rate_limit"](spark, str(tmp_path)).collect())) == sorted(want)
