@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.storage import bound_batches
+
 PROCESS = uuid.uuid4().hex
 _cleaned: set[str] = set()
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 #: Rows that one window partition should hold at most, about.
 ROWS_PER_BUCKET = 4_096
-#: Bytes of rows that a Python worker is sent at once; a longer row stands alone.
-BATCH_BYTES = 2 << 20
 #: Bytes of text that vectorised kernels take at once.
 SLICE_BYTES = 2 << 20
 
@@ -99,19 +99,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers hold at ``BATCH_BYTES`` of rows at most.
-
-    This lowers a setting of the session and leaves a smaller one as it is.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    found = spark.conf.get(key)
-    size = 0 if found.startswith("-") else bytes_of(found)
-    if not 0 < size <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name, first match first, whatever else ``df`` carries.
 

@@ -9,6 +9,7 @@ from tessera import bindings as b
 from tessera.queries.sourcing import SQUEEZED
 from tessera.registry import query
 from tessera.sources import archives
+from tessera.storage import bound_batches
 
 CONTAINER = "<container><rootfiles><rootfile full-path='OEBPS/book.opf' media-type='x'/></rootfiles></container>"
 
@@ -36,6 +37,7 @@ def blobs(spark, d):
                 body = archives.pack(entries_of(doc_id % 5, text or ""), ("mimetype", "notes.txt"))
                 yield pa.RecordBatch.from_arrays([pa.array([f"doc-{doc_id}"]), pa.array([body], pa.binary())], names=["key", "body"])
 
+    bound_batches(spark)  # a worker holds texts, archives and tails of some MB, however many rows those are
     return b.table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "key string, body binary")
 
 

@@ -96,3 +96,24 @@ def test_no_event_is_late_where_ids_do_not_rise_with_time(spark, sf_dir, tmp_pat
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(registry.ORACLES["w8_rate_limit"]).fetchall()
     assert sorted(map(tuple, registry.QUERIES["w8_rate_limit"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_archives_reach_python_in_batches_of_some_megabytes(spark, tmp_path):
+    import pyarrow as pa
+
+    from tessera.queries import archived
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    body = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2_000)), lambda x: F.xxhash64("id", x).cast("string")))
+    spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), body.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = archived.blobs(spark, str(tmp_path))
+    sent = spark.read.parquet(f"{tmp_path}/documents.parquet").mapInArrow(sizes, "n bigint")  # as blobs reads them
+    assert max(r["n"] for r in sent.collect()) < 4 << 20
+    assert rows.select(F.count("body")).first()[0] == 400
+    kinds = registry.QUERIES["p12_archive_kinds"](spark, str(tmp_path)).groupBy("ext_guess").count().collect()
+    assert sorted(map(tuple, kinds)) == [("apk", 80), ("docx", 80), ("epub", 80), ("xlsx", 80), ("zip", 80)]
