@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import bindings
 from tessera.sources import token_index
 
 #: Segments of a level that are merged into one of the next.
@@ -51,11 +52,17 @@ def _replaced(spark: SparkSession, index: Index) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts).groupBy("cid").agg(F.max("_last").alias("_last")) if parts else None
 
 
+def most_rows(spark: SparkSession, index: Index) -> int:
+    """The rows of all segments, those that no longer count included; from the files' footers."""
+    return sum(token_index.read(spark, s.rows).count() for s in index)
+
+
 def read(spark: SparkSession, index: Index) -> DataFrame:
     """The rows that count; a filter on the token reaches every segment's scan."""
     rows, replaced = _numbered(spark, index), _replaced(spark, index)
     if replaced is None:
         return rows.drop("_number")
+    rows = bindings.dealt(rows, bindings.parts_of(most_rows(spark, index)), "cid")
     live = rows.join(replaced, "cid", "left").filter("_number >= coalesce(_last, 0)")
     return live.select("token", "cid", "count")
 
@@ -77,7 +84,7 @@ def compacted(spark: SparkSession, index: Index, folder: str, fanout: int = FANO
     merged = due(index, fanout)
     if not merged:
         return index
-    token_index.write(read(spark, merged), f"{folder}/rows")
+    token_index.write(read(spark, merged), f"{folder}/rows", most_rows(spark, merged))
     replaced = _replaced(spark, merged)
     oldest = merged[0] is index[0] or replaced is None
     if not oldest:

@@ -117,3 +117,25 @@ def test_archives_reach_python_in_batches_of_some_megabytes(spark, tmp_path):
     assert rows.select(F.count("body")).first()[0] == 400
     kinds = registry.QUERIES["p12_archive_kinds"](spark, str(tmp_path)).groupBy("ext_guess").count().collect()
     assert sorted(map(tuple, kinds)) == [("apk", 80), ("docx", 80), ("epub", 80), ("xlsx", 80), ("zip", 80)]
+
+
+def test_tasks_of_the_index_do_not_grow(spark, sf_dir, tmp_path, monkeypatch):
+    """More index rows are dealt to more ranges, and a search over segments to more tasks, with the same result."""
+    from tessera.sources import segments, token_index
+
+    schema = "token string, cid string, count long"
+    tokens = spark.createDataFrame([(f"t{i % 97}", f"c{i % 50}", i) for i in range(2_000)], schema)
+    fresh, crawled = tokens.filter("cid = 'c7'").withColumn("count", F.lit(1).cast("bigint")), spark.createDataFrame([("c7",)], "cid string")
+
+    def made(name):
+        token_index.write(tokens, str(tmp_path / name))
+        found = segments.replace(spark, segments.first_segment(str(tmp_path / name)), fresh, crawled, str(tmp_path / f"{name}-segment"))
+        return found, segments.read(spark, found)
+
+    _, few = made("few")
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(bindings, "SHARE", 100)
+    _, many = made("many")
+    assert sorted(map(tuple, many.collect())) == want
+    assert len(list((tmp_path / "many").glob("*.parquet"))) >= 15  # 4 before
+    assert "hashpartitioning(cid#" in (plan := many._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
