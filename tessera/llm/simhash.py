@@ -45,8 +45,9 @@ LEVELS = (1, 8, 64)
 #: of them in so many turns, and in full after that unless they are connected by then.
 MET_CAP = 8
 STAR_TURNS = 2
-#: Tokens of a set that its rows carry, so that a pair is met at the first one only.
-BEFORE = 256
+#: Sets of a token that stand in one block of its cells, about, and bits of a set's map at most.
+MET_BLOCK = 1_024
+MAP_BITS = 1 << 18
 #: Bits of a map that says which shingles are frequent, or which sets candidates need.
 MARKS = 1 << 24
 
@@ -433,6 +434,12 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, grams array<bigint>")
 
 
+def sets_of(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams) of ``nodes`` (node, key), from the texts of their keys."""
+    once = texts.filter(marked(nodes.select("key"))(F.col("key"))).groupBy("key").agg(F.any_value("text").alias("text"))
+    return shingle_sets(once.join(nodes, "key").select("node", "text"), shingle)
+
+
 def simhash_pairs(sets: DataFrame, tau: int) -> DataFrame:
     """Candidates (a, b) of fingerprints within ``tau`` bits: heads of a fingerprint, and each text with its head."""
     heads = materialize(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
@@ -448,26 +455,106 @@ def prefix_keys(firsts: DataFrame) -> DataFrame:
     return materialize(rows.join(met, "token").withColumn("root", F.col("node")), "prefixes")
 
 
-def with_before(live: DataFrame) -> DataFrame:
-    """``live`` with ``before``: the set's live tokens that stand before the row's; none for sets of over ``BEFORE`` of them."""
-    tokens = F.array_sort(F.collect_list(F.struct("at", "token"))).alias("all")  # a part of one text's prefix
-    per = live.groupBy("node", "n", "root").agg(tokens)
-    rows = per.select("node", "n", "root", F.transform("all", lambda x: x["token"]).alias("tokens"), F.posexplode("all").alias("i", "x"))
-    kept = F.when(F.size("tokens") <= BEFORE, F.slice("tokens", F.lit(1), F.col("i"))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(F.col("x.token").alias("token"), "node", "n", F.col("x.at").alias("at"), "root", kept.alias("before"))
+def shingle_maps(sets: DataFrame) -> DataFrame:
+    """(node, map) of rows (node, grams): a map with a bit for each shingle's hash, sixteen times as many bits as shingles or more.
 
+    Its length is a power of two and ``MAP_BITS`` at most, so that maps of two lengths compare when the longer is folded.
+    """
 
-def met_once(live: DataFrame) -> DataFrame:
-    """Candidates (a, b) as of ``met_pairs``, each at the first token that both hold, not at every one."""
-    rows = with_before(live)
-    a, b = (rows.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "at", "root", "before"))) for side in ("a_", "b_"))
-    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    return a.join(
-        b,
-        (a["token"] == b["token"]) & F.expr("a_node < b_node AND a_root <> b_root")
-        & (most * sum(SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR[0])
-        & ~F.arrays_overlap("a_before", "b_before"),
-    ).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for grams in batch.column(1):
+                hashes = grams.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                bits = np.zeros(min(MAP_BITS, max(512, 1 << (16 * len(hashes) - 1).bit_length())), bool)
+                bits[hashes & np.uint64(len(bits) - 1)] = True
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["node", "map"])
+
+    return sets.mapInArrow(run, "node bigint, map binary")
+
+
+def one_of_equal(live: DataFrame) -> DataFrame:
+    """``live`` with one token of those that the same sets hold, as the shingles of a passage are."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    members = live.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *hashes)
+    tokens = members.groupBy("size", "x1", "x2").agg(F.min("token").alias("token"))
+    blocks = F.ceil(F.col("size") / MET_BLOCK).cast("int").alias("blocks")
+    return live.select("token", "node", "n", "root").join(tokens.select("token", blocks), "token")
+
+
+def compared_maps() -> Callable:
+    """Rows (token, lo, hi, block, node, n, root, map) by cells to the pairs (a, b) that sizes and maps leave.
+
+    Two sets that differ in d shingles have maps that differ in d bits at most, whatever part of the maps is counted.
+    """
+    top, both = SIMILAR[0], sum(SIMILAR)
+
+    def left_over(one: tuple, two: tuple, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (na, sa, ra, ma), (nb, sb, rb, mb) = one, two
+        for at in range(0, len(na), 64):  # some rows of the cell at a time
+            part = slice(at, at + 64)
+            total = sa[part, None] + sb
+            shared = -(-total * top // both)  # that a similarity of 0.8 needs
+            i, j = np.nonzero(apart[part] & (ra[part, None] != rb) & (np.minimum(sa[part, None], sb) >= shared))
+            most, differ, words = (total - 2 * shared)[i, j], np.zeros(len(i), np.int64), ma.shape[1]
+            i, before, step = i + at, 0, max(1, words // 8)
+            while before < words and len(i):
+                cut = [slice(k, k + (1 << 16)) for k in range(0, len(i), 1 << 16)]
+                end = min(words, before + step)
+                differ += np.concatenate([np.bitwise_count(ma[i[c], before:end] ^ mb[j[c], before:end]).sum(1, dtype=np.int64) for c in cut])
+                stay = differ <= most
+                i, j, most, differ, before, step = i[stay], j[stay], most[stay], differ[stay], end, 2 * step
+            yield na[i], nb[j]
+
+    def compared(columns: list[tuple], one_block: bool) -> Iterator[pa.RecordBatch]:
+        blocks, nodes, sizes, roots = (np.array(c, np.int64) for c in columns[:4])
+        lengths = np.array([len(m) for m in columns[4]])
+        for length in np.unique(lengths):
+            own = np.flatnonzero(lengths == length)
+            # sets of a similarity of 0.8 have maps of one length or of neighbouring ones
+            for other in (own, np.flatnonzero(lengths == 2 * length)):
+                mine, theirs = (np.frombuffer(b"".join(columns[4][x] for x in rows), np.uint64) for rows in (own, other))
+                mine = mine.reshape(len(own), -1)
+                theirs = np.bitwise_or.reduce(theirs.reshape(len(other), 1 if other is own else 2, -1), axis=1) if len(other) else mine[:0]
+                apart = np.ones((len(own), len(other)), bool) if one_block else blocks[own][:, None] != blocks[other]
+                if other is own:
+                    apart &= nodes[own][:, None] < nodes[other]
+                sides = [(nodes[x], sizes[x], roots[x], maps) for x, maps in ((own, mine), (other, theirs))]
+                for a, b in left_over(*sides, apart):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)
+            for key, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True), strict=True):
+                if key != cell:
+                    if len(held) > 1:
+                        yield from compared(list(zip(*held, strict=True)), cell[1] == cell[2])
+                    held, cell = [], key
+                held.append(row)
+        if len(held) > 1:
+            yield from compared(list(zip(*held, strict=True)), cell[1] == cell[2])
+
+    return run
+
+
+def met_apart(live: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Candidates (a, b) of different roots that share a token, if their sizes and maps leave a similarity of 0.8 possible.
+
+    The sets of a token are compared in cells of two blocks each, in tasks, so that no pair is a row before its maps have spoken.
+    """
+    live = materialize(one_of_equal(live), "apart")
+    nodes = materialize(firsts.select("node", "key").join(live.select("node").distinct(), "node"), "apart_nodes")
+    maps = materialize(shingle_maps(sets_of(nodes, texts, shingle)), "maps")
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int").alias("block")
+    rows = live.select("token", "node", "n", "root", "blocks", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(maps, "node").select(
+        "token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "map"
+    )
+    dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return dealt.mapInArrow(compared_maps(), "a bigint, b bigint").distinct()
 
 
 def met_pairs(left: DataFrame, right: DataFrame, sides_as: tuple[str, str] | None = None) -> DataFrame:
@@ -521,9 +608,7 @@ def similar_pairs(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, shingle
     near = materialize(near, "near")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     nodes = materialize(firsts.select("node", "key").join(ends, "node"), "nodes")
-    once = texts.filter(marked(nodes.select("key"))(F.col("key"))).groupBy("key").agg(F.any_value("text").alias("text"))
-    sets = shingle_sets(once.join(nodes, "key").select("node", "text"), shingle)
-    both = with_both(near, materialize(sets, "sets"), "grams")
+    both = with_both(near, materialize(sets_of(nodes, texts, shingle), "sets"), "grams")
     return both.filter(enough(F.size(F.array_intersect("a_grams", "b_grams")))).select("a", "b")
 
 
@@ -533,7 +618,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
     Two texts are linked if their sets of ``shingle`` words have a Jaccard similarity of 0.8 or
     more. Candidates are SimHash neighbours within ``tau`` bits and all pairs that share a token
     of their prefixes, which none of that similarity escapes. Where many share a token, each is
-    compared with one of them first; what is then still apart is compared in full. Null and empty
+    compared with one of them first; what is then still apart is compared in cells. Null and empty
     texts are copies of each other.
     """
     rows = pick(docs, doc_id="bigint", text="string").select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")
@@ -549,7 +634,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataF
             small = live.filter(F.col("met") <= MET_CAP)
             pairs = pairs.unionByName(met_pairs(small, small)).unionByName(star_pairs(large, turn))
         else:
-            pairs = met_once(large) if last else star_pairs(large, turn)
+            pairs = met_apart(large, firsts, texts, shingle) if last else star_pairs(large, turn)
         more = similar_pairs(pairs, firsts, texts, shingle)
         links = materialize(more if links is None else links.unionByName(more), "links")
         roots = materialize(components(links), "components")

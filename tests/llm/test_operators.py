@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -755,6 +756,54 @@ def test_passage_edits_link_as_brute_force_does(spark):
     assert len(found) == len(docs) and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_texts_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    """Texts with a passage in common, in blocks of 16: pairs grow with what is alike, not with the passage's square."""
+    monkeypatch.setattr(simhash, "MET_BLOCK", 16, raising=False)
+    rnd, seen, compare = random.Random(9), [], simhash.similar_pairs
+
+    def counted(pairs, *more):
+        seen.append(pairs.distinct().count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(simhash, "similar_pairs", counted)
+    monkeypatch.setattr(simhash, "common_shingles", lambda rows, shingle: [])  # as if no sample had shown the passage
+    passage, texts = [f"p{i}" for i in range(80)], {}
+    for i in range(120):
+        words = passage + [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([35, 45, 110]))]
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join([*words[:-3], "x", *words[-2:]]) if i % 4 == 0 else " ".join([str(i), *words[1:50]])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    found, wanted = {}, {}
+    for r in simhash.similar_components(frame).collect():
+        found.setdefault(r["root"], []).append(r["doc_id"])
+    for i, root in similar_groups(texts).items():
+        wanted.setdefault(root, []).append(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values())) and 100 < len(wanted) < 220
+    assert len(seen) == 3 and seen[2] < 300, seen
+
+
+def test_maps_of_neighbouring_lengths_compare():
+    rnd = np.random.default_rng(3)
+    sets = {k: np.unique(rnd.integers(0, 1 << 63, n)) for k, n in enumerate((30, 33, 120, 129, 260))}
+    sets |= {k + 10: np.append(s[: len(s) - len(s) // 20], rnd.integers(0, 1 << 63, len(s) // 10)) for k, s in sets.items()}
+    batch = pa.RecordBatch.from_pydict({"node": list(sets), "grams": [s.tolist() for s in sets.values()]})
+    made = dict(next(iter(shingle_map_rows([batch]))))
+    assert len({len(m) for m in made.values()}) > 2
+    rows = [(1, 0, 0, 0, k, len(s), k, made[k]) for k, s in sets.items()]
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 3, pa.binary()]
+    cells = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list("tlhbnsrm"))
+    got = {(a, b) for out in simhash.compared_maps()(iter([cells])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    alike = {(a, b) for a in sets for b in sets if a < b and 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert {(k, k + 10) for k in range(5)} == alike == got
+
+
+def shingle_map_rows(batches):
+    class Sets:
+        def mapInArrow(self, run, schema):
+            return (zip(b["node"].to_pylist(), b["map"].to_pylist(), strict=True) for b in run(iter(batches)))
+
+    return simhash.shingle_maps(Sets())
+
+
 def test_copies_among_texts_of_the_same_words_link(spark):
     rnd = random.Random(6)
     words = [f"w{i}" for i in range(150)]
