@@ -3,13 +3,15 @@
 A byte is redundant if a string of ``length`` bytes that covers it starts at another place too.
 No machine holds the corpus' suffix array; it is needed only where repeats can be:
 
-1. The window of ``length`` bytes at every position takes the least hash among its 32-byte grams
-   as its anchor, so equal windows have equal anchors. Neighbouring windows of one anchor form a
+1. The window of ``LEAST_FACTOR`` bytes (``length``, if that is less) at every position takes the least
+   hash among its 32-byte grams as its anchor, so equal windows have equal anchors, and equal strings of
+   ``length`` bytes, which begin with equal windows, too. Neighbouring windows of one anchor form a
    span. An anchor that stands once in the corpus has no repeats, and most do.
 2. Equal spans are counted by hash. All but the first copy are repeats as a whole.
-3. One copy of each distinct span goes to its anchor's bucket. There, previous and next smaller
-   positions in suffix order give the longest previous factor of every window's start; where it
-   reaches ``length``, the window is a repeat and its source an earlier copy.
+3. One copy of each distinct span goes to its anchor's bucket, with ``length`` bytes from each window's
+   start where the text has them. There, previous and next smaller positions in suffix order give the
+   longest previous factor of every start whose window stands there again; where it reaches ``length``,
+   the string is a repeat and its source an earlier copy.
 4. A bucket of over ``cap`` distinct spans or ``cap_bytes`` is not gathered: its windows are counted by hash, and
    their first ``LEAST_FACTOR`` bytes by another, so that a note of a shorter factor doesn't depend on the cap.
 
@@ -102,8 +104,11 @@ def anchored_spans(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarra
     return d, start[cut] - begins[d], start[end] - begins[d], mixed[cut], anchor[cut] != anchor[end]
 
 
-def find_spans(length: int, gram: int) -> Callable:
-    """Rows (doc_id, ka, kb, text) to spans with their anchor's and content's hashes."""
+def find_spans(length: int, window: int, gram: int) -> Callable:
+    """Rows (doc_id, ka, kb, text) to spans of windows with their anchor's and content's hashes.
+
+    The content reaches to ``stop``: ``length`` bytes from the last window's start, or the text's end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -113,15 +118,16 @@ def find_spans(length: int, gram: int) -> Callable:
             texts = batch.column(3).to_pylist()
             for start, end in text_slices(texts, SLICE_BYTES):
                 raws = [t.encode() if t else b"" for t in texts[start:end]]
-                doc, first, last, anchor, several = anchored_spans(raws, length, gram)
+                doc, first, last, anchor, several = anchored_spans(raws, window, gram)
                 views = [memoryview(r) for r in raws]
-                spans = zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)
-                content = np.frombuffer(b"".join(digest(views[d][a : b + length]) for d, a, b in spans), np.int64).reshape(-1, 2)
+                stop = np.minimum(last + length, np.array([len(r) for r in raws], np.int64)[doc])
+                spans = zip(doc.tolist(), first.tolist(), stop.tolist(), strict=True)
+                content = np.frombuffer(b"".join(digest(views[d][a:b]) for d, a, b in spans), np.int64).reshape(-1, 2)
                 rows = pa.array(doc + start)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).take(rows) for i in range(3)), pa.array(anchor.view(np.int64)),
-                     pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(first), pa.array(last), pa.array(several)],
-                    names=["doc_id", "ka", "kb", "h", "ca", "cb", "first", "last", "several"],
+                     pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(first), pa.array(last), pa.array(stop), pa.array(several)],
+                    names=["doc_id", "ka", "kb", "h", "ca", "cb", "first", "last", "stop", "several"],
                 )
 
     return run
@@ -192,18 +198,77 @@ def common_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -
     return out
 
 
-def previous_factors(raw: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def repeated_ranks(words: np.ndarray, head: np.ndarray, full: np.ndarray, starts: np.ndarray, window: int, length: int) -> np.ndarray | None:
+    """Ranks of ``starts`` by their ``length`` bytes, within equal windows; windows themselves are in the order of their hashes.
+
+    ``head`` and ``full`` are hashes of the windows and of the whole strings. None if strings of equal hashes differ.
+    """
+    order = np.lexsort((full, head))
+    new = np.concatenate([[True], (head[order][1:] != head[order][:-1]) | (full[order][1:] != full[order][:-1])])
+    kind = np.cumsum(new) - 1
+    one = order[new]  # a start of each string
+    own, others = starts[one[kind[~new]]], starts[order[~new]]
+    if (common_bytes(words, own, others, length) < length).any():
+        return None
+    tied = np.flatnonzero(head[one][1:] == head[one][:-1])
+    if (common_bytes(words, starts[one[tied]], starts[one[tied + 1]], window) < window).any():
+        return None
+    both = np.union1d(tied, tied + 1)
+    rest = [words[starts[one[both]] + max(0, min(at, length - 8))] for at in range(window, length, 8)]
+    place = np.arange(len(one))
+    # equal windows stand side by side, so their strings change places among themselves
+    place[both[np.lexsort((*rest[::-1], head[one[both]]))]] = both
+    rank = np.empty(len(starts), np.int64)
+    rank[order] = place[kind]
+    return rank
+
+
+def window_hashes(grams: np.ndarray, gram: int, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from each start, of the hashes of the grams that cover them."""
+    out = np.zeros(len(starts), np.uint64)
+    for at in [*range(0, width - gram, gram), width - gram]:
+        out = (out ^ grams[starts + at]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def factors_from(raw: np.ndarray, starts: np.ndarray, window: int, length: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``previous_factors`` of the same groups for factors of ``window`` bytes or more; shorter ones may be less.
+
+    Starts whose window stands once have none and are left out; the rest is ordered behind the window only. Starts of
+    equal windows must be of one group.
+    """
+    best, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    gram = 1 << (window.bit_length() - 1)
+    grams = gram_hashes(raw, gram)
+    head = window_hashes(grams, gram, starts, window)
+    order = np.argsort(head)
+    same = head[order][1:] == head[order][:-1]
+    again = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+    if len(again):
+        words, at = words_at(raw), starts[again]
+        rank = repeated_ranks(words, head[again], window_hashes(grams, gram, at, length), at, window, length)
+        factors, there = previous_factors(raw, at, length, group[again] if rank is None else None, rank, words)
+        best[again] = factors
+        source[again] = np.where(there >= 0, again[there], -1)
+    return best, source
+
+
+def previous_factors(
+    raw: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, words: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The longest previous factor at each of the ascending ``starts``, and where it stands (-1 for none).
 
-    With a number of its ``group`` for each start, factors are those of starts of the same group.
+    With a number of its ``group`` for each start, factors are those of starts of the same group. The starts'
+    ``rank`` in suffix order may be given.
 
     In suffix order, of all earlier starts the previous smaller and the next smaller position share
     the longest prefixes with a suffix; the longer of the two is its factor. Factors are counted up
     to ``length`` bytes, which every start must have behind it. Suffixes alike that far stand by
     falling position, so the next of them is an earlier match.
     """
-    words = words_at(raw)
-    rank = order_to(raw, length)[starts]
+    words = words_at(raw) if words is None else words
+    rank = order_to(raw, length)[starts] if rank is None else rank
     group = np.zeros(len(starts), np.int64) if group is None else group
     key = rank + group * (int(rank.max(initial=0)) + 1)
     order = len(starts) - 1 - np.argsort(key[::-1], kind="stable")
@@ -234,7 +299,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], e[np.append(new[1:], len(s)) - 1]
 
 
-def match_bucket(length: int, keep: str) -> Callable:
+def match_bucket(length: int, window: int, keep: str) -> Callable:
     """Rows (h, doc_id, ka, kb, first, last, n, content), sorted, to intervals that are repeats.
 
     ``f`` is a factor's length; a row of an empty interval notes a span's longest factor under ``length``.
@@ -243,14 +308,16 @@ def match_bucket(length: int, keep: str) -> Callable:
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
-        raw = b"".join(r[7] for r in rows)
-        sizes = np.array([len(r[7]) for r in rows], np.int64)
+        # behind a text's end stand bytes that UTF-8 has not, so strings that reach over it are equal only if they end alike
+        raw = b"".join(r[7].ljust(r[5] - r[4] + length, b"\xff") for r in rows)
+        sizes = np.array([r[5] - r[4] + length for r in rows], np.int64)
         begins = np.cumsum(sizes) - sizes
         many = sizes - length + 1
         owner = np.repeat(np.arange(len(rows)), many)
         starts = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
         group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1][owner]
-        factors, source = previous_factors(np.frombuffer(raw, np.uint8), starts, length, group)
+        factors, source = factors_from(np.frombuffer(raw, np.uint8), starts, window, length, group)
+        factors = np.minimum(factors, (begins + np.array([len(r[7]) for r in rows], np.int64))[owner] - starts)
         repeat = factors >= length
         noted = factors.copy()  # a factor's source holds the same string
         np.maximum.at(noted, source[source >= 0], factors[source >= 0])
@@ -286,10 +353,11 @@ def match_bucket(length: int, keep: str) -> Callable:
     return run
 
 
-def cut_spans(length: int) -> Callable:
+def cut_spans(length: int, window: int) -> Callable:
     """Rows (doc_id, ka, kb, text, wanted) to the wanted spans' bytes, or for hot ones hashes of their windows.
 
-    ``heads`` are hashes of the windows' first ``LEAST_FACTOR`` bytes; a long span's windows come in several rows.
+    ``windows`` are hashes of the ``length`` bytes from each start, null where the text ends before, ``heads`` of the
+    window alone; a long span's come in several rows.
     """
 
     names = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content", "windows", "heads"]
@@ -309,7 +377,9 @@ def cut_spans(length: int) -> Callable:
                     for at in range(a, b + 1, WINDOW_ROWS if w["hot"] else b + 1):
                         end = min(b, at + WINDOW_ROWS - 1) if w["hot"] else b
                         part = memoryview(raw)[at : end + length]
-                        hashes = [[digest(part[i : i + n]) for i in range(end - at + 1)] for n in (length, LEAST_FACTOR)] if w["hot"] else [None, None]
+                        hashes = [None, None]
+                        if w["hot"]:
+                            hashes = [[digest(part[i : i + n]) if i + n <= len(part) else None for i in range(end - at + 1)] for n in (length, window)]
                         rows.append((w["h"], doc_id, ka, kb, at, end, w["n"], None if w["hot"] else part.tobytes(), *hashes))
                         held += len(part) if w["hot"] is False else 64 * (end - at + 1)
                         if held > SLICE_BYTES or len(rows) >= 2048:
@@ -341,6 +411,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
     """(doc_id, ka, kb, cuts, longest): byte intervals [s, e) of documents that are repeats, which may overlap, and the longest factor."""
     spark = docs.sparkSession
     rows = keyed(docs)
+    window = min(length, LEAST_FACTOR)
     temporary = []
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -349,13 +420,13 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         temporary.append(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    schema = f"{DOC}, h bigint, ca bigint, cb bigint, first bigint, last bigint, several boolean"
-    found = stored(rows.filter(F.octet_length("text") >= length).mapInArrow(find_spans(length, GRAM), schema), "spans")
+    schema = f"{DOC}, h bigint, ca bigint, cb bigint, first bigint, last bigint, stop bigint, several boolean"
+    found = stored(rows.filter(F.octet_length("text") >= window).mapInArrow(find_spans(length, window, GRAM), schema), "spans")
     # tables of their own: a join on a frequent anchor can then be split, its count needs no split
     met = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("several").alias("several"))
     anchors = stored(met.filter("n > 1 OR several").select("h"), "anchors")
     shared = stored(found.join(anchors, "h"), "shared")
-    place = F.struct("doc_id", "ka", "kb", "first", "last")
+    place = F.struct("doc_id", "ka", "kb", "first", "last", "stop")
     distinct = shared.groupBy("h", "ca", "cb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"), F.bool_or("several").alias("several"))
     distinct = stored(distinct.select("h", "ca", "cb", "n", "several", "r.*"), "distinct")
 
@@ -363,20 +434,23 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         "h", "ca", "cb", F.col("doc_id").alias("r_id"), F.col("ka").alias("r_a"), F.col("kb").alias("r_b"), F.col("first").alias("r_first")
     )
     whole = shared.join(copies, ["h", "ca", "cb"])
+    enough = F.col("stop") - F.col("first") >= length
     if keep == "first":
         is_first = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("ka") == F.col("r_a")) & (F.col("kb") == F.col("r_b"))
-        whole = whole.filter(~(is_first & (F.col("first") == F.col("r_first"))))
-    full = F.lit(length).cast("bigint").alias("f")
-    whole = whole.select("doc_id", "ka", "kb", F.col("first").alias("s"), (F.col("last") + length).alias("e"), full)
+        whole = whole.filter(~(enough & is_first & (F.col("first") == F.col("r_first"))))
+    full, none = F.lit(length).cast("bigint").alias("f"), F.lit(0).cast("bigint")
+    # copies of under ``length`` bytes, at the ends of texts, are noted and stay
+    taken = (F.when(enough, F.col(c)).otherwise(none).alias(out) for c, out in (("first", "s"), ("stop", "e")))
+    whole = whole.select("doc_id", "ka", "kb", *taken, F.least(F.col("stop") - F.col("first"), full).alias("f"))
 
-    size = F.sum(F.col("last") - F.col("first") + length)
+    size = F.sum(F.col("stop") - F.col("first"))
     # a span whose gram stands at several places may repeat within itself, also where it is alone
     groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d"), size.alias("bytes"), F.bool_or("several").alias("several")).filter("d > 1 OR several")
     wanted = distinct.join(stored(groups, "groups"), "h").withColumn("hot", (F.col("d") > cap) | (F.col("bytes") > cap_bytes))
     per_doc = wanted.groupBy("doc_id", "ka", "kb").agg(F.collect_list(F.struct("h", "first", "last", "n", "hot")).alias("wanted"))
     cut = join_docs(rows, per_doc, "inner").select("doc_id", "ka", "kb", "text", "wanted")
     schema = f"h bigint, {DOC}, first bigint, last bigint, n bigint, content binary, windows array<binary>, heads array<binary>"
-    cut = stored(cut.mapInArrow(cut_spans(length), schema), "cut")
+    cut = stored(cut.mapInArrow(cut_spans(length, window), schema), "cut")
     size = cut.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     columns = ["h", "doc_id", "ka", "kb", "first", "last", "n", "content"]
     buckets = (
@@ -384,7 +458,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
         .repartition(max(1, min(-(-size // BUCKET_BYTES), MOST_BUCKETS)), "h")
         .sortWithinPartitions("h", "doc_id", "ka", "kb", "first")
     )
-    parts = whole.unionByName(buckets.mapInArrow(match_bucket(length, keep), INTERVAL))
+    parts = whole.unionByName(buckets.mapInArrow(match_bucket(length, window, keep), INTERVAL))
     hot = cut.filter("content is null").dropDuplicates(["h", "doc_id", "ka", "kb", "first"])
     if not hot.isEmpty():
         windows = stored(
@@ -393,7 +467,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
             ),
             "windows",
         )
-        again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "ka", "kb", "at")).alias("r"))
+        again = windows.filter("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "ka", "kb", "at")).alias("r"))
         matched = windows.join(stored(again.filter("n > 1"), "again"), "w")
         if keep == "first":
             matched = matched.filter(F.struct("doc_id", "ka", "kb", "at") != F.col("r"))
@@ -401,9 +475,8 @@ def repeated_intervals(docs: DataFrame, length: int, keep: str, cap: int = GROUP
             matched.select("doc_id", "ka", "kb", F.col("at").alias("s"), (F.col("at") + length).alias("e"), full)
         )
         heads = stored(windows.groupBy("h", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "head"), "heads")
-        none = F.lit(0).cast("bigint")
         noted = windows.join(heads, ["h", "head"]).select("doc_id", "ka", "kb").distinct()
-        parts = parts.unionByName(noted.select("*", none.alias("s"), none.alias("e"), F.lit(LEAST_FACTOR).cast("bigint").alias("f")))
+        parts = parts.unionByName(noted.select("*", none.alias("s"), none.alias("e"), F.lit(window).cast("bigint").alias("f")))
     path = new_path(spark, "intervals")
     cut = F.collect_list(F.when(F.col("e") > F.col("s"), F.struct("s", "e"))).alias("cuts")
     parts.groupBy("doc_id", "ka", "kb").agg(cut, F.max("f").alias("longest")).write.parquet(path)
@@ -436,10 +509,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     A null or empty text keeps nothing and loses nothing, nor does one of under ``length`` bytes
     lose any. Rows that repeat doc_id and text are one document to ``keep="first"`` and copies of
     each other to ``keep="none"``. An empty table gives an empty result. ``longest_factor`` is the
-    longest factor, up to ``length``, that was found at a window of the text or has one as its source,
-    0 if it is under ``LEAST_FACTOR``; in buckets that are not gathered, a factor under ``length`` shows as
-    ``LEAST_FACTOR``. Factors under ``length`` are found where windows share an anchor only, so a passage
-    shorter than that may be missed; it has no part in what is removed.
+    longest factor, up to ``length``, that a string of the text has or is the source of, 0 if it is
+    under ``LEAST_FACTOR``; in buckets that are not gathered, a factor under ``length`` shows as
+    ``LEAST_FACTOR``, or as the length of a copy that ends a text. One under ``length`` has no part in what is removed.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")

@@ -260,6 +260,61 @@ def test_previous_factors():
             assert source[k] < k and (raw[i : i + factors[k]] == raw[j : j + factors[k]]).all()
 
 
+def test_factors_from_a_window_on():
+    rnd = np.random.default_rng(11)
+    for turn in range(120):
+        window, most = [(8, 13), (8, 8), (9, 40), (16, 33)][turn % 4]
+        raw = rnd.integers(0, rnd.choice([1, 2, 3]), int(rnd.integers(most, 400))).astype(np.uint8)
+        at = int(rnd.integers(0, len(raw)))
+        raw[at : at + 60] = raw[:60][: len(raw[at : at + 60])]
+        starts = np.flatnonzero(rnd.random(len(raw) - most + 1) < rnd.choice([0.4, 1]))
+        factors, source = substrings.factors_from(raw, starts, window, most, np.zeros(len(starts), np.int64))
+        plain = np.array(plain_factors(raw.tobytes(), starts.tolist(), most), np.int64)
+        assert (np.where(factors < window, 0, factors) == np.where(plain < window, 0, plain)).all()
+        for k in np.flatnonzero(factors):
+            i, j = starts[k], starts[source[k]]
+            assert source[k] < k and (raw[i : i + factors[k]] == raw[j : j + factors[k]]).all()
+
+
+def test_factors_do_not_trust_hashes(monkeypatch):
+    """With a hash of two values strings of equal hashes differ; the factors are those of the bytes."""
+    rnd, grams = np.random.default_rng(12), substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda raw, gram: grams(raw, gram) & np.uint64(1))
+    raw = rnd.integers(0, 3, 300).astype(np.uint8)
+    raw[200:260] = raw[20:80]
+    starts = np.arange(300 - 40 + 1)
+    factors, _ = substrings.factors_from(raw, starts, 16, 40, np.zeros(len(starts), np.int64))
+    plain = np.array(plain_factors(raw.tobytes(), starts.tolist(), 40))
+    assert (np.where(factors < 16, 0, factors) == np.where(plain < 16, 0, plain)).all() and factors.max() == 40
+
+
+@pytest.mark.parametrize("caps", [(4096, 8 << 20), (1, 8 << 20)])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_every_passage_from_256_bytes_is_noted(spark, keep, caps, monkeypatch):
+    """At any place of the texts, also at their ends and in texts of under 400 bytes; shorter ones are not."""
+    monkeypatch.setattr(substrings.repeated_intervals, "__defaults__", caps)
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    rows, wanted = [], {}
+    for k in range(60):
+        n = (256, 257, 300, 340, 399, 240)[k % 6]
+        passage = text(n)
+        for side in range(2):
+            before, after = (0, rnd.randint(0, 600), rnd.randint(0, 600))[k % 3], (rnd.randint(1, 600), 0, rnd.randint(0, 600))[k % 3]
+            wanted[len(rows)] = n if n >= 256 else 0
+            # other characters beside the passage, so that it is the whole of what both texts share
+            rows.append((len(rows), text(before) + "XY"[side] + passage + ("PQ"[side] + text(after) if after else "")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in substrings.remove_repeats(frame, 400, keep).collect()}
+    exact = {i: r["longest_factor"] for i, r in found.items()}
+    if caps[0] > 1:
+        assert exact == wanted
+    else:  # counted by hash: noted alike, with 256 or the length of a copy that ends a text
+        assert all(min(n, 256) <= exact[i] <= n for i, n in wanted.items())
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[c] for c in columns) for r in found.values()), key=repr) == sorted(brute.repeat_rows(rows, 400, keep), key=repr)
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats_over_many_buckets(spark, rows, keep, monkeypatch):
     """Slices of texts, buckets and suffix orders of a few kilobytes give the same rows."""
