@@ -37,6 +37,25 @@ def test_q6_scan_ends_at_the_last_distinct_token(spark):
     assert len(found) == 256 and found[words[0]] == 1 and "zzzzz" not in found
 
 
+def test_whole_texts_are_counted_without_a_bound(spark, tmp_path):
+    import duckdb
+
+    from tessera import registry
+
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "xx" for i in range(300)]
+    body = " ".join([*words, words[0], "zzzzz", words[0]])
+    docs = spark.createDataFrame([("d", body), ("e", None), ("f", ""), ("g", "of 12 the"), ("d", "zzzzz")], "cid string, norm string")
+    found = rows(text.word_counts(docs, "cid", "norm", None).select("cid", text.token_rows("counts")).filter("token IS NOT NULL"))
+    assert found == sorted([("d", w, 3 if w == words[0] else 1) for w in words] + [("d", "zzzzz", 2)], key=repr)
+    texts = [(1, body), (2, None), (3, ""), (4, " ".join([*words, "zzz"] * 2))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["a10_token_histogram"]).fetchall()
+    assert len(want) == 602 and ("doc-1", "zzzzz", 1) in want and ("doc-1", words[0], 3) in want
+    assert rows(registry.QUERIES["a10_token_histogram"](spark, str(tmp_path)).select("cid", "token", "count")) == sorted(want, key=repr)
+
+
 def test_q9_union_keeps_pairs_of_different_times(spark):
     roots = spark.createDataFrame([("w", "c", 1)], "wallet string, root_cid string, created_at long")
     pins = spark.createDataFrame([("w", "c", 2)], "wallet string, cid string, created_at long")
