@@ -56,6 +56,21 @@ def test_whole_texts_are_counted_without_a_bound(spark, tmp_path):
     assert rows(registry.QUERIES["a10_token_histogram"](spark, str(tmp_path)).select("cid", "token", "count")) == sorted(want, key=repr)
 
 
+def test_index_tokens_are_the_most_frequent_of_whole_texts(spark, tmp_path):
+    import duckdb
+
+    from tessera import registry
+
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "xx" for i in range(300)]
+    texts = [(1, " ".join([*words, *["zzzzz"] * 5])), (2, None), (3, " ".join(["often"] * 1_100))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["t3_index_tokens"]).fetchall()
+    assert len(want) == 129 and ("doc-1", "zzzzz", 5) in want and ("doc-3", "often", 1_000) in want
+    assert rows(registry.QUERIES["t3_index_tokens"](spark, str(tmp_path)).select("cid", "token", "count")) == sorted(want, key=repr)
+
+
 def test_q9_union_keeps_pairs_of_different_times(spark):
     roots = spark.createDataFrame([("w", "c", 1)], "wallet string, root_cid string, created_at long")
     pins = spark.createDataFrame([("w", "c", 2)], "wallet string, cid string, created_at long")
