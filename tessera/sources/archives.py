@@ -81,10 +81,10 @@ def archive_detect(names: Column) -> Column:
     return F.when(names.isNotNull(), F.struct(mime.alias("mime"), ext.alias("ext_guess"), kind.alias("kind"), confidence.alias("confidence")))
 
 
-def members(blobs: DataFrame, *extensions: str) -> DataFrame:
+def members(blobs: DataFrame, *extensions: str, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(key, mark, place, name, text) of the members of ``blobs`` (key, body) with one of the extensions.
 
-    ``mark`` is ok, large (a member of over ``MOST_BYTES``), encrypted or broken. A blob of which no member can be read has
+    ``mark`` is ok, large (a member of over ``most_bytes``, if given), encrypted or broken. A blob of which no member can be read has
     one row without a name; a null body is broken.
     """
 
@@ -98,12 +98,12 @@ def members(blobs: DataFrame, *extensions: str) -> DataFrame:
         for place, m in wanted:
             if m.flag_bits & 1:
                 yield "encrypted", place, m.filename, None
-            elif m.file_size > MOST_BYTES:
+            elif most_bytes is not None and m.file_size > most_bytes:
                 yield "large", place, m.filename, None
             else:
                 try:
                     with box.open(m) as f:
-                        yield "ok", place, m.filename, f.read(MOST_BYTES).decode("utf-8", "replace")
+                        yield "ok", place, m.filename, f.read(most_bytes).decode("utf-8", "replace")
                 except Exception:  # a member whose data doesn't inflate or match its sum
                     yield "broken", place, m.filename, None
         if not wanted:
@@ -138,14 +138,17 @@ def office_texts(blobs: DataFrame) -> DataFrame:
     return titled(per.select("key", "mark", text.alias("text")), none, none)
 
 
-def book_texts(blobs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def book_texts(
+    blobs: DataFrame, held: DataFrame | None = None, most_files: int | None = MOST_FILES, most_chars: int | None = MOST_CHARS, most_bytes: int | None = MOST_BYTES
+) -> DataFrame:
     """P10: (key, mark, text, title, description) of books: their members in the order of the package's spine.
 
     The container names the package, else the first one by place is taken. Without a spine the members that can
-    hold text come by name. ``MOST_FILES`` members and ``MOST_CHARS`` characters are read. ``held`` are the members,
-    if they are at hand.
+    hold text come by name. ``most_files`` members and ``most_chars`` characters are read, all of them without such a bound.
+    ``held`` are the members, if they are at hand.
     """
-    found = held if held is not None else members(blobs, "opf", *TEXTS)
+    found = held if held is not None else members(blobs, "opf", *TEXTS, most_bytes=most_bytes)
+    cut = lambda text: text if most_chars is None else F.substring(text, 1, most_chars)
     found = found.withColumn("low", F.lower("name"))
     at = F.regexp_extract("text", r"(?i)<rootfile\b[^>]*full-path\s*=\s*['\"]([^'\"]+)['\"][^>]*>", 1)
     container = F.max(F.when((F.col("low") == "meta-inf/container.xml") & (at != ""), F.lower(resolve_href(F.lit(""), at))))
@@ -161,11 +164,11 @@ def book_texts(blobs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     plain = F.col("low").rlike(rf"\.({'|'.join(TEXTS)})$") & ~F.col("low").startswith("meta-inf/")
     listed = spine.join(texts, ["key", "low"])
     others = texts.filter(plain).join(listed.select("key").distinct(), "key", "left_anti").withColumn("n", F.lit(0))
-    part = F.struct("n", "low", F.substring("body", 1, MOST_CHARS).alias("b"))
-    parts = listed.unionByName(others).groupBy("key").agg(F.slice(F.array_sort(F.collect_list(part)), 1, MOST_FILES).alias("p"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "low", cut(F.col("body")).alias("b"))))
+    parts = listed.unionByName(others).groupBy("key").agg((ordered if most_files is None else F.slice(ordered, 1, most_files)).alias("p"))
     said = F.filter(F.transform("p", lambda x: x["b"]), lambda x: x != "")
     # parts are trimmed before they are cut; a blank where a cut falls stays
-    joined = parts.select("key", F.substring(F.array_join(said, "\n"), 1, MOST_CHARS).alias("text"))
+    joined = parts.select("key", cut(F.array_join(said, "\n")).alias("text"))
     meta = package_metadata(F.col("xml"))
     rows = books.join(joined, "key", "left").withColumns({"m": meta, "text": F.coalesce("text", F.lit(""))})
     return titled(rows, F.col("m.title"), F.col("m.description"))

@@ -81,3 +81,22 @@ def test_a_blank_at_the_cut_of_a_book_stays(spark):
     body = archives.pack({"one.xhtml": PAGE.format(text.replace("&", "&amp;")), "two.xhtml": PAGE.format("")})
     got = archives.book_texts(frame(spark, {"k": body})).first()["text"]
     assert got == text[: archives.MOST_CHARS] and got.endswith(" ")
+
+
+def test_whole_books_are_read_without_bounds(spark, tmp_path):
+    import duckdb
+
+    from tessera import registry
+
+    bodies = {"many": archives.pack({f"{i:02}.txt": f"t{i}" for i in range(40)}), "long": archives.pack({"a.txt": "x" * 30_000, "b.txt": "y"})}
+    got = {r["key"]: r["text"] for r in archives.book_texts(frame(spark, bodies), most_files=None, most_chars=None, most_bytes=None).collect()}
+    assert got == {"many": "\n".join(f"t{i}" for i in range(40)), "long": "x" * 30_000 + "\ny"}
+    small = {r["mark"] for r in archives.members(frame(spark, bodies), "txt", most_bytes=100).filter("key = 'long' AND name = 'a.txt'").collect()}
+    assert small == {"large"}
+    texts = [(1, "word & " * 9_000), (6, " one two  " * 5_000), (11, ""), (16, "short one")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["p10_book_texts"]).fetchall()
+    assert sorted(len(r[3]) for r in want)[2:] == [39_999, 62_999]
+    assert sorted(map(tuple, registry.QUERIES["p10_book_texts"](spark, str(tmp_path)).select("key", "mark", "title", "text").collect())) == sorted(want)
